@@ -21,7 +21,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-from .common import ragged
+from .common import powers, ragged
 
 NO_RANK = np.int64(1 << 40)
 #: Pieces that a worker remembers; beyond it the cache starts anew.
@@ -167,9 +167,9 @@ class Encoder:
             begin, end = begin[begin < end], end[begin < end]
         if not len(begin):
             return np.zeros(0, np.int64), begin
-        powers, inverse = _powers(len(low) + 1)
+        forward, inverse = powers(len(low) + 1)
         sums = np.zeros(len(low) + 1, np.uint64)
-        np.cumsum((low.astype(np.uint64) + np.uint64(1)) * powers[: len(low)], out=sums[1:])
+        np.cumsum((low.astype(np.uint64) + np.uint64(1)) * forward[: len(low)], out=sums[1:])
         key = (sums[end] - sums[begin]) * inverse[begin]
         key ^= key >> np.uint64(29)
         key *= np.uint64(0xBF58476D1CE4E5B9)
@@ -252,19 +252,6 @@ def _blocks(text: bytes) -> list[bytes]:
     return [*out, text]
 
 
-@lru_cache(maxsize=1)
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    base = 0x9E3779B97F4A7C15
-    forward, back = np.full(n, base, np.uint64), np.full(n, pow(base, -1, 1 << 64), np.uint64)
-    forward[0] = back[0] = 1
-    return np.multiply.accumulate(forward), np.multiply.accumulate(back)
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse modulo 2^64: any run's polynomial hash is a difference of prefix sums."""
-    return _power_tables(max(n, BLOCK + 2) if n <= BLOCK + 2 else 1 << (n - 1).bit_length())
-
-
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
     """One encoder per worker and vocabulary."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -69,3 +70,17 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     if not len(ends) or not ends[-1]:
         return np.zeros(0, np.int64)
     return np.arange(ends[-1]) + np.repeat(starts - (ends - lengths), lengths)
+
+
+@lru_cache(maxsize=1)
+def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    base = 0x9E3779B97F4A7C15
+    forward, back = np.full(n, base, np.uint64), np.full(n, pow(base, -1, 1 << 64), np.uint64)
+    forward[0] = back[0] = 1
+    return np.multiply.accumulate(forward), np.multiply.accumulate(back)
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """At least ``n`` powers of an odd base and of its inverse modulo 2^64: with them the polynomial
+    hash of any run of values is a difference of two prefix sums."""
+    return _power_tables(max(1 << 21, 1 << (n - 1).bit_length()))
