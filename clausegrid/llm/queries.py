@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, packing, simhash, span_dedup, suffix_dedup, token_counts, topk_search
+from . import exact_dedup, lm_score, mixing, packing, quality, simhash, span_dedup, suffix_dedup, token_counts, topk_search
 from .common import table
 
 
@@ -19,6 +19,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(table(spark, sf_dir, "documents"))
+
+
 def op4_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
 
@@ -27,6 +31,10 @@ def op5_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_dedup.remove_repeated_spans(table(spark, sf_dir, "documents"))
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("rid")
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
 
@@ -100,8 +108,10 @@ SELECT doc_id, source, size, source_size, target, copies, copies * size AS taken
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_token_counts": op2_token_counts,
+    "op3_lm_scoring": op3_lm_scoring,
     "op4_topk_search": op4_topk_search,
     "op5_span_dedup": op5_span_dedup,
+    "op6_quality_classifier": op6_quality_classifier,
     "op7_mixing": op7_mixing,
     "op8_packing": op8_packing,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
