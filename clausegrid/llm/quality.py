@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import byte_texts, documents, slices
 
 CHUNK, STRIDE, WIDTH, FILTERS, HIDDEN = 512, 448, 6, 16, 16
-MAX_DOCS, MAX_BYTES, STEPS, BATCH, THRESHOLD = 4000, 20_000, 360, 48, 0.7
+MAX_DOCS, MAX_BYTES, STEPS, BATCH, THRESHOLD = 8000, 20_000, 600, 48, 0.7
 #: Code of the padding behind a text.
 PAD = 256
 SPOTS = CHUNK - WIDTH + 1
