@@ -64,7 +64,7 @@ def event_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("int")
     clause = F.concat(s(k % 5 + 1), F.lit("."), s(F.col("event_id") % 12))
     one = F.to_json(F.struct(clause.alias("clause_no"), F.when(k % 2 == 0, "delivery").otherwise(F.col("event_type")).alias("category"), F.col("event_type").alias("item"), F.when(k % 10 == 0, "").otherwise(F.concat(s(k), F.lit(" kg 이하"))).alias("requirement_text"), k.alias("source_page")))
-    body = F.concat(F.lit('{"requirements":['), one, F.lit('],"warnings":["w'), s(k), F.lit('"]}'))
+    body = F.concat(F.lit('{"requirements":['), one, F.lit('],"warnings":["w'), s(k), F.lit('"],"submission_items":[{"seq":'), s(k), F.lit(',"name":"'), F.col("event_type"), F.lit('"},{"seq":"x","name":"y"}],"participation_reqs":[{"seq":"p'), s(k % 7), F.lit('","text":"'), F.col("event_type"), F.lit('"}],"bid_info":{"title":"T'), s(k), F.lit('","announced_on":"2025-1-'), s(k % 28 + 1), F.lit('","bid_due_at":"soon"}}'))
     return e.select((F.col("user_id") % 50).alias("project_id"), F.col("event_id").alias("document_id"), F.when(F.col("event_id") % 2 == 0, "announcement").otherwise("techspec").alias("doc_type"), F.when(F.col("event_id") % 97 == 0, "not json").otherwise(body).alias("response"))
 
 
@@ -84,3 +84,10 @@ def label_assessments(spark: SparkSession, sf_dir: str) -> DataFrame:
     lab = table(spark, sf_dir, "labels")
     k = F.col("doc_id")
     return lab.select((k % 20).alias("run_id"), k.alias("requirement_id"), F.when(k % 17 == 0, "MAYBE").when(F.col("quality") == 1, "MEET").otherwise("GAP").alias("verdict"), F.when(k % 13 == 0, "not_found").otherwise("found_sufficient").alias("evidence_state"), F.lit("why").alias("rationale"), s(k).alias("our_value"), F.when(k % 5 == 0, F.array().cast("array<int>")).otherwise(F.array(F.lit(1), (k % 3 + 1).cast("int"))).alias("cited_ranks"), (k % 15 / F.lit(10.0)).alias("confidence"), F.when(k % 19 == 0, "timeout").alias("error"))
+
+
+def document_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of one document for each source; every page has one small table."""
+    d = table(spark, sf_dir, "documents")
+    rows = F.array(F.array(F.lit("lang"), F.lit("chars")), F.array("lang", s("n_chars")))
+    return d.select(F.xxhash64("source").alias("document_id"), F.col("source").alias("title"), F.col("doc_id").cast("int").alias("page_no"), F.col("text"), F.array(F.struct(F.lit(0).alias("index"), rows.alias("rows"))).alias("tables"))

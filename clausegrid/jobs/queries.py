@@ -178,6 +178,22 @@ def page_stats(spark, sf):
     return page_checks.document_stats(pages)
 
 
+@query("page_tables", """
+SELECT source AS title, doc_id AS section_id, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS INTEGER) AS table_index, source || ' > p.' || doc_id AS path, '| lang | chars |' || chr(10) || '|---|---|' || chr(10) || '| ' || lang || ' | ' || n_chars || ' |' AS md FROM documents""")
+def page_tables(spark, sf):
+    t = markdown.page_sections(D.document_pages(spark, sf))[1]
+    return t.select(F.get("heading_path", F.lit(0)).alias("title"), F.col("section_id").cast("long").alias("section_id"), "table_index", chunking.joined_path(F.col("heading_path")).alias("path"), markdown.table_markdown(F.col("rows")).alias("md"))
+
+
+@query("prompt_rows", """
+SELECT source AS doc_type_label, '(없음)' AS doc_no, sha256(string_agg('[p.' || doc_id || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY doc_id)) AS body_hash,
+  sha256(string_agg('[p.' || doc_id || ' 표 1]' || chr(10) || '| lang | chars |' || chr(10) || '|---|---|' || chr(10) || '| ' || lang || ' | ' || n_chars || ' |', chr(10) || chr(10) ORDER BY doc_id)) AS tables_hash FROM documents GROUP BY source""")
+def prompt_rows(spark, sf):
+    pages = D.document_pages(spark, sf)
+    documents = pages.select("document_id", F.col("title").alias("doc_type_label")).distinct().withColumn("doc_no", F.lit(""))
+    return markdown.prompt_rows(pages, documents).select("doc_type_label", "doc_no", F.sha2("body_text", 256).alias("body_hash"), F.sha2("tables_markdown", 256).alias("tables_hash"))
+
+
 # --- Retrieval ----------------------------------------------------------------------------------------------------
 
 
@@ -322,6 +338,45 @@ def requirement_counts(spark, sf):
     return evaluation.requirement_counts(requirements.save_requirements(requirements.requirement_rows(parsed))[0])
 
 
+@query("submission_items", """
+SELECT user_id % 50 AS project_id, CAST(json_extract(props, '$.k') AS INTEGER) AS seq, event_type AS name FROM events WHERE event_id % 2 = 0 AND event_id % 97 <> 0
+QUALIFY row_number() OVER (PARTITION BY user_id % 50, CAST(json_extract(props, '$.k') AS INTEGER) ORDER BY event_id) = 1""")
+def submission_items(spark, sf):
+    return requirements.save_submissions(requirements.parse_responses(D.event_responses(spark, sf))[0])[0].select("project_id", "seq", "name")
+
+
+@query("participation", """
+SELECT user_id % 50 AS project_id, 'p' || CAST(json_extract(props, '$.k') AS INTEGER) % 7 AS seq, event_type AS text FROM events WHERE event_id % 2 = 0 AND event_id % 97 <> 0
+QUALIFY row_number() OVER (PARTITION BY user_id % 50, CAST(json_extract(props, '$.k') AS INTEGER) % 7 ORDER BY event_id) = 1""")
+def participation(spark, sf):
+    return requirements.save_participation(requirements.parse_responses(D.event_responses(spark, sf))[0])
+
+
+def _projects(spark):
+    blank = [F.lit("").alias(f) for f in requirements.HEADER_TEXT] + [F.lit(None).cast("date").alias(f) for f in requirements.HEADER_DATES] + [F.lit(None).cast("timestamp").alias(f) for f in requirements.HEADER_TIMES]
+    return spark.range(50).select(F.col("id").alias("project_id"), *blank)
+
+
+@query("project_headers", """
+WITH f AS (SELECT user_id % 50 AS project_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events WHERE event_id % 2 = 0 AND event_id % 97 <> 0 QUALIFY row_number() OVER (PARTITION BY user_id % 50 ORDER BY event_id) = 1)
+SELECT p.range AS project_id, coalesce('T' || k, '') AS title, CASE WHEN k IS NOT NULL THEN make_date(2025, 1, CAST(k % 28 + 1 AS INTEGER)) END AS announced_on FROM range(50) p LEFT JOIN f ON p.range = project_id""")
+def project_headers(spark, sf):
+    parsed, _ = requirements.parse_responses(D.event_responses(spark, sf))
+    return requirements.fill_header(_projects(spark), parsed)[0].select("project_id", "title", "announced_on")
+
+
+@query("header_warnings", "SELECT user_id % 50 AS project_id, 'bid_due_at' AS field, 'soon' AS value FROM events WHERE event_id % 2 = 0 AND event_id % 97 <> 0")
+def header_warnings(spark, sf):
+    return requirements.fill_header(_projects(spark), requirements.parse_responses(D.event_responses(spark, sf))[0])[1]
+
+
+@query("model_warnings", "SELECT user_id % 50 AS project_id, 'f' || event_id || ': w' || CAST(json_extract(props, '$.k') AS INTEGER) AS message FROM events WHERE event_id % 97 <> 0")
+def model_warnings(spark, sf):
+    responses = D.event_responses(spark, sf)
+    documents = responses.select("project_id", "document_id", F.concat(F.lit("f"), D.s("document_id")).alias("original_name"))
+    return requirements.document_warnings(documents, responses.select("document_id"), requirements.parse_responses(responses)[0])
+
+
 @query("key_audit", "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1")
 def key_audit(spark, sf):
     return requirements.duplicates(table(spark, sf, "lineitem"), "l_orderkey", "l_linenumber")
@@ -514,6 +569,37 @@ def compliance_matrix(spark, sf):
     return deliverables.compliance_matrix(req, rows, none, issues).select("run_id", "no", "clause_no", "category", "our_value", "verdict", "reason", "remedy", "evidence_document", "notes")
 
 
+@query("issue_block", """
+SELECT p_partkey AS run_id, 1 AS no, '[1] 조항 3.1, 3.2 — housing → 3.2' AS head FROM part WHERE p_size % 10 <> 0 AND p_size + p_size % 5 > p_size % 7 + 20""")
+def issue_block(spark, sf):
+    issues = conflicts.side_effect_issues(D.part_assessments(spark, sf))[0].withColumn("is_dismissed", F.lit(False))
+    return deliverables.issue_block(issues).select("run_id", "no", F.element_at(F.split("line", "\n"), 1).alias("head"))
+
+
+@query("submission_checklist", """
+SELECT CAST(1 AS BIGINT) AS project_id, p_partkey AS run_id, p_partkey % 3 AS seq, CASE WHEN p_partkey % 3 = 0 THEN 'need' WHEN p_partkey % 3 = 1 THEN 'uncertain' ELSE 'have' END AS status FROM part""")
+def submission_checklist(spark, sf):
+    k = F.col("p_partkey")
+    names = F.array(F.lit("사업자등록증 사본"), F.lit("시험성적서"), F.lit("제품 카탈로그"))
+    items = table(spark, sf, "part").select(F.lit(1).cast("long").alias("project_id"), k.alias("run_id"), (k % 3).alias("seq"), F.element_at(names, (k % 3 + 1).cast("int")).alias("name"), F.when(k % 3 == 1, "기술사양서 제3장 전체").otherwise("").alias("note"))
+    hits = items.select("project_id", "seq").distinct().withColumns({"rank": F.lit(1), "quote": F.lit("q")})
+    return deliverables.submission_checklist(items, hits, D.part_assessments(spark, sf)).select("project_id", "run_id", "seq", "status")
+
+
+@query("inconsistent_pairs", "SELECT p_partkey AS run_id, '3.1' AS clause_a, '3.2' AS clause_b, CASE WHEN p_size % 3 = 0 THEN 'CHECK' ELSE 'GAP' END AS verdict_a, 'MEET' AS verdict_b FROM part")
+def inconsistent_pairs(spark, sf):
+    pairs = spark.range(1).select(F.lit("3.1").alias("clause_a"), F.lit("3.2").alias("clause_b"))
+    return evaluation.inconsistent_pairs(D.part_assessments(spark, sf), pairs).select("run_id", "clause_a", "clause_b", "verdict_a", "verdict_b")
+
+
+@query("judgement_input", "SELECT p_partkey AS requirement_id, CASE WHEN p_partkey % 3 = 0 THEN 0 ELSE 2 END AS evidence_count FROM part")
+def judgement_input(spark, sf):
+    p = table(spark, sf, "part")
+    rows = p.filter("p_partkey % 3 <> 0").select(F.col("p_partkey").alias("query_id"), F.explode(F.sequence(F.lit(1), F.lit(4))).alias("rank"), F.col("p_name").alias("doc_title"), F.lit("N").alias("doc_no"), F.lit("l").alias("location"), F.col("p_type").alias("parent_content"), F.array(F.lit("LT-150")).alias("model_tags"), F.lit(0.5).alias("score"), F.lit(0.5).alias("semantic"), F.lit(0.5).alias("keyword"))
+    rows = rows.withColumn("parent_key", (F.col("rank") % 2).cast("long"))
+    return retrieval.judgement_input(p.select(F.col("p_partkey").alias("requirement_id")), rows).select("requirement_id", F.col("evidence_count").cast("int").alias("evidence_count"))
+
+
 @query("inquiries", """
 WITH i AS (SELECT p_partkey, p_size, p_size % 10 <> 0 AND p_size + p_size % 5 > p_size % 7 + 20 AS clash FROM part)
 SELECT p_partkey AS run_id, 1 AS seq, ['3.1'] AS clause_refs, 'check' AS source_kind FROM i WHERE p_size % 3 = 0

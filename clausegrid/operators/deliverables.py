@@ -62,6 +62,15 @@ def submission_checklist(items: DataFrame, hits: DataFrame, assessments: DataFra
     return rows.select("project_id", "run_id", "seq", "name", "note", status.alias("status"), label(status, "submission_status").alias("status_label"), F.when(~fixed, F.col("evidence_text")).alias("evidence_text"))
 
 
+def eligibility_checklist(clauses: DataFrame, hits: DataFrame) -> DataFrame:
+    """Status of each eligibility clause: have with evidence, else uncertain; nothing is guessed.
+
+    ``clauses``: project_id, seq, text; ``hits``: project_id, seq, rank, quote."""
+    top = hits.groupBy("project_id", "seq").agg(F.min_by("quote", "rank").alias("evidence_text"))
+    status = F.when(F.col("evidence_text").isNotNull(), "have").otherwise("uncertain")
+    return clauses.join(top, ["project_id", "seq"], "left").select("project_id", "seq", "text", status.alias("status"), label(status, "submission_status").alias("status_label"), "evidence_text")
+
+
 def schedule(projects: DataFrame, as_of: Column) -> DataFrame:
     """project_id, event, due, left: D-n until a date, closed after it."""
     events = F.array(*[F.struct(F.lit(n).alias("event"), F.col(n).cast("timestamp").alias("due")) for n in ("inquiry_due_at", "bid_due_at", "opening_at")])
