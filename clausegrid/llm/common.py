@@ -18,6 +18,10 @@ WHITE = r"[\x20\x09-\x0D]+"
 NOT_WHITE = r"[^\x20\x09-\x0D]+"
 
 
+#: Stands for a null id, behind all others.
+NO_ID = (1 << 63) - 1
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Read one input table."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -39,6 +43,8 @@ def save(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    # Spark deletes a finished phase's shuffle files when the driver collects garbage; ask for that now.
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -47,6 +53,18 @@ def documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
+def numbered(docs: DataFrame, name: str = "__rid__") -> DataFrame:
+    """``docs`` with a row number, written once: numbers given while scanning would change with the
+    way a later scan is split, as when executors come or go."""
+    return save(docs.withColumn(name, F.monotonically_increasing_id()), "numbered")
+
+
+def identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """key (the id; the largest long for null), rid (hash of the text), doc_id, text: key and rid name a
+    document alike in every scan. Rows with equal id and text are one document."""
+    return documents(docs, id_col, text_col).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("key"), F.xxhash64("text").alias("rid"), "doc_id", "text")
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Cut an Arrow batch into runs of rows holding about ``limit`` bytes of ``column`` (one row at least)."""
     n = batch.num_rows

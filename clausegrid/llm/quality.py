@@ -142,7 +142,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, max_docs: int = MAX_DOCS, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """doc_id, rid (place in the scan), held_out, score, predicted."""
+    """doc_id, text_hash (of the text, which alone decides), held_out, score, predicted."""
     rows = documents(docs, id_col, text_col)
     sample = labelled_sample(rows, labels, max_docs, max_bytes)
     y = np.array([q for _, q in sample], np.float32)
@@ -154,15 +154,15 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
                 found = score(w, byte_texts(part), tables) if w else np.full(part.num_rows, share)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("rid"), part.column("held_out"), pa.array(found)], ["doc_id", "rid", "held_out", "score"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), part.column("held_out"), pa.array(found)], ["doc_id", "text_hash", "held_out", "score"])
 
-    out = rows.withColumns({"rid": F.monotonically_increasing_id(), "held_out": held_out(F.col("doc_id"))})
-    out = out.select("doc_id", "rid", "held_out", "text").mapInArrow(run, "doc_id long, rid long, held_out boolean, score double")
+    out = rows.withColumns({"text_hash": F.xxhash64("text"), "held_out": held_out(F.col("doc_id"))})
+    out = out.select("doc_id", "text_hash", "held_out", "text").mapInArrow(run, "doc_id long, text_hash long, held_out boolean, score double")
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with all its columns, without the rows that the classifier rejects."""
-    mark = "__rid__"
-    gone = classify(docs, labels, id_col, text_col, threshold).filter("predicted = 0").select(F.col("rid").alias(mark))
-    return docs.withColumn(mark, F.monotonically_increasing_id()).join(gone, mark, "left_anti").drop(mark)
+    gone = classify(docs, labels, id_col, text_col, threshold).filter("predicted = 0").select(F.col("doc_id").alias("__id__"), F.col("text_hash").alias("__hash__")).distinct()
+    same = docs[id_col].cast("long").eqNullSafe(gone["__id__"]) & (F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit(""))) == gone["__hash__"])
+    return docs.join(gone, same, "left_anti")

@@ -32,7 +32,7 @@ def op5_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("rid")
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("text_hash")
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
