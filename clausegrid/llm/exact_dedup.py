@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, documents, save
+from .common import WHITE, numbered, save
 
 FIRST_CHUNK, GROWTH = 64, 4
 
@@ -31,18 +31,21 @@ def normalized(text):
 
 
 def _split(rows: DataFrame, length: int, keys: list[str]) -> DataFrame:
-    """One radix pass: adds ``n`` (null for a group of one) and the new ``grp``."""
+    """One radix pass: adds ``n`` and the new ``grp`` (both null for a group of one)."""
     cut = rows.withColumns({"chunk": F.substring("rest", 1, length), "ended": F.octet_length("rest") <= length})
-    counts = cut.groupBy(*keys, "chunk", "ended").agg(F.min("rid").alias("first"), F.count("*").alias("n")).filter("n > 1")
+    # Written before the join: adaptive execution splits a hot key only where both sides come straight from a shuffle.
+    counts = save(cut.groupBy(*keys, "chunk", "ended").agg(F.min("rid").alias("first"), F.count("*").alias("n")).filter("n > 1"), "counts")
     out = cut.join(counts.hint("shuffle_hash"), [*keys, "chunk", "ended"], "left")
     again = F.col("n").isNotNull() & ~F.col("ended")
-    return out.select("rid", "doc_id", "sha", F.coalesce("first", "rid").alias("grp"), "n", again.alias("active"), F.when(again, F.expr(f"substring(rest, {length + 1}, octet_length(rest))")).alias("rest"))
+    return out.select("rid", "doc_id", "sha", F.col("first").alias("grp"), "n", again.alias("active"), F.when(again, F.expr(f"substring(rest, {length + 1}, octet_length(rest))")).alias("rest"))
 
 
-def duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk: int = FIRST_CHUNK, growth: int = GROWTH) -> DataFrame:
-    """(rid, doc_id, keep_id, group_size, kept, text_sha256): rid is the row's place in the scan of ``docs``."""
-    text = normalized(F.col("text"))
-    rows = documents(docs, id_col, text_col).select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.unhex(F.sha2(text, 256)).alias("sha"), text.cast("binary").alias("rest"))
+def duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk: int = FIRST_CHUNK, growth: int = GROWTH, row: str | None = None) -> DataFrame:
+    """(rid, doc_id, keep_id, group_size, kept, text_sha256). ``row``: a column of stored row numbers; without one
+    rows are numbered while they are scanned, which is sound because the first round's result is written."""
+    text = normalized(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    rid = F.monotonically_increasing_id() if row is None else F.col(row)
+    rows = docs.select(rid.alias("rid"), F.col(id_col).cast("long").alias("doc_id"), F.unhex(F.sha2(text, 256)).alias("sha"), text.cast("binary").alias("rest"))
     finished, keys = [], []
     while True:
         done = save(_split(rows, chunk, keys), "radix")
@@ -54,7 +57,7 @@ def duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     every = finished[0]
     for more in finished[1:]:
         every = every.unionByName(more)
-    heads = every.filter("n > 1").groupBy("grp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid")).alias("head"))
+    heads = save(every.filter("n > 1").groupBy("grp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid")).alias("head")), "heads")
     out = every.join(heads.hint("shuffle_hash"), "grp", "left")
     single = F.col("head").isNull()
     return out.select(
@@ -73,6 +76,6 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with all its columns, without the rows that repeat another text."""
-    mark = "__rid__"
-    gone = duplicate_classes(docs, id_col, text_col).filter("not kept").select(F.col("rid").alias(mark))
-    return docs.withColumn(mark, F.monotonically_increasing_id()).join(gone, mark, "left_anti").drop(mark)
+    rows = numbered(docs)
+    gone = duplicate_classes(rows, id_col, text_col, row="__rid__").filter("not kept").select(F.col("rid").alias("__rid__"))
+    return rows.join(gone, "__rid__", "left_anti").drop("__rid__")
