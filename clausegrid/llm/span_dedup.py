@@ -12,7 +12,7 @@ unless its pieces are unusually long. Hashes are summed before they shuffle, and
 repeated hashes is one that adaptive execution splits where a passage is everywhere.
 A wrong hit needs two of n spans to share 64 bits: for a given span, n / 2^64.
 
-Defined results: null and empty texts have no sentences; a null id comes after all others;
+Defined results: null and empty texts have no sentences; a null id comes after all others, by text;
 rows of one id count as one document for what is first, each keeping its own text; other
 columns are ignored; an empty table gives an empty result.
 """
@@ -26,10 +26,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_texts, documents, powers, ragged, slices
+from .common import byte_texts, documents, powers, ragged, save, slices
 
 SENTENCES, MIN_WORDS, CUT_EVERY = 3, 24, 6
-NO_ID = (1 << 63) - 1
 _WHITE = np.zeros(256, bool)
 _WHITE[[0x20, *range(0x09, 0x0E)]] = True
 _STOP = np.zeros(256, bool)
@@ -102,7 +101,8 @@ def _span_rows(sentences: int, min_words: int, cut_every: int):
                 again = np.zeros(len(who), bool)  # in its own document
                 again[order[1:]] = (who[order[1:]] == who[order[:-1]]) & (name[order[1:]] == name[order[:-1]])
                 take = lambda c: part.column(c).to_numpy(zero_copy_only=False).astype(np.int64)[who]
-                yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(take("key")), pa.array(take("rid")), pa.array(first << 32 | n << 1 | again)], ["name", "key", "rid", "span"])
+                # A span has at most min_words sentences, so its place, 16 bits of its text's hash and its length fit one number.
+                yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(take("key")), pa.array(first << 32 | take("mark") << 16 | n << 1 | again)], ["name", "key", "span"])
 
     return run
 
@@ -117,15 +117,16 @@ def _cleaned(cut_every: int):
                 start, _, cuts, edges = sentence_cuts(raw, begins, cut_every)
                 at = np.r_[start[cuts], 0]
                 n_sent, n_gone, n_spans, gone_bytes, kept = [], [], [], [], []
-                for i, (text, held) in enumerate(zip(texts, part.column("spans"), strict=True)):
+                for i, (text, held, mark) in enumerate(zip(texts, part.column("spans"), part.column("mark").to_pylist(), strict=True)):
                     m = int(edges[i + 1] - edges[i])
                     n_sent.append(m)
                     if not held.is_valid:
                         n_gone.append(0), n_spans.append(0), gone_bytes.append(0), kept.append(text)
                         continue
                     packed = held.values.to_numpy()
+                    packed = packed[(packed >> 16 & 0xFFFF) == mark]  # spans of this text, should its id have others
                     gone = np.zeros(m + 2, bool)
-                    gone[1 + ragged(packed >> 32, (packed & 0xFFFFFFFF) >> 1)] = True
+                    gone[1 + ragged(packed >> 32, (packed & 0xFFFF) >> 1)] = True
                     flips = np.diff(gone.astype(np.int8))
                     bounds = np.r_[at[edges[i] : edges[i + 1]] - begins[i], len(text)]
                     a, b = bounds[np.flatnonzero(flips == 1)], bounds[np.flatnonzero(flips == -1)]
@@ -139,9 +140,17 @@ def _cleaned(cut_every: int):
 
 def remove_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences: int = SENTENCES, min_words: int = MIN_WORDS, cut_every: int = CUT_EVERY) -> DataFrame:
     """doc_id, n_sentences, n_removed, n_spans (runs of removed sentences), removed_bytes, clean_text."""
-    rows = documents(docs, id_col, text_col).withColumn("rid", F.monotonically_increasing_id())
-    found = rows.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("key"), "rid", "text").mapInArrow(_span_rows(sentences, min_words, cut_every), "name long, key long, rid long, span long")
-    firsts = found.groupBy("name").agg(F.min("key").alias("first"), F.max("key").alias("last")).filter("first < last").select("name", "first")
-    later = found.join(firsts.hint("shuffle_hash"), "name", "left").filter("key > first OR span & 1 = 1")
-    per = later.groupBy("rid").agg(F.collect_list("span").alias("spans"))
-    return rows.join(per, "rid", "left").select("doc_id", "text", "spans").mapInArrow(_cleaned(cut_every), "doc_id long, n_sentences long, n_removed long, n_spans long, removed_bytes long, clean_text string")
+    if min_words > 1 << 14:
+        raise ValueError("min_words must leave a span's length in 15 bits")
+    digest = F.xxhash64("text")
+    key = F.coalesce("doc_id", F.lit(1 << 62) + digest.bitwiseAND((1 << 61) - 1))  # null ids: behind the others, by text
+    rows = documents(docs, id_col, text_col).select(key.alias("key"), F.pmod(digest, F.lit(1 << 16)).cast("long").alias("mark"), "doc_id", "text")
+    found = rows.select("key", "mark", "text").mapInArrow(_span_rows(sentences, min_words, cut_every), "name long, key long, span long")
+    again = F.col("span").bitwiseAND(1) == 1
+    # Written before the join, so that adaptive execution can split a passage that is everywhere.
+    firsts = save(found.filter(~again).groupBy("name").agg(F.min("key").alias("first"), F.max("key").alias("last")).filter("first < last").select("name", "first"), "firsts")
+    # Repeats inside a document are known already; they spread by their place and not by their name.
+    spread = found.withColumn("name", F.when(again, F.xxhash64("key", "span")).otherwise(F.col("name")))
+    later = spread.join(firsts.hint("shuffle_hash"), "name", "left").filter(again | (F.col("key") > F.col("first")))
+    per = later.groupBy("key").agg(F.collect_list("span").alias("spans"))
+    return rows.join(per, "key", "left").select("doc_id", "mark", "text", "spans").mapInArrow(_cleaned(cut_every), "doc_id long, n_sentences long, n_removed long, n_spans long, removed_bytes long, clean_text string")
