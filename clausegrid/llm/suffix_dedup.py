@@ -19,8 +19,9 @@ document id, or earlier in the same document). Strings never cross documents.
 Names only decide what meets; equality is decided on bytes. No limit drops a candidate.
 
 Defined results: null text is empty; texts shorter than ``length`` lose nothing; a null id
-comes after all others; repeated rows are documents of their own, in scan order; other
-columns are ignored; an empty table gives an empty result.
+comes after all others; rows with equal id and text are one document, each row with its
+result; rows of one id with other texts follow in order of the texts' hashes; other columns
+are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,12 +34,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_texts, documents, ragged, save, slices
+from .common import byte_texts, identified, ragged, save, slices
 
 LENGTH, GRAM = 100, 24
 #: Bytes of contexts that are suffix-sorted together.
 SORT_BYTES = 1 << 20
-NO_ID = (1 << 63) - 1
 _K = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
@@ -192,9 +192,9 @@ def _anchor_rows(length: int):
         for batch in batches:
             for part in slices(batch, "text", 1 << 19):
                 who, name, start, count, twice = runs(byte_texts(part), length)
-                rid = part.column("rid").to_numpy(zero_copy_only=False)[who] if len(who) else np.zeros(0, np.int64)
+                take = lambda c: pa.array(part.column(c).to_numpy(zero_copy_only=False).astype(np.int64)[who])
                 span = start << 32 | count << 1 | twice
-                yield pa.RecordBatch.from_arrays([pa.array(np.asarray(name, np.uint64).view(np.int64)), pa.array(rid, pa.int64()), pa.array(span, pa.int64())], ["name", "rid", "span"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.asarray(name, np.uint64).view(np.int64)), take("key"), take("rid"), pa.array(span, pa.int64())], ["name", "key", "rid", "span"])
 
     return run
 
@@ -205,8 +205,7 @@ def _context_rows(length: int):
             for part in slices(batch, "text", 1 << 20):
                 found: dict[tuple[int, bytes], list[tuple[int, int, int]]] = {}
                 again: set[tuple[int, bytes]] = set()
-                for doc, rid, text, spans in zip(part.column("doc_id").to_pylist(), part.column("rid").to_pylist(), byte_texts(part), part.column("spans"), strict=True):
-                    doc = NO_ID if doc is None else doc
+                for doc, rid, text, spans in zip(part.column("key").to_pylist(), part.column("rid").to_pylist(), byte_texts(part), part.column("spans"), strict=True):
                     packed = spans.values
                     names, cuts = packed.field(0).to_numpy().tolist(), packed.field(1).to_numpy()
                     begin, count, twice = cuts >> 32, (cuts & 0xFFFFFFFF) >> 1, cuts & 1
@@ -229,24 +228,23 @@ def _range_rows(length: int):
     """Rows arrive sorted by name."""
 
     def work(names: dict[int, dict[bytes, list]]) -> pa.RecordBatch:
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        out: list[tuple[np.ndarray, ...]] = []
         contexts, firsts = [], []
         for group in names.values():
             for context, (members, twice) in group.items():
-                rows = np.concatenate(members)
-                rows = rows[np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))]
+                rows = np.unique(np.concatenate(members), axis=0)  # in order of id, text, start
                 rest = rows[1:]
-                out.append((rest[:, 1], rest[:, 2], rest[:, 2] + len(context)))
+                out.append((rest[:, 0], rest[:, 1], rest[:, 2], rest[:, 2] + len(context)))
                 if twice or len(group) > 1:
                     contexts.append(context)
                     firsts.append(tuple(rows[0].tolist()))
         if contexts:
-            for (_, rid, start), at in zip(firsts, repeated_starts(contexts, firsts, length), strict=True):
+            for (key, rid, start), at in zip(firsts, repeated_starts(contexts, firsts, length), strict=True):
                 if len(at):
                     lo, hi = _unite(at + start, at + start + length)
-                    out.append((np.full(len(lo), rid), lo, hi))
-        rid, lo, hi = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
-        return pa.RecordBatch.from_arrays([pa.array(rid, pa.int64()), pa.array(lo, pa.int64()), pa.array(hi, pa.int64())], ["rid", "lo", "hi"])
+                    out.append((np.full(len(lo), key), np.full(len(lo), rid), lo, hi))
+        columns = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 4
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["key", "rid", "lo", "hi"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, dict[bytes, list]] = {}
@@ -271,16 +269,15 @@ def _range_rows(length: int):
     return run
 
 
-def removed_ranges(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
-    """(documents with rid, ranges (rid, lo, hi) of bytes that go)."""
-    rows = docs.withColumn("rid", F.monotonically_increasing_id())
-    anchors = rows.select("rid", "text").mapInArrow(_anchor_rows(length), "name long, rid long, span long")
-    again = anchors.groupBy("name").agg(F.sum(1 + F.col("span").bitwiseAND(1)).alias("n")).filter("n > 1").select("name")
+def removed_ranges(rows: DataFrame, length: int) -> DataFrame:
+    """key, rid, lo, hi: bytes of ``rows`` (key, rid, text) that go."""
+    anchors = rows.select("key", "rid", "text").mapInArrow(_anchor_rows(length), "name long, key long, rid long, span long")
+    # Written before the join, so that adaptive execution can split a name that is everywhere.
+    again = save(anchors.groupBy("name").agg(F.sum(1 + F.col("span").bitwiseAND(1)).alias("n")).filter("n > 1").select("name"), "names")
     kept = save(anchors.join(again.hint("shuffle_hash"), "name", "left_semi"), "anchors")
-    spans = kept.groupBy("rid").agg(F.collect_list(F.struct("name", "span")).alias("spans"))
-    contexts = rows.join(spans, "rid").select("doc_id", "rid", "text", "spans").mapInArrow(_context_rows(length), "name long, context binary, twice boolean, docs array<long>, rids array<long>, starts array<long>")
-    ranges = contexts.repartition(F.col("name")).sortWithinPartitions("name").mapInArrow(_range_rows(length), "rid long, lo long, hi long")
-    return rows, ranges
+    spans = kept.groupBy("key", "rid").agg(F.collect_list(F.struct("name", "span")).alias("spans"))
+    contexts = rows.join(spans, ["key", "rid"]).select("key", "rid", "text", "spans").mapInArrow(_context_rows(length), "name long, context binary, twice boolean, docs array<long>, rids array<long>, starts array<long>")
+    return contexts.repartition(F.col("name")).sortWithinPartitions("name").mapInArrow(_range_rows(length), "key long, rid long, lo long, hi long")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
@@ -301,6 +298,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(x, k) for x, k in zip(columns, kinds, strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "spans"])
 
-    rows, ranges = removed_ranges(documents(docs, id_col, text_col), length)
-    per = ranges.groupBy("rid").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
-    return rows.join(per, "rid", "left").select("doc_id", "text", "lo", "hi").mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<struct<lo:long,hi:long>>")
+    rows = identified(docs, id_col, text_col)
+    per = removed_ranges(rows, length).groupBy("key", "rid").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
+    return rows.join(per, ["key", "rid"], "left").select("doc_id", "text", "lo", "hi").mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<struct<lo:long,hi:long>>")
