@@ -5,14 +5,18 @@ two words on either side; a document's score is the sum of these log-probabiliti
 
 1. Words: lower-cased, named by 64-bit hashes. The corpus's most frequent words (counted
    over all documents) get tokens of their own, others share tokens by hash. Token ids are
-   written once (two bytes a word) and read for training and for scoring.
+   written once (two bytes a word) and read for training and for scoring; with them stand
+   the names of the words that share a token.
 2. Network: an embedding table per window place, summed, tanh, then a two-step softmax
    (class, then word in class), so a prediction costs 2 * 32 logits instead of 1024.
    Output biases start at the corpus's log frequencies.
 3. Training: every task runs Adagrad once over all words of its documents from the same
    start; the tasks' weights are averaged by words seen, summed in Spark element by element.
    The driver only ever holds one set of weights (about 84,000 numbers, fixed).
-4. Scoring: one narrow pass with the averaged weights.
+4. Scoring: one narrow pass with the averaged weights. A word that shares its token has
+   P(token | both sides) * P(word | token), the second factor being its part of the token's
+   count in the corpus. The table of these counts has a row for every distinct word and is
+   joined in Spark, so every counted word has a probability of its own at any size.
 
 Defined results: null and empty texts have no words, log_prob 0 and a null mean; a null id
 stays null; repeated rows get equal scores; other columns are ignored; an empty table gives
@@ -37,6 +41,8 @@ SHARED = 63
 OUTSIDE = VOCABULARY - 1
 KNOWN = VOCABULARY - SHARED - 1
 BATCH, RATE, BLOCK = 8192, 0.1, 4096
+#: Logarithms of counts are summed as integers of this unit, so that equal texts get equal sums.
+UNIT = 1 << 24
 _WHITE = np.zeros(256, bool)
 _WHITE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -163,9 +169,29 @@ def _tokenize(batches: Iterator[pa.RecordBatch], known: np.ndarray, token: np.nd
     for batch in batches:
         for part in slices(batch, "text", 1 << 20):
             names, per = word_names(byte_texts(part))
-            ids = tokens(names, known, token).astype("<u2").tobytes()
-            ends = (2 * np.cumsum(per)).tolist()
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([ids[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)], pa.binary())], ["doc_id", "tokens"])
+            ids = tokens(names, known, token)
+            ends = np.cumsum(per)
+            rare = ids >= KNOWN
+            rare_ends = np.r_[0, np.cumsum(rare)][ends]
+            columns = [_cut(ids.astype("<u2").tobytes(), 2 * ends), _cut(names[rare].astype("<i8").tobytes(), 8 * rare_ends)]
+            yield pa.RecordBatch.from_arrays([part.column("rid"), part.column("doc_id"), *columns], ["rid", "doc_id", "tokens", "rare"])
+
+
+def _cut(data: bytes, ends: np.ndarray) -> pa.Array:
+    return pa.array([data[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)], pa.binary())
+
+
+def _rare_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How often every document has each of its words that share a token."""
+    for batch in batches:
+        for part in slices(batch, "rare", 1 << 22):
+            texts = byte_texts(part, "rare")
+            names, row = np.frombuffer(b"".join(texts), "<i8"), np.repeat(np.arange(len(texts)), [len(x) // 8 for x in texts])
+            order = np.lexsort((names, row))
+            names, row = names[order], row[order]
+            first = np.flatnonzero(np.r_[True, (names[1:] != names[:-1]) | (row[1:] != row[:-1])][: len(names)])
+            rid = part.column("rid").to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([pa.array(names[first]), pa.array(rid[row[first]]), pa.array(np.diff(np.r_[first, len(names)]), pa.int64())], ["name", "rid", "times"])
 
 
 def _token_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
@@ -197,15 +223,15 @@ def _train(batches: Iterator[pa.RecordBatch], start: Weights) -> Iterator[pa.Rec
         yield pa.RecordBatch.from_arrays([pa.array(range(0, len(flat), BLOCK), pa.int64()), pa.array([seen] * len(parts), pa.int64()), pa.array(parts, pa.list_(pa.float32()))], ["first", "seen", "part"])
 
 
-def _score(batches: Iterator[pa.RecordBatch], w: Weights) -> Iterator[pa.RecordBatch]:
+def _score(batches: Iterator[pa.RecordBatch], w: Weights, share: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """``share``: added for every token; minus the log of its count where words share it."""
     for part, ids, per in _token_runs(batches):
         around = windows(ids, per)
-        found = [log_probs(w, around[:, i : i + BATCH], ids[i : i + BATCH]) for i in range(0, len(ids), BATCH)]
+        found = [log_probs(w, around[:, i : i + BATCH], ids[i : i + BATCH]) + share[ids[i : i + BATCH]] for i in range(0, len(ids), BATCH)]
         sums = np.r_[0, np.cumsum(np.concatenate(found), dtype=np.float64)] if found else np.zeros(1)
         ends = np.cumsum(per)
         total = sums[ends] - sums[ends - per]
-        mean = pa.array(total / np.maximum(per, 1), mask=per == 0)
-        yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(per), pa.array(total), mean], ["doc_id", "n_words", "log_prob", "mean_log_prob"])
+        yield pa.RecordBatch.from_arrays([part.column("rid"), part.column("doc_id"), pa.array(per), pa.array(total)], ["rid", "doc_id", "n_words", "total"])
 
 
 def _unflatten(flat: np.ndarray) -> Weights:
@@ -217,8 +243,9 @@ def _unflatten(flat: np.ndarray) -> Weights:
     return out
 
 
-def tokenized(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """(doc_id, tokens (binary, two bytes each), written once; the corpus's count of every token)."""
+def tokenized(docs: DataFrame) -> tuple[DataFrame, np.ndarray, DataFrame]:
+    """(rid, doc_id, tokens (binary, two bytes each), rare (names of the words that share a token, eight bytes each),
+    written once; the corpus's count of every token; that of every word)."""
     texts = docs.select("text")
     counts = save(texts.mapInArrow(_count_words, "name long, n long").groupBy("name").agg(F.sum("n").alias("n")), "words")
     top = counts.orderBy(F.desc("n"), "name").limit(KNOWN).collect()
@@ -233,7 +260,8 @@ def tokenized(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
         every[KNOWN + s] = n
     for r in top:
         every[KNOWN + (r["name"] % (1 << 64) >> 20) % SHARED] -= r["n"]
-    return save(docs.mapInArrow(partial(_tokenize, known=known, token=token), "doc_id long, tokens binary"), "tokens"), every
+    rows = docs.withColumn("rid", F.monotonically_increasing_id()).mapInArrow(partial(_tokenize, known=known, token=token), "rid long, doc_id long, tokens binary, rare binary")
+    return save(rows, "tokens"), every, counts
 
 
 def fit(rows: DataFrame, counts: np.ndarray) -> Weights:
@@ -250,5 +278,12 @@ def fit(rows: DataFrame, counts: np.ndarray) -> Weights:
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, log_prob (sum over words), mean_log_prob."""
-    rows, counts = tokenized(documents(docs, id_col, text_col))
-    return rows.mapInArrow(partial(_score, w=fit(rows, counts)), "doc_id long, n_words long, log_prob double, mean_log_prob double")
+    rows, counts, words = tokenized(documents(docs, id_col, text_col))
+    share = np.zeros(VOCABULARY)
+    share[KNOWN:OUTSIDE] = -np.log(np.maximum(counts[KNOWN:OUTSIDE], 1))
+    scored = rows.select("rid", "doc_id", "tokens").mapInArrow(partial(_score, w=fit(rows, counts), share=share), "rid long, doc_id long, n_words long, total double")
+    logs = words.filter("n > 1").select("name", F.round(F.log("n") * UNIT).cast("long").alias("log_n"))  # the log of 1 adds nothing
+    rare = rows.select("rid", "rare").mapInArrow(_rare_words, "name long, rid long, times long")
+    more = rare.join(logs.hint("shuffle_hash"), "name").groupBy("rid").agg((F.sum(F.col("times") * F.col("log_n")) / UNIT).alias("more"))
+    out = scored.join(more, "rid", "left").withColumn("log_prob", F.col("total") + F.coalesce("more", F.lit(0.0)))
+    return out.select("doc_id", "n_words", "log_prob", F.when(F.col("n_words") > 0, F.col("log_prob") / F.col("n_words")).alias("mean_log_prob"))

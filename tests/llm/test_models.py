@@ -86,6 +86,17 @@ def test_language_model(spark):
     assert lm_score.score(frame(spark, [])).count() == 0
 
 
+def test_rare_words_have_their_own_probability(spark):
+    names = [f"q{i}" for i in range(300)]
+    shared = (lm_score.word_names([" ".join(names).encode()])[0].view(np.uint64) >> np.uint64(20)) % np.uint64(lm_score.SHARED)
+    same = [x for x, s in zip(names, shared) if s == shared[0]][:3]  # three words of one token
+    frequent = " ".join(f"w{i} " * 9 for i in range(1000))
+    got = {x["doc_id"]: x for x in lm_score.score(frame(spark, [frequent, same[0], same[1], same[1], *[same[2]] * 5])).collect()}
+    one, two, five = (got[i]["log_prob"] for i in (1, 2, 4))
+    assert got[2]["log_prob"] == got[3]["log_prob"]
+    assert two - one == pytest.approx(np.log(2), abs=1e-6) and five - one == pytest.approx(np.log(5), abs=1e-6)
+
+
 def test_language_model_gradients():
     r = np.random.default_rng(0)
     w = {k: r.normal(0, 0.3, s) for k, s in lm_score.SHAPES.items()}
