@@ -1,14 +1,17 @@
 """Substring dedup by sliding sentence spans.
 
-Sentences end at . ! ? and at line ends; long ones are cut behind words picked by hash, one
-in ``cut_every``, so that the pieces line up wherever a passage begins. From every sentence runs the shortest span of at least
+Sentences end at . ! ? and at line ends; those of ``2 * cut_every - 1`` words and more are cut
+behind the word of smallest hash in each window of that many of their words, on average one word
+in ``cut_every``, so that the pieces line up wherever a passage begins and none is longer than a
+window. Shorter sentences stay whole. From every sentence runs the shortest span of at least
 ``sentences`` sentences and ``min_words`` words, and to every sentence the shortest one
 that ends there, so repeats are covered up to both ends. Spans are hashed (64 bits over
 word hashes; white space does not count) and joined over all documents; sentences under a
 span that a smaller document id, or the same document before, also has are removed.
 
-A passage of over 50 words holds whole spans (of min_words words and the rest of a piece)
-unless its pieces are unusually long. Hashes are summed before they shuffle, and the join of
+Every passage of over 50 words holds a whole span: with w words in a window its first cut comes
+within w words, and the next cut behind min_words more is settled w - 1 words later at the latest,
+2 w + min_words - 1 = 45 words in all. What stays of it are fewer than w words at either end. Hashes are summed before they shuffle, and the join of
 repeated hashes is one that adaptive execution splits where a passage is everywhere.
 A wrong hit needs two of n spans to share 64 bits: for a given span, n / 2^64.
 
@@ -48,8 +51,14 @@ def sentence_cuts(raw: np.ndarray, begins: np.ndarray, cut_every: int = CUT_EVER
     lines = np.cumsum(raw == 0x0A)
     new = np.ones(len(start), bool)
     new[1:] = (text[1:] != text[:-1]) | (lines[start[1:]] != lines[start[:-1]]) | _STOP[raw[end[:-1] - 1]]
-    # In long sentences: behind words whose hash says so, which is the same wherever they stand.
-    new[1:] |= (word_hashes(raw, start[:-1], end[:-1]) >> np.uint64(40)) % np.uint64(cut_every) == 0
+    # In long sentences: behind the (last) smallest hash of every window, which is the same wherever the window stands.
+    window = 2 * cut_every - 1
+    if len(start) >= window:
+        sentence = np.cumsum(new)
+        inside = np.flatnonzero(sentence[: len(start) - window + 1] == sentence[window - 1 :])
+        runs = np.lib.stride_tricks.sliding_window_view(word_hashes(raw, start, end), window)[inside, ::-1]
+        behind = inside + window - runs.argmin(axis=1)
+        new[behind[behind < len(start)]] = True
     cuts = np.flatnonzero(new)
     return start, end, cuts, np.searchsorted(text[cuts], np.arange(1, len(begins) + 2))
 

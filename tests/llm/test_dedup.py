@@ -182,6 +182,18 @@ def test_spans_remove_a_passage_but_not_clean_texts(spark):
         assert got[i]["n_removed"] == 0
 
 
+def test_every_passage_of_51_words_shares_a_span():
+    r = random.Random(21)
+    few = " ".join(r.choice(["to", "be"]) for _ in range(51))
+    passages = [words(r, 51) for _ in range(300)] + [few, "yes " * 51]
+    texts = [f"{words(r, r.randint(1, 30))} {p} {words(r, r.randint(1, 30))}".encode() for p in passages for _ in range(2)]
+    who, _, _, name = span_dedup.spans(texts, span_dedup.SENTENCES, span_dedup.MIN_WORDS, span_dedup.CUT_EVERY)
+    held = [set() for _ in texts]
+    for w, h in zip(who.tolist(), name.tolist()):
+        held[w].add(h)
+    assert [i for i in range(len(passages)) if not held[2 * i] & held[2 * i + 1]] == []
+
+
 def test_spans_cover_as_brute_force_says():
     r = random.Random(12)
     passage = words(r, 90)
