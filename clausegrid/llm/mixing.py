@@ -15,7 +15,8 @@ stream never gather a source in one task: documents are dealt to hash ranges of
 
 Defined results: null text has size 0; documents of size 0 are never taken; an empty table
 gives an empty result; a null source is a source of its own; other columns are ignored.
-Repeated rows are documents of their own that share a place in the stream order.
+Rows of one id are documents of their own: they follow one another in the stream by text hash, and
+null ids, which share one place in it, are dealt to ranges by that hash.
 """
 
 from __future__ import annotations
@@ -58,31 +59,61 @@ def _position(before: Column, target: Column, a: Column) -> Column:
     return 2 * y / (a + F.sqrt(a * a + 4 * (1 - a) * y))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_repeats: int = 3, opening: tuple[float, ...] = OPENING) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies, taken, positions (array of double, one for each copy), range-sorted by first position."""
-    sized = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"))
-    sized = sized.withColumn("key", F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 8), 16, 10).cast("long"))
+def _mark(docs: DataFrame, text_col: str, source_col: str) -> Column:
+    """With the id it names rows that the mix cannot tell apart."""
+    return F.xxhash64(docs[source_col].isNull(), docs[source_col], F.coalesce(docs[text_col], F.lit("")))
+
+
+def _stream(docs: DataFrame, id_col: str, text_col: str, source_col: str, max_repeats: int, opening: tuple[float, ...]) -> DataFrame:
+    """doc_id, source, size, mark, source_size, target, opening, before (words that the source gives before the row)."""
+    sized = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"), _mark(docs, text_col, source_col).alias("mark"))
+    place = lambda x: F.conv(F.substring(F.md5(x), 1, 8), 16, 10).cast("long")
+    sized = sized.withColumn("key", place(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     sized = save(sized, "sizes")  # texts are read once
     per = source_targets(sized, max_repeats, opening)
     same = F.col("d.source").eqNullSafe(F.col("p.source"))
-    dealt = sized.alias("d").join(per.alias("p"), same).select("d.*", "p.source_size", "p.target", "p.opening", "p.ranges").withColumn("range", F.floor(F.col("key") * F.col("ranges") / F.lit(2**32)).cast("long"))
+    dealt = sized.alias("d").join(per.alias("p"), same).select("d.*", "p.source_size", "p.target", "p.opening", "p.ranges")
+    # Null ids share a key; their range holds three parts, before, of and behind them, and theirs is dealt again by mark.
+    part = F.when(F.col("doc_id").isNull(), 1).when(F.col("key") <= place(F.lit("")), 0).otherwise(2)
+    sub = F.when(F.col("doc_id").isNull(), F.floor(F.shiftrightunsigned("mark", 32) * F.col("ranges") / F.lit(2**32))).otherwise(0)
+    coarse = F.floor(F.col("key") * F.col("ranges") / F.lit(2**32))
+    dealt = dealt.withColumn("range", ((coarse * 3 + part) * F.col("ranges") + sub).cast("long"))
     sums = dealt.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
     offset = F.sum("range_size").over(Window.partitionBy("source").orderBy("range")) - F.col("range_size")
     sums = sums.select("source", "range", offset.alias("offset"))
-    inside = Window.partitionBy("source", "range").orderBy("key", F.col("doc_id").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = Window.partitionBy("source", "range").orderBy("key", F.col("doc_id").asc_nulls_last(), "mark").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     run = dealt.withColumn("upto", F.sum("size").over(inside))
-    run = run.alias("d").join(sums.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")) & (F.col("d.range") == F.col("s.range"))).select("d.*", (F.col("s.offset") + F.col("d.upto") - F.col("d.size")).alias("before"))
+    run = run.alias("d").join(sums.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")) & (F.col("d.range") == F.col("s.range")))
+    return run.select("d.doc_id", "d.source", "d.size", "d.mark", "d.source_size", "d.target", "d.opening", (F.col("s.offset") + F.col("d.upto") - F.col("d.size")).alias("before"))
+
+
+def _taken(run: DataFrame, max_repeats: int) -> DataFrame:
+    """Adds copies, taken and positions."""
     # A copy counts if the middle of it lies before the target: the source ends within half a document of it.
     fits = F.floor(F.try_divide(F.col("target") - F.col("before") - F.col("size") / 2, F.col("source_size"))) + 1
     copies = F.when(F.col("size") == 0, F.lit(0)).otherwise(F.least(F.greatest(fits, F.lit(0)), F.lit(max_repeats)))
     out = run.withColumn("copies", copies.cast("long")).withColumn("taken", F.col("copies") * F.col("size"))
     at = lambda i: _position(F.least(F.col("before") + i * F.col("source_size"), F.col("target")), F.col("target"), F.col("opening"))
-    out = out.withColumn("positions", F.when(F.col("copies") > 0, F.transform(F.sequence(F.lit(0), F.col("copies").cast("int") - 1), at)).otherwise(F.array().cast("array<double>")))
+    return out.withColumn("positions", F.when(F.col("copies") > 0, F.transform(F.sequence(F.lit(0), F.col("copies").cast("int") - 1), at)).otherwise(F.array().cast("array<double>")))
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_repeats: int = 3, opening: tuple[float, ...] = OPENING) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies, taken, positions (array of double, one for each copy), range-sorted by first position."""
+    out = _taken(_stream(docs, id_col, text_col, source_col, max_repeats, opening), max_repeats)
     return out.select("doc_id", "source", "size", "source_size", "target", "copies", "taken", "positions").orderBy(F.get("positions", F.lit(0)).asc_nulls_last(), "doc_id")
 
 
-def training_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """``docs`` with all its columns, each row as often as the mix takes it, range-sorted by training position."""
-    taken = mix(docs, id_col, text_col, source_col).filter("copies > 0").groupBy("doc_id").agg(F.first("positions").alias("__at__"))
-    out = docs.join(taken, docs[id_col].eqNullSafe(taken["doc_id"])).drop(taken["doc_id"])
-    return out.withColumn("__at__", F.explode("__at__")).orderBy("__at__", id_col).drop("__at__")
+def training_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_repeats: int = 3, opening: tuple[float, ...] = OPENING) -> DataFrame:
+    """``docs`` with all its columns, each row as often as the mix takes it, range-sorted by training position.
+
+    Rows of equal id, source and text follow one another in the stream: the first one's place and a row's
+    number among them give its own."""
+    key = lambda c: F.struct(c.isNull().alias("none"), F.coalesce(c, F.lit(0)).alias("id"))
+    run = _stream(docs, id_col, text_col, source_col, max_repeats, opening)
+    facts = ["size", "source_size", "target", "opening"]
+    first = run.groupBy(key(F.col("doc_id")).alias("__key__"), F.col("mark").alias("__mark__")).agg(F.min(F.struct("before", *facts)).alias("__mix__"))
+    rows = docs.withColumns({"__key__": key(docs[id_col].cast("long")), "__mark__": _mark(docs, text_col, source_col)})
+    number = F.row_number().over(Window.partitionBy("__key__", "__mark__").orderBy("__mark__")) - 1
+    out = rows.join(first, ["__key__", "__mark__"]).withColumn("__n__", number)
+    mine = _taken(out.select(F.struct(*[docs[c] for c in docs.columns]).alias("__doc__"), (F.col("__mix__.before") + F.col("__n__") * F.col("__mix__.size")).alias("before"), *[F.col(f"__mix__.{c}").alias(c) for c in facts]), max_repeats)
+    return mine.select("__doc__", F.explode("positions").alias("__at__")).orderBy("__at__", f"__doc__.{id_col}").select("__doc__.*")

@@ -182,6 +182,26 @@ def test_mixing(spark):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_training_order_takes_each_row_by_its_own_mix(spark, monkeypatch):
+    from collections import Counter
+
+    monkeypatch.setattr(mixing, "RANGE_ROWS", 50)
+    r = random.Random(9)
+    ids = [None] * 300 + [7] * 40 + [None, 8] * 10 + list(range(100, 300))
+    same = {8: "eight eight", None: "none"}
+    rows = [(i, same[i] if 340 <= k < 360 else " ".join([f"t{k}"] * r.randint(0, 40)), "abc"[k % 3], k) for k, i in enumerate(ids)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n long")
+    mixed = mixing.mix(docs).collect()
+    got = mixing.training_order(docs).collect()
+    want = Counter()
+    for x in mixed:
+        want[x["doc_id"], x["source"], x["size"]] += x["copies"]
+    assert Counter((x["doc_id"], x["source"], len(x["text"].split())) for x in got) == +want
+    assert all(n <= 3 for n in Counter(x["n"] for x in got).values())
+    again = mixing.mix(docs.repartition(5)).collect()
+    assert sorted(map(str, again)) == sorted(map(str, mixed))
+
+
 def test_pipeline(spark):
     """The stages one after another against the operators' own decisions."""
     pipeline = pytest.importorskip("corpus_pipeline")
