@@ -42,14 +42,15 @@ def _split(rows: DataFrame, length: int, keys: list[str]) -> DataFrame:
 
 def duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk: int = FIRST_CHUNK, growth: int = GROWTH, row: str | None = None) -> DataFrame:
     """(rid, doc_id, keep_id, group_size, kept, text_sha256). ``row``: a column of stored row numbers; without one
-    rows are numbered while they are scanned, which is sound because the first round's result is written."""
+    rows are numbered while they are scanned. The first round's two scans may number them differently, as when
+    executors come or go, so its labels can clash with later rounds' ones and a group is named by (round, label)."""
     text = normalized(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     rid = F.monotonically_increasing_id() if row is None else F.col(row)
     rows = docs.select(rid.alias("rid"), F.col(id_col).cast("long").alias("doc_id"), F.unhex(F.sha2(text, 256)).alias("sha"), text.cast("binary").alias("rest"))
     finished, keys = [], []
     while True:
         done = save(_split(rows, chunk, keys), "radix")
-        finished.append(done.filter("not active").drop("rest", "active"))
+        finished.append(done.filter("not active").drop("rest", "active").withColumn("round", F.lit(len(finished))))
         rows = done.filter("active").select("rid", "doc_id", "sha", "grp", "rest")
         if rows.isEmpty():
             break
@@ -57,8 +58,8 @@ def duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     every = finished[0]
     for more in finished[1:]:
         every = every.unionByName(more)
-    heads = save(every.filter("n > 1").groupBy("grp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid")).alias("head")), "heads")
-    out = every.join(heads.hint("shuffle_hash"), "grp", "left")
+    heads = save(every.filter("n > 1").groupBy("round", "grp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid")).alias("head")), "heads")
+    out = every.join(heads.hint("shuffle_hash"), ["round", "grp"], "left")
     single = F.col("head").isNull()
     return out.select(
         "rid", "doc_id",
