@@ -5,11 +5,12 @@ pre-token's lowest-rank pair, merges the leftmost occurrences of it in every pre
 at once, and looks up ranks only where neighbours changed. The symbols that survive are
 the tokens. Pre-tokens seen before come from a bounded cache in the Python worker.
 
-Pre-tokens of plain texts (ASCII and accented Latin-1 letters) are cut on byte arrays too:
-classes of bytes, their changes, and a 64-bit hash of every run from prefix sums. A text
-with anything else is cut at spaces and line ends, where no pre-token goes on; pieces with
-special strings, control separators or letters beyond Latin Extended-B then go through the
-``tokenizers`` library itself, whose tables decide.
+Pre-tokens of plain texts (ASCII and accented Latin-1 letters) are cut on byte arrays too: classes of
+bytes and their changes. The cache is keyed by the pre-token's bytes. A text with anything else is cut
+at spaces and line ends, where no pre-token goes on; of its pieces those with control separators or
+characters beyond Latin Extended-B are folded and cut by the vocabulary's own rules (the ``tokenizers``
+library's normaliser and pre-tokeniser, whose character tables decide) and merged here like all others.
+Only pieces with a special string are left to the library whole.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-from .common import powers, ragged
+from .common import distinct_runs, ragged
 
 NO_RANK = np.int64(1 << 40)
 #: Pieces that a worker remembers; beyond it the cache starts anew.
@@ -40,6 +41,7 @@ _BAD = np.zeros(256, bool)
 _BAD[[0x00, *range(0x1C, 0x20), 0xC2, *range(0xC4, 0x100)]] = True
 _ODD = re.compile("[\x00\x1c-\x1f\x85]|[^\x00-\u024f]|<\\|")
 #: The vocabulary's own pre-token pattern, said in ``re`` for characters that _ODD lets through (\w holds some number signs there).
+_SPECIAL = "<|"
 _SIMPLE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[^\\W\\d_\u00b2\u00b3\u00b9\u00bc-\u00be]+|[\\d\u00b2\u00b3\u00b9\u00bc-\u00be]|(?:[^\\w\\s]|_)+")
 
 
@@ -62,6 +64,7 @@ class Encoder:
         vocab = spec["model"]["vocab"]
         suffix = spec["model"]["end_of_word_suffix"] or ""
         letters = _byte_letters()
+        self.byte_of = {x: b for b, x in enumerate(letters)}
         self.inner = np.array([vocab[x] for x in letters], np.int64)
         self.last = np.array([vocab[x + suffix] for x in letters], np.int64)
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]
@@ -73,7 +76,7 @@ class Encoder:
         self.reset()
 
     def reset(self) -> None:
-        self.index: dict[int, int] = {}
+        self.index: dict[bytes, int] = {}
         self.pool = np.zeros(1 << 16, np.uint16 if self.width < 65536 else np.uint32)
         self.starts, self.counts, self.used, self.n = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int32), 0, 0
 
@@ -131,8 +134,10 @@ class Encoder:
         order = np.argsort(who, kind="stable")
         return ids[order], np.bincount(who, minlength=n)
 
-    def _learn(self, keys: list[int], pieces: list[bytes]) -> None:
+    def _learn(self, pieces: list[bytes]) -> None:
         """Encode pre-tokens that the cache does not hold and add them to it."""
+        if not pieces:
+            return
         ids, counts = self.merge(pieces)
         m = len(pieces)
         while self.used + len(ids) > len(self.pool):
@@ -142,7 +147,7 @@ class Encoder:
         self.pool[self.used : self.used + len(ids)] = ids
         self.starts[self.n : self.n + m] = self.used + np.cumsum(counts) - counts
         self.counts[self.n : self.n + m] = counts
-        self.index.update(zip(keys, range(self.n, self.n + m), strict=True))
+        self.index.update(zip(pieces, range(self.n, self.n + m), strict=True))
         self.used, self.n = self.used + len(ids), self.n + m
 
     def _places(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -167,39 +172,29 @@ class Encoder:
             begin, end = begin[begin < end], end[begin < end]
         if not len(begin):
             return np.zeros(0, np.int64), begin
-        forward, inverse = powers(len(low) + 1)
-        sums = np.zeros(len(low) + 1, np.uint64)
-        np.cumsum((low.astype(np.uint64) + np.uint64(1)) * forward[: len(low)], out=sums[1:])
-        key = (sums[end] - sums[begin]) * inverse[begin]
-        key ^= key >> np.uint64(29)
-        key *= np.uint64(0xBF58476D1CE4E5B9)
-        key ^= (end - begin).astype(np.uint64)
-        coded = pa.array(key).dictionary_encode()
-        keys, codes = coded.dictionary.to_numpy().tolist(), coded.indices.to_numpy()
-        places = list(map(self.index.get, keys))
-        if None in places:
-            example = np.zeros(len(keys), np.int64)
-            example[codes] = np.arange(len(codes))
-            missing = [i for i, k in enumerate(places) if k is None]
-            whole = low.tobytes()
-            spans = zip(begin[example[missing]].tolist(), end[example[missing]].tolist(), strict=True)
-            self._learn([keys[i] for i in missing], [whole[x:y] for x, y in spans])
-            for i in missing:
-                places[i] = self.index[keys[i]]
-        return np.fromiter(places, np.int64, len(places))[codes], begin
+        pieces, codes = distinct_runs(low[kind != _WHITE], end - begin)
+        self._learn([x for x in pieces if x not in self.index])
+        return np.fromiter(map(self.index.__getitem__, pieces), np.int64, len(pieces))[codes], begin
+
+    def _cut(self, piece: str) -> list[bytes]:
+        """Pre-tokens of a piece by the vocabulary's own rules."""
+        folded = self.library.normalizer.normalize_str(piece)
+        return [bytes(map(self.byte_of.__getitem__, x)) for x, _ in self.library.pre_tokenizer.pre_tokenize_str(folded)]
 
     def _odd_ids(self, text: str) -> list[int]:
-        """A text with odd pieces: they go through the library, the others through the merge."""
-        parts: list[tuple[bool, str]] = []
+        """A text with odd pieces: those with special strings go through the library, all others through the merge."""
+        parts: list[bytes | str] = []
         for x in re.split("[ \n]+", text):
-            if x:
-                parts += [(True, x)] if _ODD.search(x) else [(False, y) for y in _SIMPLE.findall(x.lower())]
-        distinct = list(dict.fromkeys(y for odd, y in parts if not odd))
-        ids, counts = self.merge([x.encode() for x in distinct]) if distinct else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+            if _SPECIAL in x:
+                parts.append(x)
+            elif x:
+                parts += self._cut(x) if _ODD.search(x) else [y.encode() for y in _SIMPLE.findall(x.lower())]
+        distinct = list(dict.fromkeys(x for x in parts if isinstance(x, bytes)))
+        ids, counts = self.merge(distinct) if distinct else (np.zeros(0, np.int64), np.zeros(0, np.int64))
         ends = np.cumsum(counts)
         known = {x: ids[e - c : e].tolist() for x, e, c in zip(distinct, ends.tolist(), counts.tolist(), strict=True)}
-        strange = {x: self.library.encode(x, add_special_tokens=False).ids for x in {y for odd, y in parts if odd}}
-        return [i for odd, x in parts for i in (strange if odd else known)[x]]
+        whole = {x: self.library.encode(x, add_special_tokens=False).ids for x in {x for x in parts if isinstance(x, str)}}
+        return [i for x in parts for i in (known[x] if isinstance(x, bytes) else whole[x])]
 
     def encode(self, texts: list[bytes], only_count: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts end to end, tokens of each text); ids are left out with ``only_count``."""
@@ -263,5 +258,3 @@ def default_path() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("word_bpe_49k.json")
-
-

@@ -6,11 +6,12 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
+from weakref import WeakKeyDictionary
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: ASCII white space as the operators' contracts define it: space and \x09-\x0D.
@@ -20,6 +21,9 @@ NOT_WHITE = r"[^\x20\x09-\x0D]+"
 
 #: Stands for a null id, behind all others.
 NO_ID = (1 << 63) - 1
+#: Spark's setting that removes a finished query's shuffle files.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,19 +37,36 @@ def _local_folder() -> str:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a local one only where none is set (tests on one machine)."""
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None) or _local_folder()
+    """The folder in ``spark.checkpoint.dir``. Without one, a session whose tasks all run in the driver's
+    own process (master ``local``) takes a temporary folder; on a cluster that is an error."""
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return _local_folder()
 
 
 def save(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: lineage ends there,
-    and any executor can be lost afterwards."""
+    """Write ``df`` as Parquet in the shared folder and read it back: lineage ends there, any executor can
+    be lost afterwards, and the shuffle files that led to it are removed."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    # Spark deletes a finished phase's shuffle files when the driver collects garbage; ask for that now.
-    spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+def release(*saved: DataFrame) -> None:
+    """Empty the tables that ``save`` gave back; nothing may read them any more."""
+    for df in saved:
+        df.sparkSession.range(0).coalesce(1).write.mode("overwrite").parquet(_PATHS.pop(df))
 
 
 def documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -53,10 +74,26 @@ def documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
-def numbered(docs: DataFrame, name: str = "__rid__") -> DataFrame:
-    """``docs`` with a row number, written once: numbers given while scanning would change with the
-    way a later scan is split, as when executors come or go."""
-    return save(docs.withColumn(name, F.monotonically_increasing_id()), "numbered")
+def digest(text: Column) -> Column:
+    """32 bytes that name a text."""
+    return F.unhex(F.sha2(text, 256))
+
+
+def without(docs: DataFrame, decided: DataFrame, doc_id: Column, name: Column) -> DataFrame:
+    """``docs`` with all its columns and without the rows that ``decided`` (doc_id, digest, kept, n: one row for each
+    pair of id and digest) drops; of ``n`` rows that it keeps as one, one stays.
+
+    ``decided`` is a stored table. It is broadcast only if it has at most 300,000 rows (some 30 MB); beyond that both sides shuffle."""
+    decided = decided.filter("NOT kept OR n > 1").select(F.col("doc_id").alias("__id__"), F.col("digest").alias("__digest__"), F.col("kept").alias("__kept__"))
+    right = F.broadcast(decided) if decided.count() <= 300_000 else decided
+    same = doc_id.eqNullSafe(right["__id__"]) & (name == right["__digest__"])
+    out = docs.join(right, same, "left_anti")
+    once = decided.filter("__kept__")
+    if once.isEmpty():
+        return out
+    again = docs.withColumns({"__id__": doc_id, "__digest__": name})
+    match = again["__id__"].eqNullSafe(once["__id__"]) & (again["__digest__"] == once["__digest__"])
+    return out.unionByName(again.join(once, match, "left_semi").dropDuplicates(["__id__", "__digest__"]).select(docs.columns))
 
 
 def identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -91,15 +128,11 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1]) + np.repeat(starts - (ends - lengths), lengths)
 
 
-@lru_cache(maxsize=1)
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    base = 0x9E3779B97F4A7C15
-    forward, back = np.full(n, base, np.uint64), np.full(n, pow(base, -1, 1 << 64), np.uint64)
-    forward[0] = back[0] = 1
-    return np.multiply.accumulate(forward), np.multiply.accumulate(back)
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """At least ``n`` powers of an odd base and of its inverse modulo 2^64: with them the polynomial
-    hash of any run of values is a difference of two prefix sums."""
-    return _power_tables(max(1 << 21, 1 << (n - 1).bit_length()))
+def distinct_runs(raw: np.ndarray, lengths: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    """(the different byte strings, which of them each is) of strings of ``lengths`` that lie end to end in
+    ``raw`` (uint8); told apart by their bytes."""
+    offsets = np.zeros(len(lengths) + 1, np.int64)
+    np.cumsum(lengths, out=offsets[1:])
+    every = pa.Array.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(raw))])
+    coded = every.dictionary_encode()
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy()

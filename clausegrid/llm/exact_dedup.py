@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, numbered, save
+from .common import WHITE, digest, release, save, without
 
 FIRST_CHUNK, GROWTH = 64, 4
 
@@ -40,16 +40,17 @@ def _split(rows: DataFrame, length: int, keys: list[str]) -> DataFrame:
     return out.select("rid", "doc_id", "sha", F.col("first").alias("grp"), "n", again.alias("active"), F.when(again, F.expr(f"substring(rest, {length + 1}, octet_length(rest))")).alias("rest"))
 
 
-def duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk: int = FIRST_CHUNK, growth: int = GROWTH, row: str | None = None) -> DataFrame:
-    """(rid, doc_id, keep_id, group_size, kept, text_sha256). ``row``: a column of stored row numbers; without one
-    rows are numbered while they are scanned. The first round's two scans may number them differently, as when
+def duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk: int = FIRST_CHUNK, growth: int = GROWTH) -> tuple[DataFrame, list[DataFrame]]:
+    """(doc_id, keep_id, group_size, kept, sha) and the stored tables that it reads.
+
+    Rows are numbered while they are scanned. The first round's two scans may number them differently, as when
     executors come or go, so its labels can clash with later rounds' ones and a group is named by (round, label)."""
-    text = normalized(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    rid = F.monotonically_increasing_id() if row is None else F.col(row)
-    rows = docs.select(rid.alias("rid"), F.col(id_col).cast("long").alias("doc_id"), F.unhex(F.sha2(text, 256)).alias("sha"), text.cast("binary").alias("rest"))
-    finished, keys = [], []
+    text = normalized(F.col(text_col).cast("string"))
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("doc_id"), digest(text).alias("sha"), text.cast("binary").alias("rest"))
+    finished, keys, stored = [], [], []
     while True:
         done = save(_split(rows, chunk, keys), "radix")
+        stored.append(done)
         finished.append(done.filter("not active").drop("rest", "active").withColumn("round", F.lit(len(finished))))
         rows = done.filter("active").select("rid", "doc_id", "sha", "grp", "rest")
         if rows.isEmpty():
@@ -61,22 +62,27 @@ def duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     heads = save(every.filter("n > 1").groupBy("round", "grp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid")).alias("head")), "heads")
     out = every.join(heads.hint("shuffle_hash"), ["round", "grp"], "left")
     single = F.col("head").isNull()
-    return out.select(
-        "rid", "doc_id",
+    out = out.select(
+        "doc_id",
         F.when(single, F.col("doc_id")).otherwise(F.col("head.doc_id")).alias("keep_id"),
         F.coalesce("n", F.lit(1)).cast("long").alias("group_size"),
         (single | (F.col("head.rid") == F.col("rid"))).alias("kept"),
-        F.lower(F.hex("sha")).alias("text_sha256"),
+        "sha",
     )
+    return out, [*stored, heads]
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
-    return duplicate_classes(docs, id_col, text_col).drop("rid")
+    classes, _ = duplicate_classes(docs, id_col, text_col)
+    return classes.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with all its columns, without the rows that repeat another text."""
-    rows = numbered(docs)
-    gone = duplicate_classes(rows, id_col, text_col, row="__rid__").filter("not kept").select(F.col("rid").alias("__rid__"))
-    return rows.join(gone, "__rid__", "left_anti").drop("__rid__")
+    """``docs`` with all its columns, without the rows that repeat another text.
+
+    A row is known again by its id and the digest of its normalised text; of rows that agree in both, one stays."""
+    classes, stored = duplicate_classes(docs, id_col, text_col)
+    decided = save(classes.groupBy("doc_id", F.col("sha").alias("digest")).agg(F.max("kept").alias("kept"), F.count("*").alias("n")).filter("NOT kept OR n > 1"), "classes")
+    release(*stored)
+    return without(docs, decided, docs[id_col].cast("long"), digest(normalized(docs[text_col].cast("string"))))

@@ -10,17 +10,19 @@ two words on either side; a document's score is the sum of these log-probabiliti
 2. Network: an embedding table per window place, summed, tanh, then a two-step softmax
    (class, then word in class), so a prediction costs 2 * 32 logits instead of 1024.
    Output biases start at the corpus's log frequencies.
-3. Training: every task runs Adagrad once over all words of its documents from the same
-   start; the tasks' weights are averaged by words seen, summed in Spark element by element.
-   The driver only ever holds one set of weights (about 84,000 numbers, fixed).
+3. Training: documents are dealt by hash to shards of about ``SHARD_WORDS`` words, as many as the
+   corpus fills. Adagrad runs once over each shard's words in order of the texts' hashes, from the
+   same start, so weights do not depend on how the table is split. The shards' weights are averaged
+   by words seen: summed in every task, then block by block over all tasks. The driver only ever
+   holds one set of weights (about 84,000 numbers, fixed).
 4. Scoring: one narrow pass with the averaged weights. A word that shares its token has
    P(token | both sides) * P(word | token), the second factor being its part of the token's
    count in the corpus. The table of these counts has a row for every distinct word and is
    joined in Spark, so every counted word has a probability of its own at any size.
 
 Defined results: null and empty texts have no words, log_prob 0 and a null mean; a null id
-stays null; repeated rows get equal scores; other columns are ignored; an empty table gives
-an empty result.
+stays null; repeated rows get equal scores (but for rounding), and those of one id teach once; other columns are
+ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,10 +32,11 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_texts, documents, powers, save, slices
+from .common import byte_texts, distinct_runs, documents, save, slices
 
 VOCABULARY, SIDE, DIM, WINDOW = 1024, 32, 16, (-2, -1, 1, 2)
 #: Tokens that rare words share; the last token stands for places outside the text.
@@ -41,13 +44,13 @@ SHARED = 63
 OUTSIDE = VOCABULARY - 1
 KNOWN = VOCABULARY - SHARED - 1
 BATCH, RATE, BLOCK = 8192, 0.1, 4096
+SHARD_WORDS = 1 << 22
 #: Logarithms of counts are summed as integers of this unit, so that equal texts get equal sums.
 UNIT = 1 << 24
 _WHITE = np.zeros(256, bool)
 _WHITE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
-_MIX = np.uint64(0xBF58476D1CE4E5B9)
 SHAPES = {"embed": (len(WINDOW), VOCABULARY, DIM), "class": (DIM, SIDE), "class_bias": (SIDE,), "word": (SIDE, DIM, SIDE), "word_bias": (SIDE, SIDE)}
 
 Weights = dict[str, np.ndarray]
@@ -59,12 +62,8 @@ def word_names(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     white = _WHITE[raw]
     edge = np.flatnonzero(white[1:] != white[:-1]) + 1
     start, end = edge[::2], edge[1::2]
-    forward, back = powers(len(raw) + 1)
-    sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * forward[: len(raw)], out=sums[1:])
-    name = (sums[end] - sums[start]) * back[start]
-    name = (name ^ name >> np.uint64(29)) * _MIX
-    name ^= (name >> np.uint64(32)) + (end - start).astype(np.uint64)
+    words, which = distinct_runs(raw[~white], end - start)
+    name = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))[which]
     begins = np.cumsum([1, *(len(x) + 1 for x in texts)])
     return name.view(np.int64), np.diff(np.searchsorted(start, begins))
 
@@ -174,7 +173,10 @@ def _tokenize(batches: Iterator[pa.RecordBatch], known: np.ndarray, token: np.nd
             rare = ids >= KNOWN
             rare_ends = np.r_[0, np.cumsum(rare)][ends]
             columns = [_cut(ids.astype("<u2").tobytes(), 2 * ends), _cut(names[rare].astype("<i8").tobytes(), 8 * rare_ends)]
-            yield pa.RecordBatch.from_arrays([part.column("rid"), part.column("doc_id"), *columns], ["rid", "doc_id", "tokens", "rare"])
+            keys = list(zip(part.column("doc_id").to_pylist(), part.column("hash").to_pylist(), strict=True))
+            seen: set[tuple[int | None, int]] = set()
+            teaches = pa.array([not (k in seen or seen.add(k)) for k in keys], pa.bool_())
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("rid", "doc_id", "hash")), *columns, teaches], ["rid", "doc_id", "hash", "tokens", "rare", "teaches"])
 
 
 def _cut(data: bytes, ends: np.ndarray) -> pa.Array:
@@ -208,19 +210,64 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(n, pa.int64())], ["name", "n"])
 
 
+class _Shard:
+    """Training on one shard, in steps of BATCH words whatever pieces they come in."""
+
+    def __init__(self, start: Weights):
+        self.w = {k: v.copy() for k, v in start.items()}
+        self.squares = {k: np.full(s, 1e-4, np.float32) for k, s in SHAPES.items()}
+        self.ids, self.around, self.seen = np.zeros(0, np.int64), np.zeros((len(WINDOW), 0), np.uint16), 0
+
+    def learn(self, ids: np.ndarray, per: np.ndarray, last: bool = False) -> None:
+        ids, around = np.r_[self.ids, ids], np.concatenate([self.around, windows(ids, per)], axis=1)
+        end = len(ids) if last else len(ids) // BATCH * BATCH
+        for i in range(0, end, BATCH):
+            _step(self.w, self.squares, around[:, i : min(i + BATCH, end)], ids[i : min(i + BATCH, end)])
+        self.seen += end
+        self.ids, self.around = ids[end:], around[:, end:]
+
+    def close(self) -> tuple[int, np.ndarray]:
+        """(words seen, weights times words seen)."""
+        self.learn(np.zeros(0, np.int64), np.zeros(0, np.int64), last=True)
+        return self.seen, np.concatenate([self.w[k].ravel() for k in SHAPES]).astype(np.float64) * self.seen
+
+
 def _train(batches: Iterator[pa.RecordBatch], start: Weights) -> Iterator[pa.RecordBatch]:
-    w = {k: v.copy() for k, v in start.items()}
-    squares = {k: np.full(s, 1e-4, np.float32) for k, s in SHAPES.items()}
-    seen = 0
-    for _, ids, per in _token_runs(batches):
-        around = windows(ids, per)
-        for i in range(0, len(ids), BATCH):
-            _step(w, squares, around[:, i : i + BATCH], ids[i : i + BATCH])
-        seen += len(ids)
+    """Rows arrive sorted by shard, hash, id. The task's sum of its shards' weights."""
+    seen, total = 0, np.zeros(sum(v.size for v in start.values()))
+    shard, at, before = None, -1, None
+    for batch in batches:
+        for part in slices(batch, "tokens", 1 << 19):
+            texts = byte_texts(part, "tokens")
+            rows = list(zip(part.column("shard").to_pylist(), part.column("hash").to_pylist(), part.column("doc_id").to_pylist(), strict=True))
+            fresh = [i for i, r in enumerate(rows) if r != (rows[i - 1] if i else before)]
+            before = rows[-1]
+            for s in dict.fromkeys(rows[i][0] for i in fresh):
+                mine = [texts[i] for i in fresh if rows[i][0] == s]
+                if s != at:
+                    if shard:
+                        n, flat = shard.close()
+                        seen, total = seen + n, total + flat
+                    shard, at = _Shard(start), s
+                shard.learn(np.frombuffer(b"".join(mine), "<u2").astype(np.int64), np.fromiter(map(len, mine), np.int64, len(mine)) // 2)
+    if shard:
+        n, flat = shard.close()
+        seen, total = seen + n, total + flat
     if seen:
-        flat = np.concatenate([w[k].ravel() for k in SHAPES])
-        parts = [flat[i : i + BLOCK] for i in range(0, len(flat), BLOCK)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(0, len(flat), BLOCK), pa.int64()), pa.array([seen] * len(parts), pa.int64()), pa.array(parts, pa.list_(pa.float32()))], ["first", "seen", "part"])
+        yield _weight_rows({i: (seen, total[i : i + BLOCK]) for i in range(0, len(total), BLOCK)})
+
+
+def _weight_rows(blocks: dict[int, tuple[int, np.ndarray]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(blocks), pa.int64()), pa.array([n for n, _ in blocks.values()], pa.int64()), pa.array([x for _, x in blocks.values()], pa.list_(pa.float64()))], ["first", "seen", "part"])
+
+
+def _add_weights(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sums: dict[int, tuple[int, np.ndarray]] = {}
+    for batch in batches:
+        for first, seen, part in zip(batch.column("first").to_pylist(), batch.column("seen").to_pylist(), batch.column("part"), strict=True):
+            n, x = sums.get(first, (0, 0.0))
+            sums[first] = n + seen, x + part.values.to_numpy()
+    yield _weight_rows(sums)
 
 
 def _score(batches: Iterator[pa.RecordBatch], w: Weights, share: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -260,19 +307,19 @@ def tokenized(docs: DataFrame) -> tuple[DataFrame, np.ndarray, DataFrame]:
         every[KNOWN + s] = n
     for r in top:
         every[KNOWN + (r["name"] % (1 << 64) >> 20) % SHARED] -= r["n"]
-    rows = docs.withColumn("rid", F.monotonically_increasing_id()).mapInArrow(partial(_tokenize, known=known, token=token), "rid long, doc_id long, tokens binary, rare binary")
+    rows = docs.withColumns({"rid": F.monotonically_increasing_id(), "hash": F.xxhash64("text")}).mapInArrow(partial(_tokenize, known=known, token=token), "rid long, doc_id long, hash long, tokens binary, rare binary, teaches boolean")
     return save(rows, "tokens"), every, counts
 
 
 def fit(rows: DataFrame, counts: np.ndarray) -> Weights:
-    """Weights from all of ``rows`` (column tokens)."""
+    """Weights from all of ``rows`` (doc_id, hash, tokens, teaches)."""
     start = start_weights(counts)
-    trained = rows.select("tokens").mapInArrow(partial(_train, start=start), "first long, seen long, part array<float>")
-    each = trained.select("seen", "first", F.posexplode("part").alias("pos", "value")).select((F.col("first") + F.col("pos")).alias("at"), "seen", "value")
-    mean = each.groupBy("at").agg((F.sum(F.col("value").cast("double") * F.col("seen")) / F.sum("seen")).alias("value"))
+    shards = max(1, -(-int(counts.sum()) // SHARD_WORDS))
+    dealt = rows.filter("teaches").select(F.pmod(F.xxhash64("hash", "doc_id"), F.lit(shards)).alias("shard"), "hash", "doc_id", "tokens")
+    trained = dealt.repartition(F.col("shard")).sortWithinPartitions("shard", "hash", "doc_id").mapInArrow(partial(_train, start=start), "first long, seen long, part array<double>")
     flat = np.concatenate([start[k].ravel() for k in SHAPES])
-    for r in mean.collect():
-        flat[r["at"]] = r["value"]
+    for r in trained.repartition(F.col("first")).mapInArrow(_add_weights, "first long, seen long, part array<double>").collect():
+        flat[r["first"] : r["first"] + len(r["part"])] = np.array(r["part"]) / r["seen"]
     return _unflatten(flat)
 
 

@@ -11,7 +11,9 @@ texts; the network's weights (about 110 kB, fixed) travel with the task.
 
 Defined results: null and empty texts are scored as one chunk of padding; with labels of one
 kind or none every score is that label's share, or 0.5; a null id stays null and is not held
-out; repeated rows get equal scores; other columns are ignored; empty tables give empty results.
+out; ids with labels that contradict each other teach nothing; of several texts of a labelled id one
+teaches, chosen by hash; repeated rows get equal scores; other columns are ignored; empty tables give
+empty results.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as Ty
 
 from .common import byte_texts, documents, slices
 
@@ -133,36 +136,55 @@ def train(texts: list[bytes], labels: np.ndarray, steps: int = STEPS, batch: int
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, max_bytes: int = MAX_BYTES) -> list[tuple[bytes, int]]:
     """At most ``max_docs`` texts with labels, none held out, in order of id."""
-    usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y")).filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y")).filter(F.col("doc_id").isNotNull() & F.col("y").isNotNull() & ~held_out(F.col("doc_id")))
+    agreed = usable.groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("high")).filter("y = high").select("doc_id", "y")
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    chosen = [usable.filter(F.col("y") == y).dropDuplicates(["doc_id"]).orderBy(*order).limit(max_docs // 2) for y in (0, 1)]
+    chosen = [agreed.filter(F.col("y") == y).orderBy(*order).limit(max_docs // 2) for y in (0, 1)]
     short = docs.filter(F.octet_length("text") <= max_bytes)
-    rows = short.join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "y").collect()
+    rows = short.join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id").groupBy("doc_id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text")).collect()
     return [(r["text"].encode(), r["y"]) for r in sorted(rows, key=lambda r: r["doc_id"])]
 
 
-def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, max_docs: int = MAX_DOCS, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """doc_id, text_hash (of the text, which alone decides), held_out, score, predicted."""
-    rows = documents(docs, id_col, text_col)
-    sample = labelled_sample(rows, labels, max_docs, max_bytes)
+def scorer(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, max_bytes: int = MAX_BYTES):
+    """A function from texts to scores, trained on the labelled sample of ``docs`` (doc_id, text)."""
+    sample = labelled_sample(docs, labels, max_docs, max_bytes)
     y = np.array([q for _, q in sample], np.float32)
     w = train([t for t, _ in sample], y) if len(set(y.tolist())) == 2 else None
     share = float(y.mean()) if len(y) else 0.5
 
+    tables: list[np.ndarray] = []  # made where they are used: they are a hundred times the weights
+
+    def scores(texts: list[bytes]) -> np.ndarray:
+        if not w:
+            return np.full(len(texts), share)
+        tables.extend(_pair_tables(w["filters"]) if not tables else [])
+        return score(w, texts, tables)
+
+    return scores
+
+
+def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, max_docs: int = MAX_DOCS, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """doc_id, held_out, score, predicted."""
+    rows = documents(docs, id_col, text_col)
+    scores = scorer(rows, labels, max_docs, max_bytes)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = _pair_tables(w["filters"]) if w else None
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
-                found = score(w, byte_texts(part), tables) if w else np.full(part.num_rows, share)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), part.column("held_out"), pa.array(found)], ["doc_id", "text_hash", "held_out", "score"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(scores(byte_texts(part)))], ["doc_id", "held_out", "score"])
 
-    out = rows.withColumns({"text_hash": F.xxhash64("text"), "held_out": held_out(F.col("doc_id"))})
-    out = out.select("doc_id", "text_hash", "held_out", "text").mapInArrow(run, "doc_id long, text_hash long, held_out boolean, score double")
+    out = rows.withColumn("held_out", held_out(F.col("doc_id"))).select("doc_id", "held_out", "text").mapInArrow(run, "doc_id long, held_out boolean, score double")
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with all its columns, without the rows that the classifier rejects."""
-    gone = classify(docs, labels, id_col, text_col, threshold).filter("predicted = 0").select(F.col("doc_id").alias("__id__"), F.col("text_hash").alias("__hash__")).distinct()
-    same = docs[id_col].cast("long").eqNullSafe(gone["__id__"]) & (F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit(""))) == gone["__hash__"])
-    return docs.join(gone, same, "left_anti")
+    """``docs`` with all its columns, without the rows that the classifier rejects: one narrow pass."""
+    scores = scorer(documents(docs, id_col, text_col), labels)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "__text__", 1 << 20):
+                yield part.select([0]).filter(pa.array(scores(byte_texts(part, "__text__")) >= threshold))
+
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("__doc__"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("__text__"))
+    return rows.mapInArrow(run, Ty.StructType([Ty.StructField("__doc__", docs.schema)])).select("__doc__.*")

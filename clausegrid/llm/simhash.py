@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_texts, numbered, save, slices
+from .common import byte_texts, digest, release, save, slices, without
 from .components import components
 
 MAX_BITS = 4
@@ -129,17 +129,17 @@ def fingerprint(texts: list[bytes], shingle: int = SHINGLE, seed: int = SEED) ->
     return out
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row: str | None = None) -> DataFrame:
-    """rid (column ``row``, or the place in this scan), doc_id, fp (long with the 64 bits)."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """rid (place in this scan), doc_id, digest (of the text), fp (long with the 64 bits)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
-                yield pa.RecordBatch.from_arrays([part.column("rid"), part.column("doc_id"), pa.array(fingerprint(byte_texts(part)).view(np.int64))], ["rid", "doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("rid", "doc_id", "digest")), pa.array(fingerprint(byte_texts(part)).view(np.int64))], ["rid", "doc_id", "digest", "fp"])
 
-    rid = F.monotonically_increasing_id() if row is None else F.col(row)
-    rows = docs.select(rid.alias("rid"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "rid long, doc_id long, fp long")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("doc_id"), digest(text).alias("digest"), text.alias("text"))
+    return rows.mapInArrow(run, "rid long, doc_id long, digest binary, fp long")
 
 
 def _close(a: np.ndarray, b: np.ndarray, max_bits: int) -> np.ndarray:
@@ -221,18 +221,26 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     return rows.repartition(F.col("key")).sortWithinPartitions("key").mapInArrow(match, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS, row: str | None = None) -> DataFrame:
-    """rid, doc_id, fingerprint (16 hex digits), component_id, kept (one row of each component)."""
-    prints = save(fingerprints(docs, id_col, text_col, row), "prints")
+def components_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> tuple[DataFrame, list[DataFrame]]:
+    """(doc_id, digest, fp, component_id, kept: one row of each component) and the stored tables that it reads."""
+    prints = save(fingerprints(docs, id_col, text_col), "prints")
     roots = components(links(prints, max_bits))
-    rows = save(prints.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("rid", "doc_id", "fp", F.coalesce("root", "fp").alias("root")), "roots")
+    rows = save(prints.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("rid", "doc_id", "digest", "fp", F.coalesce("root", "fp").alias("root")), "roots")
+    release(prints)
     # Written before the join, so that adaptive execution can split a hot root.
     heads = save(rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid")).alias("head")), "heads")
-    return rows.join(heads, "root").select("rid", "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("head.doc_id").alias("component_id"), (F.col("head.rid") == F.col("rid")).alias("kept"))
+    return rows.join(heads, "root").select("doc_id", "digest", "fp", F.col("head.doc_id").alias("component_id"), (F.col("head.rid") == F.col("rid")).alias("kept")), [rows, heads]
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id, kept (one row of each component)."""
+    found, _ = components_of(docs, id_col, text_col, max_bits)
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "kept")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
-    """``docs`` with all its columns: one document of each component."""
-    rows = numbered(docs)
-    gone = near_duplicates(rows, id_col, text_col, max_bits, row="__rid__").filter("not kept").select(F.col("rid").alias("__rid__"))
-    return rows.join(gone, "__rid__", "left_anti").drop("__rid__")
+    """``docs`` with all its columns: one document of each component. Rows with equal id and text are one document."""
+    found, stored = components_of(docs, id_col, text_col, max_bits)
+    decided = save(found.groupBy("doc_id", "digest").agg(F.max("kept").alias("kept"), F.count("*").alias("n")).filter("NOT kept OR n > 1"), "classes")
+    release(*stored)
+    return without(docs, decided, docs[id_col].cast("long"), digest(F.coalesce(docs[text_col].cast("string"), F.lit(""))))

@@ -1,19 +1,24 @@
 """Substring dedup by sliding sentence spans.
 
-Sentences end at . ! ? and at line ends; those of ``2 * cut_every - 1`` words and more are cut
-behind the word of smallest hash in each window of that many of their words, on average one word
-in ``cut_every``, so that the pieces line up wherever a passage begins and none is longer than a
-window. Shorter sentences stay whole. From every sentence runs the shortest span of at least
-``sentences`` sentences and ``min_words`` words, and to every sentence the shortest one
-that ends there, so repeats are covered up to both ends. Spans are hashed (64 bits over
-word hashes; white space does not count) and joined over all documents; sentences under a
-span that a smaller document id, or the same document before, also has are removed.
-
-Every passage of over 50 words holds a whole span: with w words in a window its first cut comes
-within w words, and the next cut behind min_words more is settled w - 1 words later at the latest,
-2 w + min_words - 1 = 45 words in all. What stays of it are fewer than w words at either end. Hashes are summed before they shuffle, and the join of
-repeated hashes is one that adaptive execution splits where a passage is everywhere.
-A wrong hit needs two of n spans to share 64 bits: for a given span, n / 2^64.
+Sentences end at . ! ? and at line ends. Every run of consecutive sentences that has at least
+``sentences`` sentences and ``min_words`` words and is the shortest such run from its first or up to
+its last sentence is a span: one starts at every sentence and one ends there, so repeats are covered up to
+both ends. Spans are hashed over their words (white space does not count) and joined over all
+documents; sentences under a span that a smaller document id, or the same document before,
+also has are removed.
+
+Sentences of ``longest`` words and more have no place in a passage of some fifty words that begins and
+ends anywhere. They count as several: they are cut behind the word of smallest hash in each window of
+``longest`` of their words, so the parts line up wherever a passage begins and none is longer than a
+window. Hence every repeated passage of over 50 words holds a whole span: its first reliable cut comes
+within one window, and the next one behind min_words more is settled within another, 2 * 13 + 24 - 1 = 49
+words in all. What stays of a passage are fewer than ``longest`` words at either end. Shorter sentences are never cut.
+
+A span's name has 96 bits from two chained hashes over 64-bit word hashes, each distinct word of a
+slice hashed from its bytes. Two different spans meet only by an accident of all 96.
+
+Hashes are summed before they shuffle, and the join of repeated hashes is one that adaptive
+execution splits where a passage is everywhere.
 
 Defined results: null and empty texts have no sentences; a null id comes after all others, by text;
 rows of one id count as one document for what is first, each keeping its own text; other
@@ -26,118 +31,116 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_texts, documents, powers, ragged, save, slices
+from .common import byte_texts, distinct_runs, documents, ragged, release, save, slices
 
-SENTENCES, MIN_WORDS, CUT_EVERY = 3, 24, 6
+SENTENCES, MIN_WORDS, LONGEST = 3, 24, 13
 _WHITE = np.zeros(256, bool)
 _WHITE[[0x20, *range(0x09, 0x0E)]] = True
 _STOP = np.zeros(256, bool)
 _STOP[[ord(c) for c in ".!?"]] = True
-_MIX = np.uint64(0xBF58476D1CE4E5B9)
-
-
-def sentence_cuts(raw: np.ndarray, begins: np.ndarray, cut_every: int = CUT_EVERY) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(first byte of each word, byte behind it, first word of each sentence, first sentence of each text and the end).
-
-    ``begins``: first byte of every text; a white byte stands before each."""
-    white = _WHITE[raw]
-    edge = np.flatnonzero(white[1:] != white[:-1]) + 1
-    start = edge[~white[edge]]
-    end = edge[white[edge]]
-    text = np.searchsorted(begins, start, side="right")
-    lines = np.cumsum(raw == 0x0A)
-    new = np.ones(len(start), bool)
-    new[1:] = (text[1:] != text[:-1]) | (lines[start[1:]] != lines[start[:-1]]) | _STOP[raw[end[:-1] - 1]]
-    # In long sentences: behind the (last) smallest hash of every window, which is the same wherever the window stands.
-    window = 2 * cut_every - 1
-    if len(start) >= window:
-        sentence = np.cumsum(new)
-        inside = np.flatnonzero(sentence[: len(start) - window + 1] == sentence[window - 1 :])
-        runs = np.lib.stride_tricks.sliding_window_view(word_hashes(raw, start, end), window)[inside, ::-1]
-        behind = inside + window - runs.argmin(axis=1)
-        new[behind[behind < len(start)]] = True
-    cuts = np.flatnonzero(new)
-    return start, end, cuts, np.searchsorted(text[cuts], np.arange(1, len(begins) + 2))
-
-
-def word_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the bytes start..end."""
-    forward, back = powers(len(raw) + 1)
-    sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * forward[: len(raw)], out=sums[1:])
-    word = (sums[end] - sums[start]) * back[start]
-    word = (word ^ word >> np.uint64(29)) * _MIX
-    return (word ^ (word >> np.uint64(32)) + (end - start).astype(np.uint64)) * _MIX
-
-
-def spans(texts: list[bytes], sentences: int, min_words: int, cut_every: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, first sentence in it, number of sentences, hash) of all spans, in order."""
-    raw = np.frombuffer(b" " + b" ".join(texts) + b" ", np.uint8)
-    begins = np.cumsum([1, *(len(x) + 1 for x in texts[:-1])]) if texts else np.zeros(0, np.int64)
-    start, end, cuts, edges = sentence_cuts(raw, begins, cut_every)
-    m = len(cuts)
+_MIX = [np.uint64(k) for k in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
+
+
+def word_hashes(raw: np.ndarray, white: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of all words of ``raw``."""
+    words, which = distinct_runs(raw[~white], end - start)
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))[which]
+
+
+class Sentences:
+    """Words and sentences of texts. Arrays: start, end (bytes of each word), word (its hash), first (word of each
+    sentence, and the number of words at last), edges (first sentence of each text, and their number at last)."""
+
+    def __init__(self, texts: list[bytes], longest: int):
+        raw = np.frombuffer(b" " + b" ".join(texts) + b" ", np.uint8)
+        self.begins = np.cumsum([1, *(len(x) + 1 for x in texts[:-1])]) if texts else np.zeros(0, np.int64)
+        white = _WHITE[raw]
+        edge = np.flatnonzero(white[1:] != white[:-1]) + 1
+        self.start, self.end = edge[::2], edge[1::2]
+        n = len(self.start)
+        text = np.searchsorted(self.begins, self.start, side="right")
+        lines = np.cumsum(raw == 0x0A)
+        new = np.ones(n, bool)
+        new[1:] = (text[1:] != text[:-1]) | (lines[self.start[1:]] != lines[self.start[:-1]]) | _STOP[raw[self.end[:-1] - 1]]
+        self.word = word_hashes(raw, white, self.start, self.end)
+        if n >= longest:  # behind the last smallest hash of every window inside a sentence
+            sentence = np.cumsum(new)
+            inside = np.flatnonzero(sentence[: n - longest + 1] == sentence[longest - 1 :])
+            windows = np.lib.stride_tricks.sliding_window_view(self.word, longest)[inside, ::-1]
+            behind = inside + longest - windows.argmin(axis=1)
+            new[behind[behind < n]] = True
+        cuts = np.flatnonzero(new)
+        self.first = np.r_[cuts, n]
+        self.edges = np.searchsorted(text[cuts], np.arange(1, len(texts) + 2))
+
+
+def run_names(word: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit name, 32 more bits) of the runs of words [first, last)."""
+    state = [np.full(len(first), k, np.uint64) for k in _MIX]
+    n = last - first
+    live = np.arange(len(first))
+    for j in range(int(n.max(initial=0))):
+        if j and (n[live] <= j).any():
+            live = live[n[live] > j]
+        w = word[first[live] + j]
+        for i in (0, 1):
+            x = (state[i][live] ^ w) * _MIX[i]
+            state[i][live] = x ^ (x >> np.uint64(29 + i))
+    name = state[0] * _MIX[1]
+    return (name ^ name >> np.uint64(32)).view(np.int64), (state[1] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
+def spans(s: Sentences, sentences: int, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, first sentence in it, number of sentences, name, check) of all spans, in order."""
+    m = len(s.first) - 1
     if not m:
-        return (np.zeros(0, np.int64),) * 4
-    per = np.diff(edges)
-    text = np.repeat(np.arange(len(texts)), per)
-    lo, hi = edges[:-1][text], edges[1:][text]
-    words = np.r_[cuts, len(start)]
+        return (np.zeros(0, np.int64),) * 5
+    text = np.repeat(np.arange(len(s.edges) - 1), np.diff(s.edges))
+    lo, hi = s.edges[:-1][text], s.edges[1:][text]
     here = np.arange(m)
-    to = np.maximum(np.searchsorted(words, words[:-1] + min_words), here + sentences)
-    since = np.minimum(np.searchsorted(words, words[1:] - min_words, side="right") - 1, here + 1 - sentences)
+    to = np.maximum(np.searchsorted(s.first, s.first[:-1] + min_words), here + sentences)
+    since = np.minimum(np.searchsorted(s.first, s.first[1:] - min_words, side="right") - 1, here + 1 - sentences)
     a, b = np.r_[here[to <= hi], since[since >= lo]], np.r_[to[to <= hi], here[since >= lo] + 1]
     both = np.unique(a * np.int64(m + 1) + b)
     a, b = both // (m + 1), both % (m + 1)
-    word = word_hashes(raw, start, end)
-    forward, back = powers(len(word) + 1)
-    sums = np.zeros(len(word) + 1, np.uint64)
-    np.cumsum(word * forward[: len(word)], out=sums[1:])
-    name = (sums[words[b]] - sums[words[a]]) * back[words[a]]
-    name = (name ^ name >> np.uint64(31)) * _MIX
-    name ^= name >> np.uint64(29)
-    return text[a], a - edges[:-1][text[a]], b - a, name.view(np.int64)
+    return text[a], a - s.edges[:-1][text[a]], b - a, *run_names(s.word, s.first[a], s.first[b])
 
 
-def _span_rows(sentences: int, min_words: int, cut_every: int):
+def _span_rows(sentences: int, min_words: int, longest: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
-                who, first, n, name = spans(byte_texts(part), sentences, min_words, cut_every)
-                order = np.lexsort((first, name, who))
+                who, first, n, name, check = spans(Sentences(byte_texts(part), longest), sentences, min_words)
+                order = np.lexsort((first, check, name, who))
                 again = np.zeros(len(who), bool)  # in its own document
-                again[order[1:]] = (who[order[1:]] == who[order[:-1]]) & (name[order[1:]] == name[order[:-1]])
-                take = lambda c: part.column(c).to_numpy(zero_copy_only=False).astype(np.int64)[who]
-                # A span has at most min_words sentences, so its place, 16 bits of its text's hash and its length fit one number.
-                yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(take("key")), pa.array(first << 32 | take("mark") << 16 | n << 1 | again)], ["name", "key", "span"])
+                again[order[1:]] = (who[order[1:]] == who[order[:-1]]) & (name[order[1:]] == name[order[:-1]]) & (check[order[1:]] == check[order[:-1]])
+                take = lambda c: pa.array(part.column(c).to_numpy(zero_copy_only=False).astype(np.int64)[who])
+                yield pa.RecordBatch.from_arrays([pa.array(name, pa.int64()), pa.array(check, pa.int32()), take("key"), take("hash"), pa.array(first << 32 | n << 1 | again, pa.int64())], ["name", "check", "key", "hash", "span"])
 
     return run
 
 
-def _cleaned(cut_every: int):
+def _cleaned(longest: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
                 texts = byte_texts(part)
-                raw = np.frombuffer(b" " + b" ".join(texts) + b" ", np.uint8)
-                begins = np.cumsum([1, *(len(x) + 1 for x in texts[:-1])])
-                start, _, cuts, edges = sentence_cuts(raw, begins, cut_every)
-                at = np.r_[start[cuts], 0]
-                n_sent, n_gone, n_spans, gone_bytes, kept = [], [], [], [], []
-                for i, (text, held, mark) in enumerate(zip(texts, part.column("spans"), part.column("mark").to_pylist(), strict=True)):
-                    m = int(edges[i + 1] - edges[i])
-                    n_sent.append(m)
+                s = Sentences(texts, longest)
+                at = np.r_[s.start, 0][s.first]
+                n_sent, n_gone, n_spans, gone_bytes, kept = np.diff(s.edges).tolist(), [], [], [], []
+                for i, (text, held) in enumerate(zip(texts, part.column("spans"), strict=True)):
                     if not held.is_valid:
                         n_gone.append(0), n_spans.append(0), gone_bytes.append(0), kept.append(text)
                         continue
                     packed = held.values.to_numpy()
-                    packed = packed[(packed >> 16 & 0xFFFF) == mark]  # spans of this text, should its id have others
-                    gone = np.zeros(m + 2, bool)
-                    gone[1 + ragged(packed >> 32, (packed & 0xFFFF) >> 1)] = True
+                    gone = np.zeros(n_sent[i] + 2, bool)
+                    gone[1 + ragged(packed >> 32, (packed & 0xFFFFFFFF) >> 1)] = True
                     flips = np.diff(gone.astype(np.int8))
-                    bounds = np.r_[at[edges[i] : edges[i + 1]] - begins[i], len(text)]
+                    bounds = np.r_[at[s.edges[i] : s.edges[i + 1]] - s.begins[i], len(text)]
                     a, b = bounds[np.flatnonzero(flips == 1)], bounds[np.flatnonzero(flips == -1)]
                     rest = b"".join(text[x:y] for x, y in zip(np.r_[0, b].tolist(), np.r_[a, len(text)].tolist(), strict=True))
                     n_gone.append(int(gone.sum())), n_spans.append(len(a)), gone_bytes.append(len(text) - len(rest)), kept.append(rest)
@@ -147,19 +150,18 @@ def _cleaned(cut_every: int):
     return run
 
 
-def remove_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences: int = SENTENCES, min_words: int = MIN_WORDS, cut_every: int = CUT_EVERY) -> DataFrame:
+def remove_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences: int = SENTENCES, min_words: int = MIN_WORDS, longest: int = LONGEST) -> DataFrame:
     """doc_id, n_sentences, n_removed, n_spans (runs of removed sentences), removed_bytes, clean_text."""
-    if min_words > 1 << 14:
-        raise ValueError("min_words must leave a span's length in 15 bits")
-    digest = F.xxhash64("text")
-    key = F.coalesce("doc_id", F.lit(1 << 62) + digest.bitwiseAND((1 << 61) - 1))  # null ids: behind the others, by text
-    rows = documents(docs, id_col, text_col).select(key.alias("key"), F.pmod(digest, F.lit(1 << 16)).cast("long").alias("mark"), "doc_id", "text")
-    found = rows.select("key", "mark", "text").mapInArrow(_span_rows(sentences, min_words, cut_every), "name long, key long, span long")
+    hashed = F.xxhash64("text")
+    key = F.coalesce("doc_id", F.lit(1 << 62) + hashed.bitwiseAND((1 << 61) - 1))  # null ids: behind the others, by text
+    rows = documents(docs, id_col, text_col).select(key.alias("key"), hashed.alias("hash"), "doc_id", "text")
+    found = rows.select("key", "hash", "text").mapInArrow(_span_rows(sentences, min_words, longest), "name long, check int, key long, hash long, span long")
     again = F.col("span").bitwiseAND(1) == 1
     # Written before the join, so that adaptive execution can split a passage that is everywhere.
-    firsts = save(found.filter(~again).groupBy("name").agg(F.min("key").alias("first"), F.max("key").alias("last")).filter("first < last").select("name", "first"), "firsts")
+    firsts = save(found.filter(~again).groupBy("name", "check").agg(F.min("key").alias("first"), F.max("key").alias("last")).filter("first < last").select("name", "check", "first"), "firsts")
     # Repeats inside a document are known already; they spread by their place and not by their name.
     spread = found.withColumn("name", F.when(again, F.xxhash64("key", "span")).otherwise(F.col("name")))
-    later = spread.join(firsts.hint("shuffle_hash"), "name", "left").filter(again | (F.col("key") > F.col("first")))
-    per = later.groupBy("key").agg(F.collect_list("span").alias("spans"))
-    return rows.join(per, "key", "left").select("doc_id", "mark", "text", "spans").mapInArrow(_cleaned(cut_every), "doc_id long, n_sentences long, n_removed long, n_spans long, removed_bytes long, clean_text string")
+    later = spread.join(firsts.hint("shuffle_hash"), ["name", "check"], "left").filter(again | (F.col("key") > F.col("first")))
+    per = save(later.groupBy("key", "hash").agg(F.collect_set("span").alias("spans")), "spans")
+    release(firsts)
+    return rows.join(per, ["key", "hash"], "left").select("doc_id", "text", "spans").mapInArrow(_cleaned(longest), "doc_id long, n_sentences long, n_removed long, n_spans long, removed_bytes long, clean_text string")

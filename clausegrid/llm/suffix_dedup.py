@@ -7,14 +7,19 @@ document id, or earlier in the same document). Strings never cross documents.
    grams, so equal windows have equal names wherever they stand. Windows in a row with
    one name form a run, about one run for 40 bytes. Names that occur once are unique
    windows and end here (counts are summed before they shuffle).
-2. Contexts. The bytes under each remaining run meet by name. Equal contexts are joined
-   first, in the tasks that cut them and again where they meet, which keeps passages
-   that very many documents share small.
-3. Suffix arrays. Contexts of a name that differ (or repeat inside themselves) are laid
+2. Contexts. The bytes under each remaining run are cut out by the task that holds the text. Of
+   equal contexts in a task the first occurrence stands for all and the others' ranges go at
+   once, so a passage that very many documents share costs a row for each task.
+3. Hot names. A name whose contexts are more than a task should sort (``HEAVY_BYTES``: a gram that
+   stands in very many texts with other neighbours each time) is split: windows get new names from
+   all the bytes that the windows with the gram in the same part of them share, in ``PARTS`` parts
+   first and then, where that is still too much, one for each offset - the whole window. Equal windows keep
+   equal names, and windows of one whole-window name are equal, so no name stays hot.
+4. Suffix arrays. Contexts meet by name. Those that differ (or repeat inside themselves) are laid
    end to end and suffix-sorted in two stages: suffixes smaller than their successors are
    sorted directly, the rest is induced by scanning the buckets in order. Adjacent common
    prefixes of ``length`` bytes or more give the repeated windows; the earliest start stays.
-4. The removed byte ranges of a document are united and cut out.
+5. The removed byte ranges of a document are united and cut out.
 
 Names only decide what meets; equality is decided on bytes. No limit drops a candidate.
 
@@ -28,17 +33,26 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_texts, identified, ragged, save, slices
+from .common import byte_texts, identified, ragged, release, save, slices
 
 LENGTH, GRAM = 100, 24
 #: Bytes of contexts that are suffix-sorted together.
 SORT_BYTES = 1 << 20
+#: Bytes of contexts from which a name is split, and the parts it is split into at first.
+HEAVY_BYTES, PARTS = 1 << 20, 8
+#: Starts in one run at most, so that no context is long.
+RUN_STARTS = 1024
+#: Bytes of contexts that a task holds before it hands them on.
+HELD_BYTES = 16 << 20
+CONTEXT = "name long, gram long, context binary, twice boolean, key long, rid long, lo long, hi long"
 _K = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
@@ -96,7 +110,13 @@ def runs(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.nd
         tail = hashes[b[part, None] + look] == name[part, None]
         twice[part] = (head.sum(1) > 1) | (tail.sum(1) > 1) | (a[part] + head.argmax(1) < b[part])
     who = np.repeat(np.arange(len(texts)), starts)[first]
-    return who, name, a - begins[who], count, twice
+    start = a - begins[who]
+    if (count > RUN_STARTS).any():  # only where a gram repeats
+        parts = -(-count // RUN_STARTS)
+        before = ragged(np.zeros(len(parts), np.int64), parts) * RUN_STARTS
+        who, name, start, count = (np.repeat(x, parts) for x in (who, name, start, count))
+        start, count, twice = start + before, np.minimum(count - before, RUN_STARTS), np.repeat(twice | (parts > 1), parts)
+    return who, name, start, count, twice
 
 
 def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
@@ -113,22 +133,23 @@ def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
     views = np.lib.stride_tricks.as_strided(padded, (n, depth), (1, 1))
     direct = direct[np.argsort(views[direct].view(f"S{depth}").ravel(), kind="stable")]
     heads = text[direct]
+    deep = np.flatnonzero(~up & (np.repeat(ends, np.diff(np.r_[-1, ends])) - np.arange(n) > depth))
+    deep = deep[np.argsort(text[deep], kind="stable")]
+    deep_letters = text[deep]
     down: dict[int, list[np.ndarray]] = {int(text[-1]): [np.array([n - 1])]}
     out = []
     for c in np.unique(text).tolist():
         lists = down.pop(c, [])
         level = np.concatenate(lists) if lists else np.zeros(0, np.int64)
         bucket = [level]
-        for _ in range(depth):  # runs of c: one more c in front; beyond depth their order is free
+        for _ in range(depth):  # runs of c: one more c in front
             level = level[level > 0] - 1
             level = level[text[level] == c]
             if not len(level):
                 break
             bucket.append(level)
-        while len(level):
-            level = level[level > 0] - 1
-            level = level[text[level] == c]
-            bucket.append(level)
+        # Beyond depth their order is free.
+        bucket.append(deep[np.searchsorted(deep_letters, c) : np.searchsorted(deep_letters, c, side="right")])
         bucket.append(direct[np.searchsorted(heads, c) : np.searchsorted(heads, c, side="right")])
         full = np.concatenate(bucket)
         out.append(full)
@@ -199,27 +220,100 @@ def _anchor_rows(length: int):
     return run
 
 
+class _Contexts:
+    """Contexts met in one task: of equal ones the first place stands for all, the others' ranges go."""
+
+    def __init__(self) -> None:
+        self.held: dict[tuple[int, bytes], list] = {}
+        self.gone: list[tuple[int, int, int, int]] = []
+        self.size = 0
+
+    def add(self, name: int, gram: int, context: bytes, twice: bool, place: tuple[int, int, int]) -> None:
+        entry = self.held.get((name, context))
+        if entry is None:
+            self.held[name, context] = [place, twice, gram]
+            self.size += len(context) + 100
+            return
+        entry[1] |= twice
+        if place != entry[0]:
+            later = max(place, entry[0])
+            entry[0] = min(place, entry[0])
+            self.gone.append((*later, later[2] + len(context)))
+            self.size += 40
+
+    def rows(self) -> pa.RecordBatch:
+        n = len(self.held)
+        place = np.array([p for p, _, _ in self.held.values()], np.int64).reshape(-1, 3)
+        ends = place[:, 2] + np.fromiter((len(c) for _, c in self.held), np.int64, n)
+        gone = _unite_rows(np.array(self.gone, np.int64).reshape(-1, 4))
+        m = len(gone)
+        columns = [
+            pa.array([k for k, _ in self.held] + [None] * m, pa.int64()), pa.array([g for _, _, g in self.held.values()] + [None] * m, pa.int64()),
+            pa.array([c for _, c in self.held] + [None] * m, pa.binary()), pa.array([t for _, t, _ in self.held.values()] + [False] * m, pa.bool_()),
+            *(pa.array(np.r_[place[:, i], gone[:, i]]) for i in range(3)), pa.array(np.r_[ends, gone[:, 3]]),
+        ]
+        self.__init__()
+        return pa.RecordBatch.from_arrays(columns, ["name", "gram", "context", "twice", "key", "rid", "lo", "hi"])
+
+
+def _unite_rows(ranges: np.ndarray) -> np.ndarray:
+    """Rows (key, rid, lo, hi) with the ranges of each document united."""
+    if not len(ranges):
+        return ranges
+    ranges = ranges[np.lexsort((ranges[:, 2], ranges[:, 1], ranges[:, 0]))]
+    edges = np.flatnonzero(np.r_[True, (ranges[1:, :2] != ranges[:-1, :2]).any(1), True])
+    out = []
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        lo, hi = _unite(ranges[a:b, 2], ranges[a:b, 3])
+        out.append(np.stack([np.full(len(lo), ranges[a, 0]), np.full(len(lo), ranges[a, 1]), lo, hi], axis=1))
+    return np.concatenate(out)
+
+
 def _context_rows(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = _Contexts()
         for batch in batches:
-            for part in slices(batch, "text", 1 << 20):
-                found: dict[tuple[int, bytes], list[tuple[int, int, int]]] = {}
-                again: set[tuple[int, bytes]] = set()
-                for doc, rid, text, spans in zip(part.column("key").to_pylist(), part.column("rid").to_pylist(), byte_texts(part), part.column("spans"), strict=True):
-                    packed = spans.values
-                    names, cuts = packed.field(0).to_numpy().tolist(), packed.field(1).to_numpy()
-                    begin, count, twice = cuts >> 32, (cuts & 0xFFFFFFFF) >> 1, cuts & 1
-                    for name, a, b, t in zip(names, begin.tolist(), (begin + count + length - 1).tolist(), twice.tolist(), strict=True):
-                        key = (name, text[a:b])
-                        found.setdefault(key, []).append((doc, rid, a))
-                        if t:
-                            again.add(key)
-                keys = list(found)
-                members = [sorted(found[k]) for k in keys]
-                flat = np.array([x for m in members for x in m], np.int64).reshape(-1, 3)
-                offsets = np.r_[0, np.cumsum([len(m) for m in members])].astype(np.int32)
-                lists = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat[:, i].copy())) for i in range(3)]
-                yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.binary()), pa.array([k in again for k in keys], pa.bool_()), *lists], ["name", "context", "twice", "docs", "rids", "starts"])
+            for doc, rid, text, spans in zip(batch.column("key").to_pylist(), batch.column("rid").to_pylist(), byte_texts(batch), batch.column("spans"), strict=True):
+                packed = spans.values
+                names, cuts = packed.field(0).to_numpy().tolist(), packed.field(1).to_numpy()
+                begin, count, twice = cuts >> 32, (cuts & 0xFFFFFFFF) >> 1, cuts & 1
+                for name, a, b, t in zip(names, begin.tolist(), (begin + count + length - 1).tolist(), twice.tolist(), strict=True):
+                    found.add(name, name, text[a:b], bool(t), (doc, rid, a))
+                if found.size >= HELD_BYTES:
+                    yield found.rows()
+        yield found.rows()
+
+    return run
+
+
+def split_windows(context: bytes, name: int, length: int, parts: int) -> list[tuple[int, int, int]]:
+    """(new name, first start, starts) of the context's windows, all named ``name``, in up to ``parts`` parts by
+    where the gram first stands in them. A new name covers the bytes that all windows of its part share."""
+    width = length - GRAM + 1
+    at = np.flatnonzero(gram_hashes(np.frombuffer(context, np.uint8)).view(np.int64) == name)
+    start = np.arange(len(context) - length + 1)
+    gram = at[np.searchsorted(at, start)]
+    part = (gram - start) * parts // width
+    first = np.flatnonzero(np.r_[True, (gram[1:] != gram[:-1]) | (part[1:] != part[:-1])])
+    out = []
+    for a, n in zip(first.tolist(), np.diff(np.r_[first, len(start)]).tolist(), strict=True):
+        p, g = int(part[a]), int(gram[a])
+        low, high = -(-p * width // parts), -(-(p + 1) * width // parts) - 1  # offsets of the gram in this part
+        shared = context[g - low : g - high + length] if low <= high else b""
+        out.append((xxhash.xxh3_64_intdigest(shared, (name ^ p) & 0xFFFFFFFF) - (1 << 63), a, n))
+    return out
+
+
+def _split_rows(length: int, parts: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = _Contexts()
+        for batch in batches:
+            for gram, context, key, rid, lo in zip(*(batch.column(c).to_pylist() for c in ("gram", "context", "key", "rid", "lo")), strict=True):
+                for new, a, n in split_windows(context, gram, length, parts):
+                    found.add(new, gram, context[a : a + n + length - 1], False, (key, rid, lo + a))
+                if found.size >= HELD_BYTES:
+                    yield found.rows()
+        yield found.rows()
 
     return run
 
@@ -227,57 +321,88 @@ def _context_rows(length: int):
 def _range_rows(length: int):
     """Rows arrive sorted by name."""
 
-    def work(names: dict[int, dict[bytes, list]]) -> pa.RecordBatch:
-        out: list[tuple[np.ndarray, ...]] = []
+    def work(names: dict[int, dict[bytes, list]]) -> list[np.ndarray]:
+        """Ranges of repeats in the first places of differing contexts."""
         contexts, firsts = [], []
         for group in names.values():
-            for context, (members, twice) in group.items():
-                rows = np.unique(np.concatenate(members), axis=0)  # in order of id, text, start
-                rest = rows[1:]
-                out.append((rest[:, 0], rest[:, 1], rest[:, 2], rest[:, 2] + len(context)))
+            for context, (place, twice) in group.items():
                 if twice or len(group) > 1:
                     contexts.append(context)
-                    firsts.append(tuple(rows[0].tolist()))
+                    firsts.append(place)
+        out = []
         if contexts:
             for (key, rid, start), at in zip(firsts, repeated_starts(contexts, firsts, length), strict=True):
                 if len(at):
                     lo, hi = _unite(at + start, at + start + length)
-                    out.append((np.full(len(lo), key), np.full(len(lo), rid), lo, hi))
-        columns = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 4
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["key", "rid", "lo", "hi"])
+                    out.append(np.stack([np.full(len(lo), key), np.full(len(lo), rid), lo, hi], axis=1))
+        return out
+
+    def batch_of(ranges: list[np.ndarray]) -> pa.RecordBatch:
+        rows = np.concatenate(ranges) if ranges else np.zeros((0, 4), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(rows[:, i].copy(), pa.int64()) for i in range(4)], ["key", "rid", "lo", "hi"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, dict[bytes, list]] = {}
         size, last = 0, None
         for batch in batches:
-            lists = [batch.column(c) for c in ("docs", "rids", "starts")]
-            edges = lists[0].offsets.to_numpy()
-            flat = np.stack([x.values.to_numpy() for x in lists], axis=1) if len(lists[0].values) else np.zeros((0, 3), np.int64)
-            for i, (name, context, twice) in enumerate(zip(batch.column("name").to_pylist(), batch.column("context").to_pylist(), batch.column("twice").to_pylist(), strict=True)):
+            later: list[tuple[int, int, int, int]] = []
+            sorted_now: list[np.ndarray] = []
+            for name, context, twice, *place in zip(*(batch.column(c).to_pylist() for c in ("name", "context", "twice", "key", "rid", "lo")), strict=True):
                 if name != last and size >= SORT_BYTES:
-                    yield work(held)
+                    sorted_now += work(held)
                     held, size = {}, 0
-                last = name
-                entry = held.setdefault(name, {}).get(context)
+                last, place = name, tuple(place)
+                group = held.setdefault(name, {})
+                entry = group.get(context)
                 if entry is None:
-                    entry = held[name][context] = [[], False]
+                    group[context] = [place, twice]
                     size += len(context)
-                entry[0].append(flat[edges[i] : edges[i + 1]])
+                    continue
                 entry[1] |= twice
-        yield work(held)
+                if place != entry[0]:
+                    second = max(place, entry[0])
+                    entry[0] = min(place, entry[0])
+                    later.append((*second, second[2] + len(context)))
+            yield batch_of([_unite_rows(np.array(later, np.int64).reshape(-1, 4)), *sorted_now])
+        yield batch_of(work(held))
 
     return run
 
 
-def removed_ranges(rows: DataFrame, length: int) -> DataFrame:
-    """key, rid, lo, hi: bytes of ``rows`` (key, rid, text) that go."""
+def _split_hot(contexts: DataFrame, length: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """(parts of the contexts in which no name is too heavy, the stored tables that they read)."""
+    parts_of, stored = [], [contexts]
+    for parts in (PARTS, length - GRAM + 1):
+        weights = contexts.filter("context IS NOT NULL").groupBy("name").agg(F.sum(F.octet_length("context")).alias("weight"))
+        heavy = save(weights.filter(F.col("weight") > HEAVY_BYTES).select("name"), "heavy")
+        stored.append(heavy)
+        n = heavy.count()
+        if not n:
+            break
+        small = F.broadcast(heavy) if n <= 300_000 else heavy  # some 5 MB; beyond that both sides shuffle
+        parts_of.append(contexts.join(small, "name", "left_anti"))
+        hot = contexts.filter("context IS NOT NULL").join(small, "name", "left_semi")
+        contexts = save(hot.select("gram", "context", "key", "rid", "lo").mapInArrow(_split_rows(length, parts), CONTEXT), "contexts")
+        stored.append(contexts)
+    return [*parts_of, contexts], stored
+
+
+def removed_ranges(rows: DataFrame, length: int) -> tuple[DataFrame, list[DataFrame]]:
+    """(key, rid, lo, hi: bytes of ``rows`` (key, rid, text) that go; the stored tables that it reads)."""
     anchors = rows.select("key", "rid", "text").mapInArrow(_anchor_rows(length), "name long, key long, rid long, span long")
-    # Written before the join, so that adaptive execution can split a name that is everywhere.
+    # Written before the joins, so that adaptive execution can split a name or a document that is everywhere.
     again = save(anchors.groupBy("name").agg(F.sum(1 + F.col("span").bitwiseAND(1)).alias("n")).filter("n > 1").select("name"), "names")
-    kept = save(anchors.join(again.hint("shuffle_hash"), "name", "left_semi"), "anchors")
-    spans = kept.groupBy("key", "rid").agg(F.collect_list(F.struct("name", "span")).alias("spans"))
-    contexts = rows.join(spans, ["key", "rid"]).select("key", "rid", "text", "spans").mapInArrow(_context_rows(length), "name long, context binary, twice boolean, docs array<long>, rids array<long>, starts array<long>")
-    return contexts.repartition(F.col("name")).sortWithinPartitions("name").mapInArrow(_range_rows(length), "key long, rid long, lo long, hi long")
+    spans = save(anchors.join(again.hint("shuffle_hash"), "name", "left_semi").groupBy("key", "rid").agg(F.collect_set(F.struct("name", "span")).alias("spans")), "spans")
+    release(again)
+    contexts = save(rows.join(spans, ["key", "rid"]).select("key", "rid", "text", "spans").mapInArrow(_context_rows(length), CONTEXT), "contexts")
+    release(spans)
+    every, stored = _split_hot(contexts, length)
+    known, meeting = [], []
+    for part in every:
+        known.append(part.filter("context IS NULL").select("key", "rid", "lo", "hi"))
+        meeting.append(part.filter("context IS NOT NULL").select("name", "context", "twice", "key", "rid", "lo"))
+    together = reduce(DataFrame.unionByName, meeting).repartition(F.col("name")).sortWithinPartitions("name")
+    return reduce(DataFrame.unionByName, known).unionByName(together.mapInArrow(_range_rows(length), "key long, rid long, lo long, hi long")), stored
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
@@ -287,9 +412,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for batch in batches:
             for part in slices(batch, "text", 4 << 20):
                 out = []
-                for text, los, his in zip(byte_texts(part), part.column("lo"), part.column("hi"), strict=True):
-                    if los.is_valid:
-                        lo, hi = _unite(los.values.to_numpy(), his.values.to_numpy())
+                for text, ranges in zip(byte_texts(part), part.column("ranges"), strict=True):
+                    if ranges.is_valid:
+                        lo, hi = _unite(ranges.values.field(0).to_numpy(), ranges.values.field(1).to_numpy())
                         kept = b"".join(text[a:b] for a, b in zip(np.r_[0, hi].tolist(), np.r_[lo, len(text)].tolist(), strict=True))
                         out.append((len(text), len(text) - len(kept), len(lo), hashlib.sha256(kept).hexdigest(), kept, [{"lo": a, "hi": b} for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]))
                     else:
@@ -299,5 +424,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(x, k) for x, k in zip(columns, kinds, strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "spans"])
 
     rows = identified(docs, id_col, text_col)
-    per = removed_ranges(rows, length).groupBy("key", "rid").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
-    return rows.join(per, ["key", "rid"], "left").select("doc_id", "text", "lo", "hi").mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<struct<lo:long,hi:long>>")
+    ranges, stored = removed_ranges(rows, length)
+    per = save(ranges.groupBy("key", "rid").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges")), "ranges")
+    release(*stored)
+    return rows.join(per, ["key", "rid"], "left").select("doc_id", "text", "ranges").mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<struct<lo:long,hi:long>>")

@@ -11,9 +11,11 @@ range, which is all that can matter. At last scores at or above the k-th value a
 and ranked, ties to the smaller id.
 
 Defined results: vectors that are null, empty or hold a null or non-finite component take
-no part; vectors meet only vectors of their length; a null id takes no part; a query never
-meets rows of its own id; repeated rows are queries and candidates of their own; other
-columns are ignored; an empty table gives an empty result.
+no part; vectors meet only vectors of their length; a null id takes no part; a query meets
+every row but itself, rows of its own id too; repeated rows are queries and candidates of
+their own; components beyond 64 bits after scaling are the nearest 64-bit number and scores
+beyond 2^61 either way count as 2^61; other columns are ignored; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ from pyspark.sql import functions as F
 from .common import save
 
 SCALE, BINS = 1024, 1024
+#: Greatest score, so that differences of two fit 64 bits.
+LIMIT = 1 << 61
 QUERY_BLOCK, CANDIDATE_BLOCK = 2048, 4096
 #: Scores held at once: a block of candidates times so many queries.
 QUERIES_AT_ONCE = 64
@@ -55,8 +59,9 @@ def _scores(batches: Iterator[pa.RecordBatch], exact: bool) -> Iterator[tuple[pa
             ids, c = candidates.field("id").to_numpy(), _matrix(candidates, exact).T
             for i in range(0, len(queries), QUERIES_AT_ONCE):
                 part = queries.slice(i, QUERIES_AT_ONCE)
-                score = (_matrix(part, exact) @ c).astype(np.int64)
-                yield part, ids, score, part.field("id").to_numpy()[:, None] == ids
+                found = _matrix(part, exact) @ c
+                score = found.astype(np.int64) if exact else np.clip(found, -LIMIT, LIMIT).astype(np.int64)
+                yield part, ids, score, part.field("row").to_numpy()[:, None] == candidates.field("row").to_numpy()
 
 
 def _count_bins(width: int, span: int, exact: bool):
@@ -93,7 +98,7 @@ def _pairs(queries: DataFrame, candidates: DataFrame, query_blocks: int, candida
     dim = F.size("v")
     q = queries.groupBy(dim.alias("dim"), block(query_blocks).alias("qb")).agg(F.collect_list(F.struct("row", "id", "v", "lo", "need")).alias("queries"))
     q = q.withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(candidate_blocks - 1))))
-    c = candidates.groupBy(dim.alias("dim"), block(candidate_blocks).alias("cb")).agg(F.collect_list(F.struct("id", "v")).alias("candidates"))
+    c = candidates.groupBy(dim.alias("dim"), block(candidate_blocks).alias("cb")).agg(F.collect_list(F.struct("row", "id", "v")).alias("candidates"))
     return q.join(c, ["dim", "cb"]).select("queries", "candidates")
 
 
@@ -103,8 +108,7 @@ def top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_c
     stats = every.agg(F.count("*").alias("n"), F.count(F.when(is_query, 1)).alias("q"), F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x)).alias("norm2")).first()
     bound = int((stats["norm2"] or 0) * 1.000001) + 1  # Cauchy-Schwarz
     exact = bound < 1 << 52
-    if bound >= 1 << 62:
-        raise ValueError("scores exceed 64-bit integers")
+    bound = min(bound, LIMIT)
     query_blocks, candidate_blocks = -(-stats["q"] // QUERY_BLOCK) or 1, -(-stats["n"] // CANDIDATE_BLOCK) or 1
     state = every.filter(is_query).withColumns({"lo": F.lit(-bound).cast("long"), "need": F.lit(k).cast("long")})
     width = 2 * bound + 1

@@ -197,31 +197,115 @@ def test_spans_remove_a_passage_but_not_clean_texts(spark):
         assert got[i]["n_removed"] == 0
 
 
+def thue_morse(n, a, b):
+    """The two words that polynomial hashes modulo 2^64 cannot tell apart."""
+    bits = [bin(i).count("1") & 1 for i in range(n)]
+    return "".join(a if x else b for x in bits), "".join(b if x else a for x in bits)
+
+
 def test_every_passage_of_51_words_shares_a_span():
     r = random.Random(21)
     few = " ".join(r.choice(["to", "be"]) for _ in range(51))
-    passages = [words(r, 51) for _ in range(300)] + [few, "yes " * 51]
+    dotted = [" ".join(w + r.choice(["", "", "", "", ".", "!"]) for w in words(r, 51).split()) for _ in range(300)]
+    passages = [words(r, 51) for _ in range(300)] + dotted + [few, "yes " * 51]
     texts = [f"{words(r, r.randint(1, 30))} {p} {words(r, r.randint(1, 30))}".encode() for p in passages for _ in range(2)]
-    who, _, _, name = span_dedup.spans(texts, span_dedup.SENTENCES, span_dedup.MIN_WORDS, span_dedup.CUT_EVERY)
+    who, _, _, name, _ = span_dedup.spans(span_dedup.Sentences(texts, span_dedup.LONGEST), span_dedup.SENTENCES, span_dedup.MIN_WORDS)
     held = [set() for _ in texts]
     for w, h in zip(who.tolist(), name.tolist()):
         held[w].add(h)
     assert [i for i in range(len(passages)) if not held[2 * i] & held[2 * i + 1]] == []
 
 
-def test_spans_cover_as_brute_force_says():
+def brute_sentences(text, longest):
+    """(words, first word of each sentence) by the rules in the module's docstring."""
+    raw = (text or "").encode()
+    found = [(m.start(), m.end()) for m in re.finditer(rb"[^\x20\x09-\x0d]+", raw)]
+    starts = [i for i, (a, _) in enumerate(found) if i == 0 or raw[found[i - 1][1] - 1 : found[i - 1][1]] in (b".", b"!", b"?") or b"\n" in raw[found[i - 1][1] : a]]
+    h = [xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in found]
+    cut = set(starts)
+    for a, b in zip(starts, starts[1:] + [len(found)]):
+        for i in range(a, b - longest + 1):
+            low = min(h[i : i + longest])
+            last = max(j for j in range(i, i + longest) if h[j] == low)
+            if last + 1 < len(found):
+                cut.add(last + 1)
+    return raw, found, sorted(cut) if found else []
+
+
+def brute_spans(rows, k, w, longest):
+    texts = [brute_sentences(t, longest) for _, t in rows]
+    runs, first = [], {}
+    for n, ((i, _), (raw, found, cuts)) in enumerate(zip(rows, texts)):
+        edges = cuts + [len(found)]
+        m, mine = len(cuts), set()
+        long_enough = lambda a, b: b - a >= k and edges[b] - edges[a] >= w
+        for a in range(m):
+            mine.update([(a, b) for b in range(a + 1, m + 1) if long_enough(a, b)][:1])
+            mine.update([(b, a + 1) for b in range(a, -1, -1) if long_enough(b, a + 1)][:1])
+        runs.append([(a, b, tuple(raw[x:y] for x, y in found[edges[a] : edges[b]])) for a, b in sorted(mine)])
+        for _, _, run in runs[-1]:
+            first[run] = min(first.get(run, (1 << 63, 0)), ((1 << 62) if i is None else i, n))
+    out = []
+    for n, ((i, _), (raw, found, cuts)) in enumerate(zip(rows, texts)):
+        gone, seen = set(), set()
+        for a, b, run in runs[n]:
+            if run in seen or first[run][0] < ((1 << 62) if i is None else i):
+                gone.update(range(a, b))
+            seen.add(run)
+        bounds = [found[c][0] for c in cuts] + [len(raw)]
+        kept = raw[: bounds[0]] + b"".join(raw[bounds[c] : bounds[c + 1]] for c in range(len(cuts)) if c not in gone)
+        out.append((i, len(cuts), len(gone), sum(c - 1 not in gone for c in gone), len(raw) - len(kept), kept.decode()))
+    return out
+
+
+def test_spans_are_removed_as_brute_force_says(spark):
     r = random.Random(12)
-    passage = words(r, 90)
-    texts = [(words(r, 30) + " " + passage).encode(), (passage + "\n" + words(r, 25)).encode(), b"", b"one"]
-    who, first, n, name = span_dedup.spans(texts, 3, 24, 6)
-    raw = b" " + b" ".join(texts) + b" "
-    begins = np.cumsum([1, *(len(x) + 1 for x in texts[:-1])])
-    start, end, cuts, edges = span_dedup.sentence_cuts(np.frombuffer(raw, np.uint8), begins)
-    bounds = np.r_[cuts, len(start)]
-    text_of = {}
-    for w, f, k, h in zip(who, first, n, name):
-        a, b = edges[w] + f, edges[w] + f + k
-        run = tuple(raw[s:e] for s, e in zip(start[bounds[a] : bounds[b]], end[bounds[a] : bounds[b]]))
-        assert k >= 3 and len(run) >= 24
-        assert text_of.setdefault(h, run) == run
-    assert len(set(text_of.values())) == len(text_of)
+    sentence = lambda: words(r, r.randint(1, 30)).capitalize() + r.choice([".", "!", "?", "\n", ". \n"])
+    shared = [" ".join(sentence() for _ in range(r.randint(3, 8))) for _ in range(6)]
+    rows = []
+    for i in range(60):
+        parts = [" ".join(sentence() for _ in range(r.randint(0, 4))) for _ in range(3)]
+        rows.append((i, f"{parts[0]} {r.choice(shared)[r.randint(0, 9):]} {parts[1]} {r.choice(shared)} {parts[2]}"))
+    one, other = thue_morse(2048, "e", "x")
+    rows += [(60, "no. " * 40), (61, "no. " * 30), (62, rows[3][1]), (62, rows[3][1]), (63, None), (63, ""), (63, " \n "), (64, f"{one} " * 30), (65, f"{other} " * 30), (66, shared[0] * 40)]
+    # One id with other texts: the later ones keep what only their own id has before them.
+    rows += [(1000, shared[0]), (1000, "a b c"), (1001, shared[1] + " tail end"), (1001, shared[1]), (1001, "short")]
+    rows += [(None, shared[2])]
+    got = span_dedup.remove_repeated_spans(frame(spark, rows)).collect()
+    want = brute_spans(rows, span_dedup.SENTENCES, span_dedup.MIN_WORDS, span_dedup.LONGEST)
+    key = lambda x: (str(x[0]), *map(str, x[1:]))
+    assert sorted((tuple(x) for x in got), key=key) == sorted(want, key=key)
+
+
+def test_suffix_dedup_where_names_are_hot(spark, monkeypatch):
+    """A common line with other neighbours each time: its names are split twice, the results stay."""
+    monkeypatch.setattr(suffix_dedup, "HEAVY_BYTES", 2000)
+    r = random.Random(17)
+    line = words(r, 30)[:130]
+    rows = [(i, words(r, r.randint(20, 30)) + line[: r.choice([30, 70, 99, 130])] + words(r, r.randint(20, 30))) for i in range(60)]
+    rows += [(100 + i, rows[i][1][5:]) for i in range(0, 60, 3)] + [(200, "ab" * 700), (201, "ab" * 700), (202, "c" * 5000)]
+    got = {x["doc_id"]: (x["n_bytes"], x["n_removed"], x["n_spans"], x["kept_sha256"]) for x in suffix_dedup.remove_repeats(frame(spark, rows)).collect()}
+    assert [got[i] for i, _ in rows] == brute_cut(rows, 100)
+
+
+def test_suffix_dedup_of_unusual_rows(spark):
+    """Null ids come last, equal rows are one document, texts of one id follow by hash."""
+    r = random.Random(18)
+    passage, other = words(r, 60), words(r, 60)
+    rows = [(5, passage), (5, passage), (None, passage + "!"), (None, None), (6, "tail " + other), (6, other), (7, "z" * 3_000_000)]
+    got = suffix_dedup.remove_repeats(frame(spark, rows)).collect()
+    removed = {}
+    for x in got:
+        removed.setdefault(x["doc_id"], []).append((x["n_bytes"], x["n_removed"]))
+    assert removed[5] == [(len(passage), 0)] * 2 and removed[7] == [(3_000_000, 2_999_999)]
+    assert sorted(removed[None]) == [(0, 0), (len(passage) + 1, len(passage))]
+    assert sorted(n for _, n in removed[6]) == [0, len(other)]
+
+
+def test_null_and_repeated_rows_of_the_pipeline_stages(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, text), (None, text), (3, text + " x"), (3, text + " x"), (4, None), (4, ""), (5, text)]
+    exact = exact_dedup.drop_exact_copies(frame(spark, rows)).collect()
+    assert sorted((str(x["doc_id"]), x["text"]) for x in exact if x["text"]) == [("3", text + " x"), ("5", text)] and len(exact) == 3
+    near = simhash.drop_near_copies(frame(spark, rows)).collect()
+    assert len([x for x in near if x["text"]]) == len({f"{brute_print(t):016x}" for _, t in rows if t}) and len(near) <= 3
