@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from clausegrid.llm import exact_dedup, mixing, packing, quality, simhash
-from clausegrid.llm.common import save, table
+from clausegrid.llm.common import release, save, table
 
 
 def keep_good_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +51,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
         docs = save(stage(spark, docs, sf_dir), name)
+        release(*before)
+        before = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
