@@ -106,6 +106,12 @@ def trigram_set(c: Column) -> Column:
     return F.array_distinct(trigram_list(c))
 
 
+def packed_trigrams(c: Column) -> Column:
+    """Trigrams of a text in order, each as one number: three code points of 21 bits."""
+    code = lambda g, i: F.ascii(F.substring(g, i, 1)).cast("long")
+    return F.transform(trigram_list(c), lambda g: F.shiftleft(code(g, 1), 42) + F.shiftleft(code(g, 2), 21) + code(g, 3))
+
+
 def overlap_share(shared: Column, left: Column, right: Column) -> Column:
     """Set similarity from the number shared and both sizes."""
     return F.coalesce(F.try_divide(shared, left + right - shared), F.lit(0.0))

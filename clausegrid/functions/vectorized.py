@@ -7,10 +7,13 @@ import re
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
 
+# The rule under a table's header.
 _RULE = re.compile(r"\s*\|?[\s:|-]*-[\s:|-]*\|?\s*")
+# End of fixed values.
 KIND = Ty.ArrayType(Ty.StructType([Ty.StructField("table_no", Ty.IntegerType()), Ty.StructField("row_no", Ty.IntegerType())]))
 
 
@@ -82,28 +85,138 @@ def hashed_vector(text: str, dim: int) -> np.ndarray:
     return v / (np.linalg.norm(v) or 1.0)
 
 
-def word_similarity_of(query: set[str], text: list[str]) -> float:
-    """Best share of ``query`` (trigrams) against any run of ``text`` (trigrams in order).
-
-    An extent with more than len(query) / best different trigrams cannot win, which ends each scan early."""
-    n, best = len(query), 0.0
-    for i, first in enumerate(text):
-        if first not in query:
-            continue
-        seen: set[str] = set()
-        shared = 0
-        for t in text[i:]:
-            if t in seen:
-                continue
-            seen.add(t)
-            if t in query:
-                shared += 1
-                best = max(best, shared / (n + len(seen) - shared))
-            elif best and len(seen) * best > n:
+#: Cells of the arrays that ``extent_scores`` works on at once, and trigrams that are counted at once.
+EXTENT_CELLS, GRAM_SLICE = 1 << 19, 2048
+
+
+def lists(c: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """(values end to end, length of each list)."""
+    return c.flatten().to_numpy(zero_copy_only=False).astype(np.int64), c.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def extent_scores(asked: np.ndarray, n: np.ndarray, member: np.ndarray, text: np.ndarray, code: np.ndarray, prev: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """For each pair (asked, text) the best share of the asked trigrams against any run of the text's trigrams.
+
+    ``n``: trigrams of each probe; ``member`` (probe, code): which they are; ``code`` and ``prev``: of every trigram of
+    all texts end to end, its code and the place in its text where it stood last (-1: nowhere); ``size``: trigrams of
+    each text. A best run begins at an asked trigram: every step takes the next such beginning of all pairs at once."""
+    out = np.zeros(len(asked))
+    begins = np.cumsum(size) - size
+    by_size = np.argsort(size[text], kind="stable")
+    i = 0
+    while i < len(by_size):
+        rows = max(1, EXTENT_CELLS // max(1, int(size[text[by_size[min(i + 4096, len(by_size)) - 1]]])))
+        pick = by_size[i : i + min(rows, 4096)]
+        i += len(pick)
+        t, p = text[pick], asked[pick]
+        place = np.arange(int(size[t].max(initial=0)))
+        inside = place < size[t][:, None]
+        at = np.where(inside, begins[t][:, None] + place, 0)
+        hit = member[p[:, None], code[at]] & inside
+        last = np.where(inside, prev[at], len(place))
+        nth = np.cumsum(hit, axis=1)
+        most = nth[:, -1] if len(place) else np.zeros(len(pick), np.int64)
+        bound = (hit & (last < 0)).sum(1) / n[p]
+        best = np.zeros(len(pick))
+        for k in range(1, int(most.max(initial=0)) + 1):
+            live = np.flatnonzero((most >= k) & (best < bound))
+            if not len(live):
                 break
-    return best
+            first = (nth[live] >= k).argmax(1)[:, None]
+            fresh = (last[live] < first) & (place >= first)
+            shared = np.cumsum(fresh & hit[live], axis=1)
+            best[live] = np.maximum(best[live], (shared / (n[p[live], None] + np.cumsum(fresh, axis=1) - shared)).max(1))
+        out[pick] = best
+    return out
+
+
+def coded(vocabulary: np.ndarray, grams: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(code of each trigram in the sorted vocabulary, its length for others; place of the same trigram before it in its
+    text, or -1; text of each) of texts end to end."""
+    owner = np.repeat(np.arange(len(size)), size)
+    place = np.arange(len(grams)) - np.repeat(np.cumsum(size) - size, size)
+    code = np.searchsorted(vocabulary, grams)
+    known = code < len(vocabulary)
+    known[known] = vocabulary[code[known]] == grams[known]
+    prev = np.full(len(grams), -1)
+    order = np.lexsort((grams, owner))
+    same = (grams[order[1:]] == grams[order[:-1]]) & (owner[order[1:]] == owner[order[:-1]])
+    prev[order[1:][same]] = place[order[:-1][same]]
+    return np.where(known, code, len(vocabulary)), prev, owner
+
+
+def floors(score: np.ndarray, pool: int) -> np.ndarray:
+    """The ``pool``-th greatest value of every row, 0 in shorter rows; as a column."""
+    if score.shape[1] <= pool:
+        return np.zeros((len(score), 1))
+    return np.partition(score, score.shape[1] - pool, axis=1)[:, score.shape[1] - pool, None]
+
+
+def best_places(score: np.ndarray, pool: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the ``pool`` greatest positive values of every row, ties to the smaller column."""
+    row, column = np.nonzero((score >= floors(score, pool)) & (score > 0))
+    order = np.lexsort((column, -score[row, column], row))
+    row, column = row[order], column[order]
+    keep = np.arange(len(row)) - np.searchsorted(row, row) < pool
+    return row[keep], column[keep]
+
+
+def trigram_scores(asked: tuple[np.ndarray, np.ndarray], texts: tuple[np.ndarray, np.ndarray], pool: int, words: bool) -> np.ndarray:
+    """(probe, text): set similarity of trigrams; with ``words`` the greater of it and word similarity.
+
+    ``asked``: each probe's different trigrams, ``texts``: each text's in order; both as (values end to end, lengths).
+    Word similarity is at most shared / asked. It is worked out for the ``pool`` highest bounds of a probe and then for
+    every bound that reaches the probe's ``pool``-th score so far; elsewhere it cannot enter the pool and stays out."""
+    n, size = asked[1], texts[1]
+    vocabulary = np.unique(asked[0])
+    code, prev, owner = coded(vocabulary, *texts)
+    different = np.bincount(owner[prev < 0], minlength=len(size))
+    member = np.zeros((len(n), len(vocabulary) + 1), bool)
+    member[np.repeat(np.arange(len(n)), n), np.searchsorted(vocabulary, asked[0])] = True
+    once = (prev < 0) & (code < len(vocabulary))
+    shared = np.zeros((len(n), len(size)), np.float32)
+    for i in range(0, len(vocabulary), GRAM_SLICE):
+        left = member[:, i : min(i + GRAM_SLICE, len(vocabulary))].astype(np.float32)
+        mine = once & (code >= i) & (code < i + left.shape[1])
+        right = np.zeros((left.shape[1], len(size)), np.float32)
+        right[code[mine] - i, owner[mine]] = 1
+        shared += left @ right
+    shared = shared.astype(np.float64)
+    score = shared / np.maximum(n[:, None] + different - shared, 1)
+    if words and score.size:
+        bound = np.where(shared / np.maximum(n, 1)[:, None] > score, shared / np.maximum(n, 1)[:, None], 0)
+        for first in (True, False):
+            p, t = best_places(bound, pool) if first else np.nonzero((bound > 0) & (bound >= floors(score, pool)))
+            score[p, t] = np.maximum(score[p, t], extent_scores(p, n, member, t, code, prev, size))
+            bound[p, t] = 0
+    return score
+
+
+def pair_scores(asked: tuple[np.ndarray, np.ndarray], texts: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Word similarity of each probe with the text of the same place."""
+    n, size = asked[1], texts[1]
+    vocabulary = np.unique(asked[0])
+    code, prev, _ = coded(vocabulary, *texts)
+    own = np.searchsorted(vocabulary, asked[0])
+    edges = np.r_[0, np.cumsum(n)]
+    out = np.zeros(len(n))
+    for i in range(0, len(n), 512):
+        row = np.arange(i, min(i + 512, len(n)))
+        member = np.zeros((len(row), len(vocabulary) + 1), bool)
+        member[np.repeat(row - i, n[row]), own[edges[i] : edges[row[-1] + 1]]] = True
+        out[row] = extent_scores(row - i, np.maximum(n[row], 1), member, row, code, prev, size)
+    return out
+
+
+def word_similarity_of(asked: set, text: list) -> float:
+    """Word similarity of one set of trigrams with one text's trigrams in order."""
+    number = {g: i for i, g in enumerate({*asked, *text})}
+    one = lambda grams: (np.array([number[g] for g in grams], np.int64), np.array([len(grams)]))
+    return float(pair_scores(one(asked), one(text))[0])
 
 
 @F.pandas_udf(Ty.DoubleType())
-def word_similarity(query: pd.Series, text: pd.Series) -> pd.Series:
-    return pd.Series([word_similarity_of(set(q), list(t)) for q, t in zip(query, text, strict=True)], dtype="float64")
+def word_similarity(asked: pd.Series, text: pd.Series) -> pd.Series:
+    """Word similarity of packed trigrams: ``asked`` different ones, ``text`` in order."""
+    flat = lambda s: (np.concatenate([np.zeros(0, np.int64), *(np.asarray(x, np.int64) for x in s)]), np.array([len(x) for x in s], np.int64))
+    return pd.Series(pair_scores(flat(asked), flat(text)))

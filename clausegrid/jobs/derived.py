@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+from ..operators.requirements import HEADER_DATES, HEADER_TEXT, HEADER_TIMES
 from ..sources.io import table
 
 #: Parts of one derived document or table.
@@ -20,22 +22,58 @@ def row_text() -> F.Column:
 
 
 def part_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One child chunk for each part."""
-    from ..functions import text as T
-
+    """One child chunk for each part; ten parts have one parent."""
     p = table(spark, sf_dir, "part")
-    rows = p.select(F.col("p_partkey").alias("chunk_id"), F.expr("CAST(regexp_extract(p_brand, '([0-9]+)', 1) AS LONG) + 1000000000").alias("parent_id"), F.lit(1).cast("long").alias("document_id"), F.when(F.col("p_size") % 2 == 0, "catalog").otherwise("qa").alias("doc_kind"), row_text().alias("content"), F.concat(F.lit("Catalog > "), "p_type", F.lit(" > "), "p_brand").alias("section_path"))
+    rows = p.select(F.col("p_partkey").alias("chunk_id"), parent_of(F.col("p_partkey")).alias("parent_id"), (F.col("p_partkey") % 5).alias("document_id"), F.when(F.col("p_size") % 2 == 0, "catalog").otherwise("qa").alias("doc_kind"), row_text().alias("content"), F.concat(F.lit("Catalog > "), "p_type", F.lit(" > "), "p_brand").alias("section_path"))
     return rows.withColumns({"keywords": T.keywords(F.col("content")), "model_tags": T.models(F.col("content"))})
 
 
+def parent_of(part: F.Column) -> F.Column:
+    return F.floor(part / PARTS) + 1000000000
+
+
+def part_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parents of ``part_chunks``, but for every seventh: chunk_id, content."""
+    p = table(spark, sf_dir, "part").groupBy(parent_of(F.col("p_partkey")).alias("chunk_id")).agg(F.array_sort(F.collect_list(F.struct("p_partkey", row_text().alias("line")))).alias("rows"))
+    return p.filter("chunk_id % 7 <> 0").select("chunk_id", F.array_join(F.transform("rows", lambda r: r["line"]), "\n").alias("content"))
+
+
+def embedded(rows: DataFrame, key: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``rows`` with the vector of the same number, where there is one."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias(key), "embedding")
+    return rows.join(e, key, "left")
+
+
+def region_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """document_id, doc_title, doc_no."""
+    k = F.col("r_regionkey").cast("long")
+    return table(spark, sf_dir, "region").select(k.alias("document_id"), F.col("r_name").alias("doc_title"), F.concat(F.lit("R-"), s(k)).alias("doc_no"))
+
+
 def supplier_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One query for each supplier."""
+    """One query for each supplier. Of ten one names a model itself, one wants no filter, the others have one given."""
     k = F.col("s_suppkey")
-    text = F.concat(F.lit("IP6"), s(k % 10), F.lit(" "), F.element_at(F.array(F.lit("ring"), F.lit("widget"), F.lit("steel gear")), (k % 3 + 1).cast("int")))
-    rows = table(spark, sf_dir, "supplier").select(k.alias("query_id"), text.alias("text"), F.concat(F.lit("LT-"), s(k % 50 + 101)).alias("model_filter"))
+    text = F.concat(F.lit("IP6"), s(k % 10), F.lit(" "), F.element_at(F.array(F.lit("ring"), F.lit("widget"), F.lit("steel gear")), (k % 3 + 1).cast("int")), F.when(k % 10 == 0, F.concat(F.lit(" LT-"), s(k % 20 + 101))).otherwise(""))
+    model = F.when(k % 10 == 1, "").when(k % 10 > 1, F.concat(F.lit("LT-"), s(k % 50 + 101)))
+    rows = table(spark, sf_dir, "supplier").select(k.alias("query_id"), text.alias("text"), model.alias("model_filter"))
     return rows.withColumn("probes", F.array("text"))
 
 
+def part_evidences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evidence of the first clause of ``part_assessments``: two ranks, some without a number, none for every fourth size."""
+    p = table(spark, sf_dir, "part").filter("p_size % 4 <> 0").select("*", F.explode(F.array(F.lit(2), F.lit(3))).alias("rank"))
+    first = F.col("rank") == 2
+    return p.select(F.col("p_partkey").alias("run_id"), (F.col("p_partkey") * 2).alias("requirement_id"), F.when(first, F.concat(F.lit("Catalog "), "p_type")).otherwise("later").alias("doc_title"), F.when(F.col("p_size") % 2 == 0, "").otherwise(F.col("p_brand")).alias("doc_no"), F.when(first, F.col("p_name")).otherwise("later").alias("location"), "rank")
+
+
+def customer_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A project for each customer: every fifth has a title, every third a due date; all other header fields are blank."""
+    k = F.col("c_custkey")
+    own = {"title": F.when(k % 5 == 0, F.col("c_name")).otherwise(""), "bid_due_at": F.when(k % 3 == 0, F.lit("2025-03-01").cast("timestamp"))}
+    kinds = dict.fromkeys(HEADER_TEXT, F.lit("")) | dict.fromkeys(HEADER_DATES, F.lit(None).cast("date")) | dict.fromkeys(HEADER_TIMES, F.lit(None).cast("timestamp"))
+    return table(spark, sf_dir, "customer").select(k.alias("project_id"), *[c.alias(f) for f, c in (kinds | own).items()])
+
+
 def part_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Markdown documents of ten parts each: headings, one table, a note."""
     p = table(spark, sf_dir, "part").withColumn("document_id", F.floor(F.col("p_partkey") / PARTS))
@@ -63,8 +101,11 @@ def event_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     k = F.get_json_object("props", "$.k").cast("int")
     clause = F.concat(s(k % 5 + 1), F.lit("."), s(F.col("event_id") % 12))
-    one = F.to_json(F.struct(clause.alias("clause_no"), F.when(k % 2 == 0, "delivery").otherwise(F.col("event_type")).alias("category"), F.col("event_type").alias("item"), F.when(k % 10 == 0, "").otherwise(F.concat(s(k), F.lit(" kg 이하"))).alias("requirement_text"), k.alias("source_page")))
-    body = F.concat(F.lit('{"requirements":['), one, F.lit('],"warnings":["w'), s(k), F.lit('"],"submission_items":[{"seq":'), s(k), F.lit(',"name":"'), F.col("event_type"), F.lit('"},{"seq":"x","name":"y"}],"participation_reqs":[{"seq":"p'), s(k % 7), F.lit('","text":"'), F.col("event_type"), F.lit('"}],"bid_info":{"title":"T'), s(k), F.lit('","announced_on":"2025-1-'), s(k % 28 + 1), F.lit('","bid_due_at":"soon"}}'))
+    one = F.to_json(F.struct(clause.alias("clause_no"), F.when(k % 2 == 0, "delivery").otherwise(F.col("event_type")).alias("category"), F.col("event_type").alias("item"), F.when(k % 10 == 0, "").otherwise(F.concat(s(k), F.lit(" kg 이하"))).alias("requirement_text")))
+    number = F.when(k % 3 == 0, F.concat(F.lit('"'), s(k), F.lit('"'))).otherwise(s(k))  # every third is a text
+    one = F.concat(F.regexp_replace(one, r"\}$", ',"source_page":'), number, F.lit("}"))
+    due = F.when(k % 4 == 1, F.concat(F.lit("2025-2-"), s(k % 28 + 1), F.lit(" 9:30"))).otherwise("soon")
+    body = F.concat(F.lit('{"requirements":['), one, F.lit('],"warnings":["w'), s(k), F.lit('"],"submission_items":[{"seq":'), number, F.lit(',"name":"'), F.col("event_type"), F.lit('"},{"seq":"x","name":"y"}],"participation_reqs":[{"seq":"p'), s(k % 7), F.lit('","text":"'), F.col("event_type"), F.lit('"}],"bid_info":{"title":"T'), s(k), F.lit('","announced_on":"2025-1-'), s(k % 28 + 1), F.lit('","bid_due_at":"'), due, F.lit('","spec_doc_no":"'), F.when(F.col("event_id") % 2 == 1, F.concat(F.lit("S-"), s("event_id"))).otherwise(""), F.lit('"}}'))
     return e.select((F.col("user_id") % 50).alias("project_id"), F.col("event_id").alias("document_id"), F.when(F.col("event_id") % 2 == 0, "announcement").otherwise("techspec").alias("doc_type"), F.when(F.col("event_id") % 97 == 0, "not json").otherwise(body).alias("response"))
 
 
@@ -87,7 +128,11 @@ def label_assessments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages of one document for each source; every page has one small table."""
-    d = table(spark, sf_dir, "documents")
+    """Documents of ten pages each. Every tenth page has no text; of three pages one has a table, one a table with a
+    short row, a cell with a pipe and a blank row, and one none."""
+    d, k = table(spark, sf_dir, "documents"), F.col("doc_id")
     rows = F.array(F.array(F.lit("lang"), F.lit("chars")), F.array("lang", s("n_chars")))
-    return d.select(F.xxhash64("source").alias("document_id"), F.col("source").alias("title"), F.col("doc_id").cast("int").alias("page_no"), F.col("text"), F.array(F.struct(F.lit(0).alias("index"), rows.alias("rows"))).alias("tables"))
+    more = F.when(k % 3 == 2, F.concat(rows, F.array(F.array(F.lit(" "), F.lit("")), F.array(F.lit("a|b"))))).otherwise(rows)
+    tables = F.when(k % 3 == 0, F.array().cast("array<struct<index:int,rows:array<array<string>>>>")).otherwise(F.array(F.struct(F.lit(0).alias("index"), more.alias("rows"))))
+    text = F.when(k % 10 == 4, " ").otherwise(F.col("text"))
+    return d.select(F.floor(k / PARTS).alias("document_id"), F.concat(F.lit("Notes "), s(F.floor(k / PARTS))).alias("title"), (k % PARTS + 1).cast("int").alias("page_no"), text.alias("text"), tables.alias("tables"))

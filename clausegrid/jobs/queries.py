@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from dataclasses import replace
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -13,23 +9,10 @@ from ..functions.vectorized import group_sentences
 from ..operators import admission, chunking, conflicts, deliverables, embedding, evaluation, markdown, page_checks, requirements, retrieval, verdicts
 from ..sources import io
 from . import derived as D
+from .registry import query
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
 table = io.table
 
-
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[name] = f
-        if sql:
-            ORACLE_SQL[name] = sql
-        return f
-
-    return add
-
-
 # Texts that several SQL forms share.
 ROW_TEXT = "p_name || ' — IP6' || (p_size % 10) || ', ' || p_size || ' kg, LT-' || (p_size + 100)"
 WORD_GRAMS = "list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', CAST(i AS BIGINT), 3))"
@@ -104,9 +87,11 @@ def chunk_reindex(spark, sf):
     return io.reindexed(chunks, chunks.filter("document_id % 3 = 0")).groupBy("document_id").agg(F.count("*").alias("n"))
 
 
-@query("index_status", "SELECT p_partkey // 10 AS document_id, 'indexed' AS status, count(*) + 5 AS chunk_count, 'hashed' AS embedding_model, '' AS error_message FROM part GROUP BY 1")
+@query("index_status", """
+SELECT p_partkey // 10 AS document_id, CASE WHEN p_partkey // 10 % 7 = 0 THEN 'failed' ELSE 'indexed' END AS status, CASE WHEN p_partkey // 10 % 7 = 0 THEN 0 ELSE count(*) + 5 END AS chunk_count,
+  CASE WHEN p_partkey // 10 % 7 = 0 THEN '' ELSE 'hashed' END AS embedding_model, CASE WHEN p_partkey // 10 % 7 = 0 THEN 'no chunks: the document is empty' ELSE '' END AS error_message FROM part GROUP BY 1""")
 def index_status(spark, sf):
-    return io.index_status(D.part_documents(spark, sf), _chunks(spark, sf), "hashed")
+    return io.index_status(D.part_documents(spark, sf), _chunks(spark, sf).filter("document_id % 7 <> 0"), "hashed")
 
 
 @query("load_by_doc_no", """
@@ -170,28 +155,43 @@ def table_warnings(spark, sf):
     return page_checks.table_warnings(D.part_tables(spark, sf))
 
 
-@query("page_stats", """
-SELECT source AS document_id, count(*) AS page_count, CAST(0 AS BIGINT) AS table_count, CAST(sum(length(replace(text, ' ', ''))) AS BIGINT) AS chars,
-       CASE WHEN count(*) > 50 THEN 'too many pages' WHEN sum(length(replace(text, ' ', ''))) < 50 THEN 'no text' END AS reason FROM documents GROUP BY 1""")
+PAGES = """
+WITH p AS (SELECT doc_id // 10 AS document_id, 'Notes ' || doc_id // 10 AS title, CAST(doc_id % 10 + 1 AS INTEGER) AS page_no, CASE WHEN doc_id % 10 = 4 THEN ' ' ELSE text END AS text,
+  lang, n_chars, doc_id % 3 > 0 AS has_table, doc_id % 3 = 2 AS ragged FROM documents),
+m AS (SELECT *, '| lang | chars |' || chr(10) || '|---|---|' || chr(10) || '| ' || lang || ' | ' || n_chars || ' |' || CASE WHEN ragged THEN chr(10) || '| a\\|b |   |' ELSE '' END AS md FROM p)
+"""
+PAGE_CHARS = "length(replace(text, ' ', '')) + CASE WHEN has_table THEN 9 + length(lang) + length(CAST(n_chars AS VARCHAR)) ELSE 0 END + CASE WHEN ragged THEN 3 ELSE 0 END"
+
+
+@query("page_stats", PAGES + f"""
+SELECT document_id, count(*) AS page_count, count(*) FILTER (has_table) AS table_count, CAST(sum({PAGE_CHARS}) AS BIGINT) AS chars,
+       CASE WHEN sum({PAGE_CHARS}) < 50 THEN 'no text' END AS reason FROM p GROUP BY 1""")
 def page_stats(spark, sf):
-    pages = table(spark, sf, "documents").select(F.col("source").alias("document_id"), F.col("doc_id").alias("page_no"), "text", F.array().cast("array<struct<index:int,rows:array<array<string>>>>").alias("tables"))
-    return page_checks.document_stats(pages)
+    return page_checks.document_stats(D.document_pages(spark, sf))
 
 
-@query("page_tables", """
-SELECT source AS title, doc_id AS section_id, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS INTEGER) AS table_index, source || ' > p.' || doc_id AS path, '| lang | chars |' || chr(10) || '|---|---|' || chr(10) || '| ' || lang || ' | ' || n_chars || ' |' AS md FROM documents""")
+@query("page_tables", PAGES + """
+SELECT title, CAST(page_no AS BIGINT) AS section_id, CAST(row_number() OVER (PARTITION BY document_id ORDER BY page_no) - 1 AS INTEGER) AS table_index, title || ' > p.' || page_no AS path, md FROM m WHERE has_table""")
 def page_tables(spark, sf):
     t = markdown.page_sections(D.document_pages(spark, sf))[1]
     return t.select(F.get("heading_path", F.lit(0)).alias("title"), F.col("section_id").cast("long").alias("section_id"), "table_index", chunking.joined_path(F.col("heading_path")).alias("path"), markdown.table_markdown(F.col("rows")).alias("md"))
 
 
-@query("prompt_rows", """
-SELECT source AS doc_type_label, '(없음)' AS doc_no, sha256(string_agg('[p.' || doc_id || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY doc_id)) AS body_hash,
-  sha256(string_agg('[p.' || doc_id || ' 표 1]' || chr(10) || '| lang | chars |' || chr(10) || '|---|---|' || chr(10) || '| ' || lang || ' | ' || n_chars || ' |', chr(10) || chr(10) ORDER BY doc_id)) AS tables_hash FROM documents GROUP BY source""")
+@query("page_sections", PAGES + "SELECT document_id, CAST(page_no AS BIGINT) AS section_id, 'p.' || page_no AS heading, 2 AS level, title || ' > p.' || page_no AS path, text FROM p")
+def page_sections(spark, sf):
+    rows = markdown.page_sections(D.document_pages(spark, sf))[0]
+    return rows.select("document_id", F.col("section_id").cast("long").alias("section_id"), "heading", "level", chunking.joined_path(F.col("heading_path")).alias("path"), "text")
+
+
+@query("prompt_rows", PAGES + """
+SELECT document_id, 'note' AS doc_type_label, CASE WHEN document_id % 4 = 0 THEN '(없음)' ELSE 'N-' || document_id END AS doc_no,
+  sha256(coalesce(string_agg('[p.' || page_no || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY page_no) FILTER (regexp_matches(text, '\\S')), '(표 밖 본문 없음)')) AS body_hash,
+  sha256(coalesce(string_agg('[p.' || page_no || ' 표 1]' || chr(10) || md, chr(10) || chr(10) ORDER BY page_no) FILTER (has_table), '(표 없음)')) AS tables_hash FROM m GROUP BY document_id""")
 def prompt_rows(spark, sf):
     pages = D.document_pages(spark, sf)
-    documents = pages.select("document_id", F.col("title").alias("doc_type_label")).distinct().withColumn("doc_no", F.lit(""))
-    return markdown.prompt_rows(pages, documents).select("doc_type_label", "doc_no", F.sha2("body_text", 256).alias("body_hash"), F.sha2("tables_markdown", 256).alias("tables_hash"))
+    number = F.when(F.col("document_id") % 4 == 0, "").otherwise(F.concat(F.lit("N-"), D.s("document_id")))
+    documents = pages.select("document_id", F.lit("note").alias("doc_type_label"), number.alias("doc_no")).distinct()
+    return markdown.prompt_rows(pages, documents).select("document_id", "doc_type_label", "doc_no", F.sha2("body_text", 256).alias("body_hash"), F.sha2("tables_markdown", 256).alias("tables_hash"))
 
 
 # --- Retrieval ----------------------------------------------------------------------------------------------------
@@ -199,12 +199,12 @@ def prompt_rows(spark, sf):
 
 @query("semantic_pool", """
 WITH q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id % 100 = 0), s AS (
-  SELECT query_id, vec_id AS chunk_id, greatest(0.0, list_cosine_similarity(CAST(e AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) AS x FROM q, embeddings WHERE vec_id % 100 <> 0)
+  SELECT query_id, vec_id AS chunk_id, greatest(0.0, list_cosine_similarity(CAST(e AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) AS x FROM q, embeddings)
 SELECT query_id, chunk_id, round(x, 6) AS semantic FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(x, 9) DESC, chunk_id) <= 40""")
 def semantic_pool(spark, sf):
     e = table(spark, sf, "embeddings")
     q = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
-    c = e.filter("vec_id % 100 <> 0").select(F.col("vec_id").alias("chunk_id"), "embedding")
+    c = e.select(F.col("vec_id").alias("chunk_id"), "embedding")
     return retrieval.semantic_top(q, c, 40).withColumn("semantic", F.round("semantic", 6))
 
 
@@ -216,8 +216,7 @@ s AS (SELECT probe, chunk_id, count(*)::DOUBLE / (any_value(pu.n) + any_value(cu
 SELECT probe, chunk_id, round(similarity, 9) AS similarity FROM s QUALIFY row_number() OVER (PARTITION BY probe ORDER BY round(similarity, 12) DESC, chunk_id) <= 40""")
 def trigram_pool(spark, sf):
     probes = table(spark, sf, "part").select(F.concat_ws(" ", "p_type", "p_name").alias("probe")).distinct().withColumn("query_id", F.lit(0))
-    pairs = retrieval.trigram_pairs(probes, D.part_chunks(spark, sf))
-    return retrieval._pooled(pairs, ["probe"], F.round("similarity", 12), 40).select("probe", "chunk_id", F.round("similarity", 9).alias("similarity"))
+    return retrieval.trigram_top(probes, D.part_chunks(spark, sf), 40).select("probe", "chunk_id", F.round("similarity", 9).alias("similarity"))
 
 
 @query("keyword_pool")
@@ -264,26 +263,6 @@ def fused_scores(spark, sf):
     return retrieval.fuse(a, b, retrieval.Settings()).withColumn("score", F.round("score", 6))
 
 
-@query("hybrid_search")
-def hybrid_search(spark, sf):
-    """Best evidence rows for every supplier's requirement."""
-    return retrieval.search(D.supplier_queries(spark, sf), D.part_chunks(spark, sf), s=replace(retrieval.Settings(), threshold=0.1)).select("query_id", "rank", "chunk_id", "parent_key", "score", "semantic", "keyword")
-
-
-@query("settings_compared")
-def settings_compared(spark, sf):
-    q, c, s = D.supplier_queries(spark, sf), D.part_chunks(spark, sf), replace(retrieval.Settings(), threshold=0.1)
-    return retrieval.compare_settings(retrieval.search(q.withColumn("model_filter", F.lit(None).cast("string")), c, s=s), retrieval.search(q, c, s=s))
-
-
-@query("evidence_snapshot")
-def evidence_snapshot(spark, sf):
-    chunks = D.part_chunks(spark, sf)
-    hits = retrieval.search(D.supplier_queries(spark, sf), chunks, s=replace(retrieval.Settings(), threshold=0.1))
-    documents = table(spark, sf, "region").select(F.col("r_regionkey").cast("long").alias("document_id"), F.col("r_name").alias("doc_title"), F.lit("R-1").alias("doc_no"))
-    return retrieval.evidence(hits, chunks.limit(0), documents)
-
-
 @query("locations", "SELECT p_partkey AS chunk_id, p_type || ' ' || p_brand AS location FROM part")
 def locations(spark, sf):
     return D.part_chunks(spark, sf).select("chunk_id", T.location(F.col("section_path")).alias("location"))
@@ -311,7 +290,7 @@ CATEGORY_SQL = "CASE WHEN k % 2 = 0 THEN 'delivery' ELSE 'other' END"
 
 
 @query("clean_requirements", RESPONSES + f"""
-SELECT project_id, document_id, clause_no, item, {CATEGORY_SQL} AS category, CASE WHEN k % 10 = 0 THEN '' ELSE k || ' kg 이하' END AS requirement_text, k AS source_page,
+SELECT project_id, document_id, clause_no, item, {CATEGORY_SQL} AS category, CASE WHEN k % 10 = 0 THEN '' ELSE k || ' kg 이하' END AS requirement_text, CASE WHEN k % 3 > 0 THEN k END AS source_page,
        CAST(row_number() OVER (PARTITION BY project_id ORDER BY CAST(split_part(clause_no, '.', 1) AS INTEGER), CAST(split_part(clause_no, '.', 2) AS INTEGER), doc_order, document_id) AS INTEGER) AS "order" FROM u""")
 def clean_requirements(spark, sf):
     parsed, _ = requirements.parse_responses(D.event_responses(spark, sf))
@@ -339,7 +318,7 @@ def requirement_counts(spark, sf):
 
 
 @query("submission_items", """
-SELECT user_id % 50 AS project_id, CAST(json_extract(props, '$.k') AS INTEGER) AS seq, event_type AS name FROM events WHERE event_id % 2 = 0 AND event_id % 97 <> 0
+SELECT user_id % 50 AS project_id, CAST(json_extract(props, '$.k') AS INTEGER) AS seq, event_type AS name FROM events WHERE event_id % 2 = 0 AND event_id % 97 <> 0 AND CAST(json_extract(props, '$.k') AS INTEGER) % 3 > 0
 QUALIFY row_number() OVER (PARTITION BY user_id % 50, CAST(json_extract(props, '$.k') AS INTEGER) ORDER BY event_id) = 1""")
 def submission_items(spark, sf):
     return requirements.save_submissions(requirements.parse_responses(D.event_responses(spark, sf))[0])[0].select("project_id", "seq", "name")
@@ -352,22 +331,29 @@ def participation(spark, sf):
     return requirements.save_participation(requirements.parse_responses(D.event_responses(spark, sf))[0])
 
 
-def _projects(spark):
-    blank = [F.lit("").alias(f) for f in requirements.HEADER_TEXT] + [F.lit(None).cast("date").alias(f) for f in requirements.HEADER_DATES] + [F.lit(None).cast("timestamp").alias(f) for f in requirements.HEADER_TIMES]
-    return spark.range(50).select(F.col("id").alias("project_id"), *blank)
+FIRST_HEADERS = """
+WITH e AS (SELECT user_id % 50 AS project_id, event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events WHERE event_id % 97 <> 0),
+f AS (SELECT project_id, k FROM e WHERE event_id % 2 = 0 QUALIFY row_number() OVER (PARTITION BY project_id ORDER BY event_id) = 1),
+d AS (SELECT project_id, k FROM e WHERE event_id % 2 = 0 AND k % 4 = 1 QUALIFY row_number() OVER (PARTITION BY project_id ORDER BY event_id) = 1),
+n AS (SELECT project_id, event_id FROM e WHERE event_id % 2 = 1 QUALIFY row_number() OVER (PARTITION BY project_id ORDER BY event_id) = 1)
+"""
 
 
-@query("project_headers", """
-WITH f AS (SELECT user_id % 50 AS project_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events WHERE event_id % 2 = 0 AND event_id % 97 <> 0 QUALIFY row_number() OVER (PARTITION BY user_id % 50 ORDER BY event_id) = 1)
-SELECT p.range AS project_id, coalesce('T' || k, '') AS title, CASE WHEN k IS NOT NULL THEN make_date(2025, 1, CAST(k % 28 + 1 AS INTEGER)) END AS announced_on FROM range(50) p LEFT JOIN f ON p.range = project_id""")
+@query("project_headers", FIRST_HEADERS + """
+SELECT c_custkey AS project_id, CASE WHEN c_custkey % 5 = 0 THEN c_name ELSE coalesce('T' || f.k, '') END AS title, CASE WHEN f.k IS NOT NULL THEN make_date(2025, 1, CAST(f.k % 28 + 1 AS INTEGER)) END AS announced_on,
+  CASE WHEN c_custkey % 3 = 0 THEN make_timestamp(2025, 3, 1, 0, 0, 0) WHEN d.k IS NOT NULL THEN make_timestamp(2025, 2, CAST(d.k % 28 + 1 AS INTEGER), 9, 30, 0) END AS bid_due_at, coalesce('S-' || n.event_id, '') AS spec_doc_no
+FROM customer LEFT JOIN f ON f.project_id = c_custkey LEFT JOIN d ON d.project_id = c_custkey LEFT JOIN n ON n.project_id = c_custkey""")
 def project_headers(spark, sf):
     parsed, _ = requirements.parse_responses(D.event_responses(spark, sf))
-    return requirements.fill_header(_projects(spark), parsed)[0].select("project_id", "title", "announced_on")
+    return requirements.fill_header(D.customer_projects(spark, sf), parsed)[0].select("project_id", "title", "announced_on", "bid_due_at", "spec_doc_no")
 
 
-@query("header_warnings", "SELECT user_id % 50 AS project_id, 'bid_due_at' AS field, 'soon' AS value FROM events WHERE event_id % 2 = 0 AND event_id % 97 <> 0")
+@query("header_warnings", """
+WITH e AS (SELECT user_id % 50 AS project_id, event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events WHERE event_id % 97 <> 0 AND event_id % 2 = 0),
+g AS (SELECT project_id, min(event_id) AS since FROM e WHERE k % 4 = 1 GROUP BY 1)
+SELECT project_id, 'bid_due_at' AS field, 'soon' AS value FROM e LEFT JOIN g USING (project_id) JOIN customer ON c_custkey = project_id WHERE k % 4 <> 1 AND (since IS NULL OR event_id < since) AND c_custkey % 3 <> 0""")
 def header_warnings(spark, sf):
-    return requirements.fill_header(_projects(spark), requirements.parse_responses(D.event_responses(spark, sf))[0])[1]
+    return requirements.fill_header(D.customer_projects(spark, sf), requirements.parse_responses(D.event_responses(spark, sf))[0])[1]
 
 
 @query("model_warnings", "SELECT user_id % 50 AS project_id, 'f' || event_id || ': w' || CAST(json_extract(props, '$.k') AS INTEGER) AS message FROM events WHERE event_id % 97 <> 0")
@@ -446,12 +432,12 @@ def run_status(spark, sf):
 
 @query("scoped_records", """
 WITH n AS (SELECT c_mktsegment AS sector, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY 1)
-SELECT s_suppkey AS requirement_id, sector, n, CASE WHEN n >= s_suppkey * 200 THEN 'MEET' ELSE 'GAP' END AS verdict FROM supplier, n""")
+SELECT s_suppkey AS requirement_id, sector, coalesce(n, 0) AS n, CASE WHEN coalesce(n, 0) >= s_suppkey * 200 THEN 'MEET' ELSE 'GAP' END AS verdict
+FROM (SELECT s_suppkey, CASE WHEN s_suppkey % 10 = 9 THEN 'NONE' ELSE c_mktsegment END AS sector FROM supplier JOIN customer ON c_custkey = s_suppkey) LEFT JOIN n USING (sector)""")
 def scoped_records(spark, sf):
     c = table(spark, sf, "customer")
     records = table(spark, sf, "lineitem").join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(c, F.col("o_custkey") == F.col("c_custkey")).select(F.concat(F.lit("Records > "), "c_mktsegment").alias("section_path"))
-    sectors = c.select(F.collect_set("c_mktsegment").alias("sectors"))
-    wanted = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("requirement_id"), (F.col("s_suppkey") * 200).alias("minimum")).join(F.broadcast(sectors)).select("requirement_id", "minimum", F.explode("sectors").alias("sector"))
+    wanted = table(spark, sf, "supplier").join(c, F.col("c_custkey") == F.col("s_suppkey")).select(F.col("s_suppkey").alias("requirement_id"), (F.col("s_suppkey") * 200).alias("minimum"), F.when(F.col("s_suppkey") % 10 == 9, "NONE").otherwise(F.col("c_mktsegment")).alias("sector"))
     return verdicts.scoped_counts(records, wanted).select("requirement_id", "sector", "n", "verdict")
 
 
@@ -496,10 +482,12 @@ def verdict_summary(spark, sf):
     return evaluation.run_summary(rows)
 
 
-@query("token_usage", "SELECT user_id AS run_id, CAST(count(*) AS INTEGER) AS calls, CAST(sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS BIGINT) AS prompt_tokens, CAST(sum(event_id % 7) AS BIGINT) AS completion_tokens FROM events GROUP BY 1")
+@query("token_usage", "SELECT user_id AS run_id, event_id // 8 AS part, CAST(count(*) AS INTEGER) AS calls, CAST(sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS BIGINT) AS prompt_tokens, CAST(sum(event_id % 7) AS BIGINT) AS completion_tokens FROM events GROUP BY 1, 2")
 def token_usage(spark, sf):
     call = F.struct(F.get_json_object("props", "$.k").cast("long").alias("prompt_tokens"), (F.col("event_id") % 7).alias("completion_tokens"))
-    return evaluation.token_usage(table(spark, sf, "events").groupBy(F.col("user_id").alias("run_id")).agg(F.collect_list(call).alias("llm_calls")))
+    part = F.floor(F.col("event_id") / 8).alias("part")  # eight events at most, so that no array grows with the table
+    runs = table(spark, sf, "events").groupBy(F.col("user_id").alias("user"), part).agg(F.collect_list(call).alias("llm_calls"))
+    return evaluation.token_usage(runs.withColumn("run_id", F.struct("user", "part"))).select("run_id.user", "run_id.part", "calls", "prompt_tokens", "completion_tokens").withColumnRenamed("user", "run_id")
 
 
 @query("project_list", """
@@ -556,17 +544,17 @@ def value_checks(spark, sf):
 
 
 @query("compliance_matrix", """
-WITH a AS (SELECT p_partkey AS run_id, p_size, '3.1' AS clause_no, CAST(1 AS INTEGER) AS no, '등급' AS category, 'IP65' AS our_value, CASE WHEN p_size % 3 = 0 THEN '확인 필요' ELSE '보완 필요' END AS verdict, 'one grade short' AS reason,
+WITH a AS (SELECT p_partkey AS run_id, p_size, p_type, p_brand, p_name, '3.1' AS clause_no, CAST(1 AS INTEGER) AS no, '등급' AS category, 'IP65' AS our_value, CASE WHEN p_size % 3 = 0 THEN '확인 필요' ELSE '보완 필요' END AS verdict, 'one grade short' AS reason,
     'housing (무게 +' || (p_size % 5) || 'kg, 납기 +' || (p_size % 4) || '주)' AS remedy FROM part
-  UNION ALL SELECT p_partkey, p_size, '3.2', 2, '제품 치수', p_size || CASE WHEN p_size % 10 = 0 THEN ' mm' ELSE ' kg' END, '충족', 'fits', '' FROM part)
-SELECT run_id, no, clause_no, category, our_value, verdict, reason, remedy, '-' AS evidence_document, CASE WHEN p_size % 10 <> 0 AND p_size + p_size % 5 > p_size % 7 + 20 THEN '이슈 1' ELSE '' END AS notes FROM a""")
+  UNION ALL SELECT p_partkey, p_size, p_type, p_brand, p_name, '3.2', 2, '제품 치수', p_size || CASE WHEN p_size % 10 = 0 THEN ' mm' ELSE ' kg' END, '충족', 'fits', '' FROM part)
+SELECT run_id, no, clause_no, category, our_value, verdict, reason, remedy, CASE WHEN p_size % 4 = 0 OR clause_no = '3.2' THEN '-' WHEN p_size % 2 = 0 THEN 'Catalog ' || p_type ELSE 'Catalog ' || p_type || ' (' || p_brand || ')' END AS evidence_document,
+  CASE WHEN p_size % 4 = 0 OR clause_no = '3.2' THEN '-' ELSE p_name END AS evidence_location, CASE WHEN p_size % 10 <> 0 AND p_size + p_size % 5 > p_size % 7 + 20 THEN '이슈 1' ELSE '' END AS notes FROM a""")
 def compliance_matrix(spark, sf):
     a = D.part_assessments(spark, sf)
     issues = conflicts.side_effect_issues(a)[0].withColumn("is_dismissed", F.lit(False))
     req = a.select("requirement_id", "clause_no", "chapter", "category", "item", "requirement_text").withColumns({"is_active": F.lit(True), "is_edited": F.lit(False)})
-    none = a.select("run_id", "requirement_id", F.lit("").alias("doc_title"), F.lit("").alias("doc_no"), F.lit("").alias("location"), F.lit(1).alias("rank")).limit(0)
     rows = a.select("run_id", "requirement_id", "our_value", "verdict", "gap_detail", "rationale", "remedy", "side_effects")
-    return deliverables.compliance_matrix(req, rows, none, issues).select("run_id", "no", "clause_no", "category", "our_value", "verdict", "reason", "remedy", "evidence_document", "notes")
+    return deliverables.compliance_matrix(req, rows, D.part_evidences(spark, sf), issues).select("run_id", "no", "clause_no", "category", "our_value", "verdict", "reason", "remedy", "evidence_document", "evidence_location", "notes")
 
 
 @query("issue_block", """
@@ -592,18 +580,10 @@ def inconsistent_pairs(spark, sf):
     return evaluation.inconsistent_pairs(D.part_assessments(spark, sf), pairs).select("run_id", "clause_a", "clause_b", "verdict_a", "verdict_b")
 
 
-@query("judgement_input", "SELECT p_partkey AS requirement_id, CASE WHEN p_partkey % 3 = 0 THEN 0 ELSE 2 END AS evidence_count FROM part")
-def judgement_input(spark, sf):
-    p = table(spark, sf, "part")
-    rows = p.filter("p_partkey % 3 <> 0").select(F.col("p_partkey").alias("query_id"), F.explode(F.sequence(F.lit(1), F.lit(4))).alias("rank"), F.col("p_name").alias("doc_title"), F.lit("N").alias("doc_no"), F.lit("l").alias("location"), F.col("p_type").alias("parent_content"), F.array(F.lit("LT-150")).alias("model_tags"), F.lit(0.5).alias("score"), F.lit(0.5).alias("semantic"), F.lit(0.5).alias("keyword"))
-    rows = rows.withColumn("parent_key", (F.col("rank") % 2).cast("long"))
-    return retrieval.judgement_input(p.select(F.col("p_partkey").alias("requirement_id")), rows).select("requirement_id", F.col("evidence_count").cast("int").alias("evidence_count"))
-
-
 @query("inquiries", """
 WITH i AS (SELECT p_partkey, p_size, p_size % 10 <> 0 AND p_size + p_size % 5 > p_size % 7 + 20 AS clash FROM part)
-SELECT p_partkey AS run_id, 1 AS seq, ['3.1'] AS clause_refs, 'check' AS source_kind FROM i WHERE p_size % 3 = 0
-UNION ALL SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 2 ELSE 1 END, ['3.1', '3.2'], 'cross_clause' FROM i WHERE clash
+SELECT p_partkey AS run_id, 1 AS seq, ['3.1'] AS clause_refs, 'check' AS source_kind FROM i WHERE p_size % 3 = 0 AND NOT clash
+UNION ALL SELECT p_partkey, 1, ['3.1', '3.2'], 'cross_clause' FROM i WHERE clash
 UNION ALL SELECT p_partkey, 1, ['3.1'], 'gap_remedy' FROM i WHERE p_size % 3 <> 0 AND NOT clash""")
 def inquiries(spark, sf):
     a = D.part_assessments(spark, sf)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
-# Units, words of constraints, and the clauses that a side effect touches.
+# Units (lm/W before lm, since the first that fits is taken), words of constraints, and the clauses that a side effect touches.
 UNITS = "lm/W|lm|W|K|kg|mm|시간|℃|%|주|일|년|건|대"
 AT_MOST, AT_LEAST, LESS, MORE = "이하|이내", "이상", "미만", "초과"
 TOUCHES = (("weight", "dimension", "무게"), ("lead_time", "delivery", "납기"), ("temperature", None, "온도"))

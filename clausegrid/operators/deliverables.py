@@ -80,13 +80,20 @@ def schedule(projects: DataFrame, as_of: Column) -> DataFrame:
 
 
 def inquiries(assessments: DataFrame, issues: DataFrame) -> DataFrame:
-    """Inquiry candidates numbered: open clauses, then conflicts, then remedies no conflict covers."""
-    checks = assessments.filter("verdict = 'CHECK'").select("run_id", F.array("clause_no").alias("clause_refs"), F.lit("check").alias("source_kind"), F.lit(0).alias("tier"), F.coalesce("rationale", F.lit("")).alias("body"))
-    live = issues.filter("NOT is_dismissed")
-    crossed = live.select("run_id", F.col("clause_nos").alias("clause_refs"), F.lit("cross_clause").alias("source_kind"), F.lit(1).alias("tier"), F.col("description").alias("body"))
-    gaps = assessments.filter("verdict = 'GAP' AND coalesce(remedy, '') <> ''").join(live.select("run_id", F.explode("clause_nos").alias("clause_no")).distinct(), ["run_id", "clause_no"], "left_anti")
-    gaps = gaps.select("run_id", F.array("clause_no").alias("clause_refs"), F.lit("gap_remedy").alias("source_kind"), F.lit(2).alias("tier"), F.col("remedy").alias("body"))
-    every = checks.unionByName(crossed).unionByName(gaps)
+    """Inquiry candidates numbered: open clauses, then conflicts, then remedies.
+
+    What shares clauses is one inquiry: an open clause of a conflict joins the first conflict that names it, which then
+    stands among the open clauses with both texts; a remedy of a clause in conflict is left to the conflict."""
+    live = issues.filter("NOT is_dismissed").select("run_id", "clause_nos", "title", "description")
+    named = live.select("run_id", "clause_nos", "title", F.explode("clause_nos").alias("clause_no"))
+    checks = assessments.filter("verdict = 'CHECK'").select("run_id", "clause_no", F.coalesce("rationale", F.lit("")).alias("body"))
+    joined = checks.join(named, ["run_id", "clause_no"]).groupBy("run_id", "clause_no").agg(F.min(F.struct("clause_nos", "title")).alias("issue"), F.first("body").alias("body"))
+    added = joined.groupBy("run_id", "issue.clause_nos", "issue.title").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("clause_no", "body"))), lambda x: x["body"]), "\n").alias("open"))
+    crossed = live.join(added, ["run_id", "clause_nos", "title"], "left")
+    crossed = crossed.select("run_id", F.col("clause_nos").alias("clause_refs"), F.lit("cross_clause").alias("source_kind"), F.when(F.col("open").isNull(), 1).otherwise(0).alias("tier"), F.concat_ws("\n", "open", "description").alias("body"))
+    one = lambda df, kind, tier, body: df.join(named.select("run_id", "clause_no").distinct(), ["run_id", "clause_no"], "left_anti").select("run_id", F.array("clause_no").alias("clause_refs"), F.lit(kind).alias("source_kind"), F.lit(tier).alias("tier"), F.col(body).alias("body"))
+    gaps = assessments.filter("verdict = 'GAP' AND coalesce(remedy, '') <> ''")
+    every = one(checks, "check", 0, "body").unionByName(crossed).unionByName(one(gaps, "gap_remedy", 2, "remedy"))
     order = Window.partitionBy("run_id").orderBy("tier", T.clause_key(F.get("clause_refs", F.lit(0))), "body")
     return every.withColumn("seq", F.row_number().over(order)).select("run_id", "seq", "clause_refs", "source_kind", "body")
 

@@ -12,14 +12,15 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.vectorized import table_rows
 
-# Labels of document numbers and dates.
+# Labels of document numbers and dates, headings and rules, texts for what is missing.
 DOC_NO = r"(?mU)^\s*문서\s*번호\s*[:：]\s*(\S+)"
 REVISION_DATE = r"(?mU)^\s*(?:개정일|기준일|작성일)\s*[:：]\s*(\d{4}-\d{2}-\d{2})"
 PAGE_DOC_NO = r"(?U)(?:문서\s*번호|공고\s*번호)\s*[:：]?\s*([A-Z][A-Z0-9]*(?:-[A-Z0-9]+)+)"
 TABLE_LABEL, COLUMN_LABEL = "표", "열"
-# End of fixed values.
 HEADING = r"(?U)^(#{1,6})\s+(.*)$"
 RULE_LINE = r"(?U)^\s*([-*_])\1{2,}\s*$"
+NO_NUMBER, NO_BODY, NO_TABLES = "(없음)", "(표 밖 본문 없음)", "(표 없음)"
+# End of fixed values.
 
 
 def document_lines(docs: DataFrame) -> DataFrame:
@@ -152,4 +153,4 @@ def prompt_rows(pages: DataFrame, documents: DataFrame) -> DataFrame:
     """One extraction-prompt row per document: body text, tables, type label and number (documents: document_id, doc_type_label, doc_no)."""
     text = pages.filter(T.strip(F.col("text")) != "").groupBy("document_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_no", F.concat(F.lit("[p."), F.col("page_no").cast("string"), F.lit("]\n"), F.col("text")).alias("block")))), lambda x: x["block"]), "\n\n").alias("body_text"))
     out = documents.join(text, "document_id", "left").join(pages_markdown(pages), "document_id", "left")
-    return out.select("document_id", "doc_type_label", F.coalesce(F.nullif("doc_no", F.lit("")), F.lit("(없음)")).alias("doc_no"), F.coalesce("body_text", F.lit("(표 밖 본문 없음)")).alias("body_text"), F.coalesce("tables_markdown", F.lit("(표 없음)")).alias("tables_markdown"))
+    return out.select("document_id", "doc_type_label", F.coalesce(F.nullif("doc_no", F.lit("")), F.lit(NO_NUMBER)).alias("doc_no"), F.coalesce("body_text", F.lit(NO_BODY)).alias("body_text"), F.coalesce("tables_markdown", F.lit(NO_TABLES)).alias("tables_markdown"))

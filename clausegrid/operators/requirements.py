@@ -14,8 +14,8 @@ HEADER_DATES, HEADER_TIMES = ("announced_on",), ("inquiry_due_at", "bid_due_at",
 ANNOUNCEMENT = "announcement"
 # End of fixed values.
 
-REQUIREMENT = "struct<clause_no:string,chapter:string,category:string,item:string,requirement_text:string,context_text:string,source_page:string>"
-RESPONSE = f"""struct<requirements:array<{REQUIREMENT}>, submission_items:array<struct<seq:string,name:string,note:string>>,
+REQUIREMENT = "struct<clause_no:string,chapter:string,category:string,item:string,requirement_text:string,context_text:string,source_page:variant>"
+RESPONSE = f"""struct<requirements:array<{REQUIREMENT}>, submission_items:array<struct<seq:variant,name:string,note:string>>,
 participation_reqs:array<struct<seq:string,text:string>>, bid_info:map<string,string>, warnings:array<string>, _bad:string>"""
 #: Documents of a project in reading order: the announcement first.
 DOC_ORDER = "CASE WHEN doc_type = 'announcement' THEN 0 ELSE 1 END"
@@ -34,8 +34,8 @@ def _text(c: Column, n: int | None = None) -> Column:
 
 
 def integer(c: Column) -> Column:
-    """A JSON number without a fraction; texts and other kinds are null."""
-    return F.when(c.rlike(r"^-?\d+$"), c.try_cast("int"))
+    """A JSON number (a variant) without a fraction; texts and other kinds are null."""
+    return F.when(F.schema_of_variant(c) == "BIGINT", F.try_variant_get(c, "$", "int"))
 
 
 def clamp_category(c: Column) -> Column:
@@ -53,7 +53,7 @@ def requirement_rows(parsed: DataFrame) -> DataFrame:
 
 
 def first_wins(rows: DataFrame, existing: DataFrame | None, keys: list[str], order: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(rows that stay, rows dropped because an earlier or an existing one has their keys)."""
+    """(rows that stay, rows dropped because an earlier or an existing one has their keys). To replace the existing rows, give none."""
     marked = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
     if existing is not None:
         marked = marked.join(existing.select(*keys).distinct().withColumn("_old", F.lit(True)), keys, "left")
@@ -109,9 +109,13 @@ def fill_header(projects: DataFrame, parsed: DataFrame) -> tuple[DataFrame, Data
     out = projects.join(new, "project_id", "left")
     filled = {f: F.coalesce(F.nullif(F.col(f), F.lit("")), F.col(f"new_{f}"), F.lit("")) for f in HEADER_TEXT}
     filled |= {f: F.coalesce(f, F.to_date(f"new_{f}")) for f in HEADER_DATES} | {f: F.coalesce(f, F.col(f"new_{f}")) for f in HEADER_TIMES}
-    bad = parsed.filter(announced).select("project_id", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), value(f).alias("value"), strict_time(value(f)).alias("t")) for f in (*HEADER_DATES, *HEADER_TIMES)])).alias("x"))
-    warned = bad.filter("x.value IS NOT NULL AND x.t IS NULL").select("project_id", "x.field", "x.value")
-    return out.withColumns(filled).drop(*[f"new_{f}" for f in (*HEADER_TEXT, *HEADER_DATES, *HEADER_TIMES)]), warned
+    # A date that does not parse is reported while its field is blank: not where the project has one, nor behind a good one.
+    dated = (*HEADER_DATES, *HEADER_TIMES)
+    said = parsed.filter(announced).select("project_id", at.alias("at"), F.explode(F.array(*[F.struct(F.lit(f).alias("field"), value(f).alias("value"), strict_time(value(f)).alias("t")) for f in dated])).alias("x")).filter("x.value IS NOT NULL").select("project_id", "at", "x.*")
+    good = said.groupBy("project_id", "field").agg(F.min(F.when(F.col("t").isNotNull(), F.col("at"))).alias("since"))
+    blank = projects.select("project_id", F.explode(F.array(*[F.when(F.col(f).isNull(), F.lit(f)) for f in dated])).alias("field")).filter("field IS NOT NULL")
+    warned = said.filter("t IS NULL").join(good, ["project_id", "field"]).filter("since IS NULL OR at < since").join(blank, ["project_id", "field"]).select("project_id", "field", "value")
+    return out.withColumns(filled).drop(*[f"new_{f}" for f in (*HEADER_TEXT, *dated)]), warned
 
 
 def document_warnings(documents: DataFrame, pages: DataFrame, parsed: DataFrame) -> DataFrame:
@@ -128,7 +132,9 @@ def number_clauses(requirements: DataFrame) -> DataFrame:
 
 
 def project_summary(projects: DataFrame, requirements: DataFrame, submissions: DataFrame, participation: DataFrame) -> DataFrame:
-    """Counts per project and whether nothing was extracted."""
+    """Counts per project and whether nothing was extracted.
+
+    Where extraction replaces, the saving steps get no existing rows and only the new ones are counted."""
     count = lambda df, name: df.groupBy("project_id").agg(F.count("*").alias(name))
     out = projects.select("project_id")
     for df, name in ((requirements, "requirements"), (submissions, "submissions"), (participation, "participations")):
@@ -136,6 +142,14 @@ def project_summary(projects: DataFrame, requirements: DataFrame, submissions: D
     return out.withColumn("nothing_extracted", F.col("requirements") == 0)
 
 
+def after_extraction(existing: DataFrame, made: DataFrame, projects: DataFrame, replace: bool = False) -> DataFrame:
+    """The stored rows after an extraction for ``projects`` (project_id). With ``replace`` their old rows go first, and
+    ``made`` comes from a saving step that was given no existing rows; else old rows stay and have won there already."""
+    if replace:
+        existing = existing.join(projects.select("project_id").distinct(), "project_id", "left_anti")
+    return existing.unionByName(made, allowMissingColumns=True)
+
+
 def overlay_edits(requirements: DataFrame, edits: DataFrame, fields: tuple[str, ...] = ("item", "requirement_text", "category", "is_active")) -> DataFrame:
     """Human edits over requirements; is_edited where content changes, the ai_ columns stay."""
     e = edits.select("requirement_id", *[F.col(f).alias(f"e_{f}") for f in fields])

@@ -12,18 +12,19 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.vectorized import word_similarity
+from ..functions.vectorized import best_places, lists, trigram_scores
 
-# Categories whose evidence no product model narrows.
+# Categories whose evidence no product model narrows; the form of one piece of evidence in a prompt.
 MODEL_FREE_CATEGORIES = ("track_record", "certification", "submission")
+EVIDENCE_BLOCK = "[근거 %d] 점수 %.2f (의미 %.2f / 키워드 %.2f)\n문서: %s (%s)\n위치: %s\n모델: %s\n내용:\n%s"
 # End of fixed values.
-#: Vectors that meet as one matrix product.
-QUERY_BLOCK, CHUNK_BLOCK = 1024, 4096
+#: Rows that meet as one matrix product.
+QUERY_BLOCK, PROBE_BLOCK, CHUNK_BLOCK = 1024, 512, 4096
 
 
 @dataclass(frozen=True)
@@ -49,9 +50,9 @@ def requirement_queries(requirements: DataFrame, model_hint: str | None = None)
 
 
 def promoted_filter(text: Column, given: Column) -> Column:
-    """Without a filter, the one model that the text names becomes it; an empty one means no filter."""
+    """Without a filter, the one model that the text names becomes it; an empty one stays and means no filter."""
     named = T.models(text)
-    return F.when(given.isNull() & (F.size(named) == 1), F.get(named, F.lit(0))).otherwise(F.nullif(given, F.lit("")))
+    return F.when(given.isNull() & (F.size(named) == 1), F.get(named, F.lit(0))).otherwise(given)
 
 
 def query_tokens(text: Column) -> Column:
@@ -63,27 +64,33 @@ def haystack() -> Column:
     return F.concat_ws(" ", "content", "section_path")
 
 
+def _block_pairs(queries: DataFrame, chunks: DataFrame, query_key: str, query_block: int, chunk_block: int) -> DataFrame:
+    """(qs, cs): every block of queries with every block of chunks, as arrays of their rows. Blocks are dealt by hash."""
+    cb, qb = max(1, -(-chunks.count() // chunk_block)), max(1, -(-queries.count() // query_block))
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    c = chunks.groupBy(block("chunk_id", cb).alias("cb")).agg(F.collect_list(F.struct(*chunks.columns)).alias("cs"))
+    q = queries.groupBy(block(query_key, qb).alias("qb")).agg(F.collect_list(F.struct(*queries.columns)).alias("qs"))
+    return q.withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(cb - 1)))).join(c, "cb").select("qs", "cs")
+
+
 def semantic_top(queries: DataFrame, chunks: DataFrame, pool: int) -> DataFrame:
     """query_id, chunk_id, semantic: the nearest chunks by cosine (``queries``: query_id, embedding).
 
     Blocks of queries meet blocks of chunks as matrices; each pair of blocks hands on its best ``pool``."""
-    chunks, queries = chunks.filter("embedding IS NOT NULL"), queries.filter("embedding IS NOT NULL")
-    cb, qb = max(1, -(-chunks.count() // CHUNK_BLOCK)), max(1, -(-queries.count() // QUERY_BLOCK))
-
-    def best(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for qs, cs in zip(part["qs"], part["cs"], strict=True):
-                ids = np.array([c["chunk_id"] for c in cs])
-                unit = lambda rows: (lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300))(np.array([np.asarray(r["embedding"], np.float64) for r in rows]))
-                score = np.maximum(unit(qs) @ unit(cs).T, 0.0)
-                for q, row in zip(qs, score, strict=True):
-                    top = np.lexsort((ids, -row.round(9)))[:pool]
-                    yield pd.DataFrame({"query_id": q["query_id"], "chunk_id": ids[top], "semantic": row[top]})
-
-    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n))
-    c = chunks.groupBy(block("chunk_id", cb).alias("cb")).agg(F.collect_list(F.struct("chunk_id", "embedding")).alias("cs"))
-    q = queries.groupBy(block("query_id", qb).alias("qb")).agg(F.collect_list(F.struct("query_id", "embedding")).alias("qs")).withColumn("cb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(cb - 1).cast("long"))))
-    pairs = q.join(c, "cb").select("qs", "cs").mapInPandas(best, "query_id long, chunk_id long, semantic double")
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for qs, cs in zip(batch.column("qs"), batch.column("cs"), strict=True):
+                q, c = qs.values, cs.values
+                ids = c.field("chunk_id").to_numpy()
+                unit = lambda rows: (lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300))(rows.field("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), -1))
+                score = np.maximum(unit(q) @ unit(c).T, 0.0)
+                top = np.array([np.lexsort((ids, -row.round(9)))[:pool] for row in score])
+                who = q.field("query_id").take(pa.array(np.repeat(np.arange(len(q)), top.shape[1])))
+                yield pa.RecordBatch.from_arrays([who, pa.array(ids[top.ravel()]), pa.array(np.take_along_axis(score, top, 1).ravel())], ["query_id", "chunk_id", "semantic"])
+
+    q, c = (df.filter("embedding IS NOT NULL").select(key, "embedding") for df, key in ((queries, "query_id"), (chunks, "chunk_id")))
+    pairs = _block_pairs(q, c, "query_id", QUERY_BLOCK, CHUNK_BLOCK).mapInArrow(best, "query_id long, chunk_id long, semantic double")
     return _pooled(pairs, ["query_id"], F.round("semantic", 9), pool)
 
 
@@ -92,30 +99,32 @@ def _pooled(rows: DataFrame, keys: list[str], score: Column, pool: int) -> DataF
     return rows.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= pool).drop("place")
 
 
-def trigram_pairs(probes: DataFrame, chunks: DataFrame) -> DataFrame:
-    """query_id, probe, chunk_id, similarity, shared, n_query, hay: pairs with a trigram in common.
+def trigram_top(probes: DataFrame, chunks: DataFrame, pool: int, words: bool = False) -> DataFrame:
+    """query_id, probe, chunk_id, similarity: the best ``pool`` chunks with a trigram in common (``probes``: query_id, probe).
 
-    An inverted join on trigrams; pairs are counted in the map tasks before they shuffle. ``probes``: query_id, probe."""
-    p = probes.withColumn("grams", T.trigram_set(F.col("probe")))
-    c = chunks.select("chunk_id", T.trigram_set(haystack()).alias("c_grams"))
-    left = p.select("query_id", "probe", F.size("grams").alias("n_query"), F.explode("grams").alias("gram"))
-    right = c.select("chunk_id", F.size("c_grams").alias("n_chunk"), F.explode("c_grams").alias("gram"))
-    pairs = left.join(right, "gram").groupBy("query_id", "probe", "chunk_id", "n_query", "n_chunk").agg(F.count("*").alias("shared"))
-    return pairs.withColumn("similarity", T.overlap_share(F.col("shared"), F.col("n_query"), F.col("n_chunk")))
+    Each different probe is worked on once. Blocks of probes meet blocks of chunks as matrices of trigrams, and each pair
+    of blocks hands on its best ``pool``: no pair of rows becomes a Spark row before that, however common a trigram is."""
 
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for qs, cs in zip(batch.column("qs"), batch.column("cs"), strict=True):
+                q, c = qs.values, cs.values
+                ids = c.field("chunk_id").to_numpy()
+                order = np.argsort(ids, kind="stable")
+                ids, c = ids[order], c.take(pa.array(order))
+                score = trigram_scores(lists(q.field("grams")), lists(c.field("grams")), pool, words)
+                row, column = best_places(score, pool)
+                yield pa.RecordBatch.from_arrays([q.field("probe").take(pa.array(row)), pa.array(ids[column]), pa.array(score[row, column])], ["probe", "chunk_id", "similarity"])
+
+    q = probes.select("probe").distinct().select("probe", F.array_distinct(T.packed_trigrams(F.col("probe"))).alias("grams"))
+    c = chunks.select("chunk_id", T.packed_trigrams(haystack()).alias("grams"))
+    pairs = _block_pairs(q, c, "probe", PROBE_BLOCK, CHUNK_BLOCK).mapInArrow(best, "probe string, chunk_id long, similarity double")
+    return probes.select("query_id", "probe").join(_pooled(pairs, ["probe"], F.col("similarity"), pool), "probe")
 
-def keyword_top(probes: DataFrame, chunks: DataFrame, pool: int) -> DataFrame:
-    """query_id, probe, chunk_id, keyword: greater of set and word similarity, best ``pool`` per probe.
 
-    Both are at most shared / n_query; a pair whose bound is below the probe's pool-th set similarity cannot enter and is not scanned."""
-    pairs = trigram_pairs(probes, chunks)
-    by = Window.partitionBy("query_id", "probe")
-    pairs = pairs.withColumn("place", F.row_number().over(by.orderBy(F.desc("similarity"), "chunk_id"))).withColumn("floor", F.coalesce(F.max(F.when(F.col("place") == pool, F.col("similarity"))).over(by), F.lit(0.0)))
-    pairs = pairs.filter(F.col("shared") / F.col("n_query") >= F.col("floor"))
-    hay = chunks.select("chunk_id", T.trigram_list(haystack()).alias("hay"))
-    asked = probes.select("probe", T.trigram_set(F.col("probe")).alias("asked")).distinct()
-    scored = pairs.join(hay, "chunk_id").join(asked, "probe").withColumn("extent", word_similarity("asked", "hay")).withColumn("keyword", F.greatest("similarity", "extent"))
-    return _pooled(scored, ["query_id", "probe"], F.col("keyword"), pool).select("query_id", "probe", "chunk_id", "keyword")
+def keyword_top(probes: DataFrame, chunks: DataFrame, pool: int) -> DataFrame:
+    """query_id, probe, chunk_id, keyword: greater of set and word similarity, best ``pool`` per probe."""
+    return trigram_top(probes, chunks, pool, words=True).select("query_id", "probe", "chunk_id", F.col("similarity").alias("keyword"))
 
 
 def exact_token_hits(queries: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -164,7 +173,8 @@ def score_candidates(queries: DataFrame, chunks: DataFrame, semantic: DataFrame,
 
 def search(queries: DataFrame, chunks: DataFrame, query_vectors: DataFrame | None = None, s: Settings = Settings(), doc_kinds: list[str] | None = None) -> DataFrame:
     """Ranked hits of all queries: query_id, chunk_id, parent_key, scores, rank and the chunk's columns. ``chunks``: children only."""
-    queries = queries.filter(T.strip(F.col("text")) != "")
+    model = F.nullif(promoted_filter(F.col("text"), F.col("model_filter")), F.lit(""))
+    queries = queries.filter(T.strip(F.col("text")) != "").withColumn("model_filter", model)
     probes = queries.select("query_id", F.explode("probes").alias("probe")).filter(T.strip(F.col("probe")) != "")
     keyword = keyword_scores(keyword_top(probes, chunks, s.pool), exact_token_hits(queries, chunks))
     empty = keyword.select("query_id", "chunk_id", F.lit(0.0).alias("semantic")).limit(0)
@@ -215,7 +225,7 @@ def compare_settings(first: DataFrame, second: DataFrame) -> DataFrame:
 def judgement_input(requirements: DataFrame, evidences: DataFrame) -> DataFrame:
     """requirement_id, evidence_count, evidence_blocks: each parent once, best first; none is a valid result."""
     first = evidences.withColumn("n", F.row_number().over(Window.partitionBy("query_id", "parent_key").orderBy("rank"))).filter("n = 1")
-    block = F.format_string("[%d] %.2f (%.2f / %.2f)\n%s (%s)\n%s\n%s\n%s", "rank", "score", "semantic", "keyword", "doc_title", "doc_no", "location", F.array_join("model_tags", ", "), "parent_content")
+    block = F.format_string(EVIDENCE_BLOCK, "rank", "score", "semantic", "keyword", "doc_title", "doc_no", "location", F.array_join("model_tags", ", "), "parent_content")
     per = first.groupBy("query_id").agg(F.count("*").alias("evidence_count"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", block.alias("block")))), lambda x: x["block"]), "\n\n").alias("evidence_blocks"))
     rows = requirements.select("requirement_id").join(per, F.col("requirement_id") == F.col("query_id"), "left")
     return rows.select("requirement_id", F.coalesce("evidence_count", F.lit(0)).alias("evidence_count"), F.coalesce("evidence_blocks", F.lit("")).alias("evidence_blocks"))

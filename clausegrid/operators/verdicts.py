@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Verdicts, evidence states that rule out a verdict, and the note put before a repaired rationale.
+# Verdicts, evidence states that rule out a verdict, and the notes put before a rationale.
 VERDICTS = ("MEET", "GAP", "CHECK")
 ABSENT_STATES = ("not_found", "found_absent")
 REPAIR_NOTE = "[자동 보정] 근거가 없어 확인 필요로 조정함. "
+FAILED_NOTE = "판정 실패: "
 # End of fixed values.
 MAX_FAILED = 0.3
 
@@ -38,7 +39,7 @@ def cited_evidence(assessments: DataFrame, hits: DataFrame) -> DataFrame:
 def fail_items(assessments: DataFrame) -> DataFrame:
     """Items whose call failed (column error) become CHECK with the reason."""
     failed = F.col("error").isNotNull()
-    return assessments.withColumns({"verdict": F.when(failed, "CHECK").otherwise(F.col("verdict")), "rationale": F.when(failed, F.concat(F.lit("판정 실패: "), F.col("error"))).otherwise(F.col("rationale"))})
+    return assessments.withColumns({"verdict": F.when(failed, "CHECK").otherwise(F.col("verdict")), "rationale": F.when(failed, F.concat(F.lit(FAILED_NOTE), F.col("error"))).otherwise(F.col("rationale"))})
 
 
 def run_status(assessments: DataFrame) -> DataFrame:
