@@ -128,7 +128,7 @@ def tables_under(spark, sf):
 @query("first_sections", "SELECT DISTINCT p_partkey // 10 AS document_id, 2 AS section_id, 'Models of ' || p_partkey // 10 AS heading FROM part")
 def first_sections(spark, sf):
     rows = markdown.with_sections(markdown.document_lines(D.part_documents(spark, sf)))
-    return markdown.first_section(markdown.sections(rows), "o").select("document_id", F.col("section_id").cast("int").alias("section_id"), "heading")
+    return markdown.first_section(markdown.sections(rows), "e").select("document_id", F.col("section_id").cast("int").alias("section_id"), "heading")
 
 
 @query("path_models", """
