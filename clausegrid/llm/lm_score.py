@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_texts, distinct_runs, documents, save, slices
+from .common import byte_texts, distinct_runs, documents, release, save, slices
 
 VOCABULARY, SIDE, DIM, WINDOW = 1024, 32, 16, (-2, -1, 1, 2)
 #: Tokens that rare words share; the last token stands for places outside the text.
@@ -318,8 +318,10 @@ def fit(rows: DataFrame, counts: np.ndarray) -> Weights:
     dealt = rows.filter("teaches").select(F.pmod(F.xxhash64("hash", "doc_id"), F.lit(shards)).alias("shard"), "hash", "doc_id", "tokens")
     trained = dealt.repartition(F.col("shard")).sortWithinPartitions("shard", "hash", "doc_id").mapInArrow(partial(_train, start=start), "first long, seen long, part array<double>")
     flat = np.concatenate([start[k].ravel() for k in SHAPES])
-    for r in trained.repartition(F.col("first")).mapInArrow(_add_weights, "first long, seen long, part array<double>").collect():
+    blocks = save(trained.repartition(F.col("first")).mapInArrow(_add_weights, "first long, seen long, part array<double>"), "weights")  # the shuffled tokens go here
+    for r in blocks.collect():
         flat[r["first"] : r["first"] + len(r["part"])] = np.array(r["part"]) / r["seen"]
+    release(blocks)
     return _unflatten(flat)
 
 
