@@ -15,10 +15,11 @@ document id, or earlier in the same document). Strings never cross documents.
    all the bytes that the windows with the gram in the same part of them share, in ``PARTS`` parts
    first and then, where that is still too much, one for each offset - the whole window. Equal windows keep
    equal names, and windows of one whole-window name are equal, so no name stays hot.
-4. Suffix arrays. Contexts meet by name. Those that differ (or repeat inside themselves) are laid
-   end to end and suffix-sorted in two stages: suffixes smaller than their successors are
-   sorted directly, the rest is induced by scanning the buckets in order. Adjacent common
-   prefixes of ``length`` bytes or more give the repeated windows; the earliest start stays.
+4. Suffix arrays. Contexts meet by name. Those that stand in two places, differ or repeat inside
+   themselves are laid end to end and suffix-sorted in two stages: suffixes smaller than their
+   successors are sorted directly, the rest is induced by scanning the buckets in order. Adjacent
+   common prefixes of ``length`` bytes or more give the repeated windows; the earliest start stays.
+   Equal contexts lie there once and count in their two first places; further places go as the second.
 5. The removed byte ranges of a document are united and cut out.
 
 Names only decide what meets; equality is decided on bytes. No limit drops a candidate.
@@ -176,8 +177,10 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, depth: int) -> np.ndarr
     return out
 
 
-def repeated_starts(contexts: list[bytes], firsts: list[tuple[int, int, int]], length: int) -> list[np.ndarray]:
-    """For each context the starts in it whose window also stands earlier; ``firsts``: (id, row, start) of each context."""
+def repeated_starts(contexts: list[bytes], firsts: list[tuple[int, int, int]], seconds: list[tuple[int, int, int] | None], length: int) -> list[np.ndarray]:
+    """For each context the starts whose window also stands earlier, in its first place and in its second (two items a
+    context). Places are (id, row, start); a context without a second place stands once. Its suffixes are sorted once
+    and count in both places."""
     text = np.frombuffer(b"".join(contexts), np.uint8)
     sizes = np.fromiter(map(len, contexts), np.int64, len(contexts))
     begins = np.cumsum(sizes) - sizes
@@ -187,15 +190,18 @@ def repeated_starts(contexts: list[bytes], firsts: list[tuple[int, int, int]], l
     group = np.cumsum(common_prefixes(text, order, length) < length)
     who = owner[order]
     inside = order - begins[who]
-    keys = np.array(firsts, np.int64).reshape(-1, 3)[who]
-    ranked = np.lexsort((keys[:, 2] + inside, keys[:, 1], keys[:, 0], group))
-    later = np.zeros(len(order), bool)
+    again = np.flatnonzero(np.array([p is not None for p in seconds], bool)[who])
+    slot = np.r_[2 * who, 2 * who[again] + 1]
+    inside, group = np.r_[inside, inside[again]], np.r_[group, group[again]]
+    places = np.array([p or (0, 0, 0) for both in zip(firsts, seconds, strict=True) for p in both], np.int64).reshape(-1, 3)[slot]
+    ranked = np.lexsort((places[:, 2] + inside, places[:, 1], places[:, 0], group))
+    later = np.zeros(len(slot), bool)
     later[ranked[1:]] = group[ranked[1:]] == group[ranked[:-1]]
-    later_who, later_at = who[later], inside[later]
-    by = np.lexsort((later_at, later_who))
-    later_who, later_at = later_who[by], later_at[by]
-    edges = np.searchsorted(later_who, np.arange(len(contexts) + 1))
-    return [later_at[edges[i] : edges[i + 1]] for i in range(len(contexts))]
+    later_slot, later_at = slot[later], inside[later]
+    by = np.lexsort((later_at, later_slot))
+    later_slot, later_at = later_slot[by], later_at[by]
+    edges = np.searchsorted(later_slot, np.arange(2 * len(contexts) + 1))
+    return [later_at[edges[i] : edges[i + 1]] for i in range(2 * len(contexts))]
 
 
 def _unite(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -322,17 +328,20 @@ def _range_rows(length: int):
     """Rows arrive sorted by name."""
 
     def work(names: dict[int, dict[bytes, list]]) -> list[np.ndarray]:
-        """Ranges of repeats in the first places of differing contexts."""
-        contexts, firsts = [], []
+        """Ranges of repeats in the first and second places of contexts that are not alone."""
+        contexts, firsts, seconds = [], [], []
         for group in names.values():
-            for context, (place, twice) in group.items():
-                if twice or len(group) > 1:
+            for context, (first, second, twice) in group.items():
+                if twice or second or len(group) > 1:
                     contexts.append(context)
-                    firsts.append(place)
+                    firsts.append(first)
+                    seconds.append(second)
         out = []
         if contexts:
-            for (key, rid, start), at in zip(firsts, repeated_starts(contexts, firsts, length), strict=True):
+            places = [p for both in zip(firsts, seconds, strict=True) for p in both]
+            for place, at in zip(places, repeated_starts(contexts, firsts, seconds, length), strict=True):
                 if len(at):
+                    key, rid, start = place
                     lo, hi = _unite(at + start, at + start + length)
                     out.append(np.stack([np.full(len(lo), key), np.full(len(lo), rid), lo, hi], axis=1))
         return out
@@ -355,14 +364,14 @@ def _range_rows(length: int):
                 group = held.setdefault(name, {})
                 entry = group.get(context)
                 if entry is None:
-                    group[context] = [place, twice]
+                    group[context] = [place, None, twice]
                     size += len(context)
                     continue
-                entry[1] |= twice
-                if place != entry[0]:
-                    second = max(place, entry[0])
-                    entry[0] = min(place, entry[0])
-                    later.append((*second, second[2] + len(context)))
+                entry[2] |= twice
+                if place not in entry[:2]:
+                    known = sorted(p for p in (*entry[:2], place) if p)
+                    entry[:2] = known[:2]
+                    later += [(*p, p[2] + len(context)) for p in known[2:]]  # goes as its second place does
             yield batch_of([_unite_rows(np.array(later, np.int64).reshape(-1, 4)), *sorted_now])
         yield batch_of(work(held))
 
