@@ -120,8 +120,9 @@ def runs(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.nd
     return who, name, start, count, twice
 
 
-def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
-    """Starts of all suffixes of ``text`` (uint8), ordered by their first ``depth`` bytes at least."""
+def suffix_order(text: np.ndarray, depth: int, wanted: np.ndarray | None = None) -> np.ndarray:
+    """Starts of all suffixes of ``text`` (uint8), ordered by their first ``depth`` bytes at least. With ``wanted``
+    (mask) only those and the suffixes behind them from which they are induced."""
     n = len(text)
     if not n:
         return np.zeros(0, np.int64)
@@ -129,12 +130,17 @@ def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
     run_end = np.r_[text[1:] != text[:-1], True]
     ends = np.flatnonzero(run_end)
     up = np.repeat(np.r_[text[ends[:-1]] < text[ends[:-1] + 1], False], np.diff(np.r_[-1, ends]))
-    direct = np.flatnonzero(up)
+    live = np.ones(n, bool)
+    if wanted is not None:  # from each wanted suffix up to the next that is sorted directly
+        at, ups = np.flatnonzero(wanted), np.flatnonzero(up)
+        stop = np.r_[ups, n - 1][np.searchsorted(ups, at)] + 1
+        live = np.cumsum(np.bincount(at, minlength=n + 1) - np.bincount(stop, minlength=n + 1))[:n] > 0
+    direct = np.flatnonzero(up & live)
     padded = np.r_[text, np.zeros(depth, np.uint8)]
     views = np.lib.stride_tricks.as_strided(padded, (n, depth), (1, 1))
     direct = direct[np.argsort(views[direct].view(f"S{depth}").ravel(), kind="stable")]
     heads = text[direct]
-    deep = np.flatnonzero(~up & (np.repeat(ends, np.diff(np.r_[-1, ends])) - np.arange(n) > depth))
+    deep = np.flatnonzero(~up & live & (np.repeat(ends, np.diff(np.r_[-1, ends])) - np.arange(n) > depth))
     deep = deep[np.argsort(text[deep], kind="stable")]
     deep_letters = text[deep]
     down: dict[int, list[np.ndarray]] = {int(text[-1]): [np.array([n - 1])]}
@@ -145,7 +151,7 @@ def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
         bucket = [level]
         for _ in range(depth):  # runs of c: one more c in front
             level = level[level > 0] - 1
-            level = level[text[level] == c]
+            level = level[(text[level] == c) & live[level]]
             if not len(level):
                 break
             bucket.append(level)
@@ -155,7 +161,7 @@ def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
         full = np.concatenate(bucket)
         out.append(full)
         before = full[full > 0] - 1
-        before = before[text[before] > c]
+        before = before[(text[before] > c) & live[before]]
         letters = text[before]
         order = np.argsort(letters, kind="stable")
         before, letters = before[order], letters[order]
@@ -167,13 +173,14 @@ def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
 
 
 def common_prefixes(text: np.ndarray, order: np.ndarray, depth: int) -> np.ndarray:
-    """Common prefix of each suffix in ``order`` with the one before it, at most ``depth``; all have ``depth`` bytes."""
-    views = np.lib.stride_tricks.as_strided(text, (len(text) - depth + 1, depth), (1, 1))
-    out = np.zeros(len(order), np.int64)
-    for i in range(1, len(order), 65536):
-        j = min(i + 65536, len(order))
-        unlike = views[order[i:j]] != views[order[i - 1 : j - 1]]
-        out[i:j] = np.where(unlike.any(1), unlike.argmax(1), depth)
+    """Whether each suffix in ``order`` has its first ``depth`` bytes in common with the one before it; all have that many."""
+    wide = 8 if depth >= 8 else 1
+    units = np.ndarray((len(text) - wide + 1,), f"<u{wide}", text.tobytes(), 0, (1,)).copy() if len(text) >= wide else text
+    alike = np.arange(1, len(order))
+    for offset in [*range(0, depth - wide, wide), depth - wide]:
+        alike = alike[units[order[alike] + offset] == units[order[alike - 1] + offset]]
+    out = np.zeros(len(order), bool)
+    out[alike] = True
     return out
 
 
@@ -185,23 +192,25 @@ def repeated_starts(contexts: list[bytes], firsts: list[tuple[int, int, int]], s
     sizes = np.fromiter(map(len, contexts), np.int64, len(contexts))
     begins = np.cumsum(sizes) - sizes
     owner = np.repeat(np.arange(len(contexts)), sizes)
-    order = suffix_order(text, length)
-    order = order[order + length <= (begins + sizes)[owner[order]]]
-    group = np.cumsum(common_prefixes(text, order, length) < length)
+    opens = np.arange(len(text)) + length <= (begins + sizes)[owner]  # a window starts there
+    order = suffix_order(text, length, opens)
+    order = order[opens[order]]
+    if not len(order):
+        return [order] * (2 * len(contexts))
+    new = ~common_prefixes(text, order, length)
+    group = np.cumsum(new) - 1
     who = owner[order]
     inside = order - begins[who]
     again = np.flatnonzero(np.array([p is not None for p in seconds], bool)[who])
-    slot = np.r_[2 * who, 2 * who[again] + 1]
-    inside, group = np.r_[inside, inside[again]], np.r_[group, group[again]]
-    places = np.array([p or (0, 0, 0) for both in zip(firsts, seconds, strict=True) for p in both], np.int64).reshape(-1, 3)[slot]
-    ranked = np.lexsort((places[:, 2] + inside, places[:, 1], places[:, 0], group))
-    later = np.zeros(len(slot), bool)
-    later[ranked[1:]] = group[ranked[1:]] == group[ranked[:-1]]
-    later_slot, later_at = slot[later], inside[later]
-    by = np.lexsort((later_at, later_slot))
-    later_slot, later_at = later_slot[by], later_at[by]
-    edges = np.searchsorted(later_slot, np.arange(2 * len(contexts) + 1))
-    return [later_at[edges[i] : edges[i + 1]] for i in range(2 * len(contexts))]
+    places = np.array([p or (0, 0, 0) for both in zip(firsts, seconds, strict=True) for p in both], np.int64).reshape(-1, 3)
+    document = np.unique(places[:, :2], axis=0, return_inverse=True)[1].reshape(-1)
+    at = (document << 32 | places[:, 2])[np.r_[2 * who, 2 * who[again] + 1]] + np.r_[inside, inside[again]]
+    lowest = np.minimum.reduceat(at[: len(order)], np.flatnonzero(new))
+    np.minimum.at(lowest, group[again], at[len(order) :])
+    later = at > lowest[np.r_[group, group[again]]]
+    found = np.sort((np.r_[2 * who, 2 * who[again] + 1] << 32 | np.r_[inside, inside[again]])[later])
+    edges = np.searchsorted(found >> 32, np.arange(2 * len(contexts) + 1))
+    return [found[edges[i] : edges[i + 1]] & 0xFFFFFFFF for i in range(2 * len(contexts))]
 
 
 def _unite(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
