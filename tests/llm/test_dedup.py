@@ -311,3 +311,33 @@ def test_null_and_repeated_rows_of_the_pipeline_stages(spark):
     # The two texts' fingerprints link, so one document of theirs stays, and one of the two without words.
     assert (brute_print(text) ^ brute_print(text + " x")).bit_count() <= 4 < brute_print(text).bit_count()
     assert sorted(bool(x["text"]) for x in near) == [False, True]
+
+
+def test_suffix_order_of_wanted_starts():
+    r = np.random.default_rng(8)
+    for k in range(200):
+        text = r.integers(0, int(r.integers(1, 4)), int(r.integers(1, 150))).astype(np.uint8)
+        text[: len(text) // 2] = text[: len(text) // 2] if k % 4 else 0
+        wanted, depth = r.random(len(text)) < r.random(), int(r.integers(1, 12))
+        order = suffix_dedup.suffix_order(text, depth, wanted)
+        order = order[wanted[order]]
+        heads = [bytes(np.r_[text, np.zeros(depth, np.uint8)][i : i + depth]) for i in order.tolist()]
+        assert sorted(order.tolist()) == np.flatnonzero(wanted).tolist() and heads == sorted(heads)
+
+
+def test_repeated_starts_in_first_and_second_places():
+    r = random.Random(14)
+    for length in (4, 8, 13):
+        for _ in range(60):
+            contexts = list(dict.fromkeys(bytes(r.choice(b"ab") for _ in range(r.randint(length, length + 12))) for _ in range(r.randint(1, 6))))
+            places = [(r.randint(-2, 3), i, 100 * i) for i in range(2 * len(contexts))]
+            pairs = [sorted(p) if r.random() < 0.6 else [p[0], None] for p in zip(places[::2], places[1::2])]
+            first = {}
+            for context, pair in zip(contexts, pairs):
+                for key, row, start in filter(None, pair):
+                    for i in range(len(context) - length + 1):
+                        window = context[i : i + length]
+                        first[window] = min(first.get(window, (key, row, start + i)), (key, row, start + i))
+            want = [[i for i in range(len(c) - length + 1) if p and first[c[i : i + length]] != (p[0], p[1], p[2] + i)] for c, pair in zip(contexts, pairs) for p in pair]
+            got = suffix_dedup.repeated_starts(contexts, [p[0] for p in pairs], [p[1] for p in pairs], length)
+            assert [x.tolist() for x in got] == want
