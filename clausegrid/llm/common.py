@@ -47,15 +47,15 @@ def shared_folder(spark: SparkSession) -> str:
     return _local_folder()
 
 
-def save(df: DataFrame, label: str) -> DataFrame:
+def save(df: DataFrame, label: str, codec: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage ends there, any executor can
-    be lost afterwards, and the shuffle files that led to it are removed."""
+    be lost afterwards, and the shuffle files that led to it are removed. ``codec``: other than the session's."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     before = spark.conf.get(CLEANUP)
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.write.parquet(path, compression=codec)
     finally:
         spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, hard_negatives, lm_score, mixing, packing, quality, simhash, span_dedup, suffix_dedup, token_counts, token_files, topk_search
+from . import alignment, exact_dedup, hard_negatives, lm_score, mixing, packing, quality, simhash, span_dedup, suffix_dedup, token_counts, token_files, topk_search
 from .common import shared_folder, table
 
 
@@ -58,6 +58,12 @@ def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, label)
@@ -151,6 +157,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
     "op11_token_files": op11_token_files,
+    "op12_alignment": op12_alignment,
     "op13_hard_negatives": op13_hard_negatives,
 }
 ORACLE_SQL: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op4_topk_search": OP4_SQL, "op7_mixing": OP7_SQL, "op13_hard_negatives": OP13_SQL}
