@@ -34,15 +34,9 @@ WORTH = 100
 _FREE = np.int32((1 << 31) - 1)
 
 
-def _frequent(symbols: np.ndarray, inside: np.ndarray, least: int | None, min_uses: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """(positions, pair keys, least count) of the pairs whose hash is seen ``least`` times or more (None: a share of the most)."""
-    bits = max(len(symbols).bit_length(), 10)
-    mixed = symbols[:-1] * np.uint32(0x9E3779B1) + symbols[1:] * np.uint32(0x85EBCA77)
-    place = (mixed >> np.uint32(max(32 - bits, 0))).astype(np.int64)
-    seen = np.bincount(place)
-    least = max(int(seen.max()) // FALL, min_uses) if least is None else least
-    at = np.flatnonzero((seen >= least)[place] & inside)
-    return at, symbols[at].astype(np.int64) << 32 | symbols[at + 1], least
+def _buckets(left: np.ndarray, right: np.ndarray, bits: int) -> np.ndarray:
+    mixed = left * np.uint32(0x9E3779B1) + right * np.uint32(0x85EBCA77)
+    return (mixed >> np.uint32(32 - bits)).astype(np.int64)
 
 
 def _apart(at: np.ndarray) -> np.ndarray:
@@ -68,7 +62,12 @@ def compress(ids: np.ndarray, counts: np.ndarray, base: int, min_uses: int = MIN
     for _ in range(MAX_ROUNDS):
         if len(symbols) < 2 or n_rules >= max_rules:
             break
-        at, keys, least = _frequent(symbols, ~last[:-1], least, min_uses)
+        bits = min(max(len(symbols).bit_length(), 10), 24)
+        bucket = _buckets(symbols[:-1], symbols[1:], bits)
+        seen = np.bincount(bucket, minlength=1 << bits)
+        least = max(int(seen.max()) // FALL, min_uses) if least is None else least
+        at = np.flatnonzero((seen >= least)[bucket] & ~last[:-1])
+        keys = symbols[at].astype(np.int64) << 32 | symbols[at + 1]
         ordered = np.sort(keys)
         edge = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]]) if len(ordered) else np.zeros(0, np.int64)
         uses = np.diff(np.r_[edge, len(ordered)])
@@ -78,7 +77,11 @@ def compress(ids: np.ndarray, counts: np.ndarray, base: int, min_uses: int = MIN
             by_use = np.argsort(-uses[uses >= least], kind="stable")
             rank = np.empty(len(pairs), np.int32)
             rank[by_use] = np.arange(len(pairs), dtype=np.int32)
-            found = np.minimum(np.searchsorted(pairs, keys), len(pairs) - 1)
+            # the most frequent pair of a bucket is looked up by it; others wait for the next round
+            owner = seen
+            rare_first = by_use[::-1]
+            owner[_buckets((pairs >> 32).astype(np.uint32), (pairs & 0xFFFFFFFF).astype(np.uint32), bits)[rare_first]] = rare_first
+            found = np.minimum(owner[bucket[at]], len(pairs) - 1)
             real = pairs[found] == keys
             best = np.full(len(symbols) + 1, _FREE)  # one more than pairs on either side
             best[at[real] + 1] = rank[found[real]]
