@@ -95,23 +95,21 @@ def clause_key(c: Column) -> Column:
     return F.struct(tier.alias("tier"), prefix.alias("prefix"), numbers.alias("numbers"))
 
 
+def words(c: Column) -> Column:
+    """Runs of letters and digits, in lower case."""
+    return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+
+
 def trigram_list(c: Column) -> Column:
     """Trigrams of a text in order: words padded with two spaces before and one behind."""
-    words = F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
     grams = lambda w: F.transform(F.sequence(F.lit(1), F.length(w) + 1), lambda i: F.substring(F.concat(F.lit("  "), w, F.lit(" ")), i, F.lit(3)))
-    return F.flatten(F.transform(words, grams))
+    return F.flatten(F.transform(words(c), grams))
 
 
 def trigram_set(c: Column) -> Column:
     return F.array_distinct(trigram_list(c))
 
 
-def packed_trigrams(c: Column) -> Column:
-    """Trigrams of a text in order, each as one number: three code points of 21 bits."""
-    code = lambda g, i: F.ascii(F.substring(g, i, 1)).cast("long")
-    return F.transform(trigram_list(c), lambda g: F.shiftleft(code(g, 1), 42) + F.shiftleft(code(g, 2), 21) + code(g, 3))
-
-
 def overlap_share(shared: Column, left: Column, right: Column) -> Column:
     """Set similarity from the number shared and both sizes."""
     return F.coalesce(F.try_divide(shared, left + right - shared), F.lit(0.0))

@@ -8,9 +8,12 @@ import re
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
 
+from . import text as T
+
 # The rule under a table's header.
 _RULE = re.compile(r"\s*\|?[\s:|-]*-[\s:|-]*\|?\s*")
 # End of fixed values.
@@ -85,8 +88,34 @@ def hashed_vector(text: str, dim: int) -> np.ndarray:
     return v / (np.linalg.norm(v) or 1.0)
 
 
-#: Cells of the arrays that ``extent_scores`` works on at once, and trigrams that are counted at once.
-EXTENT_CELLS, GRAM_SLICE = 1 << 19, 2048
+#: Cells of the arrays that ``extent_scores`` works on at once, trigrams that are counted at once, and steps of a run.
+EXTENT_CELLS, GRAM_SLICE, STEPS = 1 << 19, 2048, 32
+
+
+def packed_of(words: pa.Array) -> pa.ListArray:
+    """Packed trigrams, in order, of texts whose words stand one space apart."""
+    texts = [f"  {x.replace(' ', '   ')} " if x else "" for x in words.to_pylist()]
+    size = np.fromiter(map(len, texts), np.int64, len(texts))
+    code = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+    if len(code) < 3:
+        return pa.ListArray.from_arrays(pa.array(np.zeros(len(texts) + 1, np.int32)), pa.array([], pa.int64()))
+    ends = np.cumsum(size)
+    # a trigram has a letter in the middle or behind it, and does not reach into the next text
+    real = (code[1:-1] != 0x20) | (code[2:] != 0x20)
+    over = (ends[size > 0, None] - [1, 2]).ravel()
+    real[over[over < len(real)]] = False
+    grams = (code[:-2] << 42 | code[1:-1] << 21 | code[2:])[real]
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.r_[real, False, False])][np.r_[0, ends]].astype(np.int32)), pa.array(grams))
+
+
+@F.arrow_udf(Ty.ArrayType(Ty.LongType()))
+def _packed(words: pa.Array) -> pa.Array:
+    return packed_of(words)
+
+
+def packed_trigrams(c: Column) -> Column:
+    """Trigrams of a text in order, each as one number: three code points of 21 bits."""
+    return _packed(F.array_join(T.words(c), " "))
 
 
 def lists(c: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
@@ -94,38 +123,57 @@ def lists(c: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     return c.flatten().to_numpy(zero_copy_only=False).astype(np.int64), c.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def extent_scores(asked: np.ndarray, n: np.ndarray, member: np.ndarray, text: np.ndarray, code: np.ndarray, prev: np.ndarray, size: np.ndarray) -> np.ndarray:
+def extent_scores(asked: np.ndarray, n: np.ndarray, member: np.ndarray, text: np.ndarray, code: np.ndarray, prev: np.ndarray, size: np.ndarray, floor: np.ndarray | None = None) -> np.ndarray:
     """For each pair (asked, text) the best share of the asked trigrams against any run of the text's trigrams.
 
     ``n``: trigrams of each probe; ``member`` (probe, code): which they are; ``code`` and ``prev``: of every trigram of
     all texts end to end, its code and the place in its text where it stood last (-1: nowhere); ``size``: trigrams of
-    each text. A best run begins at an asked trigram: every step takes the next such beginning of all pairs at once."""
+    each text; ``floor``: a score below which a pair's own does not matter (it then may come out lower).
+
+    A best run begins at an asked trigram: every step takes the next such beginning of all pairs at once. Of h asked
+    trigrams that are left a run reaches at most h / n, and a run of d different ones at most n / d, so beginnings and
+    run lengths end where the best score so far, or the floor, is out of reach."""
     out = np.zeros(len(asked))
     begins = np.cumsum(size) - size
     by_size = np.argsort(size[text], kind="stable")
+    floor = np.zeros(len(asked)) if floor is None else floor
+    step = np.arange(STEPS)
     i = 0
     while i < len(by_size):
         rows = max(1, EXTENT_CELLS // max(1, int(size[text[by_size[min(i + 4096, len(by_size)) - 1]]])))
         pick = by_size[i : i + min(rows, 4096)]
         i += len(pick)
-        t, p = text[pick], asked[pick]
-        place = np.arange(int(size[t].max(initial=0)))
+        t, p, least = text[pick], asked[pick], floor[pick]
+        width = int(size[t].max(initial=0))
+        if not width:
+            continue
+        place = np.arange(width)
         inside = place < size[t][:, None]
         at = np.where(inside, begins[t][:, None] + place, 0)
         hit = member[p[:, None], code[at]] & inside
-        last = np.where(inside, prev[at], len(place))
+        last = np.where(inside, prev[at], width)
         nth = np.cumsum(hit, axis=1)
-        most = nth[:, -1] if len(place) else np.zeros(len(pick), np.int64)
+        most = nth[:, -1]
         bound = (hit & (last < 0)).sum(1) / n[p]
         best = np.zeros(len(pick))
-        for k in range(1, int(most.max(initial=0)) + 1):
-            live = np.flatnonzero((most >= k) & (best < bound))
+        for k in range(1, int(most.max()) + 1):
+            reach = (most - k + 1) / n[p]
+            live = np.flatnonzero((best < bound) & (reach > best) & (reach >= least))
             if not len(live):
                 break
-            first = (nth[live] >= k).argmax(1)[:, None]
-            fresh = (last[live] < first) & (place >= first)
-            shared = np.cumsum(fresh & hit[live], axis=1)
-            best[live] = np.maximum(best[live], (shared / (n[p[live], None] + np.cumsum(fresh, axis=1) - shared)).max(1))
+            first = (nth[live] >= k).argmax(1)
+            come, d, h = first.copy(), np.zeros(len(live), np.int64), np.zeros(len(live), np.int64)
+            while len(live):
+                column = come[:, None] + step
+                there = column < width
+                column = np.minimum(column, width - 1)
+                fresh = (last[live[:, None], column] < first[:, None]) & there
+                shared = np.cumsum(fresh & hit[live[:, None], column], axis=1) + h[:, None]
+                different = np.cumsum(fresh, axis=1) + d[:, None]
+                best[live] = np.maximum(best[live], (shared / (n[p[live], None] + different - shared)).max(1))
+                come, d, h = come + STEPS, different[:, -1], shared[:, -1]
+                on = (come < size[t[live]]) & (d * np.maximum(best[live], least[live]) <= n[p[live]])
+                live, first, come, d, h = live[on], first[on], come[on], d[on], h[on]
         out[pick] = best
     return out
 
@@ -161,12 +209,13 @@ def best_places(score: np.ndarray, pool: int) -> tuple[np.ndarray, np.ndarray]:
     return row[keep], column[keep]
 
 
-def trigram_scores(asked: tuple[np.ndarray, np.ndarray], texts: tuple[np.ndarray, np.ndarray], pool: int, words: bool) -> np.ndarray:
+def trigram_scores(asked: tuple[np.ndarray, np.ndarray], texts: tuple[np.ndarray, np.ndarray], pool: int, words: bool, least: np.ndarray) -> np.ndarray:
     """(probe, text): set similarity of trigrams; with ``words`` the greater of it and word similarity.
 
     ``asked``: each probe's different trigrams, ``texts``: each text's in order; both as (values end to end, lengths).
     Word similarity is at most shared / asked. It is worked out for the ``pool`` highest bounds of a probe and then for
-    every bound that reaches the probe's ``pool``-th score so far; elsewhere it cannot enter the pool and stays out."""
+    every bound that reaches the probe's ``pool``-th score so far, and never where the bound is under ``least``, the score
+    that a probe's hits must reach; elsewhere it cannot enter the pool and stays out."""
     n, size = asked[1], texts[1]
     vocabulary = np.unique(asked[0])
     code, prev, owner = coded(vocabulary, *texts)
@@ -184,16 +233,18 @@ def trigram_scores(asked: tuple[np.ndarray, np.ndarray], texts: tuple[np.ndarray
     shared = shared.astype(np.float64)
     score = shared / np.maximum(n[:, None] + different - shared, 1)
     if words and score.size:
-        bound = np.where(shared / np.maximum(n, 1)[:, None] > score, shared / np.maximum(n, 1)[:, None], 0)
+        share = shared / np.maximum(n, 1)[:, None]
+        bound = np.where((share > score) & (share >= least[:, None]), share, 0)
         for first in (True, False):
-            p, t = best_places(bound, pool) if first else np.nonzero((bound > 0) & (bound >= floors(score, pool)))
-            score[p, t] = np.maximum(score[p, t], extent_scores(p, n, member, t, code, prev, size))
+            floor = least if first else np.maximum(least, floors(score, pool)[:, 0])
+            p, t = best_places(bound, pool) if first else np.nonzero((bound > 0) & (bound >= floor[:, None]))
+            score[p, t] = np.maximum(score[p, t], extent_scores(p, n, member, t, code, prev, size, floor[p]))
             bound[p, t] = 0
-    return score
+    return np.where(score >= least[:, None], score, 0)
 
 
-def pair_scores(asked: tuple[np.ndarray, np.ndarray], texts: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """Word similarity of each probe with the text of the same place."""
+def pair_scores(asked: tuple[np.ndarray, np.ndarray], texts: tuple[np.ndarray, np.ndarray], floor: np.ndarray | None = None) -> np.ndarray:
+    """Word similarity of each probe with the text of the same place; below ``floor`` it may come out lower."""
     n, size = asked[1], texts[1]
     vocabulary = np.unique(asked[0])
     code, prev, _ = coded(vocabulary, *texts)
@@ -204,7 +255,7 @@ def pair_scores(asked: tuple[np.ndarray, np.ndarray], texts: tuple[np.ndarray, n
         row = np.arange(i, min(i + 512, len(n)))
         member = np.zeros((len(row), len(vocabulary) + 1), bool)
         member[np.repeat(row - i, n[row]), own[edges[i] : edges[row[-1] + 1]]] = True
-        out[row] = extent_scores(row - i, np.maximum(n[row], 1), member, row, code, prev, size)
+        out[row] = extent_scores(row - i, np.maximum(n[row], 1), member, row, code, prev, size, None if floor is None else floor[row])
     return out
 
 

@@ -17,14 +17,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.vectorized import best_places, lists, trigram_scores
+from ..functions.vectorized import best_places, lists, packed_trigrams, pair_scores, trigram_scores
+from ..sources.store import stored
 
 # Categories whose evidence no product model narrows; the form of one piece of evidence in a prompt.
 MODEL_FREE_CATEGORIES = ("track_record", "certification", "submission")
 EVIDENCE_BLOCK = "[근거 %d] 점수 %.2f (의미 %.2f / 키워드 %.2f)\n문서: %s (%s)\n위치: %s\n모델: %s\n내용:\n%s"
 # End of fixed values.
-#: Rows that meet as one matrix product.
-QUERY_BLOCK, PROBE_BLOCK, CHUNK_BLOCK = 1024, 512, 4096
+#: Rows that meet as one matrix product, and bytes of vectors or trigrams in a block.
+QUERY_BLOCK, PROBE_BLOCK, CHUNK_BLOCK, BLOCK_BYTES = 1024, 512, 4096, 16 << 20
+#: Chunks of the first round of a trigram pool, how much each round grows, chunks that are scored as matrices, parts of a
+#: trigram's postings, trigrams looked up beyond the fewest needed, and slack of scores.
+FIRST_ROUND, ROUND_GROWTH, MATRIX_CHUNKS, POSTING_PARTS, EXTRA_GRAMS, SLACK = 4096, 16, 1 << 16, 8, 5, 1e-9
 
 
 @dataclass(frozen=True)
@@ -45,7 +49,8 @@ def requirement_queries(requirements: DataFrame, model_hint: str | None = None)
     whole = T.strip(F.concat_ws(" ", item, F.coalesce("requirement_text", F.lit(""))))
     rows = requirements.filter(F.col("is_active") & (item != "")).withColumn("item", item)
     probes = F.array_distinct(F.concat(F.array(item, whole), T.item_probes(F.col("item"))))
-    hint = F.when(~F.col("category").isin(*MODEL_FREE_CATEGORIES), F.lit(model_hint).cast("string"))
+    free = F.coalesce(F.col("category").isin(*MODEL_FREE_CATEGORIES), F.lit(False))
+    hint = F.when(~free, F.lit(model_hint).cast("string"))
     return rows.select(F.col("requirement_id").alias("query_id"), item.alias("text"), probes.alias("probes"), promoted_filter(item, hint).alias("model_filter"))
 
 
@@ -64,33 +69,44 @@ def haystack() -> Column:
     return F.concat_ws(" ", "content", "section_path")
 
 
-def _block_pairs(queries: DataFrame, chunks: DataFrame, query_key: str, query_block: int, chunk_block: int) -> DataFrame:
-    """(qs, cs): every block of queries with every block of chunks, as arrays of their rows. Blocks are dealt by hash."""
-    cb, qb = max(1, -(-chunks.count() // chunk_block)), max(1, -(-queries.count() // query_block))
+def _block_pairs(queries: DataFrame, chunks: DataFrame, query_key: str, query_blocks: int, chunk_blocks: int, same: tuple[str, ...] = ()) -> DataFrame:
+    """(qs, cs): every block of queries with every block of chunks that is alike in the columns ``same``, as arrays of
+    their rows. Blocks are dealt by hash."""
     block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    c = chunks.groupBy(block("chunk_id", cb).alias("cb")).agg(F.collect_list(F.struct(*chunks.columns)).alias("cs"))
-    q = queries.groupBy(block(query_key, qb).alias("qb")).agg(F.collect_list(F.struct(*queries.columns)).alias("qs"))
-    return q.withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(cb - 1)))).join(c, "cb").select("qs", "cs")
+    c = chunks.groupBy(*same, block("chunk_id", chunk_blocks).alias("cb")).agg(F.collect_list(F.struct(*chunks.columns)).alias("cs"))
+    q = queries.groupBy(*same, block(query_key, query_blocks).alias("qb")).agg(F.collect_list(F.struct(*queries.columns)).alias("qs"))
+    return q.withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(chunk_blocks - 1)))).join(c, [*same, "cb"]).select("qs", "cs")
 
 
 def semantic_top(queries: DataFrame, chunks: DataFrame, pool: int) -> DataFrame:
     """query_id, chunk_id, semantic: the nearest chunks by cosine (``queries``: query_id, embedding).
 
-    Blocks of queries meet blocks of chunks as matrices; each pair of blocks hands on its best ``pool``."""
+    Blocks of queries meet blocks of chunks as matrices; each pair of blocks hands on its best ``pool``. A query meets
+    only vectors of its own length. Rows with a null vector, or a null component in it, take no part."""
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def unit(rows: pa.StructArray) -> np.ndarray:
+            m = rows.field("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), -1)
+            return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+
         for batch in batches:
             for qs, cs in zip(batch.column("qs"), batch.column("cs"), strict=True):
                 q, c = qs.values, cs.values
                 ids = c.field("chunk_id").to_numpy()
-                unit = lambda rows: (lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300))(rows.field("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), -1))
                 score = np.maximum(unit(q) @ unit(c).T, 0.0)
                 top = np.array([np.lexsort((ids, -row.round(9)))[:pool] for row in score])
                 who = q.field("query_id").take(pa.array(np.repeat(np.arange(len(q)), top.shape[1])))
                 yield pa.RecordBatch.from_arrays([who, pa.array(ids[top.ravel()]), pa.array(np.take_along_axis(score, top, 1).ravel())], ["query_id", "chunk_id", "semantic"])
 
-    q, c = (df.filter("embedding IS NOT NULL").select(key, "embedding") for df, key in ((queries, "query_id"), (chunks, "chunk_id")))
-    pairs = _block_pairs(q, c, "query_id", QUERY_BLOCK, CHUNK_BLOCK).mapInArrow(best, "query_id long, chunk_id long, semantic double")
+    def rows(df: DataFrame, key: str) -> DataFrame:
+        whole = F.col("embedding").isNotNull() & (F.size("embedding") > 0) & ~F.exists("embedding", lambda x: x.isNull())
+        return df.filter(whole).select(key, "embedding", F.size("embedding").alias("dim"))
+
+    q, c = rows(queries, "query_id"), rows(chunks, "chunk_id")
+    asked = q.agg(F.count("*").alias("n")).first()["n"]
+    found = c.agg(F.count("*").alias("n"), F.coalesce(F.max("dim"), F.lit(1)).alias("dim")).first()
+    chunk_block = min(CHUNK_BLOCK, max(BLOCK_BYTES // (8 * found["dim"]), 1))
+    pairs = _block_pairs(q, c, "query_id", -(-asked // QUERY_BLOCK) or 1, -(-found["n"] // chunk_block) or 1, ("dim",)).mapInArrow(best, "query_id long, chunk_id long, semantic double")
     return _pooled(pairs, ["query_id"], F.round("semantic", 9), pool)
 
 
@@ -99,11 +115,51 @@ def _pooled(rows: DataFrame, keys: list[str], score: Column, pool: int) -> DataF
     return rows.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= pool).drop("place")
 
 
-def trigram_top(probes: DataFrame, chunks: DataFrame, pool: int, words: bool = False) -> DataFrame:
-    """query_id, probe, chunk_id, similarity: the best ``pool`` chunks with a trigram in common (``probes``: query_id, probe).
+@dataclass(frozen=True)
+class TrigramIndex:
+    """texts: chunk_id, grams (packed trigrams in order), size (different ones), spot (a hash from 0 to 1);
+    postings: gram, part, chunk_id, size, spot. Both may be stored tables. ``count`` and ``grams``: chunks, and all their trigrams."""
+
+    texts: DataFrame
+    postings: DataFrame
+    count: int
+    grams: int
+
+
+def trigram_texts(chunks: DataFrame) -> DataFrame:
+    """chunk_id, grams, size, spot."""
+    spot = F.pmod(F.xxhash64("chunk_id", F.lit(1)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    rows = chunks.select("chunk_id", packed_trigrams(haystack()).alias("grams"), spot.alias("spot"))
+    return rows.withColumn("size", F.size(F.array_distinct("grams")))
+
+
+def trigram_postings(texts: DataFrame) -> DataFrame:
+    """gram, part, chunk_id, size, spot: one row for each different trigram of each chunk."""
+    part = F.pmod(F.xxhash64("chunk_id", F.lit(2)), F.lit(POSTING_PARTS)).cast("int")
+    return texts.select(F.explode(F.array_distinct("grams")).alias("gram"), part.alias("part"), "chunk_id", "size", "spot")
+
+
+def trigram_index(chunks: DataFrame, texts: DataFrame | None = None, postings: DataFrame | None = None) -> TrigramIndex:
+    """The index of a chunk table. ``texts``, ``postings``: its tables where they stand already; else both are written."""
+    texts = stored(trigram_texts(chunks), "texts") if texts is None else texts
+    totals = texts.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("grams")), F.lit(0)).alias("grams")).first()
+    if postings is None:
+        postings = trigram_postings(texts)
+        if totals["n"] > MATRIX_CHUNKS:  # only later rounds read them
+            postings = stored(postings.sortWithinPartitions("gram"), "postings")
+    return TrigramIndex(texts, postings, totals["n"], totals["grams"])
 
-    Each different probe is worked on once. Blocks of probes meet blocks of chunks as matrices of trigrams, and each pair
-    of blocks hands on its best ``pool``: no pair of rows becomes a Spark row before that, however common a trigram is."""
+
+def rounds(count: int) -> list[tuple[float, float]]:
+    """Ranges of ``spot`` for the rounds of a pool: some thousand chunks, then each time ``ROUND_GROWTH`` as many."""
+    edges = [min(1.0, FIRST_ROUND / max(count, 1))]
+    while edges[-1] < 1.0:
+        edges.append(min(1.0, edges[-1] * ROUND_GROWTH))
+    return list(zip([0.0, *edges], edges, strict=False))
+
+
+def _in_blocks(asked: DataFrame, n_asked: int, index: TrigramIndex, pool: int, words: bool, lo: float, hi: float) -> DataFrame:
+    """probe, chunk_id, similarity over the chunks of a round, as matrices of trigrams (``asked``: probe, grams, least)."""
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -112,17 +168,92 @@ def trigram_top(probes: DataFrame, chunks: DataFrame, pool: int, words: bool = F
                 ids = c.field("chunk_id").to_numpy()
                 order = np.argsort(ids, kind="stable")
                 ids, c = ids[order], c.take(pa.array(order))
-                score = trigram_scores(lists(q.field("grams")), lists(c.field("grams")), pool, words)
+                score = trigram_scores(lists(q.field("grams")), lists(c.field("grams")), pool, words, q.field("least").to_numpy() - SLACK)
                 row, column = best_places(score, pool)
                 yield pa.RecordBatch.from_arrays([q.field("probe").take(pa.array(row)), pa.array(ids[column]), pa.array(score[row, column])], ["probe", "chunk_id", "similarity"])
 
-    q = probes.select("probe").distinct().select("probe", F.array_distinct(T.packed_trigrams(F.col("probe"))).alias("grams"))
-    c = chunks.select("chunk_id", T.packed_trigrams(haystack()).alias("grams"))
-    pairs = _block_pairs(q, c, "probe", PROBE_BLOCK, CHUNK_BLOCK).mapInArrow(best, "probe string, chunk_id long, similarity double")
-    return probes.select("query_id", "probe").join(_pooled(pairs, ["probe"], F.col("similarity"), pool), "probe")
+    share = hi - lo
+    blocks = max(-(-int(index.count * share) // CHUNK_BLOCK), int(8 * index.grams * share // BLOCK_BYTES) + 1)
+    q = asked.groupBy(F.pmod(F.xxhash64("probe"), F.lit(-(-n_asked // PROBE_BLOCK) or 1)).alias("qb")).agg(F.collect_list(F.struct("probe", "grams", "least")).alias("qs"))
+    c = index.texts.filter((F.col("spot") >= lo) & (F.col("spot") < hi)).select("chunk_id", "grams")
+    c = c.groupBy(F.pmod(F.xxhash64("chunk_id"), F.lit(blocks)).cast("int").alias("cb")).agg(F.collect_list(F.struct("chunk_id", "grams")).alias("cs"))
+    met = q.withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(c, "cb").select("qs", "cs")
+    return met.mapInArrow(best, "probe string, chunk_id long, similarity double")
+
+
+def _least(hits: DataFrame, pool: int) -> DataFrame:
+    """probe, least: the ``pool``-th score of the probes that have so many."""
+    return hits.groupBy("probe").agg(F.min("similarity").alias("least"), F.count("*").alias("n")).filter(F.col("n") >= pool).select("probe", "least")
+
+
+def trigram_candidates(asked: DataFrame, index: TrigramIndex, words: bool, lo: float, hi: float) -> DataFrame:
+    """probe, chunk_id, least: the chunks of a round that can still reach a probe's least score (``asked``: probe, grams, least).
+
+    A score is at most shared / asked (and as a set shared / (asked + size - shared)), so a chunk must share t of the n
+    trigrams asked, and of the L that fewest chunks have at least t - (n - L). L is a little longer than n - t + 1, so that
+    several must meet; only those are joined with the postings, and only counts of them are shuffled."""
+    frequency = index.postings.groupBy("gram").agg(F.count("*").alias("df"))
+    rows = asked.select("probe", F.size("grams").alias("n"), "least", F.explode("grams").alias("gram"))
+    rows = rows.join(frequency, "gram", "left")
+    rare_first = Window.partitionBy("probe").orderBy(F.coalesce("df", F.lit(0)), "gram")
+    rows = rows.withColumn("place", F.row_number().over(rare_first)).filter("df IS NOT NULL")
+    n, share = F.col("n"), F.col("least") / (1 + F.col("least"))
+    wanted = F.ceil((F.col("least") * n if words else share * (n + F.col("size"))) - SLACK)
+    reach = F.least(n, n - F.greatest(F.lit(1), wanted) + 1 + EXTRA_GRAMS)
+    if words:
+        rows = rows.filter(F.col("place") <= reach)
+    parts = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(POSTING_PARTS - 1)))).drop("df")
+    postings = index.postings.filter((F.col("spot") >= lo) & (F.col("spot") < hi)).select("gram", "part", "chunk_id", "size")
+    found = parts.join(postings, ["gram", "part"]).filter(F.col("place") <= reach)
+    met = found.groupBy("probe", "chunk_id", "n", "least", "size").agg(F.count("*").alias("met"))
+    return met.filter(F.col("met") >= F.greatest(F.lit(1), wanted) - n + reach).select("probe", "chunk_id", "least")
+
+
+def _verified(candidates: DataFrame, asked: DataFrame, index: TrigramIndex, words: bool) -> DataFrame:
+    """probe, chunk_id, similarity of the candidates that reach their probe's least score."""
+
+    def extents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            score = pair_scores(lists(batch.column("asked")), lists(batch.column("grams")), batch.column("least").to_numpy() - SLACK)
+            score = np.maximum(score, batch.column("similarity").to_numpy())
+            yield pa.RecordBatch.from_arrays([batch.column("probe"), batch.column("chunk_id"), pa.array(score)], ["probe", "chunk_id", "similarity"])
+
+    rows = candidates.join(index.texts.select("chunk_id", "grams", "size"), "chunk_id").join(asked.select("probe", F.col("grams").alias("asked")), "probe")
+    rows = rows.withColumn("shared", F.size(F.array_intersect("asked", "grams")).cast("double"))
+    rows = rows.withColumn("similarity", T.overlap_share(F.col("shared"), F.size("asked"), F.col("size")))
+    reach = F.try_divide("shared", F.size("asked")) if words else F.col("similarity")
+    rows = rows.filter((F.col("shared") > 0) & (reach >= F.col("least") - SLACK))
+    if words:
+        return rows.select("probe", "chunk_id", "asked", "grams", "least", "similarity").mapInArrow(extents, "probe string, chunk_id long, similarity double")
+    return rows.select("probe", "chunk_id", "similarity")
 
 
-def keyword_top(probes: DataFrame, chunks: DataFrame, pool: int) -> DataFrame:
+def trigram_top(probes: DataFrame, chunks: DataFrame | TrigramIndex, pool: int, words: bool = False) -> DataFrame:
+    """query_id, probe, chunk_id, similarity: the best ``pool`` chunks with a trigram in common (``probes``: query_id, probe).
+
+    Each different probe is worked on once, in rounds over growing shares of the chunks. The ``pool``-th score of a round is
+    the least that later rounds must reach. Chunks are scored as matrices while there are few; of the others the candidates
+    come from the postings of each probe's rarest trigrams, so what is scored there grows with the rounds, not the chunks."""
+    index = chunks if isinstance(chunks, TrigramIndex) else trigram_index(chunks)
+    asked = probes.select("probe").distinct().select("probe", F.array_distinct(packed_trigrams(F.col("probe"))).alias("grams"))
+    asked, hits = stored(asked, "asked"), None
+    n_asked = asked.count()
+    for lo, hi in rounds(index.count):
+        if hits is None:
+            found = _in_blocks(asked.withColumn("least", F.lit(0.0)), n_asked, index, pool, words, lo, hi)
+        else:
+            hits = stored(hits, "hits")  # its least scores steer the next round
+            again = asked.join(_least(hits, pool), "probe", "left").withColumn("least", F.coalesce("least", F.lit(0.0)))
+            if index.count * hi <= MATRIX_CHUNKS:
+                found = _in_blocks(again, n_asked, index, pool, words, lo, hi)
+            else:
+                found = _verified(trigram_candidates(again, index, words, lo, hi), asked, index, words)
+            found = found.unionByName(hits)
+        hits = _pooled(found, ["probe"], F.col("similarity"), pool)
+    return probes.select("query_id", "probe").join(hits, "probe")
+
+
+def keyword_top(probes: DataFrame, chunks: DataFrame | TrigramIndex, pool: int) -> DataFrame:
     """query_id, probe, chunk_id, keyword: greater of set and word similarity, best ``pool`` per probe."""
     return trigram_top(probes, chunks, pool, words=True).select("query_id", "probe", "chunk_id", F.col("similarity").alias("keyword"))
 
@@ -134,6 +265,58 @@ def exact_token_hits(queries: DataFrame, chunks: DataFrame) -> DataFrame:
     return q.join(c, "token").select("query_id", "chunk_id").distinct().withColumn("keyword", F.lit(1.0))
 
 
+def token_lists(chunks: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
+    """(wide, matching) lists of the chunks of each exact token that can come first among chunks without other merits.
+
+    Such chunks score alike but for their class (tagged with the query's model, with other models, with none), so in a
+    class only the order of ids counts: of each parent the first ``per_parent`` stay, and a chunk behind ``top_k``
+    parents of its class is never ranked. ``wide`` (token, chunk_id, model_tags) serves queries without a model, and
+    untagged or other models' chunks: it is longer by what one model can take out of it. ``matching`` has a model besides."""
+    rows = chunks.select("chunk_id", F.coalesce("parent_id", "chunk_id").alias("parent"), F.array_sort(F.array_distinct("model_tags")).alias("model_tags"), F.explode(F.array_distinct("keywords")).alias("token"))
+    first = lambda keys, n: F.row_number().over(Window.partitionBy(*keys).orderBy("chunk_id")) <= n
+
+    def capped(df: DataFrame, keys: list[str], n: int | Column) -> DataFrame:
+        """At most ``per_parent`` a parent, up to ``n`` parents."""
+        df = df.withColumn("_ok", first([*keys, "parent"], s.per_parent)).filter("_ok")
+        opens = F.row_number().over(Window.partitionBy(*keys, "parent").orderBy("chunk_id")) == 1
+        df = df.withColumn("_opens", opens.cast("int"))
+        before = F.coalesce(F.sum("_opens").over(Window.partitionBy(*keys).orderBy("chunk_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        return df.withColumn("_before", before).filter(F.col("_before") < n).drop("_ok", "_opens", "_before")
+
+    # per set of tags at most per_parent * top_k rows, cut by grouped limits before anything is put in one order
+    short = rows.withColumn("_ok", first(["token", "model_tags", "parent"], s.per_parent)).filter("_ok").withColumn("_ok", first(["token", "model_tags"], s.per_parent * s.top_k)).filter("_ok").drop("_ok")
+    tags = short.select("token", "model_tags").distinct()
+    sets = tags.select("token", F.explode("model_tags").alias("model")).groupBy("token", "model").agg(F.count("*").alias("n")).groupBy("token").agg(F.max("n").alias("sets"))
+    marked = short.join(sets, "token", "left").withColumn("_limit", s.top_k * (1 + s.per_parent * F.coalesce("sets", F.lit(0))))
+    opens = F.row_number().over(Window.partitionBy("token", "parent").orderBy("chunk_id")) == 1
+    marked = marked.withColumn("_opens", opens.cast("int"))
+    before = F.coalesce(F.sum("_opens").over(Window.partitionBy("token").orderBy("chunk_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    untagged = first(["token", "_bare"], s.per_parent * s.top_k)
+    wide = marked.withColumn("_bare", F.size("model_tags") == 0).withColumns({"_before": before, "_first": untagged})
+    wide = wide.filter((F.col("_before") < F.col("_limit")) | (F.col("_bare") & F.col("_first"))).select("token", "chunk_id", "model_tags")
+    matching = capped(short.withColumn("model", F.explode("model_tags")), ["token", "model"], s.top_k).select("token", "model", "chunk_id")
+    return wide, matching
+
+
+def bounded_token_hits(queries: DataFrame, chunks: DataFrame, s: Settings) -> DataFrame:
+    """query_id, chunk_id, keyword = 1: of the chunks that share an exact token with a query all that can be ranked without
+    standing in another pool (``queries``: query_id, text, model_filter). The join hands on lists, not all pairs of a token."""
+    wide, matching = token_lists(chunks, s)
+    q = queries.select("query_id", F.col("model_filter").alias("model"), F.explode(query_tokens(F.col("text"))).alias("token"))
+    plain = q.join(wide, "token")
+    other = F.round(F.lit(s.keyword_weight * s.mismatch_factor), 6) >= s.threshold
+    plain = plain.filter(F.col("model").isNull() | (F.size("model_tags") == 0) | (~F.array_contains("model_tags", F.col("model")) & other))
+    own = q.filter("model IS NOT NULL").join(matching, ["token", "model"])
+    return plain.select("query_id", "chunk_id").unionByName(own.select("query_id", "chunk_id")).distinct().withColumn("keyword", F.lit(1.0))
+
+
+def token_scores(pool: DataFrame, queries: DataFrame, chunks: DataFrame) -> DataFrame:
+    """query_id, chunk_id, keyword = 1 for the pairs of a pool that share an exact token."""
+    q = queries.select("query_id", query_tokens(F.col("text")).alias("tokens")).filter(F.size("tokens") > 0)
+    rows = pool.select("query_id", "chunk_id").distinct().join(q, "query_id").join(chunks.select("chunk_id", "keywords"), "chunk_id")
+    return rows.filter(F.arrays_overlap("tokens", "keywords")).select("query_id", "chunk_id", F.lit(1.0).alias("keyword"))
+
+
 def keyword_scores(*parts: DataFrame) -> DataFrame:
     """query_id, chunk_id, keyword: the best over probes and exact tokens; zeros never enter."""
     every = parts[0].select("query_id", "chunk_id", "keyword")
@@ -171,14 +354,27 @@ def score_candidates(queries: DataFrame, chunks: DataFrame, semantic: DataFrame,
     return rows.withColumns({"score": rerank(F.col("score"), F.col("model_tags"), F.col("model_filter"), s), "semantic": F.round("semantic", 6), "keyword": F.round("keyword", 6)})
 
 
-def search(queries: DataFrame, chunks: DataFrame, query_vectors: DataFrame | None = None, s: Settings = Settings(), doc_kinds: list[str] | None = None) -> DataFrame:
-    """Ranked hits of all queries: query_id, chunk_id, parent_key, scores, rank and the chunk's columns. ``chunks``: children only."""
+def search(
+    queries: DataFrame,
+    chunks: DataFrame,
+    query_vectors: DataFrame | None = None,
+    s: Settings = Settings(),
+    doc_kinds: list[str] | None = None,
+    index: TrigramIndex | None = None,
+) -> DataFrame:
+    """Ranked hits of all queries: query_id, chunk_id, parent_key, scores, rank and the chunk's columns. ``chunks``: children only.
+
+    A query's text is always a probe of its own, whatever stands in ``probes``. ``index``: the chunks' stored trigrams."""
     model = F.nullif(promoted_filter(F.col("text"), F.col("model_filter")), F.lit(""))
     queries = queries.filter(T.strip(F.col("text")) != "").withColumn("model_filter", model)
-    probes = queries.select("query_id", F.explode("probes").alias("probe")).filter(T.strip(F.col("probe")) != "")
-    keyword = keyword_scores(keyword_top(probes, chunks, s.pool), exact_token_hits(queries, chunks))
-    empty = keyword.select("query_id", "chunk_id", F.lit(0.0).alias("semantic")).limit(0)
+    asked = F.array_distinct(F.concat(F.array("text"), F.coalesce("probes", F.array().cast("array<string>"))))
+    probes = queries.select("query_id", F.explode(asked).alias("probe")).filter(T.strip(F.col("probe")) != "")
+    words = keyword_top(probes, index or trigram_index(chunks), s.pool).select("query_id", "chunk_id", "keyword")
+    empty = words.select("query_id", "chunk_id", F.lit(0.0).alias("semantic")).limit(0)
     semantic = semantic_top(query_vectors, chunks, s.pool) if query_vectors is not None else empty
+    pooled = words.select("query_id", "chunk_id").unionByName(semantic.select("query_id", "chunk_id"))
+    ranked = chunks.filter(F.col("doc_kind").isin(*doc_kinds)) if doc_kinds else chunks
+    keyword = keyword_scores(words, token_scores(pooled, queries, chunks), bounded_token_hits(queries, ranked, s))
     return diverse_top(score_candidates(queries, chunks, semantic, keyword, s, doc_kinds), s)
 
 

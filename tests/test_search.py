@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from clausegrid.functions import text as T
-from clausegrid.functions.vectorized import word_similarity, word_similarity_of
+from clausegrid.functions.vectorized import packed_trigrams, word_similarity, word_similarity_of
 from clausegrid.operators import requirements, retrieval
 from clausegrid.sources import io
 
@@ -45,9 +45,15 @@ def frames(spark, texts):
 
 
 @pytest.mark.parametrize("words", [False, True])
-def test_pools_equal_brute_force_in_small_blocks(spark, texts, monkeypatch, words):
+@pytest.mark.parametrize("first,matrix", [(1 << 12, 1 << 16), (12, 1 << 16), (12, 24), (5, 1)])
+def test_pools_equal_brute_force_in_small_blocks_and_rounds(spark, texts, monkeypatch, words, first, matrix):
+    """One round, several as matrices, the last ones by postings, all but the first by postings."""
     monkeypatch.setattr(retrieval, "CHUNK_BLOCK", 16)
     monkeypatch.setattr(retrieval, "PROBE_BLOCK", 7)
+    monkeypatch.setattr(retrieval, "FIRST_ROUND", first)
+    monkeypatch.setattr(retrieval, "ROUND_GROWTH", 2)
+    monkeypatch.setattr(retrieval, "MATRIX_CHUNKS", matrix)
+    monkeypatch.setattr(retrieval, "EXTRA_GRAMS", 2)
     chunks, probes = frames(spark, texts)
     got = {}
     for r in retrieval.trigram_top(probes, chunks, 5, words).collect():
@@ -62,8 +68,24 @@ def test_pools_equal_brute_force_in_small_blocks(spark, texts, monkeypatch, word
         assert sorted(got.get(probe, [])) == sorted(scored)[:5], probe
 
 
+def test_postings_leave_most_pairs_out(spark, monkeypatch):
+    """Of chunks whose words differ a probe's candidates are few, and their share falls with the number of chunks."""
+    monkeypatch.setattr(retrieval, "FIRST_ROUND", 64)
+    monkeypatch.setattr(retrieval, "MATRIX_CHUNKS", 64)
+    share = []
+    for n in (512, 4096):
+        r = random.Random(n)
+        word = lambda r=r: "".join(r.choice("abcdefghij") for _ in range(6))
+        names = [f"{word()} {word()} {word()}" for _ in range(n)]
+        chunks = spark.createDataFrame([(i, x, "") for i, x in enumerate(names)], "chunk_id long, content string, section_path string")
+        index = retrieval.trigram_index(chunks)
+        asked = spark.createDataFrame([(x,) for x in names[:8]], "probe string").select("probe", F.array_distinct(packed_trigrams(F.col("probe"))).alias("grams"), F.lit(0.3).alias("least"))
+        share.append(retrieval.trigram_candidates(asked, index, True, 0.0, 1.0).count() / (8 * n))
+    assert share[1] < 0.05 and share[0] < 0.05
+
+
 def test_packed_trigrams_tell_all_letters_apart(spark):
-    rows = spark.createDataFrame([("aé가😀b",), ("",), (None,)], "t string").select(T.packed_trigrams(F.col("t")).alias("p"), T.trigram_list(F.col("t")).alias("g")).collect()
+    rows = spark.createDataFrame([("aé가😀b",), ("",), (None,)], "t string").select(packed_trigrams(F.col("t")).alias("p"), T.trigram_list(F.col("t")).alias("g")).collect()
     for r in rows:
         assert r["p"] == [sum(ord(c) << s for c, s in zip(g, (42, 21, 0), strict=True)) for g in r["g"]]
 
@@ -71,7 +93,7 @@ def test_packed_trigrams_tell_all_letters_apart(spark):
 def test_word_similarity_column(spark):
     r = random.Random(2)
     pairs = [(" ".join(r.choice(WORDS) for _ in range(r.randint(0, 3))), " ".join(r.choice(WORDS) for _ in range(r.randint(0, 9)))) for _ in range(40)]
-    packed = spark.createDataFrame(pairs, "a string, b string").select("a", "b", F.array_distinct(T.packed_trigrams(F.col("a"))).alias("p"), T.packed_trigrams(F.col("b")).alias("q")).repartition(4)
+    packed = spark.createDataFrame(pairs, "a string, b string").select("a", "b", F.array_distinct(packed_trigrams(F.col("a"))).alias("p"), packed_trigrams(F.col("b")).alias("q")).repartition(4)
     for x in packed.select("a", "b", word_similarity("p", "q").alias("w")).collect():
         assert x["w"] == pytest.approx(word_score(grams(x["a"]), grams(x["b"]))) == word_similarity_of(set(grams(x["a"])), grams(x["b"]))
 
@@ -109,6 +131,47 @@ def test_vectors_find_what_words_do_not(spark):
     assert 4 not in got or got[4]["semantic"] == 0.0
 
 
+def test_vectors_meet_only_vectors_of_their_length(spark):
+    chunks = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.0, 0.0]), (3, [1.0, 1.0, 1.0, 1.0]), (4, [0.0, None]), (5, None), (6, [])], "chunk_id long, embedding array<double>")
+    queries = spark.createDataFrame([(1, [2.0, 0.0]), (2, [0.0, 3.0, 0.0]), (3, [1.0] * 5), (4, [1.0] * 4)], "query_id long, embedding array<double>")
+    got = {(r["query_id"], r["chunk_id"]): r["semantic"] for r in retrieval.semantic_top(queries, chunks, 40).collect()}
+    assert got == {(1, 1): 1.0, (2, 2): 0.0, (4, 3): 1.0}
+
+
+def test_a_text_is_its_own_probe_and_unknown_categories_take_the_hint(spark):
+    queries, chunks, _ = search_frames(spark, "보증 기간", None)
+    for probes in (F.array().cast("array<string>"), F.lit(None).cast("array<string>")):
+        hits = retrieval.search(queries.withColumn("probes", probes), chunks, None, replace(retrieval.Settings(), threshold=0.0)).collect()
+        assert hits[0]["chunk_id"] == 3
+    rows = spark.createDataFrame([(1, "a", None), (2, "a", "track_record"), (3, "a", "other")], "requirement_id long, item string, category string").withColumns({"is_active": F.lit(True), "requirement_text": F.lit("")})
+    assert {r["query_id"]: r["model_filter"] for r in retrieval.requirement_queries(rows, "LT-150").collect()} == {1: "LT-150", 2: None, 3: "LT-150"}
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_bounded_tokens_rank_like_all_pairs_of_a_token(spark, seed):
+    """The search with lists of tokens against the pools with every pair: models in several sets, few parents, kinds."""
+    r = random.Random(seed)
+    tags = [[], [], ["LT-101"], ["LT-102"], ["LT-101", "LT-102"], ["LT-103"], ["LT-102", "LT-103"]]
+    rows = [(i, r.choice([None, *range(1000, 1006)]), 1, r.choice(["catalog", "qa"]), f"IP6{r.choice('556')} {r.choice(WORDS)}", "p", r.choice(tags), [r.random(), r.random()]) for i in range(150)]
+    chunks = spark.createDataFrame(rows, "chunk_id long, parent_id long, document_id long, doc_kind string, content string, section_path string, model_tags array<string>, embedding array<double>").withColumn("keywords", T.keywords(F.col("content")))
+    asked = [(i, f"{r.choice(WORDS)} IP6{r.choice('567')}" + r.choice(["", " 2 kg", " IP65"]), [], r.choice([None, "LT-101", "LT-102", "LT-103", "LT-999"])) for i in range(12)]
+    queries = spark.createDataFrame(asked, "query_id long, text string, probes array<string>, model_filter string")
+    vectors = spark.createDataFrame([(i, [1.0, i / 5]) for i in range(0, 12, 2)], "query_id long, embedding array<double>")
+    for s, kinds in ((replace(retrieval.Settings(), threshold=0.1, pool=3), None), (replace(retrieval.Settings(), pool=2, top_k=3, per_parent=1), ["qa"])):
+        got = retrieval.search(queries, chunks, vectors, s, kinds)
+        probes = queries.select("query_id", F.col("text").alias("probe"))
+        keyword = retrieval.keyword_scores(retrieval.keyword_top(probes, chunks, s.pool), retrieval.exact_token_hits(queries, chunks))
+        want = retrieval.diverse_top(retrieval.score_candidates(queries, chunks, retrieval.semantic_top(vectors, chunks, s.pool), keyword, s, kinds), s)
+        keys = ["query_id", "rank", "chunk_id", "score", "semantic", "keyword"]
+        assert sorted(map(tuple, got.select(keys).collect())) == sorted(map(tuple, want.select(keys).collect()))
+
+
+def test_lists_of_a_token_do_not_grow_with_its_chunks(spark):
+    chunks = spark.range(3000).select(F.col("id").alias("chunk_id"), (F.col("id") % 700).alias("parent_id"), F.array(F.lit("IP65")).alias("keywords"), F.array(F.concat(F.lit("LT-10"), (F.col("id") % 3).cast("string"))).alias("model_tags"))
+    wide, matching = retrieval.token_lists(chunks, retrieval.Settings())
+    assert wide.count() <= 3 * 10 and matching.count() <= 3 * 10
+
+
 def test_a_single_named_model_becomes_the_filter(spark):
     plain, named = found(spark, "방수 등급"), found(spark, "LT-150 방수 등급")
     assert found(spark, "LT-150 방수 등급", "")[1]["score"] < named[1]["score"] and named[2]["score"] < plain[2]["score"]
