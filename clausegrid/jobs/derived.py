@@ -106,7 +106,20 @@ def event_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = F.concat(F.regexp_replace(one, r"\}$", ',"source_page":'), number, F.lit("}"))
     due = F.when(k % 4 == 1, F.concat(F.lit("2025-2-"), s(k % 28 + 1), F.lit(" 9:30"))).otherwise("soon")
     body = F.concat(F.lit('{"requirements":['), one, F.lit('],"warnings":["w'), s(k), F.lit('"],"submission_items":[{"seq":'), number, F.lit(',"name":"'), F.col("event_type"), F.lit('"},{"seq":"x","name":"y"}],"participation_reqs":[{"seq":"p'), s(k % 7), F.lit('","text":"'), F.col("event_type"), F.lit('"}],"bid_info":{"title":"T'), s(k), F.lit('","announced_on":"2025-1-'), s(k % 28 + 1), F.lit('","bid_due_at":"'), due, F.lit('","spec_doc_no":"'), F.when(F.col("event_id") % 2 == 1, F.concat(F.lit("S-"), s("event_id"))).otherwise(""), F.lit('"}}'))
-    return e.select((F.col("user_id") % 50).alias("project_id"), F.col("event_id").alias("document_id"), F.when(F.col("event_id") % 2 == 0, "announcement").otherwise("techspec").alias("doc_type"), F.when(F.col("event_id") % 97 == 0, "not json").otherwise(body).alias("response"))
+    return e.select(F.expr("user_id div 3").alias("project_id"), F.col("event_id").alias("document_id"), F.when(F.col("event_id") % 2 == 0, "announcement").otherwise("techspec").alias("doc_type"), F.when(F.col("event_id") % 97 == 0, "not json").otherwise(body).alias("response"))
+
+
+def odd_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model response for each event, seven of eight with one field of the wrong type."""
+    good = {"requirements": '[{"clause_no":"c","item":"a","source_page":3},{"clause_no":"d","item":"b"}]', "warnings": '["w"]', "bid_info": '{"title":"T"}'}
+    odd = [
+        {}, {"requirements": '{"clause_no":"c"}'}, {"requirements": '["text",{"clause_no":"c","item":"a","source_page":3},null]'}, {"warnings": '"one text"'}, {"bid_info": '"none"'}, {"bid_info": '{"title":7}'},
+        {"requirements": good["requirements"].replace("3}", '"3"}')}, {"requirements": good["requirements"].replace('"c"', "2.5")},
+    ]
+    texts = [F.lit("{" + ",".join(f'"{k}":{v}' for k, v in (good | x).items()) + "}") for x in odd]
+    k = F.col("event_id")
+    response = F.when(k % 97 == 0, "[]").otherwise(F.element_at(F.array(*texts), (k % 8 + 1).cast("int")))
+    return table(spark, sf_dir, "events").select(F.expr("user_id div 3").alias("project_id"), k.alias("document_id"), F.lit("announcement").alias("doc_type"), response.alias("response"))
 
 
 def part_assessments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,7 +137,7 @@ def label_assessments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw verdicts made from labels: unknown values, missing citations and contradictions by rule."""
     lab = table(spark, sf_dir, "labels")
     k = F.col("doc_id")
-    return lab.select((k % 20).alias("run_id"), k.alias("requirement_id"), F.when(k % 17 == 0, "MAYBE").when(F.col("quality") == 1, "MEET").otherwise("GAP").alias("verdict"), F.when(k % 13 == 0, "not_found").otherwise("found_sufficient").alias("evidence_state"), F.lit("why").alias("rationale"), s(k).alias("our_value"), F.when(k % 5 == 0, F.array().cast("array<int>")).otherwise(F.array(F.lit(1), (k % 3 + 1).cast("int"))).alias("cited_ranks"), (k % 15 / F.lit(10.0)).alias("confidence"), F.when(k % 19 == 0, "timeout").alias("error"))
+    return lab.select(F.expr("doc_id div 50").alias("run_id"), k.alias("requirement_id"), F.when(k % 17 == 0, "MAYBE").when(F.col("quality") == 1, "MEET").otherwise("GAP").alias("verdict"), F.when(k % 13 == 0, "not_found").otherwise("found_sufficient").alias("evidence_state"), F.lit("why").alias("rationale"), s(k).alias("our_value"), F.when(k % 5 == 0, F.array().cast("array<int>")).otherwise(F.array(F.lit(1), (k % 3 + 1).cast("int"))).alias("cited_ranks"), (k % 15 / F.lit(10.0)).alias("confidence"), F.when(k % 19 == 0, "timeout").alias("error"))
 
 
 def document_pages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import admission, chunking, embedding, markdown, page_checks
-from ..sources import io
+from ..sources import index, io, store
 from . import derived as D
 from .queries import _chunks, table
 from .registry import query
@@ -86,6 +88,31 @@ def replaced_numbers(spark, sf):
     return io.admit_numbers(old, new, replace=True)[0].select("doc_no", "version")
 
 
+@query("batch_numbers", """
+WITH d AS (SELECT DISTINCT p_partkey // 10 AS document_id FROM part), n AS (SELECT document_id, 'PC-' || document_id // 3 AS doc_no FROM d)
+SELECT 'once' AS form, doc_no, min(document_id) AS document_id FROM n GROUP BY 2 UNION ALL SELECT 'replace', doc_no, max(document_id) FROM n GROUP BY 2""")
+def batch_numbers(spark, sf):
+    """Batches in which three documents have one number: the first stays, or, where each replaces, the last."""
+    new = D.part_documents(spark, sf).select("document_id", F.concat(F.lit("PC-"), D.s(F.expr("document_id div 3"))).alias("doc_no"))
+    made = [io.admit_numbers(new.limit(0), new, replace)[0].select(F.lit(form).alias("form"), "doc_no", "document_id") for form, replace in (("once", False), ("replace", True))]
+    return made[0].unionByName(made[1])
+
+
+@query("index_updates", """
+WITH d AS (SELECT p_partkey // 10 AS document_id, count(*) AS n FROM part GROUP BY 1)
+SELECT document_id, CASE WHEN document_id % 6 = 0 THEN 2 ELSE 1 END AS version, n, n AS chunk_count, CASE WHEN document_id % 6 = 3 THEN 'failed' ELSE 'indexed' END AS status,
+  CASE WHEN document_id % 6 = 0 THEN 'm2' ELSE 'm1' END AS embedding_model FROM d""")
+def index_updates(spark, sf):
+    """All documents are indexed, then every third anew; of those every second yields no chunk and keeps its old ones."""
+    path = f"{store.shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    rows = D.part_chunks(spark, sf).withColumns({"document_id": F.expr("chunk_id div 10"), "is_parent": F.lit(False)})
+    documents = rows.select("document_id").distinct()
+    index.update_index(spark, path, documents, rows.withColumn("version", F.lit(1)), "m1")
+    index.update_index(spark, path, documents.filter("document_id % 3 = 0"), rows.filter("document_id % 6 = 0").withColumn("version", F.lit(2)), "m2")
+    now = index.open_index(spark, path)
+    return now.chunks.groupBy("document_id", "version").agg(F.count("*").alias("n")).join(now.status, "document_id").select("document_id", "version", "n", "chunk_count", "status", "embedding_model")
+
+
 @query("file_kinds", """
 SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'qa' WHEN 1 THEN 'catalog' WHEN 2 THEN 'qa' ELSE 'other' END AS kind, p_size % 5 = 0 OR p_size % 7 = 0 AS is_bid, p_name || '.v' || p_size AS stem FROM part""")
 def file_kinds(spark, sf):

@@ -282,7 +282,7 @@ def model_hints(spark, sf):
 # --- Requirements -------------------------------------------------------------------------------------------------
 
 RESPONSES = """
-WITH e AS (SELECT user_id % 50 AS project_id, event_id AS document_id, event_type, CAST(json_extract(props, '$.k') AS INTEGER) AS k, event_id % 2 AS doc_order FROM events WHERE event_id % 97 <> 0),
+WITH e AS (SELECT user_id // 3 AS project_id, event_id AS document_id, event_type, CAST(json_extract(props, '$.k') AS INTEGER) AS k, event_id % 2 AS doc_order FROM events WHERE event_id % 97 <> 0),
 r AS (SELECT *, (k % 5 + 1) || '.' || (document_id % 12) AS clause_no, event_type AS item FROM e),
 u AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY project_id, clause_no, item ORDER BY doc_order, document_id) = 1)
 """
@@ -306,11 +306,28 @@ def requirement_warnings(spark, sf):
     return requirements.save_requirements(requirements.requirement_rows(parsed))[1]
 
 
-@query("rejected_responses", "SELECT user_id % 50 AS project_id, event_id AS document_id, 'not json' AS response FROM events WHERE event_id % 97 = 0")
+@query("rejected_responses", "SELECT user_id // 3 AS project_id, event_id AS document_id, 'not json' AS response FROM events WHERE event_id % 97 = 0")
 def rejected_responses(spark, sf):
     return requirements.parse_responses(D.event_responses(spark, sf))[1]
 
 
+@query("ill_typed_responses", """
+WITH e AS (SELECT event_id, user_id // 3 AS project_id, event_id % 8 AS k FROM events WHERE event_id % 97 <> 0)
+SELECT event_id AS document_id, CASE k WHEN 1 THEN 0 WHEN 2 THEN 1 ELSE 2 END AS requirements, CASE WHEN k = 3 THEN 0 ELSE 1 END AS warnings, CASE WHEN k = 4 THEN NULL WHEN k = 5 THEN '7' ELSE 'T' END AS title,
+  CASE WHEN k IN (1, 6) THEN NULL ELSE 3 END AS source_page, CASE WHEN k = 1 THEN NULL WHEN k = 7 THEN '2.5' ELSE 'c' END AS clause_no FROM e""")
+def ill_typed_responses(spark, sf):
+    """Responses with one field of the wrong type each; all other fields stand."""
+    e = D.odd_responses(spark, sf)
+    parsed, _ = requirements.parse_responses(e)
+    rows = requirements.requirement_rows(parsed)
+    first = rows.groupBy("document_id").agg(F.count("*").cast("int").alias("requirements"), F.min_by("source_page", "pos").alias("source_page"), F.min_by("clause_no", "pos").alias("clause_no"))
+    said = requirements.document_warnings(e.select("project_id", "document_id", D.s("document_id").alias("original_name")), e.select("document_id"), parsed)
+    said = said.groupBy(F.split("message", ":")[0].cast("long").alias("document_id")).agg(F.count("*").cast("int").alias("warnings"))
+    title = requirements.scalar(F.try_element_at("r.bid_info", F.lit("title")))
+    out = parsed.select("document_id", title.alias("title")).join(first, "document_id", "left").join(said, "document_id", "left")
+    return out.fillna(0, ["requirements", "warnings"]).select("document_id", "requirements", "warnings", "title", "source_page", "clause_no")
+
+
 @query("requirement_counts", RESPONSES + "SELECT project_id, count(*) AS total, count(*) AS active, CAST(0 AS BIGINT) AS graded FROM u GROUP BY 1")
 def requirement_counts(spark, sf):
     parsed, _ = requirements.parse_responses(D.event_responses(spark, sf))
@@ -318,21 +335,21 @@ def requirement_counts(spark, sf):
 
 
 @query("submission_items", """
-SELECT user_id % 50 AS project_id, CAST(json_extract(props, '$.k') AS INTEGER) AS seq, event_type AS name FROM events WHERE event_id % 2 = 0 AND event_id % 97 <> 0 AND CAST(json_extract(props, '$.k') AS INTEGER) % 3 > 0
-QUALIFY row_number() OVER (PARTITION BY user_id % 50, CAST(json_extract(props, '$.k') AS INTEGER) ORDER BY event_id) = 1""")
+SELECT user_id // 3 AS project_id, CAST(json_extract(props, '$.k') AS INTEGER) AS seq, event_type AS name FROM events WHERE event_id % 2 = 0 AND event_id % 97 <> 0 AND CAST(json_extract(props, '$.k') AS INTEGER) % 3 > 0
+QUALIFY row_number() OVER (PARTITION BY user_id // 3, CAST(json_extract(props, '$.k') AS INTEGER) ORDER BY event_id) = 1""")
 def submission_items(spark, sf):
     return requirements.save_submissions(requirements.parse_responses(D.event_responses(spark, sf))[0])[0].select("project_id", "seq", "name")
 
 
 @query("participation", """
-SELECT user_id % 50 AS project_id, 'p' || CAST(json_extract(props, '$.k') AS INTEGER) % 7 AS seq, event_type AS text FROM events WHERE event_id % 2 = 0 AND event_id % 97 <> 0
-QUALIFY row_number() OVER (PARTITION BY user_id % 50, CAST(json_extract(props, '$.k') AS INTEGER) % 7 ORDER BY event_id) = 1""")
+SELECT user_id // 3 AS project_id, 'p' || CAST(json_extract(props, '$.k') AS INTEGER) % 7 AS seq, event_type AS text FROM events WHERE event_id % 2 = 0 AND event_id % 97 <> 0
+QUALIFY row_number() OVER (PARTITION BY user_id // 3, CAST(json_extract(props, '$.k') AS INTEGER) % 7 ORDER BY event_id) = 1""")
 def participation(spark, sf):
     return requirements.save_participation(requirements.parse_responses(D.event_responses(spark, sf))[0])
 
 
 FIRST_HEADERS = """
-WITH e AS (SELECT user_id % 50 AS project_id, event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events WHERE event_id % 97 <> 0),
+WITH e AS (SELECT user_id // 3 AS project_id, event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events WHERE event_id % 97 <> 0),
 f AS (SELECT project_id, k FROM e WHERE event_id % 2 = 0 QUALIFY row_number() OVER (PARTITION BY project_id ORDER BY event_id) = 1),
 d AS (SELECT project_id, k FROM e WHERE event_id % 2 = 0 AND k % 4 = 1 QUALIFY row_number() OVER (PARTITION BY project_id ORDER BY event_id) = 1),
 n AS (SELECT project_id, event_id FROM e WHERE event_id % 2 = 1 QUALIFY row_number() OVER (PARTITION BY project_id ORDER BY event_id) = 1)
@@ -349,14 +366,14 @@ def project_headers(spark, sf):
 
 
 @query("header_warnings", """
-WITH e AS (SELECT user_id % 50 AS project_id, event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events WHERE event_id % 97 <> 0 AND event_id % 2 = 0),
+WITH e AS (SELECT user_id // 3 AS project_id, event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events WHERE event_id % 97 <> 0 AND event_id % 2 = 0),
 g AS (SELECT project_id, min(event_id) AS since FROM e WHERE k % 4 = 1 GROUP BY 1)
 SELECT project_id, 'bid_due_at' AS field, 'soon' AS value FROM e LEFT JOIN g USING (project_id) JOIN customer ON c_custkey = project_id WHERE k % 4 <> 1 AND (since IS NULL OR event_id < since) AND c_custkey % 3 <> 0""")
 def header_warnings(spark, sf):
     return requirements.fill_header(D.customer_projects(spark, sf), requirements.parse_responses(D.event_responses(spark, sf))[0])[1]
 
 
-@query("model_warnings", "SELECT user_id % 50 AS project_id, 'f' || event_id || ': w' || CAST(json_extract(props, '$.k') AS INTEGER) AS message FROM events WHERE event_id % 97 <> 0")
+@query("model_warnings", "SELECT user_id // 3 AS project_id, 'f' || event_id || ': w' || CAST(json_extract(props, '$.k') AS INTEGER) AS message FROM events WHERE event_id % 97 <> 0")
 def model_warnings(spark, sf):
     responses = D.event_responses(spark, sf)
     documents = responses.select("project_id", "document_id", F.concat(F.lit("f"), D.s("document_id")).alias("original_name"))
@@ -393,13 +410,13 @@ def edited_requirements(spark, sf):
 # --- Verdicts and conflicts ---------------------------------------------------------------------------------------
 
 REPAIRED = """
-WITH a AS (SELECT *, doc_id % 20 AS run_id, CASE WHEN doc_id % 17 = 0 THEN 'CHECK' WHEN quality = 1 THEN 'MEET' ELSE 'GAP' END AS v, doc_id % 7 <> 0 AS has_hits FROM labels),
+WITH a AS (SELECT *, doc_id // 50 AS run_id, CASE WHEN doc_id % 17 = 0 THEN 'CHECK' WHEN quality = 1 THEN 'MEET' ELSE 'GAP' END AS v, doc_id % 7 <> 0 AS has_hits FROM labels),
 b AS (SELECT *, v = 'MEET' AND NOT has_hits AS bare FROM a)
 """
 
 
 def _hit_counts(spark, sf):
-    return table(spark, sf, "labels").filter("doc_id % 7 <> 0").select((F.col("doc_id") % 20).alias("run_id"), F.col("doc_id").alias("requirement_id"), F.lit(3).alias("hits"))
+    return table(spark, sf, "labels").filter("doc_id % 7 <> 0").select(F.expr("doc_id div 50").alias("run_id"), F.col("doc_id").alias("requirement_id"), F.lit(3).alias("hits"))
 
 
 @query("repaired_verdicts", REPAIRED + """
@@ -420,12 +437,12 @@ def cited_evidence(spark, sf):
     return verdicts.cited_evidence(fixed, hits)
 
 
-@query("bare_meets", "SELECT doc_id % 20 AS run_id, doc_id AS requirement_id FROM labels WHERE quality = 1 AND doc_id % 17 <> 0 AND doc_id % 7 = 0")
+@query("bare_meets", "SELECT doc_id // 50 AS run_id, doc_id AS requirement_id FROM labels WHERE quality = 1 AND doc_id % 17 <> 0 AND doc_id % 7 = 0")
 def bare_meets(spark, sf):
     return verdicts.meet_without_evidence(D.label_assessments(spark, sf), _hit_counts(spark, sf)).select("run_id", "requirement_id")
 
 
-@query("run_status", "SELECT doc_id % 20 AS run_id, avg((doc_id % 19 = 0)::INTEGER)::DOUBLE AS failed_share, CASE WHEN avg((doc_id % 19 = 0)::INTEGER) > 0.3 THEN 'failed' ELSE 'done' END AS status FROM labels GROUP BY 1")
+@query("run_status", "SELECT doc_id // 50 AS run_id, avg((doc_id % 19 = 0)::INTEGER)::DOUBLE AS failed_share, CASE WHEN avg((doc_id % 19 = 0)::INTEGER) > 0.3 THEN 'failed' ELSE 'done' END AS status FROM labels GROUP BY 1")
 def run_status(spark, sf):
     return verdicts.run_status(D.label_assessments(spark, sf))
 
@@ -453,6 +470,23 @@ def parsed_limits(spark, sf):
     return rows.select("p_partkey", "v.value", "v.unit", "c.op", "c.lo", "c.hi", conflicts.violates(F.col("v.value"), F.col("c")).alias("violated"))
 
 
+@query("limit_intervals", """
+WITH x AS (SELECT p_partkey, p_size AS n, CAST(p_partkey % 3 AS INTEGER) AS k FROM part)
+SELECT p_partkey, 'kg' AS unit, '<=' AS op, NULL::DOUBLE AS lo, (n % 7 + 20)::DOUBLE AS hi, 25 > n % 7 + 20 AS broken FROM x WHERE k = 0
+UNION ALL SELECT p_partkey, '℃', 'range', n::DOUBLE, (n + 30)::DOUBLE, 25 < n OR 25 >= n + 30 FROM x WHERE k = 0
+UNION ALL SELECT p_partkey, '℃', 'range', -n::DOUBLE, 20::DOUBLE, true FROM x WHERE k = 1
+UNION ALL SELECT p_partkey, '주', '>', n::DOUBLE, NULL, 25 <= n FROM x WHERE k = 2""")
+def limit_intervals(spark, sf):
+    """Texts that name several numbers: limits of two units, one unit limited from both sides, a span below zero."""
+    n, k = D.s("p_size"), F.col("p_partkey") % 3
+    two = F.concat(F.lit("50 W 등기구, 무게 "), D.s(F.col("p_size") % 7 + 20), F.lit(" kg 이하, "), n, F.lit("℃ 이상 "), D.s(F.col("p_size") + 30), F.lit("℃ 미만"))
+    text = F.when(k == 0, two).when(k == 1, F.concat(F.lit("영하 "), n, F.lit(" ~ 20℃, 100 W"))).otherwise(F.concat(F.lit("5 kg 기준 "), n, F.lit("주 초과")))
+    units = F.when(k == 0, F.array(F.lit("kg"), F.lit("℃"))).when(k == 1, F.array(F.lit("℃"))).otherwise(F.array(F.lit("주")))
+    rows = table(spark, sf, "part").select("p_partkey", text.alias("text"), F.explode(units).alias("unit"))
+    rows = rows.withColumn("c", conflicts.parse_constraint(F.col("text"), F.col("unit")))
+    return rows.select("p_partkey", "c.unit", "c.op", "c.lo", "c.hi", conflicts.violates(F.lit(25.0), F.col("c")).alias("broken"))
+
+
 @query("side_effect_issues", """
 SELECT p_partkey AS run_id, ['3.1', '3.2'] AS clause_nos, 'high' AS severity, 'housing → 3.2' AS title, (p_size + p_size % 5)::DOUBLE AS value FROM part
 WHERE p_size % 10 <> 0 AND p_size + p_size % 5 > p_size % 7 + 20""")
@@ -476,7 +510,7 @@ def lead_time_issues(spark, sf):
 
 
 @query("verdict_summary", """
-SELECT doc_id % 20 AS run_id, count(*) FILTER (quality = 1 AND doc_id % 17 <> 0) AS "MEET", count(*) FILTER (quality = 0 AND doc_id % 17 <> 0) AS "GAP", CAST(0 AS BIGINT) AS "CHECK", count(*) AS total, count(*) FILTER (doc_id % 3 = 0) AS graded_total FROM labels GROUP BY 1""")
+SELECT doc_id // 50 AS run_id, count(*) FILTER (quality = 1 AND doc_id % 17 <> 0) AS "MEET", count(*) FILTER (quality = 0 AND doc_id % 17 <> 0) AS "GAP", CAST(0 AS BIGINT) AS "CHECK", count(*) AS total, count(*) FILTER (doc_id % 3 = 0) AS graded_total FROM labels GROUP BY 1""")
 def verdict_summary(spark, sf):
     rows = D.label_assessments(spark, sf).withColumns({"is_active": F.lit(True), "is_graded": F.col("requirement_id") % 3 == 0})
     return evaluation.run_summary(rows)
@@ -519,6 +553,33 @@ def accuracy(spark, sf):
     return evaluation.accuracy(_graded(spark, sf))
 
 
+RUN_GRADES = """
+WITH a AS (SELECT doc_id, doc_id // 50 AS run_id, doc_id % 10 AS item, quality FROM labels),
+k AS (SELECT DISTINCT item, CASE WHEN item % 2 = 0 THEN 'MEET' ELSE 'GAP' END AS expected_verdict FROM a),
+g AS (SELECT run_id, item, min(CASE WHEN quality = 1 THEN 'MEET' ELSE 'GAP' END) AS actual FROM a GROUP BY 1, 2),
+x AS (SELECT run_id, item, expected_verdict, coalesce(actual, 'missing') AS actual, coalesce(actual = expected_verdict, false) AS is_match
+  FROM (SELECT DISTINCT run_id FROM a) JOIN k ON true LEFT JOIN g USING (run_id, item))
+"""
+
+
+def _run_grades(spark, sf):
+    """A key of ten clauses without runs, and the verdicts of every run on some of them."""
+    lab, item = table(spark, sf, "labels"), F.col("doc_id") % 10
+    key = lab.select(item.alias("item")).distinct().select(D.s("item").alias("clause_no"), F.when(F.col("item") % 2 == 0, "MEET").otherwise("GAP").alias("expected_verdict"))
+    got = lab.select(F.expr("doc_id div 50").alias("run_id"), D.s(item).alias("clause_no"), F.when(F.col("quality") == 1, "MEET").otherwise("GAP").alias("ai_verdict"))
+    return evaluation.graded(key, got)
+
+
+@query("run_accuracy", RUN_GRADES + "SELECT run_id, count(*) FILTER (is_match) AS correct, count(*) AS total, count(*) FILTER (is_match)::DOUBLE / count(*) AS ratio FROM x GROUP BY 1")
+def run_accuracy(spark, sf):
+    return evaluation.accuracy(_run_grades(spark, sf))
+
+
+@query("run_confusion", RUN_GRADES + "SELECT run_id, expected_verdict, actual, count(*) AS n FROM x WHERE NOT is_match GROUP BY ALL")
+def run_confusion(spark, sf):
+    return evaluation.confusion(_run_grades(spark, sf))
+
+
 @query("accuracy_per_verdict", "SELECT CASE WHEN quality = 1 THEN 'MEET' ELSE 'GAP' END AS expected_verdict, count(*) AS expected, count(*) FILTER (doc_id % 10 <> 0 AND quality = 1 - toxic) AS correct FROM labels GROUP BY 1")
 def accuracy_per_verdict(spark, sf):
     return evaluation.per_verdict(_graded(spark, sf))
@@ -532,7 +593,7 @@ def confusion(spark, sf):
 
 
 @query("evidence_rate", """
-SELECT doc_id % 20 AS run_id, avg((doc_id % 7 <> 0)::INTEGER)::DOUBLE AS evidence_rate, count(*) FILTER (quality = 1 AND doc_id % 7 = 0) AS bare_meets FROM labels WHERE doc_id % 17 <> 0 GROUP BY 1""")
+SELECT doc_id // 50 AS run_id, avg((doc_id % 7 <> 0)::INTEGER)::DOUBLE AS evidence_rate, count(*) FILTER (quality = 1 AND doc_id % 7 = 0) AS bare_meets FROM labels WHERE doc_id % 17 <> 0 GROUP BY 1""")
 def evidence_rate(spark, sf):
     return evaluation.evidence_rate(D.label_assessments(spark, sf), _hit_counts(spark, sf))
 
@@ -576,8 +637,9 @@ def submission_checklist(spark, sf):
 
 @query("inconsistent_pairs", "SELECT p_partkey AS run_id, '3.1' AS clause_a, '3.2' AS clause_b, CASE WHEN p_size % 3 = 0 THEN 'CHECK' ELSE 'GAP' END AS verdict_a, 'MEET' AS verdict_b FROM part")
 def inconsistent_pairs(spark, sf):
-    pairs = spark.range(1).select(F.lit("3.1").alias("clause_a"), F.lit("3.2").alias("clause_b"))
-    return evaluation.inconsistent_pairs(D.part_assessments(spark, sf), pairs).select("run_id", "clause_a", "clause_b", "verdict_a", "verdict_b")
+    a = D.part_assessments(spark, sf)
+    pairs = a.groupBy("run_id").agg(F.min("clause_no").alias("clause_a"), F.max("clause_no").alias("clause_b")).select("clause_a", "clause_b").distinct()
+    return evaluation.inconsistent_pairs(a, pairs).select("run_id", "clause_a", "clause_b", "verdict_a", "verdict_b")
 
 
 @query("inquiries", """

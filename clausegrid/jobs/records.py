@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import conflicts, deliverables, evaluation, requirements, verdicts
 from . import derived as D
-from .queries import CATEGORY_SQL, RESPONSES, table
+from .queries import CATEGORY_SQL, RESPONSES, RUN_GRADES, _run_grades, table
 from .registry import query
 
 
@@ -15,7 +15,7 @@ def _requirements(spark, sf):
     return parsed, requirements.requirement_rows(parsed)
 
 
-@query("submission_warnings", "SELECT user_id % 50 AS project_id, CASE x WHEN 0 THEN event_type ELSE 'y' END AS name, 'seq' AS kind FROM events, range(2) r(x) WHERE event_id % 2 = 0 AND event_id % 97 <> 0 AND (x = 1 OR CAST(json_extract(props, '$.k') AS INTEGER) % 3 = 0)")
+@query("submission_warnings", "SELECT user_id // 3 AS project_id, CASE x WHEN 0 THEN event_type ELSE 'y' END AS name, 'seq' AS kind FROM events, range(2) r(x) WHERE event_id % 2 = 0 AND event_id % 97 <> 0 AND (x = 1 OR CAST(json_extract(props, '$.k') AS INTEGER) % 3 = 0)")
 def submission_warnings(spark, sf):
     """Items whose number is a text."""
     return requirements.save_submissions(_requirements(spark, sf)[0])[1]
@@ -63,32 +63,33 @@ def unmatched_key(spark, sf):
 
 
 @query("failed_items", """
-SELECT doc_id % 20 AS run_id, doc_id AS requirement_id, CASE WHEN doc_id % 19 = 0 THEN 'CHECK' WHEN doc_id % 17 = 0 THEN 'MAYBE' WHEN quality = 1 THEN 'MEET' ELSE 'GAP' END AS verdict, CASE WHEN doc_id % 19 = 0 THEN '판정 실패: timeout' ELSE 'why' END AS rationale FROM labels""")
+SELECT doc_id // 50 AS run_id, doc_id AS requirement_id, CASE WHEN doc_id % 19 = 0 THEN 'CHECK' WHEN doc_id % 17 = 0 THEN 'MAYBE' WHEN quality = 1 THEN 'MEET' ELSE 'GAP' END AS verdict, CASE WHEN doc_id % 19 = 0 THEN '판정 실패: timeout' ELSE 'why' END AS rationale FROM labels""")
 def failed_items(spark, sf):
     return verdicts.fail_items(D.label_assessments(spark, sf)).select("run_id", "requirement_id", "verdict", "rationale")
 
 
-@query("run_history", """
-WITH r AS (SELECT o_orderkey AS run_id, o_orderdate AS created_at, CASE WHEN o_orderkey % 9 > 0 THEN o_orderkey % 100 * 1000 END AS duration_ms FROM orders WHERE o_orderkey < 20),
-s AS (SELECT doc_id % 20 AS run_id, count(*) FILTER (quality = 1 AND doc_id % 17 <> 0) AS meets, count(*) AS total FROM labels GROUP BY 1)
-SELECT run_id, created_at, CAST(duration_ms AS BIGINT) AS duration_ms, meets, total FROM r LEFT JOIN s USING (run_id)""")
+@query("run_history", f"""
+WITH r AS (SELECT o_orderkey AS run_id, o_orderdate AS created_at, CASE WHEN o_orderkey % 9 > 0 THEN o_orderkey % 100 * 1000 END AS duration_ms FROM orders),
+s AS (SELECT doc_id // 50 AS run_id, count(*) FILTER (quality = 1 AND doc_id % 17 <> 0) AS meets, count(*) AS total FROM labels GROUP BY 1),
+g AS (WITH y AS ({RUN_GRADES} SELECT * FROM x) SELECT run_id, count(*) FILTER (is_match)::DOUBLE / count(*) AS accuracy FROM y GROUP BY 1)
+SELECT run_id, created_at, CAST(duration_ms AS BIGINT) AS duration_ms, meets, total, accuracy FROM r LEFT JOIN s USING (run_id) LEFT JOIN g USING (run_id)""")
 def run_history(spark, sf):
-    """The runs that have verdicts, newest first."""
+    """All runs, newest first; those with verdicts have counts and an accuracy."""
     later = F.timestamp_millis(F.unix_millis(F.col("o_orderdate").cast("timestamp")) + F.col("o_orderkey") % 100 * 1000)
-    runs = table(spark, sf, "orders").select(F.col("o_orderkey").alias("run_id"), F.col("o_orderdate").alias("created_at"), F.when(F.col("o_orderkey") % 9 > 0, F.col("o_orderdate")).alias("started_at"), F.lit(None).cast("timestamp").alias("finished_at"), later.alias("updated_at"))
+    started = F.when(F.col("o_orderkey") % 9 > 0, F.col("o_orderdate"))
+    runs = table(spark, sf, "orders").select(F.col("o_orderkey").alias("run_id"), F.col("o_orderdate").alias("created_at"), started.alias("started_at"), F.lit(None).cast("timestamp").alias("finished_at"), later.alias("updated_at"))
     rows = D.label_assessments(spark, sf).withColumns({"is_active": F.lit(True), "is_graded": F.lit(False)})
-    summary = evaluation.run_summary(rows)
-    return evaluation.run_history(runs.filter("run_id < 20"), summary).select("run_id", "created_at", "duration_ms", F.col("MEET").alias("meets"), "total")
+    scores = evaluation.accuracy(_run_grades(spark, sf))
+    return evaluation.run_history(runs, evaluation.run_summary(rows), scores).select("run_id", "created_at", "duration_ms", F.col("MEET").alias("meets"), "total", "accuracy")
 
 
 @query("issue_order", """
-SELECT p_partkey AS run_id, CAST(row_number() OVER (ORDER BY CASE WHEN 45 + p_size % 4 * 7 > 60 THEN 'high' ELSE 'medium' END, p_partkey) AS INTEGER) AS no, CASE WHEN 45 + p_size % 4 * 7 > 60 THEN 'high' ELSE 'medium' END AS severity FROM part WHERE p_partkey < 1000""")
+SELECT p_partkey AS run_id, CAST(row_number() OVER (ORDER BY CASE WHEN 45 + p_size % 4 * 7 > 60 THEN 'high' ELSE 'medium' END, p_partkey) AS INTEGER) AS no, CASE WHEN 45 + p_size % 4 * 7 > 60 THEN 'high' ELSE 'medium' END AS severity FROM part""")
 def issue_order(spark, sf):
-    """Issues of the first thousand runs in the order of a report (a report is read, so it has an end)."""
-    terms = table(spark, sf, "part").filter("p_partkey < 1000").select(F.col("p_partkey").alias("run_id"), F.lit("45일").alias("base_text"), F.lit("60일 이내").alias("limit_text"))
+    """All runs' issues in the order of a report, numbered through."""
+    terms = table(spark, sf, "part").select(F.col("p_partkey").alias("run_id"), F.lit("45일").alias("base_text"), F.lit("60일 이내").alias("limit_text"))
     issues = conflicts.lead_time_issues(D.part_assessments(spark, sf), terms).withColumn("clause_nos", F.array(F.lpad(D.s("run_id"), 9, "0")))
-    ordered = evaluation.ordered_issues(issues)
-    return evaluation.numbered(ordered, [], [evaluation.severity_rank(F.col("severity")), "clause_nos"]).select("run_id", "no", "severity")
+    return evaluation.numbered(issues, [], [evaluation.severity_rank(F.col("severity")), "clause_nos"]).select("run_id", "no", "severity")
 
 
 TRAPS = """
@@ -112,6 +113,31 @@ def trap_results(spark, sf):
     return evaluation.traps(evaluation.trap_checks(checks, answers, found, issues))
 
 
+@query("run_traps", """
+WITH a AS (SELECT p_partkey AS k, p_partkey // 9 AS trap_id, p_partkey % 9 AS kind, p_size, r FROM part, range(1, 3) t(r)),
+c AS (SELECT *, p_size % (r + 1) = 0 AS good, p_size % 5 <> 0 AS there FROM a),
+x AS (SELECT r AS run_id, trap_id, there AND CASE kind WHEN 5 THEN good OR r = 2 WHEN 6 THEN good OR r = 1 WHEN 8 THEN true ELSE good END AS passed FROM c)
+SELECT run_id, trap_id, bool_and(passed) AS passed FROM x GROUP BY 1, 2""")
+def run_traps(spark, sf):
+    """Every kind of check in traps of nine, over two runs that answer differently; a fifth of the clauses has no answer."""
+    k, size, run = F.col("p_partkey"), F.col("p_size"), F.col("run_id")
+    p = table(spark, sf, "part").withColumn("clause_no", F.concat(F.lit("1."), D.s(k)))
+    names = ("verdict", "evidence_state", "our_value", "text", "text_any", "no_top_evidence_model", "cross_issue", "side_effect", "evidence_contains")
+    kind = F.element_at(F.array(*[F.lit(x) for x in names]), (k % 9 + 1).cast("int"))
+    wanted = F.when(k % 9 == 2, "1000").when(k % 9 == 3, "reason").when(k % 9 == 6, "kg")
+    equals = F.when(k % 9 == 1, "found_sufficient").otherwise("MEET")
+    clauses = F.when(k % 9 == 6, F.array("clause_no", F.lit("9.9"))).otherwise(F.array("clause_no"))
+    texts = lambda *x: F.array(*[F.lit(y) for y in x])
+    checks = p.select(F.floor(k / 9).alias("trap_id"), (k % 9).alias("check_no"), kind.alias("kind"), clauses.alias("clause_nos"), equals.alias("equals"), wanted.alias("contains"), F.lit("2,000").alias("not_contains"), texts("no such", "1,000").alias("any_of"), texts("first", "second").alias("all_of"), F.when(k % 9 == 7, "weight").when(k % 9 == 3, "rationale").alias("field"), F.lit(1.5).alias("value"), F.lit("LT-200").alias("model"), F.lit("high").alias("severity"))
+    runs = p.filter("p_size % 5 <> 0").withColumn("run_id", F.explode(F.sequence(F.lit(1), F.lit(2)))).withColumn("good", size % (run + 1) == 0)
+    pick = lambda a, b: F.when(F.col("good"), a).otherwise(b)
+    effect = F.array(F.struct(F.lit("weight").alias("field"), pick(F.lit(1.5), F.lit(2.5)).alias("value")))
+    answers = runs.select("run_id", "clause_no", pick(F.lit("MEET"), F.lit("GAP")).alias("ai_verdict"), pick(F.lit("found_sufficient"), F.lit("not_found")).alias("evidence_state"), pick(F.lit("1,000 lm"), F.lit("2,000 lm")).alias("our_value"), pick(F.lit("a reason"), F.lit("none")).alias("rationale"), effect.alias("side_effects"))
+    found = runs.withColumn("rank", F.explode(F.sequence(F.lit(1), F.lit(2)))).select("run_id", "clause_no", "rank", F.when(F.col("rank") == 1, "the first").otherwise("the second").alias("content"), F.array(F.when(F.col("good") | (run == 2), "LT-150").otherwise("LT-200")).alias("model_tags"))
+    issues = runs.filter(F.col("good") | (run == 1)).select("run_id", F.array(F.lit("9.9"), "clause_no").alias("clause_nos"), F.lit("high").alias("severity"), F.lit("8 kg over").alias("description"))
+    return evaluation.traps(evaluation.trap_checks(checks, answers, found, issues, answers))
+
+
 @query("eligibility_checklist", """
 SELECT s_suppkey % 7 AS project_id, CAST(s_suppkey AS VARCHAR) AS seq, s_name AS text, CASE WHEN s_suppkey % 3 = 0 THEN 'uncertain' ELSE 'have' END AS status, CASE WHEN s_suppkey % 3 = 0 THEN '확인 필요' ELSE '보유' END AS status_label,
   CASE WHEN s_suppkey % 3 > 0 THEN s_name || ' 1' END AS evidence_text FROM supplier""")
@@ -123,10 +149,10 @@ def eligibility_checklist(spark, sf):
 
 
 @query("run_conditions", """
-SELECT doc_id % 20 AS run_id, 'm-' || (doc_id % 20) AS model, 'p' || doc_id AS name, 'sha1:' || substr(sha1(text), 1, 12) AS value FROM documents
-UNION ALL SELECT r.range, 'm-' || r.range, n, CASE n WHEN 'top_k' THEN '5.0' ELSE '0.' || (r.range % 9 + 1) END FROM (SELECT DISTINCT doc_id % 20 AS range FROM documents) r, (VALUES ('top_k'), ('threshold')) v(n)""")
+SELECT doc_id // 50 AS run_id, 'm-' || (doc_id // 50) AS model, 'p' || doc_id AS name, 'sha1:' || substr(sha1(text), 1, 12) AS value FROM documents
+UNION ALL SELECT r.range, 'm-' || r.range, n, CASE n WHEN 'top_k' THEN '5.0' ELSE '0.' || (r.range % 9 + 1) END FROM (SELECT DISTINCT doc_id // 50 AS range FROM documents) r, (VALUES ('top_k'), ('threshold')) v(n)""")
 def run_conditions(spark, sf):
-    prompts = table(spark, sf, "documents").select((F.col("doc_id") % 20).alias("run_id"), F.concat(F.lit("p"), D.s("doc_id")).alias("name"), "text")
+    prompts = table(spark, sf, "documents").select(F.expr("doc_id div 50").alias("run_id"), F.concat(F.lit("p"), D.s("doc_id")).alias("name"), "text")
     k = F.col("run_id")
     params = F.create_map(F.lit("top_k"), F.lit(5.0), F.lit("threshold"), (k % 9 + 1) / 10)
     return deliverables.run_conditions(prompts.select("run_id").distinct().select(k, F.concat(F.lit("m-"), D.s(k)).alias("model"), params.alias("rag_params")), prompts)

@@ -10,6 +10,7 @@ from ..functions import text as T
 # Units (lm/W before lm, since the first that fits is taken), words of constraints, and the clauses that a side effect touches.
 UNITS = "lm/W|lm|W|K|kg|mm|시간|℃|%|주|일|년|건|대"
 AT_MOST, AT_LEAST, LESS, MORE = "이하|이내", "이상", "미만", "초과"
+BELOW_ZERO = "영하"
 TOUCHES = (("weight", "dimension", "무게"), ("lead_time", "delivery", "납기"), ("temperature", None, "온도"))
 FIELD_LABELS = {"weight": "무게", "price": "단가", "lead_time": "납기", "temperature": "온도", "other": "기타"}
 DAY, WEEK, DAYS_IN_WEEK = "일", "주", 7
@@ -27,25 +28,52 @@ def parse_value(c: Column) -> Column:
     return F.struct(number(got(1)).alias("value"), F.nullif(got(2), F.lit("")).alias("unit"))
 
 
-def parse_constraint(c: Column) -> Column:
-    """struct(op, lo, hi, unit): <=, >=, <, > or a range; op is null where the text holds none."""
-    span = rf"({_NUMBER})\s*(?:{UNITS})?\s*~\s*({_NUMBER})\s*({UNITS})"
-    ranged = F.regexp_extract(c, span, 1) != ""
-    one = rf"({_NUMBER})\s*({UNITS})"
-    op = F.coalesce(*[F.when(c.rlike(rf"{one}\s*(?:{word})"), F.lit(sign)) for word, sign in ((AT_MOST, "<="), (AT_LEAST, ">="), (LESS, "<"), (MORE, ">"))])
-    value, unit = number(F.regexp_extract(c, one, 1)), F.nullif(F.regexp_extract(c, one, 2), F.lit(""))
-    return F.struct(
-        F.when(ranged, "range").otherwise(op).alias("op"),
-        F.when(ranged, number(F.regexp_extract(c, span, 1))).when(op.isin(">=", ">"), value).alias("lo"),
-        F.when(ranged, number(F.regexp_extract(c, span, 2))).when(op.isin("<=", "<"), value).alias("hi"),
-        F.when(ranged, F.regexp_extract(c, span, 3)).otherwise(unit).alias("unit"),
-    )
+#: A range, or a number with its unit and the nearest constraint word behind it.
+_LIMIT = rf"({BELOW_ZERO}\s*)?({_NUMBER})\s*(?:{UNITS})?\s*~\s*({BELOW_ZERO}\s*)?({_NUMBER})\s*({UNITS})|({BELOW_ZERO}\s*)?({_NUMBER})\s*({UNITS})[^\d~]*?({AT_MOST}|{AT_LEAST}|{LESS}|{MORE})"
+
+
+def limits(c: Column) -> Column:
+    """array(struct(unit, lo, lo_open, hi, hi_open)): every limit that a text names, in order.
+
+    Each constraint word takes the number before it, whatever other numbers stand in the text."""
+
+    def one(piece: Column) -> Column:
+        part = lambda i: F.regexp_extract(piece, _LIMIT, i)
+        signed = lambda sign, digits: F.when(part(sign) != "", -number(part(digits))).otherwise(number(part(digits)))
+        ranged, word, value = part(5) != "", part(9), signed(6, 7)
+        upper, lower = word.rlike(f"{AT_MOST}|{LESS}"), word.rlike(f"{AT_LEAST}|{MORE}")
+        return F.struct(
+            F.when(ranged, part(5)).otherwise(part(8)).alias("unit"),
+            F.when(ranged, signed(1, 2)).when(lower, value).alias("lo"),
+            F.coalesce(word.rlike(MORE), F.lit(False)).alias("lo_open"),
+            F.when(ranged, signed(3, 4)).when(upper, value).alias("hi"),
+            F.coalesce(word.rlike(LESS), F.lit(False)).alias("hi_open"),
+        )
+
+    return F.transform(F.regexp_extract_all(c, F.lit(_LIMIT), F.lit(0)), one)
+
+
+def parse_constraint(c: Column, unit: Column | None = None) -> Column:
+    """struct(op, lo, hi, unit, lo_open, hi_open): what a text's limits of one unit leave together; op is <=, >=, <, > or
+    range, and null where the text holds none. ``unit``: the one asked for; without it, or where the text has no limit of
+    it, the unit of the first limit."""
+    every = limits(c)
+    first = F.get(every, F.lit(0))["unit"]
+    chosen = first if unit is None else F.when(F.exists(every, lambda x: x["unit"] == unit), unit).otherwise(first)
+    mine = F.filter(every, lambda x: x["unit"] == chosen)
+    lo, hi = F.array_max(F.transform(mine, lambda x: x["lo"])), F.array_min(F.transform(mine, lambda x: x["hi"]))
+    lo_open = F.exists(mine, lambda x: (x["lo"] == lo) & x["lo_open"])
+    hi_open = F.exists(mine, lambda x: (x["hi"] == hi) & x["hi_open"])
+    op = F.when(lo.isNotNull() & hi.isNotNull(), "range").when(hi.isNotNull(), F.when(hi_open, "<").otherwise("<=")).when(lo.isNotNull(), F.when(lo_open, ">").otherwise(">="))
+    return F.struct(op.alias("op"), lo.alias("lo"), hi.alias("hi"), chosen.alias("unit"), F.coalesce(lo_open, F.lit(False)).alias("lo_open"), F.coalesce(hi_open, F.lit(False)).alias("hi_open"))
 
 
 def violates(value: Column, constraint: Column) -> Column:
     """Whether a value breaks a constraint of the same unit; null without a constraint."""
-    op, lo, hi = constraint["op"], constraint["lo"], constraint["hi"]
-    return F.when(op == "<=", value > hi).when(op == ">=", value < lo).when(op == "<", value >= hi).when(op == ">", value <= lo).when(op == "range", (value < lo) | (value > hi))
+    lo, hi = constraint["lo"], constraint["hi"]
+    under = F.coalesce((value < lo) | (constraint["lo_open"] & (value == lo)), F.lit(False))
+    over = F.coalesce((value > hi) | (constraint["hi_open"] & (value == hi)), F.lit(False))
+    return F.when(constraint["op"].isNotNull() & value.isNotNull(), under | over)
 
 
 def apply_effect(value: Column, op: Column, effect: Column) -> Column:
@@ -62,7 +90,8 @@ def touched(assessments: DataFrame) -> DataFrame:
     """Clauses by the field that touches them, so effects join on (run, field) and not on the run alone."""
     hit = [F.when((F.col("category") == category if category else F.lit(False)) | F.col("item").contains(word), F.lit(field)) for field, category, word in TOUCHES]
     rows = assessments.withColumn("field", F.explode(F.array_compact(F.array(*hit))))
-    return rows.select("run_id", "field", "clause_no", "item", "requirement_text", parse_value(F.col("our_value")).alias("v"), parse_constraint(F.col("requirement_text")).alias("c"))
+    rows = rows.select("run_id", "field", "clause_no", "item", "requirement_text", parse_value(F.col("our_value")).alias("v"))
+    return rows.withColumn("c", parse_constraint(F.col("requirement_text"), F.col("v.unit")))
 
 
 def side_effect_issues(assessments: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.store import stored
+
 # Display labels of codes.
 LABELS = {
     "verdict": {"MEET": "충족", "GAP": "보완 필요", "CHECK": "확인 필요"},
@@ -55,24 +57,44 @@ def requirement_counts(requirements: DataFrame) -> DataFrame:
     return requirements.groupBy("project_id").agg(F.count("*").alias("total"), F.count_if("is_active").alias("active"), F.count_if("is_graded").alias("graded"))
 
 
-def graded(key: DataFrame, assessments: DataFrame) -> DataFrame:
-    """Key rows with the frozen verdict; a clause without one counts as wrong ("missing"). Keys: run_id where both have it, clause_no."""
+#: Parts of a key or of a list of checks; each run meets each part by an equi-join.
+GRID_PARTS = 16
+
+
+def for_each_run(rows: DataFrame, runs: DataFrame) -> DataFrame:
+    """Every row for every run (run_id): the grid in which a run's missing answers show."""
+    part = F.pmod(F.xxhash64(*[c for c, kind in rows.dtypes if not kind.startswith("map")]), F.lit(GRID_PARTS)).cast("int")
+    each = runs.select("run_id").distinct().withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(GRID_PARTS - 1))))
+    return rows.withColumn("_part", part).join(each, "_part").drop("_part")
+
+
+def graded(key: DataFrame, assessments: DataFrame, runs: DataFrame | None = None) -> DataFrame:
+    """Key rows with the frozen verdict; a clause without one counts as wrong ("missing").
+
+    Where assessments have runs and the key has none, every run is graded on the whole key. ``runs`` (run_id): those to be
+    graded; without it, all that have an assessment."""
+    if "run_id" in assessments.columns and "run_id" not in key.columns:
+        key = for_each_run(key, assessments if runs is None else runs)
     on = ["run_id", "clause_no"] if "run_id" in key.columns else ["clause_no"]
     a = assessments.groupBy(*on).agg(F.min("ai_verdict").alias("actual"))
     return key.join(a, on, "left").withColumns({"is_match": F.coalesce(F.col("expected_verdict") == F.col("actual"), F.lit(False)), "actual": F.coalesce("actual", F.lit("missing"))})
 
 
+def _run(rows: DataFrame) -> list[str]:
+    return ["run_id"] if "run_id" in rows.columns else []
+
+
 def accuracy(rows: DataFrame) -> DataFrame:
-    """correct, total, ratio of graded rows."""
-    return rows.agg(F.count_if("is_match").alias("correct"), F.count("*").alias("total")).withColumn("ratio", F.try_divide("correct", "total"))
+    """correct, total, ratio of graded rows; for each run where they have runs."""
+    return rows.groupBy(*_run(rows)).agg(F.count_if("is_match").alias("correct"), F.count("*").alias("total")).withColumn("ratio", F.try_divide("correct", "total"))
 
 
 def per_verdict(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("expected_verdict").agg(F.count("*").alias("expected"), F.count_if("is_match").alias("correct"))
+    return rows.groupBy(*_run(rows), "expected_verdict").agg(F.count("*").alias("expected"), F.count_if("is_match").alias("correct"))
 
 
 def confusion(rows: DataFrame) -> DataFrame:
-    return rows.filter("NOT is_match").groupBy("expected_verdict", "actual").agg(F.count("*").alias("n"))
+    return rows.filter("NOT is_match").groupBy(*_run(rows), "expected_verdict", "actual").agg(F.count("*").alias("n"))
 
 
 def normal_value(c: Column) -> Column:
@@ -88,14 +110,19 @@ def contains_none(value: Column, banned: Column) -> Column:
     return ~contains_any(value, banned)
 
 
-def trap_checks(checks: DataFrame, assessments: DataFrame, evidences: DataFrame, issues: DataFrame) -> DataFrame:
-    """trap_id, check_no, kind, passed. One branch for each kind, all on one clause row.
+def trap_checks(checks: DataFrame, assessments: DataFrame, evidences: DataFrame, issues: DataFrame, runs: DataFrame | None = None) -> DataFrame:
+    """trap_id, check_no, kind, passed; for each run (run_id) where assessments have runs. Evidences and issues
+    without runs count for all of them. One branch for each kind, all on one clause row.
 
     ``checks``: trap_id, check_no, kind, clause_nos, equals, contains, not_contains, any_of, all_of, field, value, model, severity.
     ``assessments``: clause_no, ai_verdict, evidence_state, our_value, rationale, side_effects; ``evidences``: clause_no, rank, content, model_tags; ``issues``: clause_nos, severity, description."""
+    run = _run(assessments)
+    if run and "run_id" not in checks.columns:
+        checks = for_each_run(checks, assessments if runs is None else runs)
+    on, seen = [*run, "clause_no"], [*_run(evidences), "clause_no"]
     each = checks.select("*", F.explode("clause_nos").alias("clause_no"))
-    first = evidences.groupBy("clause_no").agg(F.min_by("model_tags", "rank").alias("top_models"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "content"))), lambda x: x["content"]), "\n").alias("evidence"))
-    rows = each.join(assessments, "clause_no", "left").join(first, "clause_no", "left")
+    first = evidences.groupBy(*seen).agg(F.min_by("model_tags", "rank").alias("top_models"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "content"))), lambda x: x["content"]), "\n").alias("evidence"))
+    rows = each.join(assessments, on, "left").join(first, seen, "left")
     has = lambda text, needle: needle.isNull() | F.coalesce(text.contains(needle), F.lit(False))
     both = lambda text: has(text, F.col("contains")) & ~F.coalesce(text.contains(F.col("not_contains")), F.lit(False))
     text = F.when(F.col("field") == "rationale", F.col("rationale")).when(F.col("field") == "our_value", F.col("our_value")).otherwise(F.concat_ws("\n", "rationale", "our_value"))
@@ -113,16 +140,16 @@ def trap_checks(checks: DataFrame, assessments: DataFrame, evidences: DataFrame,
     passed = F.lit(None).cast("boolean")
     for kind, rule in kinds.items():
         passed = F.when(F.col("kind") == kind, F.coalesce(rule, F.lit(False))).otherwise(passed)
-    plain = rows.filter("kind <> 'cross_issue'").groupBy("trap_id", "check_no", "kind").agg(F.coalesce(F.bool_and(passed), F.lit(False)).alias("passed"))
-    i = issues.select(F.array_sort("clause_nos").alias("pair"), F.col("severity").alias("i_severity"), "description")
-    crossed = checks.filter("kind = 'cross_issue'").withColumn("pair", F.array_sort("clause_nos")).join(i, "pair", "left")
+    plain = rows.filter("kind <> 'cross_issue'").groupBy(*run, "trap_id", "check_no", "kind").agg(F.coalesce(F.bool_and(passed), F.lit(False)).alias("passed"))
+    i = issues.select(*_run(issues), F.array_sort("clause_nos").alias("pair"), F.col("severity").alias("i_severity"), "description")
+    crossed = checks.filter("kind = 'cross_issue'").withColumn("pair", F.array_sort("clause_nos")).join(i, [*_run(issues), "pair"], "left")
     hit = F.coalesce((F.col("severity").isNull() | (F.col("severity") == F.col("i_severity"))) & has(F.col("description"), F.col("contains")) & F.col("description").isNotNull(), F.lit(False))
-    return plain.unionByName(crossed.groupBy("trap_id", "check_no", "kind").agg(F.bool_or(hit).alias("passed")))
+    return plain.unionByName(crossed.groupBy(*run, "trap_id", "check_no", "kind").agg(F.bool_or(hit).alias("passed")))
 
 
 def traps(results: DataFrame) -> DataFrame:
-    """A trap passes when all its checks pass."""
-    return results.groupBy("trap_id").agg(F.bool_and("passed").alias("passed"))
+    """A trap passes when all its checks pass, in each run where results have runs."""
+    return results.groupBy(*_run(results), "trap_id").agg(F.bool_and("passed").alias("passed"))
 
 
 def evidence_rate(assessments: DataFrame, evidences: DataFrame) -> DataFrame:
@@ -138,9 +165,11 @@ def inconsistent_pairs(assessments: DataFrame, pairs: DataFrame) -> DataFrame:
     return pairs.join(a, "clause_a").join(b, ["run_id", "clause_b"]).filter("verdict_a <> verdict_b")
 
 
-def run_history(runs: DataFrame, summaries: DataFrame) -> DataFrame:
-    """Runs with duration and verdict counts, newest first."""
+def run_history(runs: DataFrame, summaries: DataFrame, scores: DataFrame | None = None) -> DataFrame:
+    """Runs with duration, verdict counts and, with ``scores`` (what ``accuracy`` gives by run), their accuracy; newest first."""
     out = runs.withColumn("duration_ms", elapsed_ms(F.col("started_at"), F.col("finished_at"), F.col("updated_at"))).join(summaries, "run_id", "left")
+    if scores is not None:
+        out = out.join(scores.select("run_id", "correct", F.col("total").alias("scored"), F.col("ratio").alias("accuracy")), "run_id", "left")
     return out.orderBy(F.desc("created_at"), F.desc("run_id"))
 
 
@@ -149,5 +178,23 @@ def ordered_issues(issues: DataFrame, as_text: bool = False) -> DataFrame:
     return issues.orderBy(F.col("severity") if as_text else severity_rank(F.col("severity")), "clause_nos")
 
 
-def numbered(rows: DataFrame, by: list, order: list, name: str = "no") -> DataFrame:
-    return rows.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+def numbered(rows: DataFrame, by: list[str], order: list[Column | str], name: str = "no") -> DataFrame:
+    """Adds 1..n in ``order``, in the whole table or within each value of the columns ``by``, however many rows one has.
+
+    Rows are dealt to ranges of (by, order) and written; each range numbers its own rows behind the counts of those before
+    it. ``order`` should leave no ties, else numbers among ties are arbitrary."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = stored(rows.repartitionByRange(parts, *by, *order).withColumn("_part", F.spark_partition_id()), "ranges")
+    sizes = ranged.groupBy(*by, "_part").agg(F.count("*").alias("_n"))
+    if by:
+        before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+        starts = sizes.select(*by, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    else:  # one row: as many pairs as there are ranges
+        all_sizes = sizes.agg(F.collect_list(F.struct("_part", "_n")).alias("s"))
+        one = all_sizes.select("s", F.explode("s").alias("x"))
+        before = F.aggregate("s", F.lit(0).cast("long"), lambda t, y: t + F.when(y["_part"] < F.col("x._part"), y["_n"]).otherwise(0))
+        starts = one.select(F.col("x._part").alias("_part"), before.alias("_before"))
+    starts = starts.withColumnsRenamed({c: f"_of_{c}" for c in (*by, "_part")})
+    joined = ranged.join(starts, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in (*by, "_part")]).select(*ranged.columns, "_before")
+    place = F.row_number().over(Window.partitionBy(*by, "_part").orderBy(*order))
+    return joined.withColumn(name, (place + F.col("_before")).cast("int")).drop("_part", "_before")

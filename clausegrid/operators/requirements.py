@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .evaluation import numbered
 
 # Requirement categories, header fields and their lengths.
 CATEGORIES = ("dimension", "filter_grade", "efficiency", "pressure_drop", "test_standard", "certification", "delivery", "submission", "performance", "material", "track_record", "other")
@@ -14,18 +15,21 @@ HEADER_DATES, HEADER_TIMES = ("announced_on",), ("inquiry_due_at", "bid_due_at",
 ANNOUNCEMENT = "announcement"
 # End of fixed values.
 
-REQUIREMENT = "struct<clause_no:string,chapter:string,category:string,item:string,requirement_text:string,context_text:string,source_page:variant>"
-RESPONSE = f"""struct<requirements:array<{REQUIREMENT}>, submission_items:array<struct<seq:variant,name:string,note:string>>,
-participation_reqs:array<struct<seq:string,text:string>>, bid_info:map<string,string>, warnings:array<string>, _bad:string>"""
 #: Documents of a project in reading order: the announcement first.
 DOC_ORDER = "CASE WHEN doc_type = 'announcement' THEN 0 ELSE 1 END"
 
 
 def parse_responses(responses: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(responses with column r, rejects that hold no JSON object). ``responses``: project_id, document_id, doc_type, response."""
-    rows = responses.withColumn("r", F.from_json("response", RESPONSE, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})).withColumn("doc_order", F.expr(DOC_ORDER))
-    bad = F.col("r").isNull() | F.col("r._bad").isNotNull() | ~F.ltrim("response").startswith("{")
-    return rows.filter(~bad), rows.filter(F.coalesce(bad, F.lit(True))).select("project_id", "document_id", "response")
+    """(responses with column r, rejects that hold no JSON object). ``responses``: project_id, document_id, doc_type, response.
+
+    r has requirements, submission_items, participation_reqs, warnings (arrays of variant) and bid_info (map to variant).
+    A text is parsed once, and every field stands for itself: one of the wrong type is null and costs nothing else."""
+    # the generator keeps the parsed value: no filter or projection behind it parses again
+    rows = responses.withColumn("v", F.explode(F.array(F.try_parse_json("response")))).withColumn("doc_order", F.expr(DOC_ORDER))
+    good = F.coalesce(F.schema_of_variant("v").startswith("OBJECT"), F.lit(False))
+    many = {x: F.try_variant_get("v", f"$.{x}", "array<variant>") for x in ("requirements", "submission_items", "participation_reqs", "warnings")}
+    fields = F.struct(*[c.alias(x) for x, c in many.items()], F.try_variant_get("v", "$.bid_info", "map<string,variant>").alias("bid_info"))
+    return rows.filter(good).withColumn("r", fields).drop("v"), rows.filter(~good).select("project_id", "document_id", "response")
 
 
 def _text(c: Column, n: int | None = None) -> Column:
@@ -33,6 +37,18 @@ def _text(c: Column, n: int | None = None) -> Column:
     return F.substring(out, 1, n) if n else out
 
 
+def scalar(v: Column, path: str = "$") -> Column:
+    """A JSON scalar (inside a variant) as text; false, zero, null, arrays and objects are none."""
+    text = F.try_variant_get(v, path, "string")
+    string = F.schema_of_variant(F.try_variant_get(v, path, "variant")) == "STRING"
+    return F.when(~text.rlike(r"^[\[{]|^(?:0|0\.0|false)$") | string, text)
+
+
+def objects(many: Column) -> Column:
+    """The JSON objects among the values of an array."""
+    return F.filter(many, lambda x: F.coalesce(F.schema_of_variant(x).startswith("OBJECT"), F.lit(False)))
+
+
 def integer(c: Column) -> Column:
     """A JSON number (a variant) without a fraction; texts and other kinds are null."""
     return F.when(F.schema_of_variant(c) == "BIGINT", F.try_variant_get(c, "$", "int"))
@@ -44,11 +60,11 @@ def clamp_category(c: Column) -> Column:
 
 def requirement_rows(parsed: DataFrame) -> DataFrame:
     """All extracted rows, stripped and cut, with their place in the project."""
-    rows = parsed.select("project_id", "document_id", "doc_order", F.posexplode("r.requirements").alias("pos", "x"))
+    rows = parsed.select("project_id", "document_id", "doc_order", F.posexplode(objects(F.col("r.requirements"))).alias("pos", "x"))
     return rows.select(
-        "project_id", "document_id", "doc_order", "pos", _text(F.col("x.clause_no"), 30).alias("clause_no"), _text(F.col("x.item"), 200).alias("item"),
-        _text(F.col("x.chapter"), 100).alias("chapter"), clamp_category(F.coalesce("x.category", F.lit(""))).alias("category"),
-        _text(F.col("x.requirement_text")).alias("requirement_text"), _text(F.col("x.context_text")).alias("context_text"), integer(F.col("x.source_page")).alias("source_page"),
+        "project_id", "document_id", "doc_order", "pos", _text(scalar(F.col("x"), "$.clause_no"), 30).alias("clause_no"), _text(scalar(F.col("x"), "$.item"), 200).alias("item"),
+        _text(scalar(F.col("x"), "$.chapter"), 100).alias("chapter"), clamp_category(F.coalesce(scalar(F.col("x"), "$.category"), F.lit(""))).alias("category"),
+        _text(scalar(F.col("x"), "$.requirement_text")).alias("requirement_text"), _text(scalar(F.col("x"), "$.context_text")).alias("context_text"), integer(F.try_variant_get("x", "$.source_page", "variant")).alias("source_page"),
     )
 
 
@@ -74,16 +90,16 @@ def save_requirements(rows: DataFrame, existing: DataFrame | None = None) -> tup
 
 def save_submissions(parsed: DataFrame, existing: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(submission items, rows whose seq is no integer); announcements only."""
-    rows = parsed.filter(F.col("doc_order") == 0).select("project_id", "document_id", "doc_order", F.posexplode("r.submission_items").alias("pos", "x"))
-    rows = rows.select("project_id", "document_id", "doc_order", "pos", integer(F.col("x.seq")).alias("seq"), _text(F.col("x.name"), 200).alias("name"), _text(F.col("x.note"), 300).alias("note"))
+    rows = parsed.filter(F.col("doc_order") == 0).select("project_id", "document_id", "doc_order", F.posexplode(objects(F.col("r.submission_items"))).alias("pos", "x"))
+    rows = rows.select("project_id", "document_id", "doc_order", "pos", integer(F.try_variant_get("x", "$.seq", "variant")).alias("seq"), _text(scalar(F.col("x"), "$.name"), 200).alias("name"), _text(scalar(F.col("x"), "$.note"), 300).alias("note"))
     good, _ = first_wins(rows.filter("seq IS NOT NULL AND name <> ''"), existing, ["project_id", "seq"], ["document_id", "pos"])
     return good.select("project_id", "seq", "name", "note"), rows.filter("seq IS NULL").select("project_id", "name", F.lit("seq").alias("kind"))
 
 
 def save_participation(parsed: DataFrame, existing: DataFrame | None = None) -> DataFrame:
     """Eligibility clauses of announcements; blank ones go, the first of a seq stays."""
-    rows = parsed.filter(F.col("doc_order") == 0).select("project_id", "document_id", F.posexplode("r.participation_reqs").alias("pos", "x"))
-    rows = rows.select("project_id", "document_id", "pos", _text(F.col("x.seq"), 20).alias("seq"), _text(F.col("x.text")).alias("text")).filter("seq <> '' AND text <> ''")
+    rows = parsed.filter(F.col("doc_order") == 0).select("project_id", "document_id", F.posexplode(objects(F.col("r.participation_reqs"))).alias("pos", "x"))
+    rows = rows.select("project_id", "document_id", "pos", _text(scalar(F.col("x"), "$.seq"), 20).alias("seq"), _text(scalar(F.col("x"), "$.text")).alias("text")).filter("seq <> '' AND text <> ''")
     return first_wins(rows, existing, ["project_id", "seq"], ["document_id", "pos"])[0].select("project_id", "seq", "text")
 
 
@@ -99,7 +115,7 @@ def fill_header(projects: DataFrame, parsed: DataFrame) -> tuple[DataFrame, Data
 
     Announcements fill any blank field; other documents only a blank spec_doc_no. The first value in reading order wins."""
     info = F.col("r.bid_info")
-    value = lambda f: F.nullif(_text(F.try_element_at(info, F.lit(f))), F.lit(""))
+    value = lambda f: F.nullif(_text(scalar(F.try_element_at(info, F.lit(f)))), F.lit(""))
     at = F.struct("doc_order", "document_id")
     first = lambda f, c: F.min_by(c, F.when(c.isNotNull(), at)).alias(f)
     announced = F.col("doc_order") == 0
@@ -121,14 +137,15 @@ def fill_header(projects: DataFrame, parsed: DataFrame) -> tuple[DataFrame, Data
 def document_warnings(documents: DataFrame, pages: DataFrame, parsed: DataFrame) -> DataFrame:
     """project_id, message: documents without pages, and each model warning behind its file's name."""
     skipped = documents.join(pages.select("document_id").distinct(), "document_id", "left_anti").select("project_id", F.concat("original_name", F.lit(": no extracted pages")).alias("message"))
-    said = parsed.select("document_id", F.explode("r.warnings").alias("w")).join(documents, "document_id").select("project_id", F.concat("original_name", F.lit(": "), F.col("w")).alias("message"))
+    said = parsed.select("document_id", F.explode(F.transform("r.warnings", lambda x: scalar(x))).alias("w")).filter("w IS NOT NULL").join(documents, "document_id").select("project_id", F.concat("original_name", F.lit(": "), F.col("w")).alias("message"))
     return skipped.unionByName(said)
 
 
 def number_clauses(requirements: DataFrame) -> DataFrame:
     """Adds order: 1..n in a project by clause number as numbers, 2.10 after 2.2."""
     ties = [c for c in ("doc_order", "document_id", "pos", "requirement_id") if c in requirements.columns]
-    return requirements.withColumn("order", F.row_number().over(Window.partitionBy("project_id").orderBy(T.clause_key(F.col("clause_no")), *ties)))
+    keyed = requirements.withColumn("_clause", T.clause_key(F.col("clause_no")))
+    return numbered(keyed, ["project_id"], ["_clause", *ties], "order").drop("_clause")
 
 
 def project_summary(projects: DataFrame, requirements: DataFrame, submissions: DataFrame, participation: DataFrame) -> DataFrame:

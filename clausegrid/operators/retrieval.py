@@ -126,17 +126,17 @@ class TrigramIndex:
     grams: int
 
 
-def trigram_texts(chunks: DataFrame) -> DataFrame:
-    """chunk_id, grams, size, spot."""
+def trigram_texts(chunks: DataFrame, *keep: str) -> DataFrame:
+    """chunk_id, grams, size, spot, and the columns ``keep``."""
     spot = F.pmod(F.xxhash64("chunk_id", F.lit(1)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    rows = chunks.select("chunk_id", packed_trigrams(haystack()).alias("grams"), spot.alias("spot"))
+    rows = chunks.select("chunk_id", packed_trigrams(haystack()).alias("grams"), spot.alias("spot"), *keep)
     return rows.withColumn("size", F.size(F.array_distinct("grams")))
 
 
-def trigram_postings(texts: DataFrame) -> DataFrame:
-    """gram, part, chunk_id, size, spot: one row for each different trigram of each chunk."""
+def trigram_postings(texts: DataFrame, *keep: str) -> DataFrame:
+    """gram, part, chunk_id, size, spot, and the columns ``keep``: one row for each different trigram of each chunk."""
     part = F.pmod(F.xxhash64("chunk_id", F.lit(2)), F.lit(POSTING_PARTS)).cast("int")
-    return texts.select(F.explode(F.array_distinct("grams")).alias("gram"), part.alias("part"), "chunk_id", "size", "spot")
+    return texts.select(F.explode(F.array_distinct("grams")).alias("gram"), part.alias("part"), "chunk_id", "size", "spot", *keep)
 
 
 def trigram_index(chunks: DataFrame, texts: DataFrame | None = None, postings: DataFrame | None = None) -> TrigramIndex:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,14 +49,22 @@ def reindexed(existing: DataFrame, new: DataFrame) -> DataFrame:
     return existing.join(new.select("document_id").distinct(), "document_id", "left_anti").unionByName(new, allowMissingColumns=True)
 
 
-def admit_numbers(existing: DataFrame, new: DataFrame, replace: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(documents after loading, rejected new ones): a known doc_no is rejected, or replaces the old document."""
+def admit_numbers(existing: DataFrame, new: DataFrame, replace: bool = False, order: str = "document_id") -> tuple[DataFrame, DataFrame]:
+    """(documents after loading, rejected new ones), loaded one after another by ``order``.
+
+    A known doc_no is rejected, be it an old document's or one that came earlier in the batch; with ``replace`` every
+    document replaces what has its number, so the last of the batch stays. Documents without a number never meet."""
     numbered = F.col("doc_no") != ""
-    known = existing.filter(numbered).select("doc_no").distinct()
+    stays = F.max if replace else F.min
+    chosen = new.filter(numbered).groupBy("doc_no").agg(stays(order).alias("_stays"))
+    marked = new.join(chosen, "doc_no", "left").withColumn("_own", F.coalesce(F.col(order) == F.col("_stays"), F.lit(True))).drop("_stays")
     if replace:
-        return existing.join(new.filter(numbered).select("doc_no").distinct(), "doc_no", "left_anti").unionByName(new, allowMissingColumns=True), new.limit(0)
-    fresh = new.join(known, "doc_no", "left_anti")
-    return existing.unionByName(fresh, allowMissingColumns=True), new.join(known, "doc_no", "left_semi")
+        kept = existing.join(new.filter(numbered).select("doc_no").distinct(), "doc_no", "left_anti")
+        return kept.unionByName(marked.filter("_own").drop("_own"), allowMissingColumns=True), new.limit(0)
+    known = existing.filter(numbered).select("doc_no").distinct().withColumn("_known", F.lit(True))
+    marked = marked.join(known, "doc_no", "left")
+    fresh = F.col("_own") & F.col("_known").isNull()
+    return existing.unionByName(marked.filter(fresh).drop("_own", "_known"), allowMissingColumns=True), marked.filter(~fresh).drop("_own", "_known").select(new.columns)
 
 
 def index_status(documents: DataFrame, chunks: DataFrame, model: str) -> DataFrame:
@@ -69,12 +80,30 @@ def chunk_listing(chunks: DataFrame, document_id: int, is_parent: bool | None =
     return (rows if is_parent is None else rows.filter(F.col("is_parent") == is_parent)).orderBy("chunk_id")
 
 
+def flat(df: DataFrame) -> DataFrame:
+    """Every column as text: arrays, structs and maps as JSON, others by cast; null stays null."""
+    nested = lambda kind: kind.startswith(("array", "struct", "map"))
+    return df.select(*[(F.to_json(F.col(f"`{c}`")) if nested(kind) else F.col(f"`{c}`").cast("string")).alias(c) for c, kind in df.dtypes])
+
+
 def write_table(df: DataFrame, path: str, form: str = "parquet") -> None:
-    """A deliverable as parquet, csv or markdown (one pipe line per row)."""
+    """A deliverable as parquet, csv or markdown. In csv and markdown nested values are JSON texts. A markdown file has a
+    header and one pipe line a row: pipes are escaped and line ends become ``<br>``; every file of a folder is a table."""
     if form == "markdown":
-        escaped = [F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("|"), F.lit("\\|")) for c in df.columns]
-        df.select(F.concat(F.lit("| "), F.concat_ws(" | ", *escaped), F.lit(" |")).alias("value")).write.text(path)
+        cell = lambda c: F.regexp_replace(F.replace(F.coalesce(c, F.lit("")), F.lit("|"), F.lit("\\|")), r"\r\n|[\r\n]", "<br>")
+        lines = flat(df).select(F.concat(F.lit("| "), F.concat_ws(" | ", *[cell(F.col(f"`{c}`")) for c in df.columns]), F.lit(" |")).alias("value"))
+        head = ["| " + " | ".join(c.replace("|", "\\|") for c in df.columns) + " |", "|" + "---|" * len(df.columns)]
+
+        def headed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            begun = False
+            for batch in batches:
+                if batch.num_rows and not begun:
+                    begun = True
+                    yield pa.RecordBatch.from_arrays([pa.array(head, batch.schema.field(0).type)], schema=batch.schema)
+                yield batch
+
+        lines.mapInArrow(headed, "value string").write.text(path)
     elif form == "csv":
-        df.write.csv(path, header=True)
+        flat(df).write.csv(path, header=True)
     else:
         df.write.parquet(path)

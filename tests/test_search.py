@@ -216,7 +216,7 @@ def test_pages_answer_key_and_tables_are_read_and_written(spark, tmp_path):
     assert items.first()["clause_no"] == "1.1" and reference.first()["expected_verdict"] == "GAP"
     assert [(r["check_no"], r["clause_nos"], r["contains"]) for r in checks.orderBy("check_no").collect()] == [(0, ["1.1"], None), (1, ["1.1", "1.2"], "kg")]
     df = spark.createDataFrame([(1, "a|b"), (2, None)], "n long, t string").coalesce(1)
-    for form, want in (("markdown", ["| 1 | a\\|b |", "| 2 |  |"]), ("csv", ["n,t", "1,a|b", "2,"])):
+    for form, want in (("markdown", ["| n | t |", "|---|---|", "| 1 | a\\|b |", "| 2 |  |"]), ("csv", ["n,t", "1,a|b", "2,"])):
         io.write_table(df, str(tmp_path / form), form)
         assert [r["value"] for r in spark.read.text(str(tmp_path / form)).collect()] == want
     io.write_table(df, str(tmp_path / "p"))
