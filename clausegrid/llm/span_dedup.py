@@ -1,18 +1,15 @@
 """Substring dedup by sliding sentence spans.
 
-Sentences end at . ! ? and at line ends. Every run of consecutive sentences that has at least
-``sentences`` sentences and ``min_words`` words and is the shortest such run from its first or up to
-its last sentence is a span: one starts at every sentence and one ends there, so repeats are covered up to
-both ends. Spans are hashed over their words (white space does not count) and joined over all
-documents; sentences under a span that a smaller document id, or the same document before,
-also has are removed.
-
-Sentences of ``longest`` words and more have no place in a passage of some fifty words that begins and
-ends anywhere. They count as several: they are cut behind the word of smallest hash in each window of
-``longest`` of their words, so the parts line up wherever a passage begins and none is longer than a
-window. Hence every repeated passage of over 50 words holds a whole span: its first reliable cut comes
-within one window, and the next one behind min_words more is settled within another, 2 * 13 + 24 - 1 = 49
-words in all. What stays of a passage are fewer than ``longest`` words at either end. Shorter sentences are never cut.
+Sentences end at . ! ? and at line ends. Every run of ``sentences`` consecutive sentences is a span, however
+short they are. Spans are hashed over their words (white space does not count) and joined over all
+documents; sentences under a span that a smaller document id, or the same document before, also has are removed.
+
+Fallback for text without punctuation: a sentence of more than ``long`` words would hide any passage in
+it, so it counts as several, cut behind the word of smallest hash in each window of ``window`` of its words. Those parts
+line up wherever a passage begins, and none is longer than a window. Sentences up to ``long`` words are never cut.
+
+What that means for a repeated passage: its whole sentences go if there are ``sentences`` of them side by side; a first and
+last sentence that the passage only holds in part stays, as does a passage of fewer whole sentences.
 
 A span's name has 96 bits from two chained hashes over 64-bit word hashes, each distinct word of a
 slice hashed from its bytes. Two different spans meet only by an accident of all 96.
@@ -37,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import byte_texts, distinct_runs, documents, ragged, release, save, slices
 
-SENTENCES, MIN_WORDS, LONGEST = 3, 24, 13
+SENTENCES, LONG, WINDOW = 3, 40, 13
 _WHITE = np.zeros(256, bool)
 _WHITE[[0x20, *range(0x09, 0x0E)]] = True
 _STOP = np.zeros(256, bool)
@@ -55,7 +52,7 @@ class Sentences:
     """Words and sentences of texts. Arrays: start, end (bytes of each word), word (its hash), first (word of each
     sentence, and the number of words at last), edges (first sentence of each text, and their number at last)."""
 
-    def __init__(self, texts: list[bytes], longest: int):
+    def __init__(self, texts: list[bytes], long: int = LONG, window: int = WINDOW):
         raw = np.frombuffer(b" " + b" ".join(texts) + b" ", np.uint8)
         self.begins = np.cumsum([1, *(len(x) + 1 for x in texts[:-1])]) if texts else np.zeros(0, np.int64)
         white = _WHITE[raw]
@@ -67,11 +64,12 @@ class Sentences:
         new = np.ones(n, bool)
         new[1:] = (text[1:] != text[:-1]) | (lines[self.start[1:]] != lines[self.start[:-1]]) | _STOP[raw[self.end[:-1] - 1]]
         self.word = word_hashes(raw, white, self.start, self.end)
-        if n >= longest:  # behind the last smallest hash of every window inside a sentence
-            sentence = np.cumsum(new)
-            inside = np.flatnonzero(sentence[: n - longest + 1] == sentence[longest - 1 :])
-            windows = np.lib.stride_tricks.sliding_window_view(self.word, longest)[inside, ::-1]
-            behind = inside + longest - windows.argmin(axis=1)
+        if n >= window:  # in long sentences, behind the last smallest hash of every window
+            sentence = np.cumsum(new) - 1
+            size = np.bincount(sentence)
+            inside = np.flatnonzero((sentence[: n - window + 1] == sentence[window - 1 :]) & (size[sentence[: n - window + 1]] > long))
+            windows = np.lib.stride_tricks.sliding_window_view(self.word, window)[inside, ::-1]
+            behind = inside + window - windows.argmin(axis=1)
             new[behind[behind < n]] = True
         cuts = np.flatnonzero(new)
         self.first = np.r_[cuts, n]
@@ -94,42 +92,36 @@ def run_names(word: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np
     return (name ^ name >> np.uint64(32)).view(np.int64), (state[1] >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
-def spans(s: Sentences, sentences: int, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, first sentence in it, number of sentences, name, check) of all spans, in order."""
+def spans(s: Sentences, sentences: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, first sentence in it, name, check) of all spans, in order."""
     m = len(s.first) - 1
-    if not m:
-        return (np.zeros(0, np.int64),) * 5
+    if m < sentences:
+        return (np.zeros(0, np.int64),) * 4
     text = np.repeat(np.arange(len(s.edges) - 1), np.diff(s.edges))
-    lo, hi = s.edges[:-1][text], s.edges[1:][text]
-    here = np.arange(m)
-    to = np.maximum(np.searchsorted(s.first, s.first[:-1] + min_words), here + sentences)
-    since = np.minimum(np.searchsorted(s.first, s.first[1:] - min_words, side="right") - 1, here + 1 - sentences)
-    a, b = np.r_[here[to <= hi], since[since >= lo]], np.r_[to[to <= hi], here[since >= lo] + 1]
-    both = np.unique(a * np.int64(m + 1) + b)
-    a, b = both // (m + 1), both % (m + 1)
-    return text[a], a - s.edges[:-1][text[a]], b - a, *run_names(s.word, s.first[a], s.first[b])
+    a = np.flatnonzero(text[: m - sentences + 1] == text[sentences - 1 :])
+    return text[a], a - s.edges[:-1][text[a]], *run_names(s.word, s.first[a], s.first[a + sentences])
 
 
-def _span_rows(sentences: int, min_words: int, longest: int):
+def _span_rows(sentences: int, long: int, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
-                who, first, n, name, check = spans(Sentences(byte_texts(part), longest), sentences, min_words)
+                who, first, name, check = spans(Sentences(byte_texts(part), long, window), sentences)
                 order = np.lexsort((first, check, name, who))
                 again = np.zeros(len(who), bool)  # in its own document
                 again[order[1:]] = (who[order[1:]] == who[order[:-1]]) & (name[order[1:]] == name[order[:-1]]) & (check[order[1:]] == check[order[:-1]])
                 take = lambda c: pa.array(part.column(c).to_numpy(zero_copy_only=False).astype(np.int64)[who])
-                yield pa.RecordBatch.from_arrays([pa.array(name, pa.int64()), pa.array(check, pa.int32()), take("key"), take("hash"), pa.array(first << 32 | n << 1 | again, pa.int64())], ["name", "check", "key", "hash", "span"])
+                yield pa.RecordBatch.from_arrays([pa.array(name, pa.int64()), pa.array(check, pa.int32()), take("key"), take("hash"), pa.array(first << 1 | again, pa.int64())], ["name", "check", "key", "hash", "span"])
 
     return run
 
 
-def _cleaned(longest: int):
+def _cleaned(sentences: int, long: int, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
                 texts = byte_texts(part)
-                s = Sentences(texts, longest)
+                s = Sentences(texts, long, window)
                 at = np.r_[s.start, 0][s.first]
                 n_sent, n_gone, n_spans, gone_bytes, kept = np.diff(s.edges).tolist(), [], [], [], []
                 for i, (text, held) in enumerate(zip(texts, part.column("spans"), strict=True)):
@@ -138,7 +130,7 @@ def _cleaned(longest: int):
                         continue
                     packed = held.values.to_numpy()
                     gone = np.zeros(n_sent[i] + 2, bool)
-                    gone[1 + ragged(packed >> 32, (packed & 0xFFFFFFFF) >> 1)] = True
+                    gone[1 + ragged(packed >> 1, np.full(len(packed), sentences))] = True
                     flips = np.diff(gone.astype(np.int8))
                     bounds = np.r_[at[s.edges[i] : s.edges[i + 1]] - s.begins[i], len(text)]
                     a, b = bounds[np.flatnonzero(flips == 1)], bounds[np.flatnonzero(flips == -1)]
@@ -150,12 +142,12 @@ def _cleaned(longest: int):
     return run
 
 
-def remove_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences: int = SENTENCES, min_words: int = MIN_WORDS, longest: int = LONGEST) -> DataFrame:
+def remove_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences: int = SENTENCES, long: int = LONG, window: int = WINDOW) -> DataFrame:
     """doc_id, n_sentences, n_removed, n_spans (runs of removed sentences), removed_bytes, clean_text."""
     hashed = F.xxhash64("text")
     key = F.coalesce("doc_id", F.lit(1 << 62) + hashed.bitwiseAND((1 << 61) - 1))  # null ids: behind the others, by text
     rows = documents(docs, id_col, text_col).select(key.alias("key"), hashed.alias("hash"), "doc_id", "text")
-    found = rows.select("key", "hash", "text").mapInArrow(_span_rows(sentences, min_words, longest), "name long, check int, key long, hash long, span long")
+    found = rows.select("key", "hash", "text").mapInArrow(_span_rows(sentences, long, window), "name long, check int, key long, hash long, span long")
     again = F.col("span").bitwiseAND(1) == 1
     # Written before the join, so that adaptive execution can split a passage that is everywhere.
     firsts = save(found.filter(~again).groupBy("name", "check").agg(F.min("key").alias("first"), F.max("key").alias("last")).filter("first < last").select("name", "check", "first"), "firsts")
@@ -164,4 +156,4 @@ def remove_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str
     later = spread.join(firsts.hint("shuffle_hash"), ["name", "check"], "left").filter(again | (F.col("key") > F.col("first")))
     per = save(later.groupBy("key", "hash").agg(F.collect_set("span").alias("spans")), "spans")
     release(firsts)
-    return rows.join(per, ["key", "hash"], "left").select("doc_id", "text", "spans").mapInArrow(_cleaned(longest), "doc_id long, n_sentences long, n_removed long, n_spans long, removed_bytes long, clean_text string")
+    return rows.join(per, ["key", "hash"], "left").select("doc_id", "text", "spans").mapInArrow(_cleaned(sentences, long, window), "doc_id long, n_sentences long, n_removed long, n_spans long, removed_bytes long, clean_text string")

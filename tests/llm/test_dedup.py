@@ -203,20 +203,37 @@ def thue_morse(n, a, b):
     return "".join(a if x else b for x in bits), "".join(b if x else a for x in bits)
 
 
-def test_every_passage_of_51_words_shares_a_span():
-    r = random.Random(21)
-    few = " ".join(r.choice(["to", "be"]) for _ in range(51))
-    dotted = [" ".join(w + r.choice(["", "", "", "", ".", "!"]) for w in words(r, 51).split()) for _ in range(300)]
-    passages = [words(r, 51) for _ in range(300)] + dotted + [few, "yes " * 51]
+def shared_spans(passages, r):
+    """Of passages set into two texts each, those that share a span there."""
     texts = [f"{words(r, r.randint(1, 30))} {p} {words(r, r.randint(1, 30))}".encode() for p in passages for _ in range(2)]
-    who, _, _, name, _ = span_dedup.spans(span_dedup.Sentences(texts, span_dedup.LONGEST), span_dedup.SENTENCES, span_dedup.MIN_WORDS)
+    who, _, name, _ = span_dedup.spans(span_dedup.Sentences(texts), span_dedup.SENTENCES)
     held = [set() for _ in texts]
     for w, h in zip(who.tolist(), name.tolist()):
         held[w].add(h)
-    assert [i for i in range(len(passages)) if not held[2 * i] & held[2 * i + 1]] == []
+    return [i for i in range(len(passages)) if held[2 * i] & held[2 * i + 1]]
+
+
+def test_passages_share_spans():
+    r = random.Random(21)
+    sentence = lambda n: words(r, n) + r.choice(".!?")
+    whole = [". " + " ".join(sentence(r.randint(1, 40)) for _ in range(3)) for _ in range(200)]
+    assert len(shared_spans(whole, r)) == 200  # three whole sentences of any length
+    assert len(shared_spans([f". {sentence(30)} {sentence(30)}" for _ in range(50)], r)) == 0  # two are no run of three
+    assert len(shared_spans([words(r, 60) for _ in range(200)], r)) >= 180  # no full stop at all
+    dotted = [" ".join(sentence(r.randint(3, 14)) for _ in range(8)) for _ in range(200)]
+    assert len(shared_spans([" ".join(x.split()[2:53]) for x in dotted], r)) >= 180  # cut anywhere out of sentences
+
+
+def test_short_whole_sentences_go_and_long_ones_stay_whole(spark):
+    r = random.Random(5)
+    three = " ".join(words(r, 15).capitalize() + "." for _ in range(3))
+    rows = [(1, f"One begins. {three} One ends."), (2, f"Two begins. {three} Two ends."), (3, words(r, 40).capitalize() + ".")]
+    got = {x["doc_id"]: x for x in span_dedup.remove_repeated_spans(frame(spark, rows)).collect()}
+    assert [got[i]["n_removed"] for i in (1, 2, 3)] == [0, 3, 0] and got[2]["clean_text"] == "Two begins. Two ends."
+    assert [got[i]["n_sentences"] for i in (1, 2, 3)] == [5, 5, 1]
 
 
-def brute_sentences(text, longest):
+def brute_sentences(text, long, window):
     """(words, first word of each sentence) by the rules in the module's docstring."""
     raw = (text or "").encode()
     found = [(m.start(), m.end()) for m in re.finditer(rb"[^\x20\x09-\x0d]+", raw)]
@@ -224,25 +241,21 @@ def brute_sentences(text, longest):
     h = [xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in found]
     cut = set(starts)
     for a, b in zip(starts, starts[1:] + [len(found)]):
-        for i in range(a, b - longest + 1):
-            low = min(h[i : i + longest])
-            last = max(j for j in range(i, i + longest) if h[j] == low)
+        for i in range(a, b - window + 1) if b - a > long else ():
+            low = min(h[i : i + window])
+            last = max(j for j in range(i, i + window) if h[j] == low)
             if last + 1 < len(found):
                 cut.add(last + 1)
     return raw, found, sorted(cut) if found else []
 
 
-def brute_spans(rows, k, w, longest):
-    texts = [brute_sentences(t, longest) for _, t in rows]
+def brute_spans(rows, k, long, window):
+    texts = [brute_sentences(t, long, window) for _, t in rows]
     runs, first = [], {}
     for n, ((i, _), (raw, found, cuts)) in enumerate(zip(rows, texts)):
         edges = cuts + [len(found)]
-        m, mine = len(cuts), set()
-        long_enough = lambda a, b: b - a >= k and edges[b] - edges[a] >= w
-        for a in range(m):
-            mine.update([(a, b) for b in range(a + 1, m + 1) if long_enough(a, b)][:1])
-            mine.update([(b, a + 1) for b in range(a, -1, -1) if long_enough(b, a + 1)][:1])
-        runs.append([(a, b, tuple(raw[x:y] for x, y in found[edges[a] : edges[b]])) for a, b in sorted(mine)])
+        mine = [(a, a + k) for a in range(len(cuts) - k + 1)]
+        runs.append([(a, b, tuple(raw[x:y] for x, y in found[edges[a] : edges[b]])) for a, b in mine])
         for _, _, run in runs[-1]:
             first[run] = min(first.get(run, (1 << 63, 0)), ((1 << 62) if i is None else i, n))
     out = []
@@ -260,7 +273,7 @@ def brute_spans(rows, k, w, longest):
 
 def test_spans_are_removed_as_brute_force_says(spark):
     r = random.Random(12)
-    sentence = lambda: words(r, r.randint(1, 30)).capitalize() + r.choice([".", "!", "?", "\n", ". \n"])
+    sentence = lambda: words(r, r.choice([1, 2, 9, 30, 60])).capitalize() + r.choice([".", "!", "?", "\n", ". \n"])
     shared = [" ".join(sentence() for _ in range(r.randint(3, 8))) for _ in range(6)]
     rows = []
     for i in range(60):
@@ -272,7 +285,7 @@ def test_spans_are_removed_as_brute_force_says(spark):
     rows += [(1000, shared[0]), (1000, "a b c"), (1001, shared[1] + " tail end"), (1001, shared[1]), (1001, "short")]
     rows += [(None, shared[2])]
     got = span_dedup.remove_repeated_spans(frame(spark, rows)).collect()
-    want = brute_spans(rows, span_dedup.SENTENCES, span_dedup.MIN_WORDS, span_dedup.LONGEST)
+    want = brute_spans(rows, span_dedup.SENTENCES, span_dedup.LONG, span_dedup.WINDOW)
     key = lambda x: (str(x[0]), *map(str, x[1:]))
     assert sorted((tuple(x) for x in got), key=key) == sorted(want, key=key)
 
