@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import retrieval
+from ..operators import deliverables, retrieval
 from . import derived as D
 from .queries import ROW_TEXT, WORD_GRAMS, table
 from .registry import query
@@ -109,6 +109,38 @@ def judgement_input(spark, sf):
     return retrieval.judgement_input(table(spark, sf, "supplier").select(F.col("s_suppkey").alias("requirement_id")), _snapshot(spark, sf))
 
 
+#: The same pools for texts alone: no vectors, no model but one that a text names, and no search for every seventh supplier.
+TEXT_POOLS = POOLS.replace("embedding AS e FROM supplier LEFT JOIN embeddings ON vec_id = s_suppkey", "CAST(NULL AS FLOAT[]) AS e FROM supplier WHERE s_suppkey % 7 > 0")
+TEXT_POOLS = TEXT_POOLS.replace(" WHEN s_suppkey % 10 > 1 THEN 'LT-' || (s_suppkey % 50 + 101) END AS model", " END AS model")
+FIRST_QUOTE = f"{TEXT_POOLS}{ranked('h')}, best AS (SELECT query_id, content AS quote FROM h WHERE rank = 1)"
+
+
+def _asked(spark, sf) -> DataFrame:
+    """A named document or clause for each supplier, ten in a project; every seventh is one that no knowledge base holds."""
+    k = F.col("s_suppkey")
+    name = F.when(k % 7 == 0, "사업자등록증 사본").otherwise(F.col("text"))
+    texts = D.supplier_queries(spark, sf).select(F.col("query_id").alias("s_suppkey"), "text")
+    return texts.select(F.expr("s_suppkey div 10").alias("project_id"), k.alias("run_id"), k.alias("seq"), name.alias("name"), F.when(k % 3 == 1, "기술사양서 제3장 전체").otherwise("").alias("note"))
+
+
+@query("searched_submissions", f"""{FIRST_QUOTE}
+SELECT s_suppkey // 10 AS project_id, s_suppkey AS seq, CASE WHEN s_suppkey % 7 = 0 THEN 'need' WHEN quote IS NULL OR s_suppkey % 3 = 1 THEN 'uncertain' ELSE 'have' END AS status, quote AS evidence_text
+FROM supplier LEFT JOIN best ON query_id = s_suppkey""")
+def searched_submissions(spark, sf):
+    """The submission list with one search for each item that a knowledge base can hold."""
+    items = _asked(spark, sf)
+    hits = deliverables.search_each(items, "name", D.part_chunks(spark, sf), SETTINGS)
+    return deliverables.submission_checklist(items, hits, D.part_assessments(spark, sf)).select("project_id", "seq", "status", "evidence_text")
+
+
+@query("searched_eligibility", f"""{FIRST_QUOTE}
+SELECT s_suppkey // 10 AS project_id, s_suppkey AS seq, CASE WHEN quote IS NULL THEN 'uncertain' ELSE 'have' END AS status, quote AS evidence_text FROM supplier LEFT JOIN best ON query_id = s_suppkey""")
+def searched_eligibility(spark, sf):
+    clauses = _asked(spark, sf).select("project_id", "seq", F.col("name").alias("text"))
+    hits = deliverables.search_each(clauses, "text", D.part_chunks(spark, sf), SETTINGS)
+    return deliverables.eligibility_checklist(clauses, hits).select("project_id", "seq", "status", "evidence_text")
+
+
 # Evidence of orders: a line item is a hit, its part the chunk, its supplier the parent.
 LINE_HITS = """
 WITH h AS (SELECT l_orderkey AS query_id, l_partkey AS chunk_id, l_suppkey AS parent_key, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS INTEGER) AS rank FROM lineitem)

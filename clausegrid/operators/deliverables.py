@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from .conflicts import FIELD_LABELS
 from .evaluation import label, severity_rank
+from .retrieval import Settings, TrigramIndex, search
 
 # Documents that no knowledge base holds.
 NEEDED_DOCUMENTS = ("입찰참가신청서", "사업자등록증", "기술규격 대응표")
@@ -48,13 +49,29 @@ def issue_block(issues: DataFrame) -> DataFrame:
     return numbered_issues(issues).select("run_id", "no", text.alias("line"))
 
 
+def needed(name: Column) -> Column:
+    """Documents that no knowledge base holds: they are made or issued for the tender."""
+    fixed = F.lit(False)
+    for x in NEEDED_DOCUMENTS:
+        fixed = fixed | name.contains(x)
+    return fixed
+
+
+def search_each(rows: DataFrame, text: str, chunks: DataFrame, s: Settings = Settings(), index: TrigramIndex | None = None) -> DataFrame:
+    """project_id, seq, rank, quote: one search for each submission item or eligibility clause (project_id, seq and the
+    column ``text``). Rows with the same text share one search; documents that no knowledge base holds ask nothing."""
+    asked = rows.filter(~F.coalesce(needed(F.col(text)), F.lit(True))).select("project_id", "seq", F.col(text).alias("_text")).withColumn("query_id", F.xxhash64("_text"))
+    queries = asked.select("query_id", F.col("_text").alias("text")).distinct()
+    queries = queries.withColumns({"probes": F.array("text"), "model_filter": F.lit(None).cast("string")})
+    hits = search(queries, chunks, None, s, index=index).select("query_id", "rank", F.col("content").alias("quote"))
+    return asked.join(hits, "query_id").select("project_id", "seq", "rank", "quote")
+
+
 def submission_checklist(items: DataFrame, hits: DataFrame, assessments: DataFrame) -> DataFrame:
     """Status of each document: need for those no knowledge base holds, uncertain without hits or where a named chapter has an open clause, else have.
 
     ``items``: project_id, run_id, seq, name, note; ``hits``: query_id = seq, project_id, rank, quote; ``assessments``: run_id, clause_no, verdict."""
-    fixed = F.lit(False)
-    for name in NEEDED_DOCUMENTS:
-        fixed = fixed | F.col("name").contains(name)
+    fixed = needed(F.col("name"))
     chapters = assessments.groupBy("run_id", F.regexp_extract("clause_no", r"^(\d+)", 1).alias("chapter")).agg(F.bool_or(F.col("verdict") == "CHECK").alias("open"), F.bool_or(F.col("verdict") == "GAP").alias("short"))
     top = hits.groupBy("project_id", "seq").agg(F.min_by("quote", "rank").alias("evidence_text"))
     rows = items.withColumn("chapter", F.regexp_extract(F.coalesce("note", F.lit("")), r"제(\d+)장", 1)).join(chapters, ["run_id", "chapter"], "left").join(top, ["project_id", "seq"], "left")
