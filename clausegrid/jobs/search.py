@@ -46,14 +46,14 @@ fused AS (SELECT query_id, chunk_id, coalesce(x, 0)::DOUBLE AS semantic, coalesc
 """
 
 
-def ranked(name: str, model: str = "model", keep: str = "true") -> str:
+def ranked(name: str, model: str = "model", keep: str = "true", fused: str = "fused", threshold: float = 0.1) -> str:
     """The ranked hits as one more common table."""
     return f"""{name} AS (
   SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM (
     SELECT query_id, chunk_id, parent_id AS parent_key, document_id, content, location, tag, semantic, keyword,
-      round((CASE WHEN {model} IS NULL THEN fused WHEN {model} = tag THEN fused + 0.1::DOUBLE ELSE fused * 0.3::DOUBLE END)::DOUBLE, 6) AS score
+      round((CASE WHEN {model} IS NULL THEN {fused} WHEN {model} = tag THEN {fused} + 0.1::DOUBLE ELSE ({fused}) * 0.3::DOUBLE END)::DOUBLE, 6) AS score
     FROM fused JOIN c USING (chunk_id) JOIN (SELECT query_id, model FROM q) USING (query_id)
-    WHERE {keep} AND score >= 0.1 QUALIFY row_number() OVER (PARTITION BY query_id, parent_id ORDER BY score DESC, chunk_id) <= 2)
+    WHERE {keep} AND score >= {threshold} QUALIFY row_number() OVER (PARTITION BY query_id, parent_id ORDER BY score DESC, chunk_id) <= 2)
   QUALIFY rank <= 5)"""
 
 
@@ -64,11 +64,9 @@ snapshot AS (SELECT query_id, rank, chunk_id, parent_key, r_name AS doc_title, '
   round(semantic, 6) AS semantic, round(keyword, 6) AS keyword FROM h LEFT JOIN parents USING (parent_key) LEFT JOIN region ON r_regionkey = document_id)"""
 
 
-def _hits(spark, sf, doc_kinds=None, drop_models=False) -> DataFrame:
+def _hits(spark, sf, doc_kinds=None) -> DataFrame:
     chunks, queries = D.embedded(D.part_chunks(spark, sf), "chunk_id", spark, sf), D.supplier_queries(spark, sf)
     vectors = D.embedded(queries.select("query_id"), "query_id", spark, sf)
-    if drop_models:
-        queries = queries.withColumn("model_filter", F.lit(""))
     return retrieval.search(queries, chunks, vectors, SETTINGS, doc_kinds)
 
 
@@ -90,8 +88,27 @@ def kind_search(spark, sf):
 @query("settings_compared", f"""{POOLS}{ranked("a", "NULL")}, {ranked("b")}
 SELECT query_id, chunk_id, a.rank AS rank_a, a.score AS score_a, b.rank AS rank_b, b.score AS score_b FROM a FULL JOIN b USING (query_id, chunk_id)""")
 def settings_compared(spark, sf):
-    """The search without and with its model filters."""
-    return retrieval.compare_settings(_hits(spark, sf, drop_models=True), _hits(spark, sf))
+    """The search without and with its model filters, the pools made once."""
+    return retrieval.compared(_settings(spark, sf, {"a": (SETTINGS, False), "b": (SETTINGS, True)}), ["a", "b"])
+
+
+def _settings(spark, sf, settings) -> DataFrame:
+    chunks, queries = D.embedded(D.part_chunks(spark, sf), "chunk_id", spark, sf), D.supplier_queries(spark, sf)
+    return retrieval.search_settings(queries, chunks, D.embedded(queries.select("query_id"), "query_id", spark, sf), settings)
+
+
+KEYWORD_FIRST = "0.3::DOUBLE * semantic + 0.7::DOUBLE * keyword"
+
+
+@query("weights_compared", f"""{POOLS}{ranked("a")}, {ranked("b", fused=KEYWORD_FIRST, threshold=0.5)}, {ranked("z", "NULL", fused="semantic", threshold=0.2)},
+every AS (SELECT 'a' AS setting, * FROM a UNION ALL SELECT 'b', * FROM b UNION ALL SELECT 'c', * FROM z)
+SELECT query_id, chunk_id, max(rank) FILTER (setting = 'a') AS rank_a, max(score) FILTER (setting = 'a') AS score_a, max(rank) FILTER (setting = 'b') AS rank_b, max(score) FILTER (setting = 'b') AS score_b,
+  max(rank) FILTER (setting = 'c') AS rank_c, max(score) FILTER (setting = 'c') AS score_c FROM every GROUP BY 1, 2""")
+def weights_compared(spark, sf):
+    """Three settings: the usual one, keywords first under a higher threshold, and vectors alone without models."""
+    keyword_first = replace(SETTINGS, semantic_weight=0.3, keyword_weight=0.7, threshold=0.5)
+    vectors = replace(SETTINGS, semantic_weight=1.0, keyword_weight=0.0, threshold=0.2)
+    return retrieval.compared(_settings(spark, sf, {"a": (SETTINGS, True), "b": (keyword_first, True), "c": (vectors, False)}), ["a", "b", "c"])
 
 
 @query("evidence_snapshot", f"{POOLS}{SNAPSHOT} SELECT query_id, rank, chunk_id, parent_key, doc_title, doc_no, location, quote, parent_content, tag AS models, score, semantic, keyword FROM snapshot")

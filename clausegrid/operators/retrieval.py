@@ -9,7 +9,8 @@ stand outside the pools. Ties go to the smaller chunk_id.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from dataclasses import fields as dataclass_fields
 
 import numpy as np
 import pyarrow as pa
@@ -337,12 +338,12 @@ def rerank(score: Column, tags: Column, model: Column, s: Settings) -> Column:
     return F.round(F.when(plain, score).when(F.array_contains(tags, model), score + s.match_bonus).otherwise(score * s.mismatch_factor), 6)
 
 
-def diverse_top(scored: DataFrame, s: Settings) -> DataFrame:
-    """At or above the threshold, at most ``per_parent`` per parent, then the best ``top_k``; adds rank. One shuffle by query serves both windows."""
+def diverse_top(scored: DataFrame, s: Settings, keys: tuple[str, ...] = ("query_id",)) -> DataFrame:
+    """At or above the threshold, at most ``per_parent`` per parent, then the best ``top_k`` of each of ``keys``; adds rank. One shuffle by query serves both windows."""
     order = [F.desc("score"), F.col("chunk_id")]
     rows = scored.filter(F.col("score") >= s.threshold).withColumn("parent_key", F.coalesce("parent_id", "chunk_id")).repartition("query_id")
-    rows = rows.withColumn("in_parent", F.row_number().over(Window.partitionBy("query_id", "parent_key").orderBy(*order))).filter(F.col("in_parent") <= s.per_parent).drop("in_parent")
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).filter(F.col("rank") <= s.top_k)
+    rows = rows.withColumn("in_parent", F.row_number().over(Window.partitionBy(*keys, "parent_key").orderBy(*order))).filter(F.col("in_parent") <= s.per_parent).drop("in_parent")
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("rank") <= s.top_k)
 
 
 def score_candidates(queries: DataFrame, chunks: DataFrame, semantic: DataFrame, keyword: DataFrame, s: Settings, doc_kinds: list[str] | None = None) -> DataFrame:
@@ -365,17 +366,62 @@ def search(
     """Ranked hits of all queries: query_id, chunk_id, parent_key, scores, rank and the chunk's columns. ``chunks``: children only.
 
     A query's text is always a probe of its own, whatever stands in ``probes``. ``index``: the chunks' stored trigrams."""
+    queries, words, semantic = _pools(queries, chunks, query_vectors, s, index)
+    ranked = chunks.filter(F.col("doc_kind").isin(*doc_kinds)) if doc_kinds else chunks
+    keyword = _all_keywords(queries, chunks, words, semantic, bounded_token_hits(queries, ranked, s))
+    return diverse_top(score_candidates(queries, chunks, semantic, keyword, s, doc_kinds), s)
+
+
+def _pools(queries: DataFrame, chunks: DataFrame, query_vectors: DataFrame | None, s: Settings, index: TrigramIndex | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(queries that ask something, with their model; keyword pool; semantic pool)."""
     model = F.nullif(promoted_filter(F.col("text"), F.col("model_filter")), F.lit(""))
     queries = queries.filter(T.strip(F.col("text")) != "").withColumn("model_filter", model)
     asked = F.array_distinct(F.concat(F.array("text"), F.coalesce("probes", F.array().cast("array<string>"))))
     probes = queries.select("query_id", F.explode(asked).alias("probe")).filter(T.strip(F.col("probe")) != "")
     words = keyword_top(probes, index or trigram_index(chunks), s.pool).select("query_id", "chunk_id", "keyword")
     empty = words.select("query_id", "chunk_id", F.lit(0.0).alias("semantic")).limit(0)
-    semantic = semantic_top(query_vectors, chunks, s.pool) if query_vectors is not None else empty
+    return queries, words, semantic_top(query_vectors, chunks, s.pool) if query_vectors is not None else empty
+
+
+def _all_keywords(queries: DataFrame, chunks: DataFrame, words: DataFrame, semantic: DataFrame, tokens: DataFrame) -> DataFrame:
     pooled = words.select("query_id", "chunk_id").unionByName(semantic.select("query_id", "chunk_id"))
-    ranked = chunks.filter(F.col("doc_kind").isin(*doc_kinds)) if doc_kinds else chunks
-    keyword = keyword_scores(words, token_scores(pooled, queries, chunks), bounded_token_hits(queries, ranked, s))
-    return diverse_top(score_candidates(queries, chunks, semantic, keyword, s, doc_kinds), s)
+    return keyword_scores(words, token_scores(pooled, queries, chunks), tokens)
+
+
+def search_settings(
+    queries: DataFrame,
+    chunks: DataFrame,
+    query_vectors: DataFrame | None,
+    settings: dict[str, tuple[Settings, bool]],
+    index: TrigramIndex | None = None,
+) -> DataFrame:
+    """The search under several settings at once: hits as ``search`` gives them, with their ``setting``.
+
+    ``settings``: by name, and whether models filter. Pools are made once, so all need one ``pool``; every candidate is
+    then scored under each setting in one pass."""
+    every = [s for s, _ in settings.values()]
+    if len({s.pool for s in every}) != 1:
+        raise ValueError("settings that are compared share their pools: give them one pool size")
+    widest = replace(every[0], top_k=max(s.top_k for s in every), per_parent=max(s.per_parent for s in every), threshold=float("-inf"))
+    queries, words, semantic = _pools(queries, chunks, query_vectors, widest, index)
+    plain = queries.withColumn("model_filter", F.lit(None).cast("string"))
+    asked = queries.unionByName(plain) if any(use for _, use in settings.values()) else plain
+    keyword = _all_keywords(queries, chunks, words, semantic, bounded_token_hits(asked, chunks, widest))
+    fields = [f.name for f in dataclass_fields(Settings)]
+    rows = [F.struct(F.lit(name).alias("setting"), F.lit(use).alias("models"), *[F.lit(getattr(s, f)).alias(f) for f in fields]) for name, (s, use) in settings.items()]
+    both = semantic.join(keyword, ["query_id", "chunk_id"], "full_outer").fillna(0.0, ["semantic", "keyword"]).withColumn("s", F.explode(F.array(*rows)))
+    both = both.join(chunks.select("chunk_id", "parent_id", "document_id", "doc_kind", "content", "section_path", "model_tags"), "chunk_id").join(queries.select("query_id", "model_filter"), "query_id")
+    s = Settings(*[F.col(f"s.{f}") for f in fields])
+    model = F.when(F.col("s.models"), F.col("model_filter"))
+    fused = s.semantic_weight * F.col("semantic") + s.keyword_weight * F.col("keyword")
+    both = both.withColumns({"setting": F.col("s.setting"), "score": rerank(fused, F.col("model_tags"), model, s), "semantic": F.round("semantic", 6), "keyword": F.round("keyword", 6)})
+    return diverse_top(both, s, ("setting", "query_id")).drop("s")
+
+
+def compared(hits: DataFrame, names: list[str]) -> DataFrame:
+    """query_id, chunk_id and for each setting its rank_ and score_, null where a hit is not ranked there."""
+    value = lambda c, n: F.max(F.when(F.col("setting") == n, F.col(c))).alias(f"{c}_{n}")
+    return hits.groupBy("query_id", "chunk_id").agg(*[value(c, n) for n in names for c in ("rank", "score")])
 
 
 def evidence(hits: DataFrame, parents: DataFrame, documents: DataFrame) -> DataFrame:

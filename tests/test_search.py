@@ -166,6 +166,25 @@ def test_bounded_tokens_rank_like_all_pairs_of_a_token(spark, seed):
         assert sorted(map(tuple, got.select(keys).collect())) == sorted(map(tuple, want.select(keys).collect()))
 
 
+def test_settings_at_once_give_what_each_gives_alone(spark):
+    """Weights, limits and the model filter differ; the pools are made once."""
+    r = random.Random(9)
+    rows = [(i, r.choice([None, *range(1000, 1004)]), 1, "qa", f"IP6{r.choice('556')} {r.choice(WORDS)}", "p", r.choice([[], ["LT-101"], ["LT-102"], ["LT-101", "LT-102"]]), [r.random(), r.random()]) for i in range(80)]
+    chunks = spark.createDataFrame(rows, "chunk_id long, parent_id long, document_id long, doc_kind string, content string, section_path string, model_tags array<string>, embedding array<double>").withColumn("keywords", T.keywords(F.col("content")))
+    queries = spark.createDataFrame([(i, f"{r.choice(WORDS)} IP6{r.choice('567')}", [], r.choice([None, "LT-101", "LT-102"])) for i in range(8)], "query_id long, text string, probes array<string>, model_filter string")
+    vectors = spark.createDataFrame([(i, [1.0, i / 5]) for i in range(8)], "query_id long, embedding array<double>")
+    base = replace(retrieval.Settings(), threshold=0.1, pool=4)
+    settings = {"a": (base, True), "b": (replace(base, semantic_weight=0.2, keyword_weight=0.8, top_k=3, per_parent=1), True), "c": (replace(base, threshold=0.5), False)}
+    got = retrieval.search_settings(queries, chunks, vectors, settings).collect()
+    keys = ("query_id", "rank", "chunk_id", "score", "semantic", "keyword")
+    for name, (s, models) in settings.items():
+        one = queries if models else queries.withColumn("model_filter", F.lit(""))
+        alone = retrieval.search(one, chunks, vectors, s).select(*keys).collect()
+        assert sorted(tuple(x[k] for k in keys) for x in got if x["setting"] == name) == sorted(map(tuple, alone)) and alone
+    with pytest.raises(ValueError):
+        retrieval.search_settings(queries, chunks, vectors, {"a": (base, True), "b": (replace(base, pool=9), True)})
+
+
 def test_lists_of_a_token_do_not_grow_with_its_chunks(spark):
     chunks = spark.range(3000).select(F.col("id").alias("chunk_id"), (F.col("id") % 700).alias("parent_id"), F.array(F.lit("IP65")).alias("keywords"), F.array(F.concat(F.lit("LT-10"), (F.col("id") % 3).cast("string"))).alias("model_tags"))
     wide, matching = retrieval.token_lists(chunks, retrieval.Settings())
