@@ -14,7 +14,7 @@ Defined results: vectors that are null, empty or hold a null or non-finite compo
 no part; vectors meet only vectors of their length; a null id takes no part; a query meets
 every row but itself, rows of its own id too; repeated rows are queries and candidates of
 their own; components beyond 64 bits after scaling are the nearest 64-bit number and scores
-beyond 2^61 either way count as 2^61; other columns are ignored; an empty table gives an
+beyond a long count as its limit; other columns are ignored; an empty table gives an
 empty result.
 """
 
@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from .common import save
 
 SCALE, BINS = 1024, 1024
-#: Greatest score, so that differences of two fit 64 bits.
-LIMIT = 1 << 61
+#: Greatest score either way.
+LIMIT = (1 << 63) - 1
 QUERY_BLOCK, CANDIDATE_BLOCK = 2048, 4096
 #: Scores held at once: a block of candidates times so many queries.
 QUERIES_AT_ONCE = 64
@@ -68,8 +68,10 @@ def _count_bins(width: int, span: int, exact: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for queries, _, score, own in _scores(batches, exact):
             lo, need = queries.field("lo").to_numpy(), queries.field("need").to_numpy()
-            score -= lo[:, None]
-            bins = np.where(own | (score < 0) | (score >= span), -1, score // width)
+            if not exact:  # differences of two longs need more than 64 bits
+                score, lo = score.astype(object), lo.astype(object)
+            score = score - lo[:, None]
+            bins = np.where(own | (score < 0) | (score >= span), -1, score // width).astype(np.int64)
             most = min(int(need.max()), bins.shape[1])
             top = -np.sort(-np.partition(bins, bins.shape[1] - most, axis=1)[:, bins.shape[1] - most :], axis=1)
             keep = (top >= 0) & (np.arange(most) < need[:, None])
@@ -119,7 +121,9 @@ def top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_c
         down = Window.partitionBy("row").orderBy(F.desc("bin"))
         found = bins.withColumn("upto", F.sum("n").over(down)).join(state.select("row", "need"), "row").filter("upto >= need")
         found = found.groupBy("row").agg(F.max("bin").alias("bin"), F.max(F.struct("bin", (F.col("upto") - F.col("n")).alias("above"))).alias("at"))
-        state = state.join(found, "row", "left").select("row", "id", "v", (F.col("lo") + F.coalesce("bin", F.lit(0)) * width).alias("lo"), (F.col("need") - F.coalesce("at.above", F.lit(0))).alias("need"))
+        wide = "decimal(38,0)"  # a bin's begin may be far from both its factors
+        place = (F.col("lo").cast(wide) + F.coalesce("bin", F.lit(0)).cast("decimal(10,0)") * F.lit(str(width)).cast("decimal(20,0)")).cast("long")
+        state = state.join(found, "row", "left").select("row", "id", "v", place.alias("lo"), (F.col("need") - F.coalesce("at.above", F.lit(0))).alias("need"))
         state = save(state, "ranges")
     hits = _pairs(state, every, query_blocks, candidate_blocks).mapInArrow(_take(k, exact), "row long, query_id long, vec_id long, score long")
     best = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")

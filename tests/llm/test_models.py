@@ -63,6 +63,15 @@ def test_ids_of_texts_in_other_alphabets_equal_the_library():
     assert counts.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
 
 
+def test_null_and_repeated_ids_are_documents_of_their_own(spark):
+    rows = [(None, "one two three"), (None, "one two three"), (None, None), (7, "a b"), (7, "a b"), (7, "c " * 5000)]
+    docs = spark.createDataFrame([(*x, 1, True, 0.5) for x in rows], "doc_id long, text string, start int, held_out boolean, score double")
+    counted = [(x["doc_id"], x["n_tokens"]) for x in token_counts.count_tokens(docs).collect()]
+    assert sorted(counted, key=str) == sorted([(None, 3), (None, 3), (None, 0), (7, 2), (7, 2), (7, 5000)], key=str)
+    pieces = packing.pack(docs).collect()
+    assert sum(x["length"] for x in pieces if x["doc_id"] is None) == 4 + 4 + 1 and sum(x["length"] for x in pieces if x["doc_id"] == 7) == 3 + 3 + 5001
+
+
 def test_packing_is_an_exact_round_trip(spark, texts):
     library = bpe.encoder(bpe.default_path()).library
     rows = packing.pack(frame(spark, texts), with_ids=True).collect()
@@ -227,13 +236,19 @@ def test_top_k(spark):
     odd = [(0, [1.0, 2.0]), (0, [2.0, 1.0]), (1, [1e9, 1e9]), (2, [-1e300, 1.0]), (3, []), (4, [0.5, 0.5])]
     table = spark.createDataFrame(odd, "vec_id long, embedding array<double>")
     exact = [[max(-(1 << 63), min((1 << 63) - 1, int(np.floor(1024 * c)) if abs(c) < 1e15 else (1 << 63) * (1 if c > 0 else -1))) for c in v] for _, v in odd]
-    clip = lambda n: max(-(1 << 61), min(1 << 61, n))
+    clip = lambda n: max(1 - (1 << 63), min((1 << 63) - 1, n))
     want = []
     for q in (0, 1):
         s = sorted(((-clip(sum(x * y for x, y in zip(exact[q], exact[i]))), odd[i][0]) for i in (0, 1, 2, 3, 5) if i != q and odd[i][1]))
         want += [(0, k + 1, i, -n) for k, (n, i) in enumerate(s)]
     found = topk_search.top_k(table, F.col("id") % 100 == 0).collect()
     assert sorted(map(tuple, found)) == sorted(want)
+    # Scores between 2^61 and 2^63 keep their value; columns of a table may be named like the operator's own.
+    large = [(i, [float(x << 15), float(y << 15)]) for i, (x, y) in enumerate([(3, 1), (900, 5), (1000, 1), (-2000, 0), (1024, 2), (700, -9), (2, 2)])]
+    wide = spark.createDataFrame([(i, v, 1, "x", 2, [3], 4) for i, v in large], "vec_id long, embedding array<double>, row int, id string, lo int, v array<int>, need int")
+    got = topk_search.top_k(wide, F.col("id") % 100 == 0).orderBy("rank").collect()
+    whole = sorted((-(sum(int(x) * 1024 * int(y) * 1024 for x, y in zip(large[0][1], v))), i) for i, v in large[1:])
+    assert [(x["score"], x["vec_id"]) for x in got] == [(-n, i) for n, i in whole] and got[0]["score"] > 1 << 61
     few = spark.createDataFrame([(0, [1.0]), (1, [2.0]), (2, [-3.0])], "vec_id long, embedding array<double>")
     assert [(x["rank"], x["vec_id"]) for x in topk_search.top_k(few, F.col("id") % 100 == 0).orderBy("rank").collect()] == [(1, 1), (2, 2)]
     assert topk_search.top_k(few.limit(0), F.col("id") % 100 == 0).count() == 0
