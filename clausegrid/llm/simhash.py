@@ -13,7 +13,10 @@ Nearby codewords of a segment: the (23, 12) Golay code is perfect, so every 23-b
 decodes to one codeword. Taking the codewords of the segment and of all its one-bit
 changes gives 1 or 6 keys, and two segments within 2 bits share one: the word between them.
 Keys have about 33 bits, so buckets stay small; candidates are verified exactly, and a
-task hands on a spanning forest of the links it found, not all pairs.
+task hands on a spanning forest of the links it found, not all pairs. A bucket of more than
+``HOT_BUCKET`` fingerprints (a template's family) is split: the 64 bits are cut into one piece
+more than there may be errors, each fingerprint goes to the part of each of its pieces, and
+every pair within the errors shares a piece. A part then holds 2^18 fingerprints at most.
 
 Only distinct fingerprints take part in the search: exact copies and texts with equal
 shingles cost one row. Components come from ``components``.
@@ -42,8 +45,8 @@ SHINGLE, SEED = 4, 42
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1
 GOLAY_GENERATOR = 0xC75
-#: Fingerprints of one bucket that are compared at once.
-BLOCK = 1024
+#: Fingerprints of one bucket that are compared at once, and beyond which it is split.
+BLOCK, HOT_BUCKET = 1024, 20_000
 
 
 @lru_cache(maxsize=1)
@@ -218,6 +221,12 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
         yield found(rest_k, rest_p)
 
     rows = prints.select("fp").distinct().mapInArrow(spread, "key long, fp long")
+    hot = save(rows.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > HOT_BUCKET), "hot")
+    if not hot.isEmpty():
+        edges = [64 * i // (max_bits + 1) for i in range(max_bits + 2)]
+        pieces = [F.shiftrightunsigned("fp", a).bitwiseAND((1 << (b - a)) - 1) for a, b in zip(edges, edges[1:], strict=False)]
+        parts = F.array(*[F.xxhash64("key", F.lit(i), p) for i, p in enumerate(pieces)])
+        rows = rows.join(hot, "key", "left").select(F.explode(F.when(F.col("n").isNull(), F.array("key")).otherwise(parts)).alias("key"), "fp")
     return rows.repartition(F.col("key")).sortWithinPartitions("key").mapInArrow(match, "u long, v long")
 
 

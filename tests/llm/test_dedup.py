@@ -142,6 +142,32 @@ def test_hot_bucket_links():
     assert len(forest) == len(prints) - 1
 
 
+def test_split_buckets_lose_no_link(spark, monkeypatch):
+    """A family of fingerprints that share most keys, among others: split at 30 rows a bucket and whole."""
+    r = random.Random(3)
+    base = 0x123456789ABCDEF0
+    family = {base ^ sum(1 << b for b in r.sample(range(64), r.randint(0, 5))) for _ in range(300)}
+    others = {r.getrandbits(64) for _ in range(100)}
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    prints = spark.createDataFrame([(signed(x),) for x in family | others], "fp long")
+
+    def groups(links):
+        parent = {}
+        for a, b in links:
+            simhash._forest([(a, b)], parent)
+        find = lambda x: x if parent.get(x, x) == x else find(parent[x])
+        out = {}
+        for x in parent:
+            out.setdefault(find(x), set()).add(x)
+        return sorted(map(sorted, out.values()))
+
+    every = sorted(family | others)
+    want = groups((signed(a), signed(b)) for i, a in enumerate(every) for b in every[:i] if (a ^ b).bit_count() <= 4)
+    for limit in (30, 20_000):
+        monkeypatch.setattr(simhash, "HOT_BUCKET", limit)
+        assert groups((x["u"], x["v"]) for x in simhash.links(prints).collect()) == want
+
+
 def test_components_of_a_long_path(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501), (7, 7)], "u long, v long")
     got = {x["node"]: x["root"] for x in components(links).collect()}
