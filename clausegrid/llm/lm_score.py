@@ -22,7 +22,7 @@ two words on either side; a document's score is the sum of these log-probabiliti
 
 Defined results: null and empty texts have no words, log_prob 0 and a null mean; a null id
 stays null; repeated rows get equal scores (but for rounding), and those of one id teach once; other columns are
-ignored; an empty table gives an empty result.
+ignored; a very long text is scored whole; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -15,7 +15,7 @@ stream never gather a source in one task: documents are dealt to hash ranges of
 
 Defined results: null text has size 0; documents of size 0 are never taken; an empty table
 gives an empty result; a null source is a source of its own; other columns are ignored.
-Rows of one id are documents of their own: they follow one another in the stream by text hash, and
+A very long text has its place and is never cut. Rows of one id are documents of their own: they follow one another in the stream by text hash, and
 null ids, which share one place in it, are dealt to ranges by that hash.
 """
 

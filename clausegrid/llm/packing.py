@@ -11,7 +11,8 @@ tokens: full sequences, then the rest as sequences whose lengths are powers of t
 need no padding. So no token is lost and nothing is padded.
 
 Defined results: null and empty texts have only the end token; a null id stays null;
-repeated rows are documents of their own; an empty table gives an empty result. Sequence
+repeated rows are documents of their own; a very long text is a run of its own, cut over as many
+sequences as it needs; other columns are ignored; an empty table gives an empty result. Sequence
 ids are unique and depend on how the input is split, like monotonically_increasing_id.
 """
 

@@ -22,7 +22,7 @@ Only distinct fingerprints take part in the search: exact copies and texts with
 shingles cost one row. Components come from ``components``.
 
 Defined results: null and empty texts have fingerprint zero and link like any other; a
-null id is a row like any other; repeated rows share a component; other columns are
+very long text is read whole, all its shingles count; a null id is a row like any other; repeated rows share a component; other columns are
 ignored; an empty table gives an empty result.
 """
 

@@ -18,7 +18,7 @@ Hashes are summed before they shuffle, and the join of repeated hashes is one th
 execution splits where a passage is everywhere.
 
 Defined results: null and empty texts have no sentences; a null id comes after all others, by text;
-rows of one id count as one document for what is first, each keeping its own text; other
+a very long text is worked on whole; rows of one id count as one document for what is first, each keeping its own text; other
 columns are ignored; an empty table gives an empty result.
 """
 

@@ -2,7 +2,8 @@
 
 One narrow pass: no shuffle, bounded slices of each Arrow batch. Defined results: null
 and empty texts have 0 tokens; a null id stays null; repeated rows are counted each;
-other columns are ignored; an empty table gives an empty result.
+a very long text is counted whole, in blocks of 2 MB; other columns
+are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -153,3 +153,28 @@ def test_pipeline_equals_brute_force(spark):
             assert offset == at and n > 0
             at += n
         assert at <= 2048 and at & (at - 1) == 0
+
+
+def test_stages_take_odd_rows_and_clashing_columns(spark, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    sf = f"file://{tmp_path}"
+    long = "word " * 60_000 + "end"
+    rows = [(1, long), (1, long), (1, "another text of one"), (None, "x y z"), (None, None), (2, ""), (3, " \n "), (None, "x y z"), (4, "x  y z")]
+    names = ["source", "lang", "kept", "digest", "size", "target", "key", "fp", "score", "row", "positions", "before", "n"]
+    docs = spark.createDataFrame([(i, t, *["s"] * len(names)) for i, t in rows], "doc_id long, text string, " + ", ".join(f"{x} string" for x in names))
+    spark.createDataFrame([(i, 1, 0) for i in (1, 2, 3, 4)], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+    counts = []
+    for name, stage in pipeline.STAGES:
+        out = stage(spark, docs, sf)
+        nothing = stage(spark, docs.limit(0), sf)
+        assert nothing.count() == 0
+        if name != "packing":
+            assert out.columns == docs.columns == nothing.columns
+            docs = out
+            counts.append(sorted((x["doc_id"] is None, x["doc_id"] or 0, len(x["text"] or "")) for x in docs.collect()))
+    assert len(counts[0]) == len(rows)  # labels of one kind: all are good
+    # the long text once, "another", one of x y z (the smallest id stays), one empty text, one blank
+    assert counts[1] == [(False, 1, 19), (False, 1, len(long)), (False, 2, 0), (False, 3, 3), (False, 4, 6)]
+    assert counts[2] == [(False, 1, 19), (False, 1, len(long)), (False, 2, 0), (False, 4, 6)]  # no words at all: one fingerprint
+    assert counts[3] == [(False, 1, 19), (False, 1, len(long)), (False, 4, 6)]  # what has no words is never taken
+    assert {x["doc_id"] for x in out.collect()} == {1, 4} and sum(x["length"] for x in out.collect()) == 60_001 + 1 + 4 + 1 + 3 + 1
