@@ -2,6 +2,11 @@
 
 Each stage works on all its predecessor kept. A stage's result is written as Parquet in the
 shared folder and read again as the next one's documents.
+
+Defined results, of every stage: a null id is a document like any other and stays null; a null text counts as
+empty, and no stage fills it; rows with equal id and text are one document for the dedup stages (one stays) and documents of
+their own for the others; very long texts are read whole; further columns go through the first four stages as they are,
+whatever their names; an empty table gives an empty result. The last stage returns pieces of sequences.
 """
 
 from __future__ import annotations
