@@ -220,13 +220,15 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
             rest_k, rest_p = keys[cut:], prints[cut:]
         yield found(rest_k, rest_p)
 
-    rows = prints.select("fp").distinct().mapInArrow(spread, "key long, fp long")
+    # so many parts that the keys, a hundred a fingerprint, do not come out of a few tasks
+    parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = prints.select("fp").repartition(parts, "fp").distinct().mapInArrow(spread, "key long, fp long")
     hot = save(rows.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > HOT_BUCKET), "hot")
     if not hot.isEmpty():
         edges = [64 * i // (max_bits + 1) for i in range(max_bits + 2)]
         pieces = [F.shiftrightunsigned("fp", a).bitwiseAND((1 << (b - a)) - 1) for a, b in zip(edges, edges[1:], strict=False)]
-        parts = F.array(*[F.xxhash64("key", F.lit(i), p) for i, p in enumerate(pieces)])
-        rows = rows.join(hot, "key", "left").select(F.explode(F.when(F.col("n").isNull(), F.array("key")).otherwise(parts)).alias("key"), "fp")
+        split = F.array(*[F.xxhash64("key", F.lit(i), p) for i, p in enumerate(pieces)])
+        rows = rows.join(hot, "key", "left").select(F.explode(F.when(F.col("n").isNull(), F.array("key")).otherwise(split)).alias("key"), "fp")
     return rows.repartition(F.col("key")).sortWithinPartitions("key").mapInArrow(match, "u long, v long")
 
 
