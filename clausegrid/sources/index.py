@@ -34,10 +34,10 @@ class ChunkIndex:
         return trigram_index(self.chunks, self.texts, self.postings)
 
 
-def _buckets(spark: SparkSession, path: str) -> int | None:
-    """The table's number of buckets, or None where there is no table yet."""
+def _table(spark: SparkSession, path: str, name: str) -> DataFrame | None:
+    """One of the tables, or None where it does not stand yet."""
     try:
-        return spark.read.parquet(f"{path}/layout").first()["buckets"]
+        return spark.read.parquet(f"{path}/{name}")
     except AnalysisException:
         return None
 
@@ -57,32 +57,33 @@ def update_index(spark: SparkSession, path: str, documents: DataFrame, chunks: D
     """Index ``documents`` (document_id) anew with their ``chunks`` (chunk rows with is_parent, content, section_path, ...).
 
     Chunks of documents that are not asked for are left out. ``buckets`` counts for a new table only."""
-    known = _buckets(spark, path)
-    n = known or buckets
+    layout = _table(spark, path, "layout")
+    if layout is None:  # before all else: what follows depends on it
+        layout = spark.range(1).select(F.lit(buckets).alias("buckets"))
+        layout.write.parquet(f"{path}/layout")
+    n = layout.first()["buckets"]
     bucket: Column = F.pmod(F.xxhash64("document_id"), F.lit(n)).cast("int")
     documents = documents.select("document_id").distinct()
     chunks = stored(chunks.join(documents, "document_id", "left_semi").withColumn("bucket", bucket), "chunks")
     done = chunks.select("document_id", "bucket").distinct()
     said = stored(index_status(documents, chunks, model).withColumn("bucket", bucket), "said")
+    # at most ``n`` numbers each reach the driver
+    touched = [r["bucket"] for r in documents.select(bucket.alias("bucket")).distinct().collect()]
+    written = [r["bucket"] for r in done.select("bucket").distinct().collect()]
     rows, status = chunks, said
-    if known:
-        touched = [r["bucket"] for r in documents.select(bucket.alias("bucket")).distinct().collect()]  # at most ``n``
-        old = spark.read.parquet(f"{path}/chunks").filter(F.col("bucket").isin(touched))
-        written = [r["bucket"] for r in done.select("bucket").distinct().collect()]
+    if (old := _table(spark, path, "chunks")) is not None:
         rows = old.filter(F.col("bucket").isin(written)).join(done, "document_id", "left_anti").unionByName(chunks, allowMissingColumns=True)
-        before = spark.read.parquet(f"{path}/status").filter(F.col("bucket").isin(touched))
+    if (before := _table(spark, path, "status")) is not None:
+        before = before.filter(F.col("bucket").isin(touched))
         was = before.select("document_id", F.col("chunk_count").alias("_count"), F.col("embedding_model").alias("_model"))
         failed = F.col("status") == "failed"
-        kept = said.join(was, "document_id", "left")
-        kept = kept.withColumns({"chunk_count": F.when(failed, F.coalesce("_count", F.lit(0))).otherwise(F.col("chunk_count")), "embedding_model": F.when(failed, F.coalesce("_model", F.lit(""))).otherwise(F.col("embedding_model"))})
+        count = F.when(failed, F.coalesce("_count", F.lit(0))).otherwise(F.col("chunk_count"))
+        used = F.when(failed, F.coalesce("_model", F.lit(""))).otherwise(F.col("embedding_model"))
+        kept = said.join(was, "document_id", "left").withColumns({"chunk_count": count, "embedding_model": used})
         status = before.join(said, "document_id", "left_anti").unionByName(kept.drop("_count", "_model"))
     _replace(rows, path, "chunks", ["document_id", "chunk_id"])
-    children = spark.read.parquet(f"{path}/chunks").filter(~F.col("is_parent"))
-    if known:
-        children = children.filter(F.col("bucket").isin(written))
+    children = spark.read.parquet(f"{path}/chunks").filter(~F.col("is_parent") & F.col("bucket").isin(written))
     texts = stored(trigram_texts(children, "bucket"), "texts")
     _replace(texts, path, "texts", ["chunk_id"])
     _replace(trigram_postings(texts, "bucket"), path, "postings", ["gram", "chunk_id"])
     _replace(status, path, "status", ["document_id"])
-    if not known:
-        spark.range(1).select(F.lit(n).alias("buckets")).write.parquet(f"{path}/layout")

@@ -133,6 +133,20 @@ def test_an_update_touches_only_its_buckets(spark, tmp_path):
     assert sorted((r["document_id"], r["chunk_id"], r["content"]) for r in index.open_index(spark, path).chunks.collect()) == got and again
 
 
+def test_an_update_that_died_is_run_again(spark, tmp_path, monkeypatch):
+    path = f"file://{tmp_path}/index"
+    docs = spark.createDataFrame([(i,) for i in range(6)], "document_id long")
+    rows = chunk_rows(spark, [(i, i % 6, False, f"text {i}") for i in range(18)])
+    replaced, put = [], index._replace
+    monkeypatch.setattr(index, "_replace", lambda rows, path, name, sort: (_ for _ in ()).throw(OSError) if name == "status" and len(replaced) == 3 else (replaced.append(name), put(rows, path, name, sort)))
+    with pytest.raises(OSError):
+        index.update_index(spark, path, docs, rows, "m1", buckets=4)
+    assert replaced == ["chunks", "texts", "postings"]
+    index.update_index(spark, path, docs, rows, "m1")
+    now = index.open_index(spark, path)
+    assert now.chunks.count() == 18 == now.texts.count() and {(r["status"], r["chunk_count"]) for r in now.status.collect()} == {("indexed", 3)}
+
+
 def test_deliverables_with_nested_values_and_line_ends(spark, tmp_path):
     df = spark.createDataFrame([(1, ["a", "b|c"], {"k": 1}, "one\r\ntwo\nthree"), (2, None, None, None)], "n long, refs array<string>, m map<string,int>, t string").coalesce(1)
     io.write_table(df, str(tmp_path / "md"), "markdown")
