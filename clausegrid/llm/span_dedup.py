@@ -9,7 +9,12 @@ it, so it counts as several, cut behind the word of smallest hash in each window
 line up wherever a passage begins, and none is longer than a window. Sentences up to ``long`` words are never cut.
 
 What that means for a repeated passage: its whole sentences go if there are ``sentences`` of them side by side; a first and
-last sentence that the passage only holds in part stays, as does a passage of fewer whole sentences.
+last sentence that the passage only holds in part stays.
+
+Fallback for passages of fewer whole sentences: of all runs of 32 words in any 49 words of a text the one of smallest hash is a
+stretch, whatever sentences it lies in, so two texts that share 49 words share a stretch. Stretches are joined like spans. Where a
+repeated one touches no sentence that its spans remove, its words go and count as one removed run; the sentences that lose
+them count as removed. Of such a passage fewer than 18 words stay at either end.
 
 A span's name has 96 bits from two chained hashes over 64-bit word hashes, each distinct word of a
 slice hashed from its bytes. Two different spans meet only by an accident of all 96.
@@ -35,6 +40,8 @@ from pyspark.sql import functions as F
 from .common import byte_texts, distinct_runs, documents, ragged, release, save, slices
 
 SENTENCES, LONG, WINDOW = 3, 40, 13
+#: Words of a stretch (a power of two), and of a repeat that surely holds one.
+STRETCH, REPEAT = 32, 49
 _WHITE = np.zeros(256, bool)
 _WHITE[[0x20, *range(0x09, 0x0E)]] = True
 _STOP = np.zeros(256, bool)
@@ -49,8 +56,8 @@ def word_hashes(raw: np.ndarray, white: np.ndarray, start: np.ndarray, end: np.n
 
 
 class Sentences:
-    """Words and sentences of texts. Arrays: start, end (bytes of each word), word (its hash), first (word of each
-    sentence, and the number of words at last), edges (first sentence of each text, and their number at last)."""
+    """Words and sentences of texts. Arrays: start, end (bytes of each word), word (its hash), text (which text it is in), first (word of
+    each sentence, and the number of words at last), edges (first sentence of each text, and their number at last)."""
 
     def __init__(self, texts: list[bytes], long: int = LONG, window: int = WINDOW):
         raw = np.frombuffer(b" " + b" ".join(texts) + b" ", np.uint8)
@@ -73,6 +80,7 @@ class Sentences:
             new[behind[behind < n]] = True
         cuts = np.flatnonzero(new)
         self.first = np.r_[cuts, n]
+        self.text = text - 1
         self.edges = np.searchsorted(text[cuts], np.arange(1, len(texts) + 2))
 
 
@@ -102,12 +110,45 @@ def spans(s: Sentences, sentences: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     return text[a], a - s.edges[:-1][text[a]], *run_names(s.word, s.first[a], s.first[a + sentences])
 
 
+def _over(best: np.ufunc, x: np.ndarray, width: int) -> np.ndarray:
+    """``best`` (minimum or maximum) of every ``width`` values in a row."""
+    step = 1
+    while 2 * step <= width:
+        x, step = best(x[:-step], x[step:]), 2 * step
+    return best(x[: len(x) - width + step], x[width - step :]) if step < width else x
+
+
+def stretches(s: Sentences) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, first word in it, name, check) of all stretches, in order."""
+    if len(s.word) < REPEAT:
+        return (np.zeros(0, np.int64),) * 4
+    name = check = s.word
+    step = 1
+    while step < STRETCH:  # two halves make a name
+        name = name[:-step] * _MIX[0] ^ name[step:]
+        name = (name ^ name >> np.uint64(32)) * _MIX[1]
+        check = check[:-step] * _MIX[1] + check[step:]
+        check = (check ^ check >> np.uint64(29)) * _MIX[0]
+        step *= 2
+    name |= np.uint64(1)
+    width = REPEAT - STRETCH + 1
+    least = _over(np.minimum, name, width)
+    least[s.text[: len(least)] != s.text[REPEAT - 1 :]] = 0  # no 49 words of one text
+    none = np.zeros(width - 1, np.uint64)
+    at = np.flatnonzero(_over(np.maximum, np.concatenate([none, least, none]), width) == name)
+    text = s.text[at]
+    return text, at - s.first[s.edges[text]], name[at].view(np.int64), (check[at] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
 def _span_rows(sentences: int, long: int, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
-                who, first, name, check = spans(Sentences(byte_texts(part), long, window), sentences)
-                order = np.lexsort((first, check, name, who))
+                s = Sentences(byte_texts(part), long, window)
+                both = spans(s, sentences), stretches(s)
+                who, first, name, check = (np.concatenate(x) for x in zip(*both, strict=True))
+                first = first << 1 | np.repeat([0, 1], [len(x[0]) for x in both])
+                order = np.lexsort((check, name, who))  # stable: the first one stays first
                 again = np.zeros(len(who), bool)  # in its own document
                 again[order[1:]] = (who[order[1:]] == who[order[:-1]]) & (name[order[1:]] == name[order[:-1]]) & (check[order[1:]] == check[order[:-1]])
                 take = lambda c: pa.array(part.column(c).to_numpy(zero_copy_only=False).astype(np.int64)[who])
@@ -122,17 +163,27 @@ def _cleaned(sentences: int, long: int, window: int):
             for part in slices(batch, "text", 1 << 20):
                 texts = byte_texts(part)
                 s = Sentences(texts, long, window)
-                at = np.r_[s.start, 0][s.first]
+                word_edges = s.first[s.edges]
                 n_sent, n_gone, n_spans, gone_bytes, kept = np.diff(s.edges).tolist(), [], [], [], []
                 for i, (text, held) in enumerate(zip(texts, part.column("spans"), strict=True)):
                     if not held.is_valid:
                         n_gone.append(0), n_spans.append(0), gone_bytes.append(0), kept.append(text)
                         continue
                     packed = held.values.to_numpy()
-                    gone = np.zeros(n_sent[i] + 2, bool)
-                    gone[1 + ragged(packed >> 1, np.full(len(packed), sentences))] = True
-                    flips = np.diff(gone.astype(np.int8))
-                    bounds = np.r_[at[s.edges[i] : s.edges[i + 1]] - s.begins[i], len(text)]
+                    place, stretch = packed >> 2, (packed & 2) > 0
+                    gone = np.zeros(n_sent[i], bool)
+                    gone[ragged(place[~stretch], np.full((~stretch).sum(), sentences))] = True
+                    first = s.first[s.edges[i] : s.edges[i + 1] + 1] - word_edges[i]
+                    words = np.repeat(gone, np.diff(first))
+                    if stretch.any():  # those that touch no removed sentence
+                        place = place[stretch]
+                        upto = np.r_[0, np.cumsum(gone)]
+                        head, tail = (np.searchsorted(first, x, side="right") for x in (place, place + STRETCH - 1))
+                        place = place[upto[tail] == upto[head - 1]]
+                        words[ragged(place, np.full(len(place), STRETCH))] = True
+                        gone = np.logical_or.reduceat(words, first[:-1])
+                    flips = np.diff(np.r_[False, words, False].astype(np.int8))
+                    bounds = np.r_[s.start[word_edges[i] : word_edges[i + 1]] - s.begins[i], len(text)]
                     a, b = bounds[np.flatnonzero(flips == 1)], bounds[np.flatnonzero(flips == -1)]
                     rest = b"".join(text[x:y] for x, y in zip(np.r_[0, b].tolist(), np.r_[a, len(text)].tolist(), strict=True))
                     n_gone.append(int(gone.sum())), n_spans.append(len(a)), gone_bytes.append(len(text) - len(rest)), kept.append(rest)
@@ -143,7 +194,7 @@ def _cleaned(sentences: int, long: int, window: int):
 
 
 def remove_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences: int = SENTENCES, long: int = LONG, window: int = WINDOW) -> DataFrame:
-    """doc_id, n_sentences, n_removed, n_spans (runs of removed sentences), removed_bytes, clean_text."""
+    """doc_id, n_sentences, n_removed (sentences removed, whole or in part), n_spans (removed runs), removed_bytes, clean_text."""
     hashed = F.xxhash64("text")
     key = F.coalesce("doc_id", F.lit(1 << 62) + hashed.bitwiseAND((1 << 61) - 1))  # null ids: behind the others, by text
     rows = documents(docs, id_col, text_col).select(key.alias("key"), hashed.alias("hash"), "doc_id", "text")

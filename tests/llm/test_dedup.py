@@ -316,6 +316,75 @@ def test_spans_are_removed_as_brute_force_says(spark):
     assert sorted((tuple(x) for x in got), key=key) == sorted(want, key=key)
 
 
+def test_short_passages_of_long_sentences_go(spark):
+    """51 words cut anywhere out of sentences of 20 to 38 words, where no three whole ones stand side by side."""
+    r = random.Random(31)
+    long = lambda: words(r, r.randint(20, 38)).capitalize() + "."
+    rows, passages = [], []
+    for i in range(60):
+        source = " ".join(long() for _ in range(5))
+        at = r.randint(0, 40)
+        passages.append(source.split()[at : at + 51])
+        rows += [(i, source), (100 + i, f"{long()} {words(r, 9)} {' '.join(passages[-1])} {words(r, 7)}. {long()}"), (200 + i, f"{long()} {long()} {long()}")]
+    rows += [(300, " ".join(passages[0][:31]) + " " + long()), (301, " ".join(passages[1])), (302, " ".join(passages[1])), (303, long() + " " + " ".join(passages[2] * 2))]
+    got = {x["doc_id"]: x for x in span_dedup.remove_repeated_spans(frame(spark, rows)).collect()}
+    for i, text in rows:
+        x, was = got[i], text.split()
+        left = x["clean_text"].split()
+        if 100 <= i < 200 or i > 300:
+            assert x["n_removed"] > 0 and x["removed_bytes"] > 0 and len(was) - len(left) >= span_dedup.STRETCH
+        else:
+            assert x["n_removed"] == x["n_spans"] == 0 and x["clean_text"] == text
+        if 100 <= i < 200:  # one run of the passage and nothing else
+            a = next((n for n, (p, q) in enumerate(zip(was, left)) if p != q), len(left))
+            b = len(was) - len(left)
+            assert x["n_spans"] == 1 and was[:a] + was[a + b :] == left
+            assert " ".join(was[a : a + b]) in " ".join(passages[i - 100]) or was[a - 1] == was[a + b - 1]
+
+
+def runs_of(text, n):
+    w = text.split()
+    return [tuple(w[a : a + n]) for a in range(len(w) - n + 1)]
+
+
+def test_every_long_repeat_loses_words_and_only_repeats_do(spark):
+    r = random.Random(33)
+    sentence = lambda: words(r, r.choice([1, 4, 12, 25, 38])).capitalize() + r.choice([".", "!", "\n", ""])
+    shared = " ".join(sentence() for _ in range(40)).split()
+    rows = []
+    for i in range(150):
+        at, n = r.randint(0, len(shared) - 130), r.choice([20, 31, 48, 49, 51, 60, 120])
+        rows.append((i, f"{sentence()} {words(r, 60)}. {' '.join(shared[at : at + n])} {words(r, 60)} {sentence()}"))
+    got = {x["doc_id"]: x for x in span_dedup.remove_repeated_spans(frame(spark, rows)).collect()}
+    seen, short, three, hit = set(), set(), set(), 0
+    for i, text in rows:
+        repeat = any(x in seen for x in runs_of(text, span_dedup.REPEAT))
+        hit += repeat
+        _, found, cuts = brute_sentences(text, span_dedup.LONG, span_dedup.WINDOW)
+        edges, w = [*cuts, len(found)], text.split()
+        mine = {tuple(w[edges[a] : edges[a + 3]]) for a in range(len(cuts) - 2)}
+        if repeat:
+            assert got[i]["n_removed"] > 0
+        elif not mine & three and not any(x in short for x in runs_of(text, span_dedup.STRETCH)):
+            assert got[i]["n_removed"] == 0 and got[i]["clean_text"] == text
+        seen.update(runs_of(text, span_dedup.REPEAT)), short.update(runs_of(text, span_dedup.STRETCH)), three.update(mine)
+    assert hit > 30
+
+
+def test_stretches_do_not_depend_on_what_stands_around():
+    r = random.Random(35)
+    passage = words(r, span_dedup.REPEAT)
+    texts = [f"{words(r, r.randint(0, 60))} {passage} {words(r, r.randint(0, 60))}".encode() for _ in range(50)] + [b"", b"x", (" ".join(["a"] * 48)).encode(), passage.encode()]
+    who, at, name, check = span_dedup.stretches(span_dedup.Sentences(texts))
+    alone = set(zip(name[who == 53].tolist(), check[who == 53].tolist()))
+    assert len(alone) == 1 and not {50, 51, 52} & set(who.tolist())
+    for i in range(50):
+        assert alone <= set(zip(name[who == i].tolist(), check[who == i].tolist()))
+    held = {}
+    for i, a, n in zip(who.tolist(), at.tolist(), name.tolist()):
+        assert held.setdefault(n, run := tuple(texts[i].split()[a : a + span_dedup.STRETCH])) == run and len(run) == span_dedup.STRETCH
+
+
 def test_suffix_dedup_where_names_are_hot(spark, monkeypatch):
     """A common line with other neighbours each time: its names are split twice, the results stay."""
     monkeypatch.setattr(suffix_dedup, "HEAVY_BYTES", 2000)
