@@ -139,6 +139,23 @@ def here(rows, batch_pairs):
     return [tuple(x[c] for c in COLUMNS) for x in out.to_pylist()]
 
 
+def asked_rows(texts):
+    """Rows that one batch of ``texts`` sends to the join by pair."""
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": texts, "row": pa.array(range(len(texts)), pa.int64())})
+    events = pa.Table.from_batches(list(alignment._events(A, B)(iter([batch])))).sort_by([("row", "ascending"), ("at", "ascending"), ("side", "ascending")])
+    return pa.Table.from_batches(list(alignment._pairs(alignment._swept(A, B, alignment.BATCH_PAIRS)(iter(events.to_batches())))))
+
+
+def test_copies_add_no_rows_to_the_join():
+    text = "The Haus is an unbelievable maison, don't re-do it. " * 5
+    one = asked_rows([text])
+    assert len(set(one.column("pair").to_pylist())) == one.num_rows > 10 and set(one.column("n").to_pylist()) == {1}
+    many = asked_rows([text] * 400)
+    assert many.column("pair").to_pylist() == one.column("pair").to_pylist() and set(many.column("n").to_pylist()) == {400}
+
+
 def test_written_groups_give_the_digest(spark, rows):
     some = [x for x in rows if x[0] is not None and x[0] != 6]
     groups = {}
