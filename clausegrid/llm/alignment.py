@@ -12,7 +12,9 @@ digest of the groups and the counts of its id pairs, however long the text is.
 The sweep hands on batches of documents: sums and digests, the batch's distinct id pairs with the
 number of its documents that hold each, and every document's pairs as places in that list. Counts are
 summed over all batches by pair, the highest of an A id is a grouped maximum, and both come back to the
-batches that asked by joins: rows are distinct pairs of batches, never links.
+batches that asked by joins: rows are distinct pairs of batches, never links. Every partition of the sweep makes a
+batch, so many small partitions would ask for the same pairs again and again: batches that are less than half full
+on average are put together first, and the rows follow the pairs of documents, not the partitions.
 
 Texts are cut into units at spaces behind a visible character, where neither tokenizer joins anything
 (A's words take the space before them, B's pieces hold spaces only in front), so a unit that came before
@@ -38,13 +40,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import _byte_letters
-from .common import byte_texts, distinct_runs, documents, ragged, save, slices
+from .common import byte_texts, distinct_runs, documents, ragged, release, save, slices
 
-#: Bytes of a run of events, units that a worker remembers, pairs of documents in a batch.
-RUN_BYTES, CACHE_UNITS, CACHE_TOKENS, BATCH_PAIRS = 16 << 10, 500_000, 4_000_000, 1 << 22
+#: Bytes of a run of events, units that a worker remembers, pairs of documents in a batch: at most, and from where on it is full;
+#: a document without pairs takes the room of some.
+RUN_BYTES, CACHE_UNITS, CACHE_TOKENS, BATCH_PAIRS, FULL_PAIRS, DOC_PAIRS = 16 << 10, 500_000, 4_000_000, 1 << 22, 1 << 19, 16
 _EVENTS = "row long, doc_id long, at long, side int, ids binary"
 _DOC = "doc_id:long,n_a:long,n_b:long,n_groups:long,n_links:long,groups_sha256:string,n_pairs:long"
-_BATCH = f"batch long, docs array<struct<{_DOC}>>, places binary, times binary, pairs binary, holders binary"
+_BATCH = f"batch long, held long, docs array<struct<{_DOC}>>, places binary, times binary, pairs binary, holders binary"
 _RESULT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 #: Bytes that end a visible character: no control, no space, and no space beyond ASCII (those begin with the lead bytes below).
 _SEEN = np.ones(256, bool)
@@ -276,21 +279,71 @@ def _from_planes(raw: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
 
 
-def _batch(number: int, docs: list[_Doc], pairs: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    counts = [len(p) for p, _ in pairs]
-    every = np.concatenate([p for p, _ in pairs]) if pairs else np.zeros(0, np.int64)
-    times = np.concatenate([t for _, t in pairs]) if pairs else np.zeros(0, np.int64)
+def _places(steps: bytes, sizes: np.ndarray) -> np.ndarray:
+    """Places in the batch's list of the pairs of all documents, which have ``sizes`` of them. Steps run on inside
+    a document: their sum less the sum before it."""
+    upto = np.cumsum(_from_planes(steps))
+    before = np.r_[0, upto][np.cumsum(sizes) - sizes]
+    return upto - np.repeat(before, sizes)
+
+
+def _record(number: int, docs: pa.StructArray, every: np.ndarray, times: np.ndarray) -> pa.RecordBatch:
+    """A batch of ``docs``, whose pairs lie end to end in ``every``, each document's in order."""
+    counts = docs.field("n_pairs").to_numpy()
     different, holders = _times(every)
     places = np.searchsorted(different, every)
-    first = np.cumsum(counts)[:-1]
     steps = np.diff(places, prepend=0)
-    begin = np.r_[0, first][np.array(counts) > 0] if counts else np.zeros(0, np.int64)
+    begin = (np.cumsum(counts) - counts)[counts > 0]
     steps[begin] = places[begin]  # the first of each document whole, the others as steps
-    rows = [{"doc_id": d.doc_id, "n_a": int(d.sums[0]), "n_b": int(d.sums[1]), "n_groups": int(d.sums[2]), "n_links": int(d.sums[3]), "groups_sha256": d.digest.hexdigest() if d.digest else "", "n_pairs": n} for d, n in zip(docs, counts, strict=True)]
-    kind = pa.list_(pa.struct([(x.split(":")[0], pa.string() if x.endswith("string") else pa.int64()) for x in _DOC.split(",")]))
-    columns = [pa.array([number], pa.int64()), pa.array([rows], kind)]
+    columns = [pa.array([number], pa.int64()), pa.array([len(every) + DOC_PAIRS * len(docs)], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(docs)], pa.int32()), docs)]
     columns += [pa.array([x], pa.binary()) for x in (_planes(steps), _planes(times), different.astype("<i8").tobytes(), _planes(holders))]
-    return pa.RecordBatch.from_arrays(columns, ["batch", "docs", "places", "times", "pairs", "holders"])
+    return pa.RecordBatch.from_arrays(columns, ["batch", "held", "docs", "places", "times", "pairs", "holders"])
+
+
+def _batch(number: int, docs: list[_Doc], pairs: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    rows = [{"doc_id": d.doc_id, "n_a": int(d.sums[0]), "n_b": int(d.sums[1]), "n_groups": int(d.sums[2]), "n_links": int(d.sums[3]), "groups_sha256": d.digest.hexdigest() if d.digest else "", "n_pairs": len(p)} for d, (p, _) in zip(docs, pairs, strict=True)]
+    kind = pa.struct([(x.split(":")[0], pa.string() if x.endswith("string") else pa.int64()) for x in _DOC.split(",")])
+    return _record(number, pa.array(rows, kind), *(np.concatenate(x) for x in zip(*pairs, strict=True)))
+
+
+def _merged(full: int):
+    """Puts batches together as long as they hold no more than ``full`` pairs of documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        context = TaskContext.get()
+        number = (context.partitionId() if context else 0) << 32
+        parts: list[tuple[pa.StructArray, np.ndarray, np.ndarray]] = []
+        held = 0
+
+        def together() -> pa.RecordBatch:
+            docs, every, times = zip(*parts, strict=True)
+            return _record(number, pa.concat_arrays(docs), np.concatenate(every), np.concatenate(times))
+
+        for batch in batches:
+            for i, n in enumerate(batch.column("held").to_pylist()):
+                if parts and held + n > full:
+                    yield together()
+                    parts, held, number = [], 0, number + 1
+                docs = batch.column("docs")[i].values
+                places = _places(batch.column("places")[i].as_py(), docs.field("n_pairs").to_numpy())
+                pairs = np.frombuffer(batch.column("pairs")[i].as_py(), "<i8")
+                parts.append((docs, pairs[places], _from_planes(batch.column("times")[i].as_py())))
+                held += n
+        if parts:
+            yield together()
+
+    return run
+
+
+def _filled(batches: DataFrame, full: int = FULL_PAIRS) -> DataFrame:
+    """The stored ``batches``, put together where they are less than half full on average."""
+    n, held = batches.agg(F.count("*"), F.coalesce(F.sum("held"), F.lit(0))).first()
+    enough = max(1, -(-held // full))
+    if n <= 2 * enough:
+        return batches
+    out = save(batches.coalesce(enough).mapInArrow(_merged(full), _BATCH), "filled", "zstd")
+    release(batches)
+    return out
 
 
 def _swept(a_path: str, b_path: str, batch_pairs: int):
@@ -310,7 +363,7 @@ def _swept(a_path: str, b_path: str, batch_pairs: int):
             one = found[0] if len(found) == 1 else (_times(*(np.concatenate(x) for x in zip(*found, strict=True))) if found else (np.zeros(0, np.int64),) * 2)
             done.append(state)
             done_pairs.append(one)
-            held += len(one[0])
+            held += len(one[0]) + DOC_PAIRS
 
         for batch in batches:
             for part in slices(batch, "ids", 1 << 20):
@@ -393,11 +446,7 @@ def _scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = part.column("docs")[0].values
             sizes = rows.field("n_pairs").to_numpy()
             ends = np.cumsum(sizes)
-            steps, times = _from_planes(part.column("places")[0].as_py()).astype(np.uint32), _from_planes(part.column("times")[0].as_py())
-            # steps run on inside a document: their sum less the sum before it, in 32 bits as they were written
-            upto = np.cumsum(steps.astype(np.int64))
-            before = np.r_[0, upto][ends - sizes]
-            places = upto - np.repeat(before, sizes)
+            places, times = _places(part.column("places")[0].as_py(), sizes), _from_planes(part.column("times")[0].as_py())
             sums = [np.r_[0, np.cumsum(x)] for x in (times * n[places], times * top[places])]
             total, n_best = (x[ends] - x[ends - sizes] for x in sums)
             names = ["doc_id", "n_a", "n_b", "n_groups", "n_links"]
@@ -410,7 +459,7 @@ def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", tex
     rows = documents(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id())
     events = rows.mapInArrow(_events(a_path, b_path), _EVENTS)
     in_order = events.repartition("row").sortWithinPartitions("row", "at", "side")
-    batches = save(in_order.mapInArrow(_swept(a_path, b_path, batch_pairs), _BATCH), "aligned", "zstd")
+    batches = _filled(save(in_order.mapInArrow(_swept(a_path, b_path, batch_pairs), _BATCH), "aligned", "zstd"))
     width = Side(b_path).size
     asked = batches.select("batch", "pairs", "holders").mapInArrow(_pairs, "batch long, place long, pair long, n long")
     counts = save(asked.groupBy("pair").agg(F.sum("n").alias("n")), "pairs")

@@ -156,6 +156,71 @@ def test_copies_add_no_rows_to_the_join():
     assert many.column("pair").to_pylist() == one.column("pair").to_pylist() and set(many.column("n").to_pylist()) == {400}
 
 
+def test_rows_of_the_join_do_not_follow_the_partitions(spark, rows, monkeypatch):
+    from pyspark.sql import functions as F
+
+    names = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {x: spark.conf.get(x) for x in names}
+    saved, save = [], alignment.save
+    monkeypatch.setattr(alignment, "save", lambda *x: saved.append(save(*x)) or saved[-1])
+    asked = []
+    try:
+        for parts in ("4", "40"):
+            for x, value in (names | {"spark.sql.shuffle.partitions": parts}).items():
+                spark.conf.set(x, value)
+            got = [tuple(x) for x in alignment.align(frame(spark, rows), A, B).select(COLUMNS).collect()]
+            assert sorted(got, key=order) == sorted(brute(rows), key=order)
+            batches = [x for x in saved if "places" in x.columns][-1]
+            asked.append(batches.agg(F.sum(F.expr("length(pairs) div 8"))).first()[0])
+    finally:
+        for x, value in before.items():
+            spark.conf.set(x, value)
+    assert asked[0] == asked[1] == saved[-1].count()  # one row a distinct pair, in one batch
+
+
+@pytest.mark.parametrize("full", [1, 200, 1 << 19])
+def test_batches_put_together_give_the_same(rows, monkeypatch, full):
+    from clausegrid.llm import common
+
+    swept, made = alignment._swept, []
+
+    def filled(*x):
+        def run(batches):
+            for batch in alignment._merged(full)(swept(*x)(batches)):
+                made.append(batch.column("held")[0].as_py())
+                yield batch
+
+        return run
+
+    monkeypatch.setattr(alignment, "RUN_BYTES", 7)
+    monkeypatch.setattr(alignment, "slices", lambda batch, column, limit: common.slices(batch, column, 200))
+    alone = [x.column("held")[0].as_py() for x in swept_here(rows, 40)]
+    if full == 1 << 19:  # one batch, where the helper looks for some
+        assert [x.column("held")[0].as_py() for x in alignment._merged(full)(iter(swept_here(rows, 40)))] == [sum(alone)]
+        return
+    monkeypatch.setattr(alignment, "_swept", filled)
+    assert sorted(here(rows, 40), key=order) == sorted(brute(rows), key=order)
+    assert sum(made) == sum(alone) and (made == alone if full == 1 else len(made) < len(alone) / 2 and max(made) <= max(full, max(alone)))
+
+
+def test_documents_without_tokens_take_room_in_a_batch():
+    none = [(i, None) for i in range(100)]
+    swept = swept_here(none, 160)
+    assert [len(x.column("docs")[0].values) for x in swept] == [10] * 10
+    merged = list(alignment._merged(480)(iter(swept)))
+    assert [len(x.column("docs")[0].values) for x in merged] == [30, 30, 30, 10]
+    some = [*none, (100, "12 kg")]  # the helper looks for pairs
+    assert sorted(here(some, 160)) == brute(some)
+
+
+def swept_here(rows, batch_pairs):
+    import pyarrow as pa
+
+    texts = pa.RecordBatch.from_pydict({"doc_id": pa.array([i for i, _ in rows], pa.int64()), "text": [t or "" for _, t in rows], "row": pa.array(range(len(rows)), pa.int64())})
+    events = pa.Table.from_batches(list(alignment._events(A, B)(iter([texts])))).sort_by([("row", "ascending"), ("at", "ascending"), ("side", "ascending")])
+    return list(alignment._swept(A, B, batch_pairs)(iter(events.to_batches(max_chunksize=3))))
+
+
 def test_written_groups_give_the_digest(spark, rows):
     some = [x for x in rows if x[0] is not None and x[0] != 6]
     groups = {}
