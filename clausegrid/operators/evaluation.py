@@ -112,7 +112,8 @@ def contains_none(value: Column, banned: Column) -> Column:
 
 def trap_checks(checks: DataFrame, assessments: DataFrame, evidences: DataFrame, issues: DataFrame, runs: DataFrame | None = None) -> DataFrame:
     """trap_id, check_no, kind, passed; for each run (run_id) where assessments have runs. Evidences and issues
-    without runs count for all of them. One branch for each kind, all on one clause row.
+    without runs count for all of them. One branch for each kind, all on one clause row. A clause without an assessment
+    passes no check but "cross_issue", which asks for an issue; one without evidence has no top evidence.
 
     ``checks``: trap_id, check_no, kind, clause_nos, equals, contains, not_contains, any_of, all_of, field, value, model, severity.
     ``assessments``: clause_no, ai_verdict, evidence_state, our_value, rationale, side_effects; ``evidences``: clause_no, rank, content, model_tags; ``issues``: clause_nos, severity, description."""
@@ -122,7 +123,7 @@ def trap_checks(checks: DataFrame, assessments: DataFrame, evidences: DataFrame,
     on, seen = [*run, "clause_no"], [*_run(evidences), "clause_no"]
     each = checks.select("*", F.explode("clause_nos").alias("clause_no"))
     first = evidences.groupBy(*seen).agg(F.min_by("model_tags", "rank").alias("top_models"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "content"))), lambda x: x["content"]), "\n").alias("evidence"))
-    rows = each.join(assessments, on, "left").join(first, seen, "left")
+    rows = each.join(assessments.withColumn("_answered", F.lit(True)), on, "left").join(first, seen, "left")
     has = lambda text, needle: needle.isNull() | F.coalesce(text.contains(needle), F.lit(False))
     both = lambda text: has(text, F.col("contains")) & ~F.coalesce(text.contains(F.col("not_contains")), F.lit(False))
     text = F.when(F.col("field") == "rationale", F.col("rationale")).when(F.col("field") == "our_value", F.col("our_value")).otherwise(F.concat_ws("\n", "rationale", "our_value"))
@@ -140,6 +141,7 @@ def trap_checks(checks: DataFrame, assessments: DataFrame, evidences: DataFrame,
     passed = F.lit(None).cast("boolean")
     for kind, rule in kinds.items():
         passed = F.when(F.col("kind") == kind, F.coalesce(rule, F.lit(False))).otherwise(passed)
+    passed = F.col("_answered").isNotNull() & passed
     plain = rows.filter("kind <> 'cross_issue'").groupBy(*run, "trap_id", "check_no", "kind").agg(F.coalesce(F.bool_and(passed), F.lit(False)).alias("passed"))
     i = issues.select(*_run(issues), F.array_sort("clause_nos").alias("pair"), F.col("severity").alias("i_severity"), "description")
     crossed = checks.filter("kind = 'cross_issue'").withColumn("pair", F.array_sort("clause_nos")).join(i, [*_run(issues), "pair"], "left")

@@ -62,6 +62,20 @@ def test_a_trap_passes_and_fails_by_run(spark):
     assert got == {(1, 1): True, (2, 1): False, (1, 2): False, (2, 2): True}
 
 
+def test_a_clause_without_an_assessment_passes_no_check(spark):
+    """Nothing found against it is no pass; a clause that is assessed and has no evidence does pass."""
+    none = F.lit(None).cast("string")
+    rows = [(t, 0, kind, [c]) for t, c in ((1, "there"), (2, "missing")) for kind in ("no_top_evidence_model", "text")]
+    checks = spark.createDataFrame([(10 * t + i, *rest) for i, (t, *rest) in enumerate(rows)], "trap_id long, check_no int, kind string, clause_nos array<string>")
+    checks = checks.withColumns({x: none for x in ("equals", "contains", "field", "severity")} | {"not_contains": F.lit("9"), "model": F.lit("m"), "value": F.lit(1.0), "any_of": F.array(none), "all_of": F.array(none)})
+    said = spark.createDataFrame([("there", "MEET", "", "", "r")], "clause_no string, ai_verdict string, evidence_state string, our_value string, rationale string")
+    said = said.withColumn("side_effects", F.array().cast("array<struct<field:string,value:double>>"))
+    found = spark.createDataFrame([], "clause_no string, rank int, content string, model_tags array<string>")
+    issues = spark.createDataFrame([], "clause_nos array<string>, severity string, description string")
+    got = {r["trap_id"]: r["passed"] for r in evaluation.traps(evaluation.trap_checks(checks, said, found, issues)).collect()}
+    assert got == {10: True, 11: True, 22: False, 23: False}
+
+
 @pytest.mark.parametrize("replace", [False, True])
 def test_numbers_stay_unique_inside_a_batch(spark, replace):
     old = spark.createDataFrame([(1, "A"), (2, "")], "document_id long, doc_no string")
