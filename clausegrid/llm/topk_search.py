@@ -101,7 +101,8 @@ def _pairs(queries: DataFrame, candidates: DataFrame, query_blocks: int, candida
     q = queries.groupBy(dim.alias("dim"), block(query_blocks).alias("qb")).agg(F.collect_list(F.struct("row", "id", "v", "lo", "need")).alias("queries"))
     q = q.withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(candidate_blocks - 1))))
     c = candidates.groupBy(dim.alias("dim"), block(candidate_blocks).alias("cb")).agg(F.collect_list(F.struct("row", "id", "v")).alias("candidates"))
-    return q.join(c, ["dim", "cb"]).select("queries", "candidates")
+    # by a shuffle: stored vectors look small enough to broadcast, while their blocks, once for each of the other side, are not
+    return q.join(c.hint("merge"), ["dim", "cb"]).select("queries", "candidates")
 
 
 def top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, scale: int = SCALE) -> DataFrame:

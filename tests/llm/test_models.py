@@ -219,6 +219,15 @@ def test_chunks_cover_every_byte():
         assert per[0] == len(codes) and ends[-1] == n and (codes < quality.PAD).sum(1).tolist() == left.tolist()
 
 
+def test_blocks_of_vectors_are_never_broadcast(spark, tmp_path):
+    """Stored vectors are a small file; all their blocks, once for each block of the other side, are not."""
+    path = str(tmp_path / "vectors")
+    spark.range(50).selectExpr("id AS row", "id", "array(id, 1L) AS v", "0L AS lo", "10L AS need").write.parquet(path)
+    rows = spark.read.parquet(path)
+    plan = topk_search._pairs(rows, rows, 2, 200)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
+
+
 def test_top_k(spark):
     r = np.random.default_rng(1)
     m = r.normal(size=(700, 8))
