@@ -1,16 +1,16 @@
 """Hard-negative mining by norm-bucketed exact search.
 
 Vectors become integers and scores are integer inner products. Candidates are range-sorted by
-norm, longest first, and cut into buckets that know the greatest norm in them; buckets travel
-in blocks. Anchors travel in blocks too, those that need the longest candidates last, and every
-block of anchors meets every block of candidates that it cannot rule out.
+norm, longest first, into blocks, and stored row by row; a round puts the rows of a block together
+and cuts it into buckets that know the greatest norm in them. Anchors travel in blocks too, those
+that need the longest candidates last, and every block of anchors meets every block of candidates that it cannot rule out.
 
 What an anchor still needs is a least score: the lower limit of its windows, or the k-th score it
 has already. By Cauchy-Schwarz no candidate shorter than (least score / anchor's norm) can reach
 it, so blocks are left out of the join and buckets are skipped inside a block; the k-th score
 runs along the buckets of a block, and between two rounds over all blocks: the first round takes
 the blocks of the longest candidates (a sixteenth, ties included), the second all others under
-the k-th scores that the first one found. Equality never prunes, so ties stay exact.
+the k-th scores that the first one found, and hands on no score below them. Equality never prunes, so ties stay exact.
 
 First an anchor's positives are searched (same label, no window), then for each positive the
 negatives of other labels in the window that its score sets.
@@ -47,7 +47,6 @@ BLOCKS_TOGETHER = 16
 SLACK = 1.0 + 1e-9
 _LONG = (1 << 63) - 1
 
-_CANDIDATE = "row long, id long, label long, v array<long>"
 _ANCHOR = "row long, id long, label long, norm double, v array<long>, windows array<struct<pid:long,score:long,least:double>>"
 _HIT = "row long, id long, pid long, pscore long, vec_id long, score long"
 
@@ -118,6 +117,7 @@ def _search(k: int, same: bool, kind: type, low: int, high: int):
         lo, hi = _limits(pscore.astype(whole), not same, low, high)
         best_s, best_i = np.full((len(of), k), -_LONG, whole), np.full((len(of), k), _LONG)
         need = np.maximum(least, np.array(lo, np.float64) if not same else -np.inf)
+        floor = np.maximum(least, -_LONG).astype(whole) if exact else lo  # a double may lie above a greater score
         for b, top in enumerate(tops.tolist()):
             open_ = np.flatnonzero((norm * top * SLACK >= need) & (lo <= hi))
             if not len(open_):
@@ -127,7 +127,7 @@ def _search(k: int, same: bool, kind: type, low: int, high: int):
             score = (vectors[mine] @ c["v"][at].T).astype(whole)[place]
             fits = (label[open_, None] == c["label"][at]) == same
             fits &= (row[open_, None] != c["row"][at]) & (score >= lo[open_, None]) & (score <= hi[open_, None])
-            w, col = np.nonzero(fits & (score >= best_s[open_, k - 1, None]))
+            w, col = np.nonzero(fits & (score >= np.maximum(best_s[open_, k - 1], floor[open_])[:, None]))
             if not len(w):
                 continue
             owner = np.r_[w, np.repeat(np.arange(len(open_)), k)]
@@ -162,11 +162,16 @@ def _search(k: int, same: bool, kind: type, low: int, high: int):
 
 
 def _round(anchors: DataFrame, candidates: DataFrame, groups: int, run) -> DataFrame:
-    """Meets blocks of anchors with the blocks of candidates that are long enough for one of them."""
+    """Meets blocks of anchors with the blocks of candidates that are long enough for one of them.
+
+    Both sides shuffle: what is stored looks small enough to broadcast, while its blocks are not."""
     a = anchors.select("dim", F.col("first").alias("short"), F.col("members").alias("anchors"))
     a = a.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    c = candidates.select("dim", "g", F.col("first").alias("long"), "norms", F.col("members").alias("candidates"))
-    met = a.join(c, (a["dim"] == c["dim"]) & (a["g"] == c["g"]) & (c["long"] * SLACK >= a["short"]))
+    member = F.struct((-F.col("norm")).alias("down"), "row", "id", "label", "v")
+    c = candidates.groupBy("dim", "block").agg(F.max("norm").alias("long"), F.array_sort(F.collect_list(member)).alias("candidates"))
+    bucket_tops = F.transform(F.filter("candidates", lambda _, i: i % BUCKET == 0), lambda x: -x["down"])
+    c = c.withColumns({"norms": bucket_tops, "g": F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int")})
+    met = a.join(c.hint("merge"), (a["dim"] == c["dim"]) & (a["g"] == c["g"]) & (c["long"] * SLACK >= a["short"]))
     return met.select("anchors", "norms", "candidates").mapInArrow(run, _HIT)
 
 
@@ -180,7 +185,7 @@ def _searched(anchors: DataFrame, candidates: DataFrame, sizes: dict, k: int, sa
     run = _search(k, same, sizes["kind"], low, high)
     limit = F.lit(float("-inf")) if same else F.expr(f"cast(w.score as double) * {low} / 100")
     first = None
-    for blocks in (candidates.filter("long_ones"), candidates.filter("NOT long_ones")):
+    for rows in (candidates.filter("long_ones"), candidates.filter("NOT long_ones")):
         state = anchors.select("row", "id", "label", "dim", "norm", "v", F.explode("windows").alias("w"))
         least = F.lit(float("-inf"))
         if first is not None:
@@ -195,7 +200,7 @@ def _searched(anchors: DataFrame, candidates: DataFrame, sizes: dict, k: int, sa
             F.collect_list("w").alias("windows"),
             F.min(F.when(F.col("norm") > 0, F.col("w.least") / F.col("norm")).otherwise(F.lit(float("-inf")))).alias("short"),
         )
-        met = _round(_blocks(state, _ANCHOR, "short", [F.col("dim"), F.col("short")], sizes["anchor_parts"]), blocks, sizes["groups"], run)
+        met = _round(_blocks(state, _ANCHOR, "short", [F.col("dim"), F.col("short")], sizes["anchor_parts"]), rows, sizes["groups"], run)
         if first is None:
             first = save(_best(met, k).drop("rank"), "hits")
     out = save(_best(first.unionByName(met), k), "found")
@@ -223,22 +228,23 @@ def mine(
     every = save(prepared(vectors, id_col, vector_col, label, scale), "vectors")
     stats = every.agg(F.count("*").alias("n"), F.max("norm").alias("norm"), F.max("dim").alias("dim"), F.count(F.when(is_anchor, 1)).alias("anchors")).first()
     reach = (stats["norm"] or 0.0) ** 2 * 1.001
-    least_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows_a_block = min(BLOCK_ROWS, max(BLOCK_SIZE // (stats["dim"] or 1), 1))
     blocks = -(-stats["n"] // rows_a_block) or 1
+    # no more than keep all cores busy, and no blocks below a bucket: each group gets all anchors, each block hands on hits of its own
+    least_parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism, -(-stats["n"] // BUCKET) or 1)
     sizes = {
         "kind": np.float32 if reach < 1 << 23 else np.float64 if reach < 1 << 52 else object,
         "anchor_parts": -(-stats["anchors"] // rows_a_block) or 1,
         "groups": max(-(-blocks // BLOCKS_TOGETHER), least_parts),
     }
-    packed = _blocks(every, _CANDIDATE + ", norm double", "norm", [F.col("dim"), F.desc("norm")], max(blocks, least_parts))
-    bucket_tops = F.filter("members.norm", lambda _, i: i % BUCKET == 0)
-    packed = packed.withColumns({"norms": bucket_tops, "g": F.pmod(F.xxhash64("first", F.element_at("members.row", 1)), F.lit(sizes["groups"])).cast("int")})
-    packed = save(packed, "candidates")
-    # the blocks of the longest sixteenth, for each length of vectors; one row a length
-    cut = packed.groupBy("dim").agg(F.percentile_approx("first", 1 - 1 / 16).alias("cut"))
-    candidates = save(packed.join(cut, "dim").withColumn("long_ones", F.col("first") >= F.col("cut")), "candidates")
-    release(packed)
+    ranged = every.repartitionByRange(max(blocks, least_parts), "dim", F.desc("norm"), "row")
+    ranged = save(ranged.withColumn("block", F.spark_partition_id()), "ranges")
+    # the blocks of the longest sixteenth, for each length of vectors; one row a block
+    tops = ranged.groupBy("dim", "block").agg(F.max("norm").alias("top"))
+    cut = tops.groupBy("dim").agg(F.percentile_approx("top", 1 - 1 / 16).alias("cut"))
+    tops = tops.join(cut, "dim").select("dim", "block", (F.col("top") >= F.col("cut")).alias("long_ones"))
+    candidates = save(ranged.join(tops, ["dim", "block"]), "candidates")
+    release(ranged)
 
     asked = every.filter(is_anchor)
     nothing = F.array(F.struct(F.lit(0).cast("long").alias("pid"), F.lit(0).cast("long").alias("score")))

@@ -62,6 +62,28 @@ def test_empty_table_and_no_anchor(spark):
     assert mined(spark, []) == [] and mined(spark, [(1, [1.0], 1), (2, [1.0], 2)]) == []
 
 
+def test_candidates_are_stored_row_by_row_and_meet_by_a_shuffle(spark, rows, monkeypatch):
+    """No stored row holds a block (a reader's batch would hold thousands of them), and blocks are never broadcast."""
+    stored, plans = {}, []
+    save, met = hard_negatives.save, hard_negatives._round
+    monkeypatch.setattr(hard_negatives, "save", lambda df, label: stored.setdefault(label, save(df, label)) if label == "candidates" else save(df, label))
+    monkeypatch.setattr(hard_negatives, "_round", lambda *a: plans.append(met(*a)) or plans[-1])
+    mined(spark, rows)
+    assert stored["candidates"].dtypes and not any("struct" in kind for _, kind in stored["candidates"].dtypes)
+    assert len(plans) == 4 and not any("BroadcastNestedLoop" in p or "BroadcastHashJoin [dim" in p for p in (x._jdf.queryExecution().executedPlan().toString() for x in plans))
+
+
+def test_only_hits_that_reach_the_first_rounds_scores_are_handed_on():
+    import numpy as np
+    import pyarrow as pa
+
+    members = pa.array([[{"row": i, "id": i, "label": 2, "v": [50 + i]} for i in range(20)]])
+    anchors = pa.array([[{"row": 99, "id": 0, "label": 1, "norm": 10.0, "v": [10], "windows": [{"pid": 1, "score": 1000, "least": 670.0}]}]])
+    batch = pa.RecordBatch.from_arrays([anchors, pa.array([[69.0]]), members], ["anchors", "norms", "candidates"])
+    hits = [s for x in hard_negatives._search(10, False, np.float64, 30, 90)(iter([batch])) for s in x.column("score").to_pylist()]
+    assert hits == [690, 680, 670]
+
+
 def test_short_buckets_are_skipped(spark, monkeypatch):
     """Of buckets that fall in norm only those long enough for the windows are scored."""
     import numpy as np
