@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +20,11 @@ DAY, WEEK, DAYS_IN_WEEK = "일", "주", 7
 _NUMBER = r"-?[\d,]*\d(?:\.\d+)?"
 
 
+def worked_out_once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, where ``value`` stands once in the expression, however often ``use`` takes it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def number(c: Column) -> Column:
     return F.replace(c, F.lit(","), F.lit("")).try_cast("double")
 
@@ -37,8 +44,8 @@ def limits(c: Column) -> Column:
 
     Each constraint word takes the number before it, whatever other numbers stand in the text."""
 
-    def one(piece: Column) -> Column:
-        part = lambda i: F.regexp_extract(piece, _LIMIT, i)
+    def one(groups: Column) -> Column:
+        part = lambda i: F.get(groups, F.lit(i - 1))
         signed = lambda sign, digits: F.when(part(sign) != "", -number(part(digits))).otherwise(number(part(digits)))
         ranged, word, value = part(5) != "", part(9), signed(6, 7)
         upper, lower = word.rlike(f"{AT_MOST}|{LESS}"), word.rlike(f"{AT_LEAST}|{MORE}")
@@ -50,22 +57,35 @@ def limits(c: Column) -> Column:
             F.coalesce(word.rlike(LESS), F.lit(False)).alias("hi_open"),
         )
 
-    return F.transform(F.regexp_extract_all(c, F.lit(_LIMIT), F.lit(0)), one)
+    # a limit's nine groups from one match; none of them can hold the separator
+    match = lambda piece: F.split(F.regexp_replace(piece, _LIMIT, "\x01".join(f"${i}" for i in range(1, 10))), "\x01")
+    return F.transform(F.regexp_extract_all(c, F.lit(_LIMIT), F.lit(0)), lambda piece: worked_out_once(match(piece), one))
 
 
 def parse_constraint(c: Column, unit: Column | None = None) -> Column:
     """struct(op, lo, hi, unit, lo_open, hi_open): what a text's limits of one unit leave together; op is <=, >=, <, > or
     range, and null where the text holds none. ``unit``: the one asked for; without it, or where the text has no limit of
     it, the unit of the first limit."""
-    every = limits(c)
-    first = F.get(every, F.lit(0))["unit"]
-    chosen = first if unit is None else F.when(F.exists(every, lambda x: x["unit"] == unit), unit).otherwise(first)
-    mine = F.filter(every, lambda x: x["unit"] == chosen)
-    lo, hi = F.array_max(F.transform(mine, lambda x: x["lo"])), F.array_min(F.transform(mine, lambda x: x["hi"]))
-    lo_open = F.exists(mine, lambda x: (x["lo"] == lo) & x["lo_open"])
-    hi_open = F.exists(mine, lambda x: (x["hi"] == hi) & x["hi_open"])
-    op = F.when(lo.isNotNull() & hi.isNotNull(), "range").when(hi.isNotNull(), F.when(hi_open, "<").otherwise("<=")).when(lo.isNotNull(), F.when(lo_open, ">").otherwise(">="))
-    return F.struct(op.alias("op"), lo.alias("lo"), hi.alias("hi"), chosen.alias("unit"), F.coalesce(lo_open, F.lit(False)).alias("lo_open"), F.coalesce(hi_open, F.lit(False)).alias("hi_open"))
+
+    def of_unit(every: Column) -> Column:
+        first = F.get(every, F.lit(0))["unit"]
+        chosen = first if unit is None else F.when(F.exists(every, lambda x: x["unit"] == unit), unit).otherwise(first)
+        mine = lambda u: F.filter(every, lambda x: x["unit"] == u)
+        return worked_out_once(chosen, lambda u: worked_out_once(F.struct(u.alias("unit"), mine(u).alias("mine")), ends))
+
+    def ends(of: Column) -> Column:
+        mine = of["mine"]
+        lo, hi = F.array_max(F.transform(mine, lambda x: x["lo"])), F.array_min(F.transform(mine, lambda x: x["hi"]))
+        return worked_out_once(F.struct(of["unit"].alias("unit"), mine.alias("mine"), lo.alias("lo"), hi.alias("hi")), together)
+
+    def together(of: Column) -> Column:
+        lo, hi = of["lo"], of["hi"]
+        lo_open = F.exists(of["mine"], lambda x: (x["lo"] == lo) & x["lo_open"])
+        hi_open = F.exists(of["mine"], lambda x: (x["hi"] == hi) & x["hi_open"])
+        op = F.when(lo.isNotNull() & hi.isNotNull(), "range").when(hi.isNotNull(), F.when(hi_open, "<").otherwise("<=")).when(lo.isNotNull(), F.when(lo_open, ">").otherwise(">="))
+        return F.struct(op.alias("op"), lo.alias("lo"), hi.alias("hi"), of["unit"].alias("unit"), F.coalesce(lo_open, F.lit(False)).alias("lo_open"), F.coalesce(hi_open, F.lit(False)).alias("hi_open"))
+
+    return worked_out_once(limits(c), of_unit)
 
 
 def violates(value: Column, constraint: Column) -> Column:

@@ -62,6 +62,15 @@ def test_a_trap_passes_and_fails_by_run(spark):
     assert got == {(1, 1): True, (2, 1): False, (1, 2): False, (2, 2): True}
 
 
+def test_a_text_is_searched_for_limits_once(spark):
+    """However many of a constraint's fields are read: the parsing grew with every use of a field."""
+    rows = spark.range(3).selectExpr("id", "concat(id, ' kg 이하') AS t").withColumn("c", conflicts.parse_constraint(F.col("t"), F.lit("kg")))
+    rows = rows.select("c.op", "c.lo", "c.hi", "c.unit", conflicts.violates(F.lit(1.0), F.col("c")).alias("broken"))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(") == 1 and plan.count("regexp_extract(") == 0
+    assert [(r["hi"], r["broken"]) for r in rows.orderBy("hi").collect()] == [(0.0, True), (1.0, False), (2.0, False)]
+
+
 def test_a_clause_without_an_assessment_passes_no_check(spark):
     """Nothing found against it is no pass; a clause that is assessed and has no evidence does pass."""
     none = F.lit(None).cast("string")
