@@ -240,3 +240,15 @@ def test_pages_answer_key_and_tables_are_read_and_written(spark, tmp_path):
         assert [r["value"] for r in spark.read.text(str(tmp_path / form)).collect()] == want
     io.write_table(df, str(tmp_path / "p"))
     assert spark.read.parquet(str(tmp_path / "p")).count() == 2
+
+
+def test_pairs_of_exact_tokens_come_once_and_are_never_shuffled(spark):
+    """Several shared tokens, repeated tokens and ids, nothing shared; no exchange stands above the join."""
+    asked = [(1, "LT-101 IP66 5 kg"), (2, "IP66, 5 kg"), (3, "plain"), (2, "IP67"), (4, "IP66")]
+    held = [(10, ["IP66", "5KG", "IP66"]), (11, ["5KG"]), (12, ["LT-101"]), (13, []), (10, ["IP67"]), (14, ["IP67", "IP66"])]
+    q = spark.createDataFrame(asked, "query_id long, text string")
+    c = spark.createDataFrame(held, "chunk_id long, keywords array<string>")
+    hits = retrieval.exact_token_hits(q, c)
+    assert sorted(tuple(r) for r in hits.collect()) == [(q, c, 1.0) for q, c in ((1, 10), (1, 11), (1, 14), (2, 10), (2, 11), (2, 14), (4, 10), (4, 14))]
+    plan = hits._jdf.queryExecution().sparkPlan().toString()
+    assert "Aggregate" not in plan[: plan.index("Join")]
