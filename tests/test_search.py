@@ -252,3 +252,20 @@ def test_pairs_of_exact_tokens_come_once_and_are_never_shuffled(spark):
     assert sorted(tuple(r) for r in hits.collect()) == [(q, c, 1.0) for q, c in ((1, 10), (1, 11), (1, 14), (2, 10), (2, 11), (2, 14), (4, 10), (4, 14))]
     plan = hits._jdf.queryExecution().sparkPlan().toString()
     assert "Aggregate" not in plan[: plan.index("Join")]
+
+
+def test_texts_that_chunks_share_are_scored_once(spark, texts, monkeypatch):
+    """Each text in chunks that lie apart: the pool is that of all chunks, the index has a row for each different text."""
+    counts, made = [], retrieval.trigram_index
+    monkeypatch.setattr(retrieval, "trigram_index", lambda *a: counts.append(made(*a)) or counts[-1])
+    shared = texts[0][:20] * 4 + [texts[0][0].upper() + " !"] * 9
+    chunks, probes = frames(spark, (shared, texts[1]))
+    held = {r["chunk_id"]: r["content"] for r in chunks.collect()}
+    got = {}
+    for r in retrieval.keyword_top(probes, chunks, 7).collect():
+        got.setdefault(r["probe"], set()).add((r["chunk_id"], round(r["keyword"], 9)))
+    for probe in {p for p in texts[1] if grams(p)}:
+        score = {i: max(set_score(grams(probe), grams(x + " led > ring")), word_score(grams(probe), grams(x + " led > ring"))) for i, x in held.items()}
+        want = sorted((-round(v, 9), i) for i, v in score.items() if v > 0)[:7]
+        assert got.get(probe, set()) == {(i, -v) for v, i in want}
+    assert counts[0].count == len({tuple(grams(x + " led > ring")) for x in held.values()}) < len(held)
