@@ -269,3 +269,21 @@ def test_texts_that_chunks_share_are_scored_once(spark, texts, monkeypatch):
         want = sorted((-round(v, 9), i) for i, v in score.items() if v > 0)[:7]
         assert got.get(probe, set()) == {(i, -v) for v, i in want}
     assert counts[0].count == len({tuple(grams(x + " led > ring")) for x in held.values()}) < len(held)
+
+
+@pytest.mark.parametrize("together", [1, 3, 16])
+def test_semantic_rounds_equal_brute_force(spark, monkeypatch, together):
+    """Several rounds, groups and lanes; ties, copies, negative cosines. Blocks are never broadcast."""
+    for name, n in {"FIRST_ROUND": 12, "CHUNK_BLOCK": 9, "QUERY_BLOCK": 4, "BLOCKS_TOGETHER": together}.items():
+        monkeypatch.setattr(retrieval, name, n)
+    r = np.random.default_rng(6)
+    c = r.normal(size=(150, 5))
+    c[40:70] = c[3]
+    v = np.vstack([r.normal(size=(20, 5)), -c[3]])
+    chunks = spark.createDataFrame([(i * 7 % 151, x.tolist()) for i, x in enumerate(c)], "chunk_id long, embedding array<double>")
+    queries = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "query_id long, embedding array<double>")
+    hits = retrieval.semantic_top(queries, chunks, 6)
+    cosine = np.maximum((v / np.linalg.norm(v, axis=1)[:, None]) @ (c / np.linalg.norm(c, axis=1)[:, None]).T, 0).round(9)
+    want = {(q, i) for q in range(21) for _, i in sorted((-cosine[q, j], j * 7 % 151) for j in range(150))[:6]}
+    assert {(x["query_id"], x["chunk_id"]) for x in hits.collect()} == want
+    assert "BroadcastHashJoin" not in retrieval._block_pairs(queries, chunks, "query_id", 6, 17)._jdf.queryExecution().executedPlan().toString()
